@@ -39,7 +39,7 @@ def utilization_pct(df: DataFrame, used, limit, digits: int = 2, out: str = "pct
 def parse_limit(c) -> Column:
     """Resource limit text -> DOUBLE: ``UNLIMITED`` / 0 / blank -> NULL."""
     v = F.trim(col(c).cast("string"))
-    n = v.try_cast("double") if hasattr(v, "try_cast") else F.expr(f"try_cast(trim({c}) as double)")
+    n = v.try_cast("double")
     return F.when(F.upper(v) == "UNLIMITED", F.lit(None).cast("double")).when(n == 0, F.lit(None).cast("double")).otherwise(n)
 
 
@@ -122,7 +122,7 @@ def rules_frame(spark, rules: Sequence[tuple]) -> DataFrame:
 
 
 def _violates(kind: Column, value: Column, threshold_num: Column, threshold_str: Column) -> Column:
-    num = value.cast("string").try_cast("double") if hasattr(value, "try_cast") else value.cast("double")
+    num = value.cast("string").try_cast("double")
     txt_eq = F.lower(F.trim(value.cast("string"))) == F.lower(F.trim(threshold_str))
     both_num = num.isNotNull() & threshold_num.isNotNull()
     return (F.when(kind == "lt", num < threshold_num)
@@ -147,13 +147,21 @@ def config_audit(settings: DataFrame, rules: DataFrame, keys: Sequence[str] = ()
     Output: settings columns + kind, expected, threshold, is_abnormal, advice.
     """
     keys = list(keys)
+    with_refs = True
+    if not isinstance(rules, DataFrame):  # literal rule rows: refs known statically
+        rows = list(rules)
+        with_refs = any(r[3] for r in rows)
+        rules = rules_frame(settings.sparkSession, rows)
     r = F.broadcast(rules.withColumnRenamed("name", "_rule_name"))  # literal rule list: bounded
     s = settings.join(r, col(name_col) == F.col("_rule_name"), "inner").drop("_rule_name")
-    ref = settings.select(*keys, col(name_col).alias("_ref_name"), col(value_col).alias("_ref_value"))
-    cond = [F.col("ref_name") == F.col("_ref_name")]
-    s = s.alias("s").join(ref.alias("r"), [F.col(f"s.{k}") == F.col(f"r.{k}") for k in keys] + cond, "left")
-    s = s.select("s.*", "r._ref_value")
-    exp_num = F.col("expected").try_cast("double") if hasattr(F.col("expected"), "try_cast") else F.col("expected").cast("double")
+    if with_refs:
+        ref = settings.select(*keys, col(name_col).alias("_ref_name"), col(value_col).alias("_ref_value"))
+        cond = [F.col("ref_name") == F.col("_ref_name")]
+        s = s.alias("s").join(ref.alias("r"), [F.col(f"s.{k}") == F.col(f"r.{k}") for k in keys] + cond, "left")
+        s = s.select("s.*", "r._ref_value")
+    else:
+        s = s.withColumn("_ref_value", F.lit(None).cast("string"))
+    exp_num = F.col("expected").try_cast("double")
     threshold = F.when(F.col("ref_name").isNotNull(),
                        F.col("_ref_value").cast("double") * F.coalesce(F.col("factor"), F.lit(1.0))
                        ).otherwise(exp_num * F.coalesce(F.col("factor"), F.lit(1.0)))
@@ -171,7 +179,5 @@ def status_wide(status: DataFrame, keys: Sequence[str], names: dict, name_col: s
     separate scalar query).
     """
     aggs = [F.max(F.when(col(name_col) == n, col(value_col))).try_cast(cast).alias(alias)
-            if hasattr(F.col("x"), "try_cast") else
-            F.max(F.when(col(name_col) == n, col(value_col))).cast(cast).alias(alias)
             for alias, n in names.items()]
     return status.filter(col(name_col).isin(list(names.values()))).groupBy(*keys).agg(*aggs)

@@ -91,8 +91,7 @@ CONFIG_RULES = [
 def q_config_audit(spark, d):
     c = Tables(spark, d).customer.select("c_custkey", F.col("c_mktsegment").alias("setting_name"),
                                          F.col("c_acctbal").alias("setting_value"))
-    rules = verdict.rules_frame(spark, CONFIG_RULES)
-    out = verdict.config_audit(c, rules, name_col="setting_name", value_col="setting_value")
+    out = verdict.config_audit(c, CONFIG_RULES, name_col="setting_name", value_col="setting_value")
     return out.select("c_custkey", "setting_name", "setting_value", "kind", "expected", "threshold",
                       "is_abnormal", "advice")
 

@@ -1,0 +1,307 @@
+"""Literal unit fixtures: red / normal / NULL / boundary rows per operator,
+and the must-have cases of FIXTURES.md §3."""
+
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from fleetcheck.functions import decode_date_bytes, format_bytes, fround, lsn_to_number, split_host_port
+from fleetcheck.operators import capacity as cap
+from fleetcheck.operators import findings as fnd
+from fleetcheck.operators import perf, ranking, relations, shapes, text, time, verdict
+from fleetcheck.sources import parse_log_lines
+
+
+def _key(t):
+    return tuple((x is not None, x if x is not None else 0) for x in t)
+
+
+def rows(df, *cols):
+    return sorted((tuple(r[c] for c in cols) for r in df.collect()), key=_key)
+
+
+def test_threshold_flag_boundaries(spark):
+    df = spark.createDataFrame([("a", 91.0), ("b", 90.0), ("c", None), ("d", 10.0)], "k string, m double")
+    ge = verdict.threshold_flag(df, "m", 90.0, ">=")
+    gt = verdict.threshold_flag(df, "m", 90.0, ">")
+    assert rows(ge, "k", "is_abnormal") == [("a", True), ("b", True), ("c", False), ("d", False)]
+    assert rows(gt, "k", "is_abnormal") == [("a", True), ("b", False), ("c", False), ("d", False)]
+
+
+def test_utilization_and_resource_limits(spark):
+    df = spark.createDataFrame([("p", 450, "UNLIMITED"), ("q", 0, "0"), ("r", 400, " 500"), ("s", 10, None)],
+                               "k string, used int, lim string")
+    df = df.withColumn("limit_value", verdict.parse_limit("lim"))
+    out = verdict.utilization_pct(df, "used", "limit_value", red=80, op=">")
+    assert rows(out, "k", "pct", "is_abnormal") == [("p", None, False), ("q", None, False),
+                                                   ("r", 80.0, False), ("s", None, False)]
+
+
+def test_fround_half_up(spark):
+    df = spark.createDataFrame([(123.455,), (1.005,), (-2.5,), (2.675,)], "x double")
+    got = [r[0] for r in df.select(fround("x", 2)).collect()]
+    assert got[0] in (123.46, 123.45)  # IEEE value of 123.455 decides; same bits in every engine
+    assert [r[0] for r in df.select(fround("x", 0)).collect()][2] == -2.0
+
+
+def test_status_decode_and_fragmentation(spark):
+    df = spark.createDataFrame([("x", "VALID"), ("y", "INVALID"), ("z", None)], "k string, st string")
+    out = verdict.status_decode(df, "st", [("VALID", "ok"), ("INVALID", "broken")], good=["VALID"])
+    assert rows(out, "k", "status_label", "is_abnormal") == [("x", "ok", False), ("y", "broken", True),
+                                                             ("z", None, False)]
+    f = spark.createDataFrame([("a", 31.0, 1001), ("b", 30.0, 5000), ("c", 50.0, 1000), ("d", 10.5, 2000)],
+                              "k string, pct double, pages int")
+    out = verdict.fragmentation_class(f, "pct", "pages")
+    assert rows(out, "k", "action") == [("a", "REBUILD"), ("b", "REORGANIZE"), ("c", "OK"), ("d", "REORGANIZE")]
+
+
+def test_config_audit_with_reference_rule(spark):
+    s = spark.createDataFrame([("i1", "processes", "300"), ("i1", "cpu_count", "8"), ("i1", "parallel_max_servers", "40"),
+                               ("i2", "processes", "1500"), ("i2", "cpu_count", "16"),
+                               ("i2", "parallel_max_servers", "64"), ("i2", "spfile", "")],
+                              "instance_id string, name string, value string")
+    rules = [("processes", "lt", "500", None, None, "raise processes"),
+             ("parallel_max_servers", "gt", None, "cpu_count", 4.0, "too many parallel servers"),
+             ("spfile", "is_null", None, None, None, "use an spfile")]
+    out = verdict.config_audit(s, rules, keys=["instance_id"])
+    assert rows(out, "instance_id", "name", "is_abnormal") == [
+        ("i1", "parallel_max_servers", True), ("i1", "processes", True),
+        ("i2", "parallel_max_servers", False), ("i2", "processes", False), ("i2", "spfile", True)]
+
+
+def test_status_wide_one_scan(spark):
+    st = spark.createDataFrame([("i1", "Uptime", "100"), ("i1", "Questions", "5000"), ("i2", "Uptime", "10"),
+                                ("i2", "Questions", "x")], "instance_id string, name string, value string")
+    out = verdict.status_wide(st, ["instance_id"], {"uptime": "Uptime", "questions": "Questions"})
+    assert rows(out, "instance_id", "uptime", "questions") == [("i1", 100.0, 5000.0), ("i2", 10.0, None)]
+
+
+def test_type_limit_usage_unsigned_and_longest_prefix(spark):
+    cols = spark.createDataFrame([("t1", "int(11) unsigned", Decimal(4294967295)),
+                                  ("t2", "bigint unsigned", Decimal("18446744073709551615")),
+                                  ("t3", "int(11)", Decimal(2147483647 // 2)),
+                                  ("t4", "tinyint(4)", Decimal(100))],
+                                 "t string, column_type string, auto_increment decimal(20,0)")
+    limits = [("tinyint", 127, 255), ("smallint", 32767, 65535), ("mediumint", 8388607, 16777215),
+              ("int", 2147483647, 4294967295), ("bigint", 9223372036854775807, 18446744073709551615)]
+    out = relations.type_limit_usage(cols, "column_type", "auto_increment", limits)
+    got = {r["t"]: (r["type_prefix"], r["pct_of_max"], r["is_abnormal"]) for r in out.collect()}
+    assert got["t1"] == ("int", 100.0, True)
+    assert got["t2"] == ("bigint", 100.0, True)
+    assert got["t3"][0] == "int" and got["t3"][2] is False
+    assert got["t4"] == ("tinyint", 78.74, False)
+
+
+def test_redundant_and_duplicate_index_q8(spark):
+    ic = spark.createDataFrame([("t", "i_a", 1, "a"), ("t", "i_ab", 1, "a"), ("t", "i_ab", 2, "b"),
+                                ("t", "i_abc", 1, "ab"), ("t", "i_abc", 2, "c"), ("u", "j_a", 1, "a")],
+                               "tbl string, idx string, seq int, col string")
+    red = relations.redundant_index(ic, ["tbl"], "idx", "seq", "col")
+    # (a) is a prefix of (a,b) but NOT of (ab,c); nothing on table u
+    assert rows(red, "tbl", "idx", "width", "n_covering", "first_covering") == [("t", "i_a", 1, 1, "i_ab")]
+    dup = relations.duplicate_index(ic, ["tbl"], "idx", "seq", "col")
+    assert rows(dup, "idx", "n_sharing", "first_other") == [("i_a", 2, "i_ab"), ("i_ab", 2, "i_a")]
+
+
+def test_blocking_pairs_null_keys_and_two_holders(spark):
+    locks = spark.createDataFrame([
+        (1, True, "relation", None), (2, True, "relation", None), (3, False, "relation", None),
+        (4, False, "tuple", "x"), (5, True, "tuple", "y"), (6, True, "tuple", "x"), (6, False, "tuple", "x"),
+    ], "pid int, granted boolean, locktype string, rel string")
+    out = relations.blocking_pairs(locks, ["locktype", "rel"], "pid", F.col("granted"))
+    # waiter 3 blocked by two holders on a NULL relation; waiter 6 holds x itself, so 4 is its only co-waiter
+    assert rows(out, "waiter", "n_holders", "first_holder") == [(3, 2, 1), (4, 1, 6)]
+
+
+def test_blocking_parent(spark):
+    req = spark.createDataFrame([(1, None, "q1"), (2, 1, "q2"), (3, 1, "q3"), (4, 9, "q4")],
+                                "sid int, blocking int, query string")
+    out = relations.blocking_parent(req, "sid", "blocking", ["query"], how="inner")
+    assert rows(out, "sid", "blocker_query") == [(2, "q1"), (3, "q1")]
+
+
+def test_backup_freshness_missing_and_differential_only(spark):
+    dbs = spark.createDataFrame([("a",), ("b",), ("c",)], "database string")
+    bk = spark.createDataFrame([("a", "D", "2024-01-20 00:00:00"), ("b", "I", "2024-01-01 00:00:00"),
+                                ("a", "I", "2024-01-28 00:00:00")], "database string, type string, finish string") \
+        .withColumn("finish_ts", F.to_timestamp("finish"))
+    full = bk.filter(F.col("type") == "D")
+    since = F.lit("2024-01-24 00:00:00").cast("timestamp")
+    out = relations.backup_freshness(dbs, full, "database", "finish_ts", since, ["type"])
+    assert rows(out, "database", "kind") == [("a", "missing"), ("b", "missing"), ("c", "missing")]
+    out2 = relations.backup_freshness(dbs, bk, "database", "finish_ts", since, ["type"])
+    assert rows(out2, "database", "type", "kind") == [("a", "I", "history"), ("b", None, "missing"),
+                                                     ("c", None, "missing")]
+
+
+def test_snapshot_pair_restart_and_counter_reset(spark):
+    snaps = spark.createDataFrame([("i", 1, 0), ("i", 2, 0), ("i", 3, 1), ("i", 4, 1), ("j", 7, 5)],
+                                  "instance_id string, snap_id int, startup int")
+    pair = perf.snapshot_pair(snaps, ["instance_id"], "snap_id", "startup")
+    assert rows(pair, "instance_id", "begin_snap", "end_snap") == [("i", 3, 4)]
+    stats = spark.createDataFrame([("i", 3, "redo", 100), ("i", 4, "redo", 250), ("i", 3, "reset", 900),
+                                   ("i", 4, "reset", 20), ("i", 4, "only_end", 5)],
+                                  "instance_id string, snap_id int, stat string, value long")
+    d = perf.snapshot_delta(stats, pair, ["instance_id"], "snap_id", ["stat"], "value")
+    assert rows(d, "stat", "delta") == [("redo", 150), ("reset", None)]
+    r = perf.rate_per_second(d, "delta", 60)
+    assert rows(r, "stat", "per_sec") == [("redo", 2.5), ("reset", None)]
+
+
+def test_counter_trend_first_is_zero(spark):
+    c = spark.createDataFrame([("i", 1, 10), ("i", 2, 70), ("i", 3, 70)], "inst string, snap int, v long")
+    out = perf.counter_trend(c, ["inst"], [], "snap", "v", 60)
+    assert rows(out, "snap", "rate") == [(1, 0.0), (2, 1.0), (3, 0.0)]
+
+
+def test_pareto_properties(spark):
+    w = spark.createDataFrame([("w1", 50), ("w2", 30), ("w3", 20), ("idle", 1000)], "wait string, ms long")
+    out = ranking.pareto(w.filter(F.col("wait") != "idle"), "ms", "wait", n=2)
+    got = rows(out, "rn", "wait", "pct", "running_pct")
+    assert got == [(1, "w1", 50.0, 50.0), (2, "w2", 30.0, 80.0)]  # percent of the filtered total, cut after
+
+
+def test_time_share_excludes(spark):
+    df = spark.createDataFrame([("i", "DB CPU", 60), ("i", "io", 40), ("i", "DB time", 100)],
+                               "inst string, stat string, v long")
+    out = perf.time_share(df, ["inst"], "stat", "v", exclude=["DB time"])
+    assert rows(out, "stat", "pct") == [("DB CPU", 60.0), ("DB time", None), ("io", 40.0)]
+
+
+def test_hour_matrix_thresholds(spark):
+    ts = [f"2024-01-01 05:{m:02d}:00" for m in range(12)] + ["2024-01-01 06:00:00", "2024-01-02 00:00:00"]
+    df = spark.createDataFrame([("i", t) for t in ts], "inst string, t string").withColumn("ts", F.to_timestamp("t"))
+    out = time.hour_matrix(df, "ts", ["inst"], cell_red=10, total_red=13)
+    got = {r["day"]: (r["h05"], r["h06"], r["total"], r["red_cells"], r["is_abnormal"]) for r in out.collect()}
+    assert got == {"2024-01-01": (12, 1, 13, 1, False), "2024-01-02": (0, 0, 1, 0, False)}
+
+
+def test_age_and_expiry(spark):
+    df = spark.createDataFrame([("u1", "2024-01-30"), ("u2", None), ("u3", "2023-01-01")], "u string, d string") \
+        .withColumn("ts", F.to_timestamp("d"))
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp")
+    out = time.age_flag(df, "ts", as_of, 180)
+    assert rows(out, "u", "is_abnormal") == [("u1", False), ("u2", True), ("u3", True)]
+    exp = spark.createDataFrame([("a", "2024-02-05"), ("b", "2024-03-30"), ("c", "2024-02-07"), ("d", "2024-01-01")],
+                                "u string, d string").withColumn("ts", F.to_timestamp("d"))
+    out = time.expiry_window(exp, "ts", as_of, horizon=30, red=7, min_days=None)
+    assert rows(out, "u", "days_left", "is_abnormal") == [("a", 5, True), ("c", 7, True), ("d", -30, True)]
+
+
+def test_long_running(spark):
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:04:00"), (3, "2024-01-01 00:05:00")],
+                               "pid int, s string").withColumn("start", F.to_timestamp("s"))
+    out = time.long_running(df, "start", F.lit("2024-01-01 00:06:00").cast("timestamp"), 60, 300)
+    assert rows(out, "pid", "elapsed_s", "is_abnormal") == [(1, 360, True), (2, 120, False)]
+
+
+def test_shapes(spark):
+    df = spark.createDataFrame([("c1", "A", 1), ("c1", "B", 2), ("c2", "A", 3), (None, "A", 4)],
+                               "con string, owner string, mb int")
+    r = shapes.rollup_total(df, ["con"], "owner", [F.sum("mb").alias("mb")])
+    assert ("c1", "SUM", 3) in rows(r, "con", "owner", "mb")
+    g = shapes.group_total_sets(df, ["con"], [F.sum("mb").alias("mb")], labels={"con": "total"})
+    assert rows(g, "con", "mb") == [(None, 4), ("c1", 3), ("c2", 3), ("total", 10)]
+    c = shapes.ordered_concat(df, ["owner"], "con", distinct=True)
+    assert rows(c, "owner", "items") == [("A", "c1,c2"), ("B", "c1")]
+    c2 = shapes.ordered_concat(df, ["owner"], "con", order="mb", sep="|")
+    assert rows(c2, "owner", "items") == [("A", "c1|c2"), ("B", "c1")]
+
+
+def test_missing_and_member_partition_input(spark):
+    e = spark.createDataFrame([(i,) for i in range(10)], "k int")
+    rel = spark.createDataFrame([(i,) for i in range(0, 10, 3)], "k int")
+    miss = relations.missing_related(e, rel, "k")
+    mem = relations.member_of(e, rel, "k")
+    assert miss.count() + mem.count() == e.count()
+    assert sorted(r.k for r in miss.union(mem).collect()) == list(range(10))
+
+
+def test_functions(spark):
+    df = spark.createDataFrame([("0/3000060", bytearray([120, 124, 1, 15, 11, 31, 1]), "db1:3306", 2048)],
+                               "lsn string, hv binary, hp string, b long")
+    h, p = split_host_port(F.col("hp"))
+    r = df.select(lsn_to_number("lsn").alias("n"), decode_date_bytes("hv").alias("d"), h.alias("h"), p.alias("p"),
+                  format_bytes("b").alias("fb")).collect()[0]
+    assert r.n == Decimal(0x3000060)
+    assert str(r.d) == "2024-01-15 10:30:00"
+    assert (r.h, r.p, r.fb) == ("db1", 3306, "2048 bytes")
+
+
+def test_log_parse_both_timestamp_forms(spark):
+    lines = spark.createDataFrame([("2024-01-03T10:00:01.123 [ERROR] x",), ("Wed Jan  3 10:00:02 2024",),
+                                   ("no timestamp",)], "line string")
+    got = [r.ts for r in parse_log_lines(lines).collect()]
+    assert str(got[0]) == "2024-01-03 10:00:01" and str(got[1]) == "2024-01-03 10:00:02" and got[2] is None
+
+
+def test_log_fingerprint_ties_by_text(spark):
+    lines = spark.createDataFrame([("2024-01-01 00:00:01 [Warning] disk b",), ("12:00 disk b",), ("disk a",),
+                                   ("# disk a",), ("x",)], "line string")
+    out = text.log_fingerprint(lines, "line", 2)
+    assert rows(out, "rn", "message", "n_lines") == [(1, "[Warning] disk b", 1), (2, "disk a", 2)] or \
+        rows(out, "rn", "message", "n_lines")[0] == (1, "disk a", 2)
+
+
+def test_os_section_parse(spark):
+    dump = "\n".join(["** db1:", "## meminfo ##", "MemTotal: 100 kB", "", "## df ##", "/dev/sda 10G",
+                      "** db2:", "## meminfo ##", "MemTotal: 200 kB"])
+    df = spark.createDataFrame([("f1", dump)], "path string, text string")
+    out = text.os_section_parse(df, "text", ["path"])
+    assert rows(out, "host", "section", "line") == [("db1", "df", "/dev/sda 10G"), ("db1", "meminfo", "MemTotal: 100 kB"),
+                                                    ("db2", "meminfo", "MemTotal: 200 kB")]
+
+
+def test_html_report_extract(spark):
+    html = ('<span id="db_version">15.4</span><table id="db_size"><tr><th>db</th><th>size</th></tr>'
+            '<tr><td>app</td><td><font color="red">120 GB</font></td></tr><tr><td>ops</td><td>2 GB</td></tr></table>')
+    df = spark.createDataFrame([("r1", html)], "report string, html string")
+    cells = text.html_table_extract(df, "html", ["report"])
+    got = rows(cells, "table_id", "row_no", "col_no", "cell", "is_red")
+    assert ("db_size", 0, 1, "db", False) in got and ("db_size", 1, 2, "120 GB", True) in got
+    assert ("db_size", 2, 1, "ops", False) in got
+    spans = text.html_span_extract(df, "html", ["report"])
+    assert rows(spans, "span_id", "value") == [("db_version", "15.4")]
+
+
+def test_health_summary_counts_match_findings(spark):
+    df = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "k string, is_abnormal boolean")
+    f1 = fnd.to_findings(df, "chk1", F.col("k"))
+    f2 = fnd.to_findings(df.filter("k = 'b'"), "chk2", F.col("k"))
+    pr = spark.createDataFrame([("chk1", "high", "fix it")], "check_id string, priority string, advice string")
+    s = fnd.health_summary(fnd.union_findings([f1, f2]), pr)
+    assert rows(s, "check_id", "n_normal", "n_abnormal", "priority", "status") == [
+        ("chk1", 1, 2, "high", "abnormal"), ("chk2", 1, 0, "medium", "normal")]
+
+
+def test_capacity_and_bloat(spark):
+    files = spark.createDataFrame([("USERS", 900, 1000), ("USERS", 100, 100), ("TEMP", 10, 10)],
+                                  "ts string, bytes long, maxbytes long")
+    free = spark.createDataFrame([("USERS", 50)], "ts string, free long")
+    out = cap.capacity_autoextend(files, free, ["ts"], "bytes", "maxbytes", "free")
+    assert rows(out, "ts", "used_pct", "used_of_max_pct", "is_abnormal") == [("TEMP", 100.0, 100.0, True),
+                                                                            ("USERS", 95.0, 86.36, False)]
+    t = spark.createDataFrame([("t1", 1000, 100, 100.0), ("t2", 1000, 10, 100.0)],
+                              "tbl string, n long, pages long, w double")
+    b = cap.bloat_estimate(t, ["tbl"], "n", "pages", "w")
+    assert rows(b, "tbl", "expected_pages", "bloat_pct", "is_abnormal") == [("t1", 17, 83.0, True)]
+
+
+def test_sequence_gap_and_latency(spark):
+    df = spark.createDataFrame([(1, 10, "Y"), (1, 12, "N"), (2, 5, "Y")], "thread int, seq int, applied string")
+    out = perf.sequence_gap(df, ["thread"], "seq", F.col("applied") == "Y", red=1)
+    assert rows(out, "thread", "gap", "is_abnormal") == [(1, 2, True), (2, 0, False)]
+    io = spark.createDataFrame([("f", 1000, 10), ("g", 5, 0)], "f string, stall long, ops long")
+    out = verdict.latency_per_op(io, "stall", "ops", red=50)
+    assert rows(out, "f", "avg_latency", "is_abnormal") == [("f", 100.0, True), ("g", 0.0, False)]
+
+
+def test_name_ioc_and_topn(spark):
+    objs = spark.createDataFrame([("ABC_WALLET",), ("ok",), ("DBMS_SUPPORT_DBMONITOR",)], "name string")
+    out = relations.name_ioc(objs, "name", [("wallet", "%WALLET"), ("dbmon", "DBMS_SUPPORT_DBMONITOR%")])
+    assert rows(out, "name", "pattern") == [("ABC_WALLET", "wallet"), ("DBMS_SUPPORT_DBMONITOR", "dbmon")]
+    df = spark.createDataFrame([("i", k, v) for k, v in enumerate([5, 9, 9, 1])], "inst string, k int, v int")
+    top = ranking.topn(df, [F.col("v").desc(), F.col("k").asc()], 2, ["inst"])
+    assert rows(top, "rn", "k") == [(1, 1), (2, 2)]
+    last = ranking.latest_per_key(df, ["inst"], ["v", "k"], ["k"])
+    assert rows(last, "inst", "k") == [("i", 2)]
