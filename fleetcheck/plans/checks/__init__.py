@@ -1,0 +1,12 @@
+"""Per-DBMS check registries. Importing this package registers
+every check in ``base.REGISTRY``."""
+
+from . import base  # noqa: F401
+from . import oracle  # noqa: F401
+
+for _m in ("mysql", "postgres", "sqlserver", "host", "report"):
+    try:
+        __import__(f"{__name__}.{_m}")
+    except ModuleNotFoundError as e:  # registry module not written yet
+        if _m not in str(e):
+            raise
