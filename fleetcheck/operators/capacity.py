@@ -70,7 +70,7 @@ def file_summary(files: DataFrame, part: Sequence[str], id_col: str, size_col: s
     """Count, total size and the largest file (ties: lowest id) per group."""
     return files.groupBy(*part).agg(
         F.count("*").alias("n_files"), F.sum(size_col).alias("total_size"),
-        F.max_by(col(id_col), F.struct(col(size_col), -col(id_col))).alias("largest_id"))
+        F.min_by(col(id_col), F.struct(-col(size_col), col(id_col))).alias("largest_id"))
 
 
 def os_usage(df: DataFrame, used: Column, total: Column, out: str, digits: int = 2) -> DataFrame:

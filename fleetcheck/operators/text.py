@@ -59,25 +59,40 @@ def log_totals(lines: DataFrame, line: str, classes: Sequence[tuple[str, str]],
                                     *[F.count_if(col(line).rlike(p)).alias(f"n_{label}") for label, p in classes])
 
 
-def os_section_parse(dump: DataFrame, text: str, keep: Sequence[str], section_re: str = r"^#{2,}\s*(\S.*?)\s*#*$",
+def os_section_parse(dump: DataFrame, text: str, keep: Sequence[str], sections: Sequence[str] | None = None,
+                     section_re: str = r"^#{2,}\s*(\S.*?)\s*#*$",
                      host_re: str = r"^\*\*\s*([^:]+):") -> DataFrame:
     """Section-structured text dump -> (keep..., host, section, line_no, line).
 
-    A section header line (``## name ##``) opens a section, ``** host:``
-    switches the host; body lines inherit both through a running
-    ``last(ignorenulls)`` window ordered by line number *within one dump*
-    (a dump is one file, bounded in size by the collector).
+    A header opens a section: with ``sections`` given, a line equal to one of
+    those names that is the dump's first line or follows a blank line (the
+    collectors print ``name``, the body, then an empty line); otherwise a line
+    matching ``section_re``. ``** host:`` switches the host inside a section.
+    Body lines inherit both through a running ``last(ignorenulls)`` window
+    ordered by line number *within one dump* (one file, bounded by the
+    collector).
     """
     from pyspark.sql import Window
     lines = split_lines(dump, text, keep)
-    w = Window.partitionBy(*keep).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    sec = F.regexp_extract(F.col("line"), section_re, 1)
+    w_run = Window.partitionBy(*keep).orderBy("line_no")
+    w = w_run.rowsBetween(Window.unboundedPreceding, 0)
+    ln = F.trim(F.col("line"))
+    if sections is not None:
+        prev_blank = F.coalesce(F.trim(F.lag("line").over(w_run)) == "", F.lit(True))
+        sec = F.when(ln.isin(list(sections)) & prev_blank, ln)
+    else:
+        m = F.regexp_extract(F.col("line"), section_re, 1)
+        sec = F.when(m != "", m)
     host = F.regexp_extract(F.col("line"), host_re, 1)
-    df = (lines.withColumn("_sec", F.when(sec != "", sec))
+    df = (lines.withColumn("_sec", sec)
                .withColumn("_host", F.when(host != "", F.trim(host)))
                .withColumn("section", F.last("_sec", ignorenulls=True).over(w))
-               .withColumn("host", F.last("_host", ignorenulls=True).over(w)))
-    return (df.filter(F.col("_sec").isNull() & F.col("_host").isNull() & (F.trim("line") != ""))
+               .withColumn("_hs", F.last(F.when(F.col("_sec").isNotNull(), F.col("line_no")), ignorenulls=True).over(w))
+               .withColumn("_hl", F.last(F.when(F.col("_host").isNotNull(), F.col("line_no")), ignorenulls=True).over(w))
+               .withColumn("host", F.when(F.col("_hl") > F.coalesce(F.col("_hs"), F.lit(0)),
+                                          F.last("_host", ignorenulls=True).over(w))))
+    return (df.filter(F.col("_sec").isNull() & F.col("_host").isNull() & (F.trim("line") != "")
+                      & F.col("section").isNotNull())
               .select(*keep, "host", "section", "line_no", "line"))
 
 

@@ -21,7 +21,9 @@ def test_check_resolves(spark, views, cid):
     ctx = base.Ctx(spark, views[c.engine], F.lit(AS_OF).cast("timestamp"))
     assert all(i in VIEWS[c.engine] for i in c.inputs), c.inputs
     df = c.fn(ctx)
-    assert df.collect() == []
+    rows = df.collect()
+    if c.inputs:
+        assert rows == []
     assert "instance_id" in df.columns
 
 

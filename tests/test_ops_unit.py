@@ -244,12 +244,17 @@ def test_log_fingerprint_ties_by_text(spark):
 
 
 def test_os_section_parse(spark):
-    dump = "\n".join(["** db1:", "## meminfo ##", "MemTotal: 100 kB", "", "## df ##", "/dev/sda 10G",
-                      "** db2:", "## meminfo ##", "MemTotal: 200 kB"])
+    dump = "\n".join(["kernel", "5.14.0", "", "diskusage", "** db1:", "/dev/sda 10G", "** db2:", "/dev/sdb 20G", "",
+                      "meminfo", "MemTotal: 100 kB", "kernel", ""])
     df = spark.createDataFrame([("f1", dump)], "path string, text string")
-    out = text.os_section_parse(df, "text", ["path"])
-    assert rows(out, "host", "section", "line") == [("db1", "df", "/dev/sda 10G"), ("db1", "meminfo", "MemTotal: 100 kB"),
-                                                    ("db2", "meminfo", "MemTotal: 200 kB")]
+    out = text.os_section_parse(df, "text", ["path"], sections=["kernel", "diskusage", "meminfo"])
+    # "kernel" inside meminfo's body is not a header (no blank line before it)
+    assert rows(out, "section", "host", "line") == [
+        ("diskusage", "db1", "/dev/sda 10G"), ("diskusage", "db2", "/dev/sdb 20G"), ("kernel", None, "5.14.0"),
+        ("meminfo", None, "MemTotal: 100 kB"), ("meminfo", None, "kernel")]
+    out2 = text.os_section_parse(spark.createDataFrame([("f", "## a ##\nx\n## b ##\ny")], "path string, text string"),
+                                 "text", ["path"])
+    assert rows(out2, "section", "line") == [("a", "x"), ("b", "y")]
 
 
 def test_html_report_extract(spark):
