@@ -88,13 +88,20 @@ def label_map(c, mapping: Sequence[tuple], default=None) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def first_match(value, patterns: Sequence[tuple[str, str]], kind: str = "rlike",
-                default=None) -> Column:
-    """Label of the first (label, pattern) that matches ``value``."""
-    out = None
+def matches(value, pat: str, guard: str | None = None, kind: str = "rlike") -> Column:
+    """``value`` matches ``pat``; ``guard`` is a literal every match contains
+    (e.g. ``@`` for an e-mail regex), tested first: ``And`` short-circuits in
+    codegen, so most lines never reach the regex engine."""
     v = col(value)
-    for label, pat in patterns:
-        cond = v.rlike(pat) if kind == "rlike" else v.like(pat) if kind == "like" else v.startswith(pat)
+    cond = v.rlike(pat) if kind == "rlike" else v.like(pat) if kind == "like" else v.startswith(pat)
+    return (v.contains(guard) & cond) if guard else cond
+
+
+def first_match(value, patterns: Sequence[tuple], kind: str = "rlike", default=None) -> Column:
+    """Label of the first (label, pattern[, guard]) that matches ``value``."""
+    out = None
+    for label, pat, *guard in patterns:
+        cond = matches(value, pat, guard[0] if guard else None, kind)
         out = F.when(cond, F.lit(label)) if out is None else out.when(cond, F.lit(label))
     return out.otherwise(F.lit(default)) if out is not None else F.lit(default)
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import col, first_match
+from ..functions import col, first_match, matches
 from .ranking import topn
 
 
@@ -23,10 +23,10 @@ def split_lines(df: DataFrame, text: str, keep: Sequence[str], line: str = "line
              .withColumn(line_no, F.col("_pos") + 1).drop("_pos")
 
 
-def log_severity(lines: DataFrame, line: str, patterns: Sequence[tuple[str, str]], keep: Sequence[str],
+def log_severity(lines: DataFrame, line: str, patterns: Sequence[tuple], keep: Sequence[str],
                  distinct: bool = True, out: str = "severity") -> DataFrame:
-    """Classify lines by the first matching (label, regex); drop unmatched;
-    optionally distinct (the reference prints DISTINCT messages)."""
+    """Classify lines by the first matching (label, regex[, guard literal]);
+    drop unmatched; optionally distinct (the reference prints DISTINCT messages)."""
     df = lines.withColumn(out, first_match(line, patterns)).filter(F.col(out).isNotNull())
     df = df.select(*keep, out, line)
     return df.distinct() if distinct else df
@@ -52,11 +52,12 @@ def log_fingerprint(lines: DataFrame, line: str, n: int, part: Sequence[str] = (
     return topn(g, [F.col("n_lines").desc(), F.col(out).asc()], n, part)
 
 
-def log_totals(lines: DataFrame, line: str, classes: Sequence[tuple[str, str]],
+def log_totals(lines: DataFrame, line: str, classes: Sequence[tuple],
                part: Sequence[str] = ()) -> DataFrame:
     """Total lines per class (e.g. errors, warnings) in one aggregation."""
     return lines.groupBy(*part).agg(F.count("*").alias("n_lines"),
-                                    *[F.count_if(col(line).rlike(p)).alias(f"n_{label}") for label, p in classes])
+                                    *[F.count_if(matches(line, p, g[0] if g else None)).alias(f"n_{label}")
+                                      for label, p, *g in classes])
 
 
 def os_section_parse(dump: DataFrame, text: str, keep: Sequence[str], sections: Sequence[str] | None = None,
