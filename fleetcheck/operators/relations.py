@@ -2,9 +2,9 @@
 
 No operator here emits all pairs inside a key group. Where the reference
 prints pairs (duplicate / redundant indexes, waiter x holder locks), the
-output is one row per member with the size of its partner set and the first
-partner, computed from pre-aggregated partner sets joined by equality —
-linear in the input, whatever the skew of a key.
+output is one row per member with the size of its partner set and a first
+partner (or the partners' range), computed from pre-aggregated partner sets
+joined by equality — linear in the input, whatever the skew of a key.
 """
 
 from __future__ import annotations
@@ -45,20 +45,17 @@ def duplicate_index(index_cols: DataFrame, table: Sequence[str], index: str, pos
     """Indexes sharing a (position, column) with another index of the same table.
 
     One row per (table, position, column, index) in a shared slot with
-    ``n_sharing`` = indexes in that slot and ``first_other`` = the smallest
-    other index — the pair list is quadratic in a hot slot, this is linear.
+    ``n_sharing`` = indexes in that slot and the slot's ``first_index`` /
+    ``last_index`` (so every index sees its partners' range). One partial
+    aggregation per slot joined back to the members: linear, whereas the pair
+    list is quadratic in a hot slot.
     """
     slot = list(table) + [position, column]
-    members = index_cols.select(*slot, index).distinct()
-    agg = members.groupBy(*slot).agg(F.count("*").alias("n_sharing"),
-                                     F.min(index).alias("_min1"))
-    agg2 = (members.join(agg.select(*slot, "_min1"), slot)
-            .filter(F.col(index) != F.col("_min1"))
-            .groupBy(*slot).agg(F.min(index).alias("_min2")))
-    shared = agg.filter(F.col("n_sharing") > 1).join(agg2, slot, "left")
-    return (members.join(shared, slot)
-            .withColumn("first_other", F.when(F.col(index) == F.col("_min1"), F.col("_min2")).otherwise(F.col("_min1")))
-            .drop("_min1", "_min2"))
+    members = index_cols.select(*slot, index).dropna().distinct()
+    agg = (members.groupBy(*slot).agg(F.count("*").alias("n_sharing"), F.min(index).alias("first_index"),
+                                      F.max(index).alias("last_index"))
+                  .filter(F.col("n_sharing") > 1))
+    return members.join(agg, slot)
 
 
 def index_fingerprints(index_cols: DataFrame, table: Sequence[str], index: str, position: str,

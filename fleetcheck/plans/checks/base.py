@@ -57,6 +57,7 @@ class Ctx:
     views: Mapping[str, DataFrame]
     as_of: Column
     params: dict = field(default_factory=dict)
+    _cur: dict = field(default_factory=dict, repr=False)
 
     def v(self, name: str) -> DataFrame:
         return self.views[name]
@@ -64,11 +65,24 @@ class Ctx:
     def cur(self, name: str) -> DataFrame:
         """Latest collection of a view per instance at or before ``as_of``.
         The per-instance max is one row per instance (a bounded side). The
-        envelope's engine/snapshot_ts are dropped so views join on K cleanly."""
-        df = self.views[name].filter(F.col("snapshot_ts") <= self.as_of)
-        last = df.groupBy("instance_id").agg(F.max("snapshot_ts").alias("_last"))
-        return (df.join(last, "instance_id")
-                  .filter(F.col("snapshot_ts") == F.col("_last")).drop("_last", "engine", "snapshot_ts"))
+        envelope's engine/snapshot_ts are dropped so views join on K cleanly.
+        Memoised: every check of a run shares one plan per view."""
+        if name not in self._cur:
+            df = self.views[name].filter(F.col("snapshot_ts") <= self.as_of)
+            last = df.groupBy("instance_id").agg(F.max("snapshot_ts").alias("_last"))
+            self._cur[name] = (df.join(last, "instance_id")
+                                 .filter(F.col("snapshot_ts") == F.col("_last"))
+                                 .drop("_last", "engine", "snapshot_ts"))
+        return self._cur[name]
+
+    def materialize(self, names=None) -> None:
+        """Pin the latest collections before running many checks: a reliable
+        ``checkpoint()`` into the shared ``spark.checkpoint.dir`` (survives
+        executor loss, cuts the lineage every check would otherwise replay)."""
+        from ...session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(self.spark)
+        for n in names or list(self.views):
+            self._cur[n] = self.cur(n).checkpoint(eager=True)
 
     def p(self, name, default):
         return self.params.get(name, default)
@@ -82,12 +96,22 @@ def checks_for(engine: str | None = None, tier: str | None = None) -> list[Check
     return sorted(out, key=lambda c: c.check_id)
 
 
+def applies(c: Check, version: int | None) -> bool:
+    """Version gating: checks that exist only in some DBMS major versions."""
+    if version is None:
+        return True
+    return (c.min_version is None or version >= c.min_version) and (c.max_version is None or version <= c.max_version)
+
+
 def run_checks(ctx: Ctx, engine: str | None = None, ids=None, tier: str | None = None):
-    """Build every applicable check lazily; returns (results, errors)."""
+    """Build every applicable check lazily; returns (results, errors).
+    ``ctx.params["version"]`` (DBMS major version) gates version-specific checks."""
     results, errors = {}, {}
     for c in checks_for(engine, tier):
         if ids is not None and c.check_id not in ids:
             continue
+        if not applies(c, ctx.params.get("version")):
+            continue
         if any(i not in ctx.views for i in c.inputs):
             errors[c.check_id] = "missing input: " + ",".join(i for i in c.inputs if i not in ctx.views)
             continue

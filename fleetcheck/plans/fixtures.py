@@ -210,7 +210,7 @@ def q_backup_freshness(spark, d):
 def q_duplicate_index(spark, d):
     li = Tables(spark, d).lineitem
     return relations.duplicate_index(li, [], "l_orderkey", "l_linenumber", "l_partkey") \
-        .select("l_linenumber", "l_partkey", "l_orderkey", "n_sharing", "first_other")
+        .select("l_linenumber", "l_partkey", "l_orderkey", "n_sharing", "first_index", "last_index")
 
 
 def q_redundant_index(spark, d):

@@ -38,10 +38,16 @@ def fleet_findings(spark: SparkSession, views_by_engine: Mapping[str, Mapping[st
     return fnd.union_findings(frames)
 
 
-def fleet_summary(spark: SparkSession, views_by_engine, as_of: Column, tier: str | None = None):
-    """(findings, summary). Write the findings to a table and summarise the
-    written table when the run is large: that cuts the lineage of ~190 plans."""
+def fleet_summary(spark: SparkSession, views_by_engine, as_of: Column, tier: str | None = None,
+                  out_path: str | None = None):
+    """(findings, summary). With ``out_path`` (a shared folder) the findings
+    are written there first, partitioned by engine and check, and the summary
+    reads the written table: the lineage of ~190 check plans is cut and a lost
+    executor only recomputes its own check."""
     f = fleet_findings(spark, views_by_engine, as_of, tier)
+    if out_path is not None:
+        f.write.mode("overwrite").partitionBy("engine", "check_id").parquet(out_path)
+        f = spark.read.parquet(out_path)
     return f, health_summary_of(f, spark)
 
 

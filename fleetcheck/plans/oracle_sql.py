@@ -184,11 +184,12 @@ SELECT c_custkey, NULL, NULL, 'missing' FROM customer c
 WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderdate >= {ORD_AS_OF} - INTERVAL 90 DAY)"""
 
 SQL["duplicate_index"] = """
-WITH m AS (SELECT DISTINCT l_linenumber, l_partkey, l_orderkey FROM lineitem),
-s AS (SELECT l_linenumber, l_partkey, count(*) AS n_sharing FROM m GROUP BY ALL HAVING count(*) > 1)
-SELECT m.l_linenumber, m.l_partkey, m.l_orderkey, s.n_sharing,
-       (SELECT min(m2.l_orderkey) FROM m m2 WHERE m2.l_linenumber = m.l_linenumber AND m2.l_partkey = m.l_partkey
-          AND m2.l_orderkey <> m.l_orderkey) AS first_other
+WITH m AS (SELECT DISTINCT l_linenumber, l_partkey, l_orderkey FROM lineitem
+           WHERE l_linenumber IS NOT NULL AND l_partkey IS NOT NULL AND l_orderkey IS NOT NULL),
+s AS (SELECT l_linenumber, l_partkey, count(*) AS n_sharing, min(l_orderkey) AS first_index,
+             max(l_orderkey) AS last_index
+      FROM m GROUP BY ALL HAVING count(*) > 1)
+SELECT m.l_linenumber, m.l_partkey, m.l_orderkey, s.n_sharing, s.first_index, s.last_index
 FROM m JOIN s ON m.l_linenumber = s.l_linenumber AND m.l_partkey = s.l_partkey"""
 
 SQL["redundant_index"] = """

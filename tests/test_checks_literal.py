@@ -232,3 +232,20 @@ def test_findings_and_summary_end_to_end(spark):
     assert got == {("a", "O22"): (0, 1, "high"), ("b", "O22"): (1, 0, "high"),
                    ("a", "O13"): (1, 0, "high"), ("b", "O13"): (0, 1, "high")}
     assert f.filter("is_abnormal").count() == 2
+
+
+def test_version_gating_materialize_and_written_findings(spark, tmp_path):
+    e = "oracle"
+    ts = view(spark, e, "tablespaces", [
+        {"instance_id": "a", "tablespace_name": "USERS", "contents": "PERMANENT", "total_bytes": 100, "used_bytes": 95}])
+    st = view(spark, e, "tab_statistics", [{"instance_id": "a", "owner": "APP", "table_name": "T", "num_rows": 20000,
+                                            "stale_stats": "YES"}])
+    c11 = ctx(spark, e, {"tablespaces": ts, "tab_statistics": st}, version=11)
+    res, _ = base.run_checks(c11, e)
+    assert "O44" not in res and "O22" in res          # stale statistics is 12c+
+    c12 = ctx(spark, e, {"tablespaces": ts, "tab_statistics": st}, version=12)
+    c12.materialize()
+    res, _ = base.run_checks(c12, e)
+    assert res["O44"].count() == 1
+    f, s = fleet.fleet_summary(spark, {e: {"tablespaces": ts}}, fleet.as_of_ts(AS_OF), out_path=str(tmp_path / "f"))
+    assert {(r.check_id, r.n_abnormal) for r in s.collect()} == {("O22", 1)}

@@ -100,7 +100,8 @@ def test_redundant_and_duplicate_index_q8(spark):
     # (a) is a prefix of (a,b) but NOT of (ab,c); nothing on table u
     assert rows(red, "tbl", "idx", "width", "n_covering", "first_covering") == [("t", "i_a", 1, 1, "i_ab")]
     dup = relations.duplicate_index(ic, ["tbl"], "idx", "seq", "col")
-    assert rows(dup, "idx", "n_sharing", "first_other") == [("i_a", 2, "i_ab"), ("i_ab", 2, "i_a")]
+    assert rows(dup, "idx", "n_sharing", "first_index", "last_index") == [("i_a", 2, "i_a", "i_ab"),
+                                                                        ("i_ab", 2, "i_a", "i_ab")]
 
 
 def test_blocking_pairs_null_keys_and_two_holders(spark):
