@@ -438,7 +438,7 @@ FROM part JOIN (VALUES ('hot', '%hot%'), ('red_bolt', 'red bolt%'), ('gizmo', '%
 
 SQL["file_summary"] = """
 WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rk FROM documents)
-SELECT d.source, count(*) AS n_files, sum(n_chars) AS total_size, min(r.doc_id) AS largest_id
+SELECT d.source, count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS total_size, min(r.doc_id) AS largest_id
 FROM documents d JOIN r ON r.source = d.source AND r.rk = 1 GROUP BY d.source"""
 
 SQL["role_matrix"] = """
