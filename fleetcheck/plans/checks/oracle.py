@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import days_between, fround, pct, safe_div
+from ...functions import days_between, decode_date_bytes, fround, pct, safe_div
 from ...operators import capacity as cap
 from ...operators import perf, ranking, relations, shapes, text, time, verdict
 from .base import K, check
@@ -155,10 +155,38 @@ def o14(ctx):
     return ctx.cur("patches").select(*K, "action_ts", "action", "version", "patch_id", "comments")
 
 
+# 10g-only rules — a cursor parameter x 0.8 below the largest
+# per-session sum of its cursor statistics is red (value < 1.25 x that sum).
+CURSOR_RULES_10G = [
+    ("open_cursors", "lt", None, "_max_session_cursors", 1.25, "Open cursors may be too small."),
+    ("session_cached_cursors", "lt", None, "_max_session_cached", 1.25, "Session cached cursors may be too small."),
+]
+CURSOR_STATS = {"_max_session_cursors": ["opened cursors current", "session cursor cache count"],
+                "_max_session_cached": ["session cursor cache count"]}
+
+
+def _cursor_aggregates(ctx):
+    """Pseudo settings = max over sessions of the per-session sum (two groupBy
+    levels: per session, then per instance)."""
+    st = ctx.cur("sesstat")
+    frames = []
+    for name, stats in CURSOR_STATS.items():
+        per_sid = (st.filter(F.col("stat_name").isin(stats)).groupBy(*K, "inst_id", "sid")
+                     .agg(F.sum("value").alias("_s")))
+        frames.append(per_sid.groupBy(*K, "inst_id").agg(F.max("_s").cast("string").alias("value"))
+                             .withColumn("name", F.lit(name)))
+    return frames[0].unionByName(frames[1])
+
+
 @check("O15", E, "parameter_audit", ["settings"], key=("inst_id", "name"), priority="high")
 def o15(ctx):
     s = ctx.cur("settings").select(*K, "inst_id", "name", "value")
-    return verdict.config_audit(s, PARAMETER_RULES, keys=[*K, "inst_id"])
+    rules = list(PARAMETER_RULES)
+    version = ctx.params.get("version")
+    if "sesstat" in ctx.views and (version is None or version <= 10):
+        s = s.unionByName(_cursor_aggregates(ctx))
+        rules += CURSOR_RULES_10G
+    return verdict.config_audit(s, rules, keys=[*K, "inst_id"]).filter(~F.col("name").startswith("_max_session"))
 
 
 @check("O16", E, "resource_limit", ["resource_limit"], key=("inst_id", "resource_name"), metric="current_pct",
@@ -287,6 +315,9 @@ def o29(ctx):
 @check("O30", E, "partition_headroom", ["partitions"])
 def o30(ctx):
     p = ctx.cur("partitions").filter(F.col("interval").isNull() | (F.col("interval") == "NO"))
+    # base-table collections carry the bound as the 7-byte internal DATE
+    p = p.withColumn("high_value", F.coalesce(
+        F.date_format(decode_date_bytes("high_value_raw"), "yyyy-MM-dd HH:mm:ss"), F.col("high_value")))
     return cap.partition_headroom(p, [*K, "table_owner", "table_name"], "partition_position",
                                   ["partition_name", "high_value", "composite"])
 

@@ -51,7 +51,8 @@ VIEWS: dict[str, dict[str, str]] = {
         "segments": "owner string, segment_name string, segment_type string, tablespace_name string, "
                     "partition_name string, bytes bigint",
         "partitions": "table_owner string, table_name string, partition_name string, partition_position int, "
-                      "interval string, composite string, high_value string",
+                      "interval string, composite string, high_value string, high_value_raw binary",
+        "sesstat": f"inst_id int, sid bigint, stat_name string, value {D38}",
         "fk_columns": "owner string, table_name string, constraint_name string, column_name string, position int",
         "index_columns": "index_owner string, index_name string, table_owner string, table_name string, "
                          "column_name string, column_position int",

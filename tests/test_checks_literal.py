@@ -249,3 +249,25 @@ def test_version_gating_materialize_and_written_findings(spark, tmp_path):
     assert res["O44"].count() == 1
     f, s = fleet.fleet_summary(spark, {e: {"tablespaces": ts}}, fleet.as_of_ts(AS_OF), out_path=str(tmp_path / "f"))
     assert {(r.check_id, r.n_abnormal) for r in s.collect()} == {("O22", 1)}
+
+
+def test_oracle_10g_cursor_rules_and_partition_bound(spark):
+    e = "oracle"
+    settings = view(spark, e, "settings", [
+        {"instance_id": "a", "inst_id": 1, "name": "open_cursors", "value": "300"},
+        {"instance_id": "a", "inst_id": 1, "name": "session_cached_cursors", "value": "50"}])
+    sesstat = view(spark, e, "sesstat", [
+        {"instance_id": "a", "inst_id": 1, "sid": 1, "stat_name": "opened cursors current", "value": Decimal(200)},
+        {"instance_id": "a", "inst_id": 1, "sid": 1, "stat_name": "session cursor cache count", "value": Decimal(50)},
+        {"instance_id": "a", "inst_id": 1, "sid": 2, "stat_name": "session cursor cache count", "value": Decimal(30)}])
+    c = ctx(spark, e, {"settings": settings, "sesstat": sesstat}, version=10)
+    got = by(run(c, "O15"), "name", "is_abnormal")
+    # open_cursors: 300*0.8=240 < 250 -> red; session_cached_cursors: 50*0.8=40 < 50 -> red
+    assert got == {("open_cursors",): True, ("session_cached_cursors",): True}
+    c12 = ctx(spark, e, {"settings": settings, "sesstat": sesstat}, version=12)
+    assert run(c12, "O15").count() == 0   # 12c has no cursor rules
+    parts = view(spark, e, "partitions", [
+        {"instance_id": "a", "table_owner": "APP", "table_name": "T", "partition_name": f"P{i}",
+         "partition_position": i, "high_value_raw": bytearray([120, 124, i, 1, 1, 1, 1])} for i in (1, 2, 3)])
+    hv = run(ctx(spark, e, {"partitions": parts}), "O30").collect()
+    assert [(r.partition_name, r.high_value) for r in hv] == [("P2", "2024-02-01 00:00:00")]
