@@ -165,7 +165,7 @@ def split_host_port(c, default_port=None):
 def to_ts_from_int_parts(date_int, time_int) -> Column:
     """Integer yyyymmdd + hhmmss (agent job history) -> TIMESTAMP_NTZ."""
     s = F.concat(col(date_int).cast("string"), F.lpad(col(time_int).cast("string"), 6, "0"))
-    return F.to_timestamp_ntz(s, F.lit("yyyyMMddHHmmss"))
+    return F.try_to_timestamp(s, F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
 
 
 def exact_money(c, scale: int = 2) -> Column:

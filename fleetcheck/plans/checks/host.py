@@ -65,7 +65,7 @@ def h04(ctx):
     mem = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
     rows = s.filter(F.col("line").rlike(r"^\s*(Mem|Swap):")).select(
         *K, F.regexp_extract("line", r"^\s*(Mem|Swap):", 1).alias("kind"),
-        mem.getItem(1).try_cast("double").alias("total_kb"), mem.getItem(2).try_cast("double").alias("used_kb"))
+        F.get(mem, 1).try_cast("double").alias("total_kb"), F.get(mem, 2).try_cast("double").alias("used_kb"))
     g = rows.groupBy(*K).agg(
         F.max(F.when(F.col("kind") == "Mem", F.col("total_kb"))).alias("mem_total_kb"),
         F.max(F.when(F.col("kind") == "Mem", F.col("used_kb"))).alias("mem_used_kb"),
@@ -80,9 +80,9 @@ def h04(ctx):
 def _df_rows(ctx, section):
     s = sections(ctx).filter((F.col("section") == section) & ~F.col("line").startswith("Filesystem"))
     parts = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
-    return s.select(*K, "host", parts.getItem(0).alias("filesystem"), parts.getItem(1).alias("fstype"),
-                    F.regexp_replace(parts.getItem(5), "%", "").try_cast("double").alias("used_pct"),
-                    parts.getItem(6).alias("mount")).filter(F.col("mount").isNotNull())
+    return s.select(*K, "host", F.get(parts, 0).alias("filesystem"), F.get(parts, 1).alias("fstype"),
+                    F.regexp_replace(F.get(parts, 5), "%", "").try_cast("double").alias("used_pct"),
+                    F.get(parts, 6).alias("mount")).filter(F.col("mount").isNotNull())
 
 
 @check("H05", E, "disk_inode_usage", ["os_text"], key=("host", "kind", "mount"), metric="used_pct", threshold=90)
@@ -104,7 +104,7 @@ def h06(ctx):
 def h07(ctx):
     s = sections(ctx).filter(F.col("section") == "sysctl")
     kv = F.split(F.col("line"), r"\s*=\s*", 2)
-    return verdict.settings_select(s.select(*K, F.trim(kv.getItem(0)).alias("name"), F.trim(kv.getItem(1)).alias("value")),
+    return verdict.settings_select(s.select(*K, F.trim(F.get(kv, 0)).alias("name"), F.trim(F.get(kv, 1)).alias("value")),
                                    SYSCTL_KEYS)
 
 
@@ -159,7 +159,7 @@ def h13(ctx):
 def h14(ctx):
     s = sections(ctx).filter(F.col("section").isin("mysql_config", "pg_config", "mssql_conf"))
     kv = F.split(F.col("line"), r"\s*=\s*", 2)
-    return s.select(*K, "section", F.trim(kv.getItem(0)).alias("name"), F.trim(kv.getItem(1)).alias("value"))
+    return s.select(*K, "section", F.trim(F.get(kv, 0)).alias("name"), F.trim(F.get(kv, 1)).alias("value"))
 
 
 @check("H15", E, "access_rules_file", ["os_text"])

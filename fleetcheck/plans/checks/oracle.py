@@ -78,7 +78,7 @@ def o03(ctx):
     names = shapes.ordered_concat(inst, K, "instance_name", distinct=True, out="instances")
     ver = inst.groupBy(*K).agg(F.max("version").alias("version"), F.min("startup_ts").alias("startup_ts"))
     return (ver.join(hosts, K).join(names, K)
-               .withColumn("major_version", F.substring_index("version", ".", 1).cast("int")))
+               .withColumn("major_version", F.substring_index("version", ".", 1).try_cast("int")))
 
 
 @check("O04", E, "database_scalars", ["database", "pdbs"])
@@ -266,7 +266,7 @@ def o24(ctx):
 @check("O25", E, "tablespace_per_day", ["tablespace_usage_hist", "instance"], key=("day",), metric="used_pct",
        threshold=90)
 def o25(ctx):
-    h = ctx.cur("tablespace_usage_hist").withColumn("ts", F.to_timestamp("rtime", "MM/dd/yyyy HH:mm:ss"))
+    h = ctx.cur("tablespace_usage_hist").withColumn("ts", F.try_to_timestamp("rtime", F.lit("MM/dd/yyyy HH:mm:ss")))
     start = ctx.cur("instance").groupBy(*K).agg(F.max("startup_ts").alias("_start"))
     h = h.join(start, K).filter((F.col("ts") >= F.col("_start")) & (F.col("ts") >= _since(ctx, 30)))
     h = (h.withColumn("size_b", F.col("tablespace_size") * F.col("block_size"))

@@ -31,7 +31,7 @@ def p01(ctx):
         "timezone": "timezone", "server_encoding": "server_encoding", "max_connections": "max_connections",
         "current_connections": "current_connections", "db_count": "db_count", "total_size": "total_size_bytes"},
         cast="string")
-    start = F.to_timestamp("start_time")
+    start = F.try_to_timestamp("start_time")
     up = F.unix_timestamp(ctx.as_of) - F.unix_timestamp(start)
     return (f.withColumn("host", F.coalesce("host", "hostname", "listen_address"))
              .withColumn("uptime_days", F.floor(up / 86400)).withColumn("uptime_hours", F.floor(up % 86400 / 3600))
