@@ -58,26 +58,60 @@ def duplicate_index(index_cols: DataFrame, table: Sequence[str], index: str, pos
     return members.join(agg, slot)
 
 
+def blocked_prefix(rows: DataFrame, key: Sequence[str], order: str, value: Column | None, out: str,
+                   block: int = 1024) -> DataFrame:
+    """Inclusive running sum of ``value`` (a running count when None) along
+    ``order`` within ``key`` — without putting a whole key in one task.
+
+    ``order`` is a unique integer within a key. Rows are cut into blocks of
+    ``block`` consecutive order values; per-(key, block) totals come from a
+    partial aggregation, their exclusive prefix is a window over the block
+    summaries only (n/block rows per key), and the in-block running sum is a
+    window over at most ``block`` rows. A key holding a third of the data is
+    spread over its blocks.
+    """
+    key = list(key)
+    v = F.lit(1).cast("bigint") if value is None else value
+    r = rows.withColumn("_blk", F.floor(col(order) / block)).withColumn("_v", v)
+    tot = r.groupBy(*key, "_blk").agg(F.sum("_v").alias("_bt"))
+    wb = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    pre = tot.withColumn("_bp", F.coalesce(F.sum("_bt").over(wb), F.lit(0).cast(tot.schema["_bt"].dataType))) \
+             .drop("_bt")
+    wi = Window.partitionBy(*key, "_blk").orderBy(col(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return (r.join(pre, [*key, "_blk"])
+             .withColumn(out, F.col("_bp") + F.sum("_v").over(wi))
+             .drop("_blk", "_v", "_bp"))
+
+
 def index_fingerprints(index_cols: DataFrame, table: Sequence[str], index: str, position: str,
-                       column: str) -> DataFrame:
+                       column: str, block: int | None = None) -> DataFrame:
     """Per index position k: fingerprint of columns 1..k and the index width.
 
-    Fingerprint = running DECIMAL sum of xxhash64(k, column): order-sensitive,
-    exact (no wraparound) and
-    computed by a streaming window frame over one index's columns (bounded by
-    the DBMS limit on key columns).
+    k = rank of the position within the index; fingerprint = running DECIMAL
+    sum of xxhash64(k, column): order-sensitive and exact (no wraparound).
+    ``block=None``: one streaming window per index — right when a list is
+    bounded (catalog indexes: the DBMS limits key columns to a few dozen).
+    ``block=n``: both running sums use ``blocked_prefix``, so a list of any
+    length (a hot key) is split across tasks; positions must then be unique
+    integers within an index.
     """
     key = list(table) + [index]
-    w = Window.partitionBy(*key).orderBy(col(position))
-    return (index_cols
-            .withColumn("_k", F.row_number().over(w))
-            .withColumn("_h", F.xxhash64(F.col("_k"), col(column)).cast("decimal(38,0)"))
-            .withColumn("_fp", F.sum("_h").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-            .withColumn("_width", F.count("*").over(Window.partitionBy(*key))))
+    if block is None:
+        w = Window.partitionBy(*key).orderBy(col(position))
+        return (index_cols
+                .withColumn("_k", F.row_number().over(w))
+                .withColumn("_h", F.xxhash64(F.col("_k"), col(column)).cast("decimal(38,0)"))
+                .withColumn("_fp", F.sum("_h").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+                .withColumn("_width", F.count("*").over(Window.partitionBy(*key))))
+    ranked = blocked_prefix(index_cols, key, position, None, "_k", block)
+    hashed = ranked.withColumn("_h", F.xxhash64(F.col("_k").cast("int"), col(column)).cast("decimal(38,0)"))
+    fp = blocked_prefix(hashed, key, position, F.col("_h"), "_fp", block)
+    width = index_cols.groupBy(*key).agg(F.count("*").alias("_width"))
+    return fp.join(width, key)
 
 
 def redundant_index(index_cols: DataFrame, table: Sequence[str], index: str, position: str,
-                    column: str) -> DataFrame:
+                    column: str, block: int | None = None) -> DataFrame:
     """Indexes whose column list is a strict prefix of another index's list.
 
     One row per redundant index A: ``width``, ``n_covering`` = indexes B of
@@ -86,10 +120,11 @@ def redundant_index(index_cols: DataFrame, table: Sequence[str], index: str, pos
     (``(a)`` is not a prefix of ``(ab,c)``). B's prefixes are keyed by
     (table, k, fingerprint) and counted *before* the join, so each A meets
     exactly one aggregated row whatever the skew. The fingerprint is a sum of
-    64-bit position-salted hashes (false match odds ~ m^2 / 2^64).
+    64-bit position-salted hashes (false match odds ~ m^2 / 2^64). ``block``:
+    see ``index_fingerprints`` (set it when column lists are unbounded).
     """
     table = list(table)
-    fp = index_fingerprints(index_cols, table, index, position, column)
+    fp = index_fingerprints(index_cols, table, index, position, column, block)
     full = (fp.filter(F.col("_k") == F.col("_width"))
             .select(*table, index, F.col("_width").alias("width"), F.col("_fp").alias("fp")))
     cov = (fp.filter(F.col("_k") < F.col("_width"))

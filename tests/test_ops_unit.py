@@ -311,3 +311,21 @@ def test_name_ioc_and_topn(spark):
     assert rows(top, "rn", "k") == [(1, 1), (2, 2)]
     last = ranking.latest_per_key(df, ["inst"], ["v", "k"], ["k"])
     assert rows(last, "inst", "k") == [("i", 2)]
+
+
+def test_blocked_prefix_matches_window_on_skewed_key(spark):
+    from pyspark.sql import Window
+    import random
+    rnd = random.Random(7)
+    data = [("hot", p, rnd.randint(-5, 9)) for p in rnd.sample(range(1000), 300)] + \
+           [(f"k{i}", p, rnd.randint(0, 3)) for i in range(20) for p in rnd.sample(range(50), 5)]
+    df = spark.createDataFrame(data, "k string, pos int, v long")
+    got = relations.blocked_prefix(df, ["k"], "pos", F.col("v"), "run", block=3)
+    cnt = relations.blocked_prefix(df, ["k"], "pos", None, "rank", block=7)
+    w = Window.partitionBy("k").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.withColumn("run", F.sum("v").over(w)).withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("pos")))
+    assert rows(got, "k", "pos", "run") == rows(want, "k", "pos", "run")
+    assert rows(cnt, "k", "pos", "rank") == rows(want, "k", "pos", "rank")
+    fp_small = relations.index_fingerprints(df.withColumn("c", F.col("v").cast("string")), [], "k", "pos", "c", block=4)
+    fp_big = relations.index_fingerprints(df.withColumn("c", F.col("v").cast("string")), [], "k", "pos", "c")
+    assert rows(fp_small, "k", "pos", "_k", "_fp", "_width") == rows(fp_big, "k", "pos", "_k", "_fp", "_width")
