@@ -271,3 +271,88 @@ def test_oracle_10g_cursor_rules_and_partition_bound(spark):
          "partition_position": i, "high_value_raw": bytearray([120, 124, i, 1, 1, 1, 1])} for i in (1, 2, 3)])
     hv = run(ctx(spark, e, {"partitions": parts}), "O30").collect()
     assert [(r.partition_name, r.high_value) for r in hv] == [("P2", "2024-02-01 00:00:00")]
+
+
+def test_more_oracle_verdicts(spark):
+    e = "oracle"
+    hist = []
+    for d, used in [(27, 50), (28, 60), (29, 95)]:
+        for hh, extra in [(8, 0), (20, 1)]:  # last snapshot of each day wins
+            hist.append({"instance_id": "a", "tablespace_id": 1, "snap_id": d * 10 + hh, "block_size": 1,
+                         "rtime": f"01/{d}/2024 {hh:02d}:00:00", "tablespace_size": 100,
+                         "tablespace_usedsize": used + extra})
+    inst = view(spark, e, "instance", [{"instance_id": "a", "startup_ts": dt.datetime(2024, 1, 1)}])
+    jl = [{"instance_id": "a", "owner": "APP", "job_name": "J", "log_id": i, "status": s,
+           "log_ts": dt.datetime(2024, 1, 30 - i)} for i, s in enumerate(["FAILED", "SUCCEEDED", "FAILED", "STOPPED",
+                                                                         "FAILED", "FAILED"])]
+    arch = [{"instance_id": "a", "thread": 1, "sequence": s, "applied": "YES" if s <= 10 else "NO"} for s in range(5, 17)]
+    c = ctx(spark, e, {"tablespace_usage_hist": view(spark, e, "tablespace_usage_hist", hist), "instance": inst,
+                       "job_log": view(spark, e, "job_log", jl), "archived_log": view(spark, e, "archived_log", arch)})
+    g = {r.day: (r.total, r.growth, r.used_pct, r.is_abnormal) for r in run(c, "O25").collect()}
+    assert g["2024-01-29"] == (96, 35, 96.0, True) and g["2024-01-28"] == (61, 10, 61.0, False)
+    assert g["2024-01-27"][1] is None
+    fails = sorted(r.log_id for r in run(c, "O49").collect())
+    assert fails == [0, 2, 3]  # non-success within 7 days, newest three per job
+    gap = run(c, "O55").collect()[0]
+    assert (gap.applied, gap.current, gap.gap, gap.is_abnormal) == (10, 16, 6, True)
+
+
+def test_oracle_top_sql(spark):
+    e = "oracle"
+    snaps = [{"instance_id": "a", "instance_number": 1, "snap_id": s, "begin_ts": dt.datetime(2024, 1, 30, s),
+              "end_ts": dt.datetime(2024, 1, 30, s + 1), "startup_ts": dt.datetime(2024, 1, 1)} for s in (1, 2, 3)]
+    sq = [{"instance_id": "a", "instance_number": 1, "snap_id": s, "sql_id": q, "elapsed_delta": el,
+           "cpu_delta": el // 2, "iowait_delta": el // 4, "exec_delta": ex}
+          for s, q, el, ex in [(1, "q0", 10**9, 1), (3, "slow", 130 * 10**6, 2), (3, "fast", 10**6, 100)]]
+    tm = [{"instance_id": "a", "instance_number": 1, "snap_id": s, "stat_name": "DB time", "value": Decimal(v)}
+          for s, v in [(1, 0), (2, 0), (3, 10**9)]]
+    c = ctx(spark, e, {"snapshots": view(spark, e, "snapshots", snaps), "sqlstat": view(spark, e, "sqlstat", sq),
+                       "time_model": view(spark, e, "time_model", tm)})
+    got = {r.sql_id: (r.per_exec_s, r.pct_total, r.pct_cpu, r.is_abnormal) for r in run(c, "O70").collect()}
+    # snap 1 is outside (begin, end] of the newest pair (2, 3)
+    assert got == {"slow": (65.0, 13.0, 50.0, True), "fast": (0.01, 0.1, 50.0, False)}
+
+
+def test_mysql_trx_and_password(spark):
+    e = "mysql"
+    trx = view(spark, e, "innodb_trx", [
+        {"instance_id": "m", "trx_id": "t1", "trx_started": dt.datetime(2024, 1, 30, 23, 50), "trx_mysql_thread_id": 5},
+        {"instance_id": "m", "trx_id": "t2", "trx_started": dt.datetime(2024, 1, 30, 23, 58), "trx_mysql_thread_id": 6}])
+    pl = view(spark, e, "processlist", [{"instance_id": "m", "id": 5, "user": "app", "host": "h:1", "db": "d"}])
+    users = view(spark, e, "users", [
+        {"instance_id": "m", "user": "old", "host": "%", "password_last_changed": dt.datetime(2023, 1, 1),
+         "account_locked": "N"},
+        {"instance_id": "m", "user": "new", "host": "%", "password_last_changed": dt.datetime(2024, 1, 1),
+         "account_locked": "N"},
+        {"instance_id": "m", "user": "never", "host": "%", "account_locked": "N"}])
+    var = view(spark, e, "variables", [{"instance_id": "m", "name": "default_password_lifetime", "value": "90"}])
+    c = ctx(spark, e, {"innodb_trx": trx, "processlist": pl, "users": users, "variables": var})
+    t = {r.trx_id: (r.elapsed_s, r.user, r.is_abnormal) for r in run(c, "M14").collect()}
+    assert t == {"t1": (600, "app", True), "t2": (120, None, False)}
+    p = by(run(c, "M37"), "user", "is_abnormal")
+    assert p == {("old",): True, ("new",): False, ("never",): True}
+
+
+def test_postgres_roles_and_sqlserver_jobs(spark):
+    roles = view(spark, "postgres", "roles", [
+        {"instance_id": "p", "rolname": "postgres", "rolsuper": True, "rolcanlogin": True},
+        {"instance_id": "p", "rolname": "etl", "rolsuper": True, "rolcanlogin": True},
+        {"instance_id": "p", "rolname": "app", "rolsuper": False, "rolcanlogin": True,
+         "rolvaliduntil": dt.datetime(2024, 1, 1)}])
+    r = {x.rolname: (x.superuser, x.is_abnormal) for x in run(ctx(spark, "postgres", {"roles": roles}), "P21").collect()}
+    assert r == {"postgres": ("YES", False), "etl": ("YES", True), "app": ("no", True)}
+    e = "sqlserver"
+    jobs = view(spark, e, "jobs", [{"instance_id": "s", "job_id": "j1", "name": "backup"},
+                                   {"instance_id": "s", "job_id": "j2", "name": "never ran"}])
+    hist = view(spark, e, "job_history", [
+        {"instance_id": "s", "job_id": "j1", "step_id": 0, "run_status": 1, "run_date": 20240128, "run_time": 10000},
+        {"instance_id": "s", "job_id": "j1", "step_id": 0, "run_status": 0, "run_date": 20240130, "run_time": 93000},
+        {"instance_id": "s", "job_id": "j1", "step_id": 1, "run_status": 1, "run_date": 20240131, "run_time": 0}])
+    req = view(spark, e, "requests", [
+        {"instance_id": "s", "session_id": 60, "blocking_session_id": 0, "sql_text": "update x", "status": "running"},
+        {"instance_id": "s", "session_id": 61, "blocking_session_id": 60, "wait_time_ms": 5000, "sql_text": "select x"}])
+    c = ctx(spark, e, {"jobs": jobs, "job_history": hist, "requests": req})
+    j = {x.name: (str(x.run_ts), x.last_status, x.is_abnormal) for x in run(c, "S05").collect()}
+    assert j == {"backup": ("2024-01-30 09:30:00", "Failed", True), "never ran": ("None", "N/A", False)}
+    b = run(c, "S17").collect()
+    assert [(x.session_id, x.blocker_sql_text, x.blocker_status) for x in b] == [(61, "update x", "running")]
