@@ -6,34 +6,43 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ...operators import findings as fnd
-from ...operators import text
+from ...operators import shapes, text
 from .base import K, REGISTRY, check
 
 E = "report"
 
-# Priority and advice per check (the others default to medium).
-PRIORITY_MAP = [
-    ("O13", "high", "Recompile or repair invalid components."),
-    ("O15", "high", "Review parameters against the recommendations."),
-    ("O16", "high", "Raise the resource limit before it is exhausted."),
-    ("O22", "high", "Add space to tablespaces above 90%."),
-    ("O33", "high", "Investigate ransomware objects immediately."),
-    ("O39", "high", "Change default passwords."),
-    ("O41", "high", "Revoke DBA from application users."),
-    ("O57", "high", "Fix failed backups."),
-    ("O67", "medium", "Tune the instance efficiency ratios below 90%."),
-    ("O19", "low", "Resize redo logs if switches are frequent."),
-    ("M02", "high", "Raise max_connections or pool connections."),
-    ("M09", "high", "Set passwords on accounts without one."),
-    ("M12", "high", "Set durability parameters to 1."),
-    ("P15", "high", "Resolve blocking sessions."),
-    ("P21", "high", "Remove unexpected superusers."),
-    ("P22", "high", "Replace trust authentication."),
-    ("S10", "high", "Take full backups of every database."),
-    ("S11", "high", "Harden the security settings."),
-]
-# Report depth per tier (our assignment; weekly < monthly < quarterly).
+# Priority per issue kind (the reference's 18 keyed levels),
+# attached to the checks that report that issue; all other checks: medium.
+ISSUE_PRIORITY = {
+    "alert log errors": ("high", ["O59", "H10"]),
+    "tablespace usage": ("high", ["O22", "O23"]),
+    "lock waits": ("high", ["M27", "P15", "S17"]),
+    "long transactions": ("high", ["M14"]),
+    "standby apply": ("high", ["O55", "O56"]),
+    "default passwords": ("high", ["O39"]),
+    "invalid objects": ("medium", ["O21"]),
+    "foreign keys without index": ("medium", ["O31", "M39"]),
+    "stale statistics": ("medium", ["O44"]),
+    "password expiry": ("medium", ["O40"]),
+    "temporary space": ("medium", ["S15"]),
+    "session count": ("medium", ["O16", "O73"]),
+    "redo switches": ("low", ["O19"]),
+    "unused indexes": ("low", ["P14", "P23"]),
+    "ransomware objects": ("high", ["O33"]),
+    "sequence near maximum": ("low", ["O26"]),
+    "duplicate indexes": ("low", ["M08"]),
+    "table fragmentation": ("low", ["M22"]),
+}
+PRIORITY_MAP = [(cid, prio, f"Resolve {issue}.") for issue, (prio, ids) in ISSUE_PRIORITY.items() for cid in ids]
+# Report depth per tier (our assignment): weekly = core health (default),
+# monthly adds performance history and trends, quarterly adds schema hygiene.
 TIERS = ("weekly", "monthly", "quarterly")
+TIER_OF = {
+    **{c: "monthly" for c in ["O20", "O25", "O63", "O64", "O65", "O66", "O67", "O68", "O69", "O70", "O71", "O72",
+                              "O73", "O74", "O75", "O76", "M19", "M23", "M24", "P13", "S08", "S09", "S18", "S19"]},
+    **{c: "quarterly" for c in ["O28", "O29", "O30", "O31", "O32", "O34", "O35", "O36", "O43", "O44", "M08", "M15",
+                                "M16", "M17", "M22", "M25", "M38", "M39", "P04", "P14", "P23", "S16", "S20", "S21"]},
+}
 
 
 def priorities(spark):
@@ -46,6 +55,17 @@ def health_summary_of(findings, spark):
     return fnd.health_summary(findings, priorities(spark), by=["instance_id", "check_id"])
 
 
+def priority_rollup(summary):
+    """R01 advice grouped by priority: per instance and level, the number of
+    abnormal checks and their ids in order. The list is bounded by the size of
+    the check registry, so the string aggregate is safe on a hot instance."""
+    ab = summary.filter(F.col("status") == "abnormal")
+    counts = ab.groupBy("instance_id", "priority").agg(F.count("*").alias("n_abnormal_checks"))
+    ids = shapes.ordered_concat(ab, ["instance_id", "priority"], "check_id", distinct=True, out="check_ids")
+    level = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
+    return counts.join(ids, ["instance_id", "priority"]).withColumn("level", level)
+
+
 @check("R02", E, "priority_map", [])
 def r02(ctx):
     reg = ctx.spark.createDataFrame([(c.check_id, c.engine, c.name, c.tier) for c in REGISTRY.values()],

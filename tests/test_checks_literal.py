@@ -230,7 +230,7 @@ def test_findings_and_summary_end_to_end(spark):
     f, summary = fleet.fleet_summary(spark, {e: {"tablespaces": ts, "registry": reg}}, fleet.as_of_ts(AS_OF))
     got = {(r["instance_id"], r["check_id"]): (r["n_normal"], r["n_abnormal"], r["priority"]) for r in summary.collect()}
     assert got == {("a", "O22"): (0, 1, "high"), ("b", "O22"): (1, 0, "high"),
-                   ("a", "O13"): (1, 0, "high"), ("b", "O13"): (0, 1, "high")}
+                   ("a", "O13"): (1, 0, "medium"), ("b", "O13"): (0, 1, "medium")}
     assert f.filter("is_abnormal").count() == 2
 
 
@@ -356,3 +356,19 @@ def test_postgres_roles_and_sqlserver_jobs(spark):
     assert j == {"backup": ("2024-01-30 09:30:00", "Failed", True), "never ran": ("None", "N/A", False)}
     b = run(c, "S17").collect()
     assert [(x.session_id, x.blocker_sql_text, x.blocker_status) for x in b] == [(61, "update x", "running")]
+
+
+def test_tiers_priorities_and_rollup(spark):
+    from fleetcheck.plans.checks import report
+    assert base.REGISTRY["O70"].tier == "monthly" and base.REGISTRY["M17"].tier == "quarterly"
+    weekly = {c.check_id for c in base.checks_for("oracle", "weekly")}
+    assert "O22" in weekly and "O70" not in weekly
+    assert len(base.checks_for(None, "quarterly")) == len(base.REGISTRY)
+    pr = dict((c, p) for c, p, _ in report.PRIORITY_MAP)
+    assert pr["O33"] == "high" and pr["O19"] == "low" and pr["O21"] == "medium"
+    assert base.REGISTRY["O33"].priority == "high" and base.REGISTRY["O13"].priority == "medium"
+    f = spark.createDataFrame([("a", "O22", True), ("a", "O19", True), ("a", "O21", True), ("a", "O33", False),
+                               ("b", "O22", False)], "instance_id string, check_id string, is_abnormal boolean")
+    r = report.priority_rollup(report.health_summary_of(f, spark))
+    got = {(x.instance_id, x.priority): (x.n_abnormal_checks, x.check_ids) for x in r.collect()}
+    assert got == {("a", "high"): (1, "O22"), ("a", "low"): (1, "O19"), ("a", "medium"): (1, "O21")}
