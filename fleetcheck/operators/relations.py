@@ -59,7 +59,7 @@ def duplicate_index(index_cols: DataFrame, table: Sequence[str], index: str, pos
 
 
 def blocked_prefix(rows: DataFrame, key: Sequence[str], order: str, value: Column | None, out: str,
-                   block: int = 1024) -> DataFrame:
+                   block: int = 1024, total: str | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` (a running count when None) along
     ``order`` within ``key`` — without putting a whole key in one task.
 
@@ -68,19 +68,24 @@ def blocked_prefix(rows: DataFrame, key: Sequence[str], order: str, value: Colum
     partial aggregation, their exclusive prefix is a window over the block
     summaries only (n/block rows per key), and the in-block running sum is a
     window over at most ``block`` rows. A key holding a third of the data is
-    spread over its blocks.
+    spread over its blocks. ``total``: also attach the key's grand total
+    (from the same block-summary window, no extra join).
     """
     key = list(key)
     v = F.lit(1).cast("bigint") if value is None else value
-    r = rows.withColumn("_blk", F.floor(col(order) / block)).withColumn("_v", v)
+    keep = "_blk" in rows.columns  # chained scans reuse the block column (and its partitioning)
+    r = (rows if keep else rows.withColumn("_blk", F.floor(col(order) / block))).withColumn("_v", v)
     tot = r.groupBy(*key, "_blk").agg(F.sum("_v").alias("_bt"))
     wb = Window.partitionBy(*key).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    pre = tot.withColumn("_bp", F.coalesce(F.sum("_bt").over(wb), F.lit(0).cast(tot.schema["_bt"].dataType))) \
-             .drop("_bt")
+    pre = tot.withColumn("_bp", F.coalesce(F.sum("_bt").over(wb), F.lit(0).cast(tot.schema["_bt"].dataType)))
+    if total:
+        pre = pre.withColumn(total, F.sum("_bt").over(Window.partitionBy(*key)))
+    pre = pre.drop("_bt")
     wi = Window.partitionBy(*key, "_blk").orderBy(col(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return (r.join(pre, [*key, "_blk"])
-             .withColumn(out, F.col("_bp") + F.sum("_v").over(wi))
-             .drop("_blk", "_v", "_bp"))
+    out_df = (r.join(pre, [*key, "_blk"])
+               .withColumn(out, F.col("_bp") + F.sum("_v").over(wi))
+               .drop("_v", "_bp"))
+    return out_df if keep else out_df.drop("_blk")
 
 
 def index_fingerprints(index_cols: DataFrame, table: Sequence[str], index: str, position: str,
@@ -103,11 +108,10 @@ def index_fingerprints(index_cols: DataFrame, table: Sequence[str], index: str,
                 .withColumn("_h", F.xxhash64(F.col("_k"), col(column)).cast("decimal(38,0)"))
                 .withColumn("_fp", F.sum("_h").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
                 .withColumn("_width", F.count("*").over(Window.partitionBy(*key))))
-    ranked = blocked_prefix(index_cols, key, position, None, "_k", block)
+    blk = index_cols.withColumn("_blk", F.floor(col(position) / block))
+    ranked = blocked_prefix(blk, key, position, None, "_k", block, total="_width")
     hashed = ranked.withColumn("_h", F.xxhash64(F.col("_k").cast("int"), col(column)).cast("decimal(38,0)"))
-    fp = blocked_prefix(hashed, key, position, F.col("_h"), "_fp", block)
-    width = index_cols.groupBy(*key).agg(F.count("*").alias("_width"))
-    return fp.join(width, key)
+    return blocked_prefix(hashed, key, position, F.col("_h"), "_fp", block).drop("_blk")
 
 
 def redundant_index(index_cols: DataFrame, table: Sequence[str], index: str, position: str,
