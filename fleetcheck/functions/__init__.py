@@ -60,8 +60,10 @@ def flag(cond: Column) -> Column:
 
 
 def seconds_between(start, end) -> Column:
-    """Whole seconds from start to end (timestamps), as BIGINT."""
-    return F.unix_timestamp(col(end).cast("timestamp")) - F.unix_timestamp(col(start).cast("timestamp"))
+    """Whole seconds from start to end, as BIGINT (``timestampdiff``): exact for
+    TIMESTAMP_NTZ whatever the session time zone (no DST shift), real elapsed
+    time for TIMESTAMP."""
+    return F.timestamp_diff("SECOND", col(start), col(end))
 
 
 def days_between(start, end) -> Column:

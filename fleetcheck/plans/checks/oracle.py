@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import days_between, decode_date_bytes, fround, pct, safe_div
+from ...functions import days_between, decode_date_bytes, fround, pct, safe_div, seconds_between
 from ...operators import capacity as cap
 from ...operators import perf, ranking, relations, shapes, text, time, verdict
 from .base import K, check
@@ -587,7 +587,7 @@ def _pair_seconds(ctx):
     b = sn.withColumnRenamed("snap_id", "begin_snap").withColumnRenamed("end_ts", "_b")
     e = sn.withColumnRenamed("snap_id", "end_snap").withColumnRenamed("end_ts", "_e")
     return (p.join(b, [*K, "instance_number", "begin_snap"]).join(e, [*K, "instance_number", "end_snap"])
-             .select(*K, "instance_number", (F.unix_timestamp("_e") - F.unix_timestamp("_b")).alias("elapsed_s")))
+             .select(*K, "instance_number", seconds_between("_b", "_e").alias("elapsed_s")))
 
 
 @check("O65", E, "snapshot_info", ["snapshots", "time_model", "osstat"], metric="db_time_pct", threshold=80)
@@ -723,7 +723,7 @@ def o74(ctx):
 def o75(ctx):
     s = ctx.cur("sysstat").filter(F.col("stat_name").isin("user commits", "redo size"))
     sn = ctx.cur("snapshots").select(*K, "instance_number", "snap_id",
-                                     (F.unix_timestamp("end_ts") - F.unix_timestamp("begin_ts")).alias("interval_s"))
+                                     seconds_between("begin_ts", "end_ts").alias("interval_s"))
     s = s.join(sn, [*K, "instance_number", "snap_id"])
     return perf.counter_trend(s, [*K, "instance_number"], ["stat_name"], "snap_id", "value",
                               F.col("interval_s").cast("double"), 2)

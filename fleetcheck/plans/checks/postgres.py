@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import days_between, format_bytes, fround, lsn_to_number, pct, safe_div
+from ...functions import days_between, format_bytes, fround, lsn_to_number, pct, safe_div, seconds_between
 from ...operators import capacity as cap
 from ...operators import perf, ranking, relations, shapes, time, verdict
 from .base import K, check
@@ -32,7 +32,7 @@ def p01(ctx):
         "current_connections": "current_connections", "db_count": "db_count", "total_size": "total_size_bytes"},
         cast="string")
     start = F.try_to_timestamp("start_time")
-    up = F.unix_timestamp(ctx.as_of) - F.unix_timestamp(start)
+    up = seconds_between(start, ctx.as_of)
     return (f.withColumn("host", F.coalesce("host", "hostname", "listen_address"))
              .withColumn("uptime_days", F.floor(up / 86400)).withColumn("uptime_hours", F.floor(up % 86400 / 3600))
              .withColumn("uptime_minutes", F.floor(up % 3600 / 60))
