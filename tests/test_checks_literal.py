@@ -372,3 +372,21 @@ def test_tiers_priorities_and_rollup(spark):
     r = report.priority_rollup(report.health_summary_of(f, spark))
     got = {(x.instance_id, x.priority): (x.n_abnormal_checks, x.check_ids) for x in r.collect()}
     assert got == {("a", "high"): (1, "O22"), ("a", "low"): (1, "O19"), ("a", "medium"): (1, "O21")}
+
+
+def test_snapshot_store_roundtrip_with_partition_pruning(spark, tmp_path):
+    from fleetcheck.sources import write_snapshots
+    e = "oracle"
+    root = str(tmp_path / "store")
+    old = view(spark, e, "tablespaces", [{"instance_id": "a", "tablespace_name": "USERS", "contents": "PERMANENT",
+                                          "total_bytes": 100, "used_bytes": 99, "_ts": dt.datetime(2023, 12, 1)}])
+    new = view(spark, e, "tablespaces", [{"instance_id": "a", "tablespace_name": "USERS", "contents": "PERMANENT",
+                                          "total_bytes": 100, "used_bytes": 10}])
+    write_snapshots(old, f"{root}/{e}", "tablespaces")
+    write_snapshots(new, f"{root}/{e}", "tablespaces")
+    views = fleet.load_views(spark, root, e, since="2024-01-01")
+    assert set(views) == {"tablespaces"}          # views never collected are skipped
+    plan = views["tablespaces"]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(snapshot_date" in plan and "2024-01-01" in plan
+    f, s = fleet.fleet_summary(spark, {e: views}, fleet.as_of_ts(AS_OF))
+    assert [(r.check_id, r.n_normal, r.n_abnormal) for r in s.collect()] == [("O22", 1, 0)]
