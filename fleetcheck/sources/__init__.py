@@ -55,13 +55,19 @@ def write_snapshots(df: DataFrame, root: str, view: str, mode: str = "append") -
        .write.mode(mode).partitionBy("snapshot_date").parquet(f"{root}/{view}"))
 
 
-def read_text_files(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+def read_text_files(spark: SparkSession, path: str, whole: bool = True, recursive: bool = True,
+                    glob: str | None = None) -> DataFrame:
     """Text files -> (path, text) with whole files (OS dumps, report HTML), or
-    (path, line) per line for big logs (splittable)."""
+    (path, line) per line for big logs (splittable). Collector bundles are
+    unpacked upstream; ``recursive`` walks the unpacked tree, ``glob`` keeps
+    e.g. ``*.html`` only."""
+    r = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        r = r.option("pathGlobFilter", glob)
     if whole:
-        return (spark.read.option("wholetext", "true").text(path)
-                .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
-    return spark.read.text(path).select(F.input_file_name().alias("path"), F.col("value").alias("line"))
+        return (r.option("wholetext", "true").text(path)
+                .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    return r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
 # Log timestamp shapes (ISO, and 'Mon dd hh:mm:ss yyyy' with

@@ -9,6 +9,10 @@
   statistic) is the last (snap, startup, value); a restart (new startup) or a
   counter reset yields NULL instead of a negative delta, matching
   ``operators.perf.snapshot_delta``.
+* ``log_class_counts`` — error/alert log lines as they arrive: leading
+  timestamp parsed, lines classified by the guarded regex classes, counted
+  per (source, class, hour) with a watermark (the incremental form of the
+  log_severity / log_fingerprint totals).
 * ``append_snapshots`` — a ``foreachBatch`` sink appending each micro-batch
   to the date-partitioned snapshot store (idempotent per batch id).
 
@@ -51,6 +55,28 @@ def hour_counts(events: DataFrame, ts: str, part: Sequence[str], delay: str = "1
                           F.hour("w.start").alias("hour"), "n"))
 
 
+def read_log_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """New log files under ``path`` as (source, line) rows."""
+    r = spark.readStream.format("text")
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.load(path).select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("line"))
+
+
+def log_class_counts(lines: DataFrame, classes, delay: str = "1 hour", line: str = "line",
+                     part=("source",)) -> DataFrame:
+    """Per (part, class, hour window) line counts of classified log lines."""
+    from ..functions import first_match
+    from ..sources import parse_log_lines
+    df = (parse_log_lines(lines, line).withColumn("ts", F.col("ts").cast("timestamp"))
+          .withColumn("severity", first_match(line, classes)).filter(F.col("severity").isNotNull()
+                                                                   & F.col("ts").isNotNull()))
+    return (df.withWatermark("ts", delay)
+              .groupBy(*part, "severity", F.window("ts", "1 hour").alias("w"))
+              .agg(F.count("*").alias("n"))
+              .select(*part, "severity", F.col("w.start").alias("hour_start"), "n"))
+
+
 DELTA_SCHEMA = "snap long, startup long, value long, delta long"
 STATE_SCHEMA = "snap long, startup long, value long"
 

@@ -73,3 +73,27 @@ def test_append_snapshots_foreach_batch(spark, tmp_path):
     assert back.count() == ev.count()
     assert "snapshot_date" in back.columns
     assert checkpoint_path(spark, "x").endswith("/streams/x")
+
+
+def test_log_class_counts_stream(spark, tmp_path):
+    from fleetcheck.streaming import log_class_counts, read_log_stream
+    d = tmp_path / "logs"
+    d.mkdir()
+    (d / "a.log").write_text("2024-01-30T10:00:01 [ERROR] x\n2024-01-30T10:05:00 [Warning] y\n"
+                             "2024-01-30T10:59:59 [ERROR] z\nno timestamp [ERROR]\n")
+    (d / "b.log").write_text("2024-01-30T12:00:00 [ERROR] late hour closes the 10:00 window\n")
+    classes = [("error", r"\[ERROR\]", "[ERROR]"), ("warning", r"\[Warning\]", "[Warning]")]
+    src = read_log_stream(spark, str(d), max_files_per_trigger=1)
+    _run_to_memory(log_class_counts(src, classes, delay="0 seconds", part=()), "log_counts_t")
+    got = {(r.severity, str(r.hour_start)): r.n for r in spark.table("log_counts_t").collect()}
+    assert got == {("error", "2024-01-30 10:00:00"): 2, ("warning", "2024-01-30 10:00:00"): 1}
+
+
+def test_read_text_files_recursive(spark, tmp_path):
+    from fleetcheck.sources import read_text_files
+    (tmp_path / "bundle" / "host1").mkdir(parents=True)
+    (tmp_path / "bundle" / "host1" / "report.html").write_text("<span id=\"v\">1</span>")
+    (tmp_path / "bundle" / "host1" / "os.txt").write_text("kernel\n5.14\n")
+    df = read_text_files(spark, str(tmp_path / "bundle"), glob="*.html")
+    rows = df.collect()
+    assert len(rows) == 1 and rows[0].path.endswith("host1/report.html") and "span" in rows[0].text
