@@ -41,7 +41,7 @@ def backup_freshness(entities: DataFrame, history: DataFrame, key: str, ts: str,
 
 
 def duplicate_index(index_cols: DataFrame, table: Sequence[str], index: str, position: str,
-                    column: str) -> DataFrame:
+                    column: str, mode: str = "shared_position") -> DataFrame:
     """Indexes sharing a (position, column) with another index of the same table.
 
     One row per (table, position, column, index) in a shared slot with
@@ -49,7 +49,20 @@ def duplicate_index(index_cols: DataFrame, table: Sequence[str], index: str, pos
     ``last_index`` (so every index sees its partners' range). One partial
     aggregation per slot joined back to the members: linear, whereas the pair
     list is quadratic in a hot slot.
+
+    ``mode="exact_list"`` is the stricter reading: indexes whose whole column
+    lists are identical (same fingerprint and width), one row per index with
+    the size and range of its identical group.
     """
+    if mode == "exact_list":
+        fp = index_fingerprints(index_cols, table, index, position, column)
+        full = fp.filter(F.col("_k") == F.col("_width")).select(*table, index, F.col("_width").alias("width"),
+                                                                F.col("_fp").alias("_list"))
+        grp = list(table) + ["width", "_list"]
+        agg = (full.groupBy(*grp).agg(F.count("*").alias("n_sharing"), F.min(index).alias("first_index"),
+                                      F.max(index).alias("last_index"))
+                   .filter(F.col("n_sharing") > 1))
+        return full.join(agg, grp).drop("_list")
     slot = list(table) + [position, column]
     members = index_cols.select(*slot, index).dropna().distinct()
     agg = (members.groupBy(*slot).agg(F.count("*").alias("n_sharing"), F.min(index).alias("first_index"),

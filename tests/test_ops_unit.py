@@ -329,3 +329,14 @@ def test_blocked_prefix_matches_window_on_skewed_key(spark):
     fp_small = relations.index_fingerprints(df.withColumn("c", F.col("v").cast("string")), [], "k", "pos", "c", block=4)
     fp_big = relations.index_fingerprints(df.withColumn("c", F.col("v").cast("string")), [], "k", "pos", "c")
     assert rows(fp_small, "k", "pos", "_k", "_fp", "_width") == rows(fp_big, "k", "pos", "_k", "_fp", "_width")
+
+
+def test_duplicate_index_exact_list_mode(spark):
+    ic = spark.createDataFrame([("t", "i1", 1, "a"), ("t", "i1", 2, "b"), ("t", "i2", 1, "a"), ("t", "i2", 2, "b"),
+                                ("t", "i3", 1, "a"), ("t", "i3", 2, "c"), ("u", "j1", 1, "a"), ("u", "j1", 2, "b")],
+                               "tbl string, idx string, seq int, col string")
+    ex = relations.duplicate_index(ic, ["tbl"], "idx", "seq", "col", mode="exact_list")
+    assert rows(ex, "tbl", "idx", "width", "n_sharing", "first_index", "last_index") == [
+        ("t", "i1", 2, 2, "i1", "i2"), ("t", "i2", 2, 2, "i1", "i2")]
+    shared = relations.duplicate_index(ic, ["tbl"], "idx", "seq", "col")
+    assert {r.idx for r in shared.collect()} == {"i1", "i2", "i3"}   # i3 shares (1, a)
