@@ -90,13 +90,24 @@ def label_map(c, mapping: Sequence[tuple], default=None) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def matches(value, pat: str, guard: str | None = None, kind: str = "rlike") -> Column:
-    """``value`` matches ``pat``; ``guard`` is a literal every match contains
-    (e.g. ``@`` for an e-mail regex), tested first: ``And`` short-circuits in
-    codegen, so most lines never reach the regex engine."""
+def matches(value, pat: str, guard=None, kind: str = "rlike") -> Column:
+    """``value`` matches ``pat``. ``guard``: a literal (or tuple of literals,
+    any of which) every match must contain, e.g. ``@`` for an e-mail regex —
+    tested first; ``And`` short-circuits in codegen, so most lines never reach
+    the regex engine. For a ``(?i)`` pattern the guard is tested on
+    ``lower(value)``."""
     v = col(value)
     cond = v.rlike(pat) if kind == "rlike" else v.like(pat) if kind == "like" else v.startswith(pat)
-    return (v.contains(guard) & cond) if guard else cond
+    if not guard:
+        return cond
+    lits = [guard] if isinstance(guard, str) else list(guard)
+    ci = pat.startswith("(?i)")
+    hay = F.lower(v) if ci else v
+    g = None
+    for lit_ in lits:
+        c = hay.contains(lit_.lower() if ci else lit_)
+        g = c if g is None else (g | c)
+    return g & cond
 
 
 def first_match(value, patterns: Sequence[tuple], kind: str = "rlike", default=None) -> Column:

@@ -464,11 +464,11 @@ def q_impact_score(spark, d):
 # ------------------------------------------------------------------- text
 # Line classes of the fixture documents (first match wins).
 DOC_PATTERNS = [
-    ("license", r"(?i)licen[cs]e"),
+    ("license", r"(?i)licen[cs]e", "licen"),
     ("phone", r"\+1 \(\d{3}\) \d{3}-\d{4}", "+1 ("),
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]+", "@"),
     ("ip", r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}", "."),
-    ("secret", r"(?i)(password|passwd|secret|api[_-]?key|token)"),
+    ("secret", r"(?i)(password|passwd|secret|api[_-]?key|token)", ("passw", "secret", "api", "token")),
 ]
 
 
