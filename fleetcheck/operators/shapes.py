@@ -35,12 +35,15 @@ def conditional_pivot(df: DataFrame, keys: Sequence[str], pivot: str, values: di
     return df.groupBy(*keys).agg(*cols)
 
 
-def group_total_sets(df: DataFrame, keys: Sequence[str], aggs: Sequence, labels: dict | None = None) -> DataFrame:
-    """``GROUPING SETS ((keys...), ())``: detail rows plus one grand-total row;
-    key columns of the total row get ``labels[key]`` (via ``grouping()``, so a
-    real NULL key stays NULL)."""
-    keys = list(keys)
-    out = df.groupingSets([keys, []], *keys).agg(*aggs, *[F.grouping(k).alias(f"_g_{k}") for k in keys])
+def group_total_sets(df: DataFrame, keys: Sequence[str], aggs: Sequence, labels: dict | None = None,
+                     outer: Sequence[str] = ()) -> DataFrame:
+    """``GROUPING SETS ((outer, keys...), (outer))``: detail rows plus one total
+    row per ``outer`` key (the grand total when ``outer`` is empty); key columns
+    of the total row get ``labels[key]`` (via ``grouping()``, so a real NULL key
+    stays NULL)."""
+    keys, outer = list(keys), list(outer)
+    out = df.groupingSets([outer + keys, outer], *outer, *keys).agg(
+        *aggs, *[F.grouping(k).alias(f"_g_{k}") for k in keys])
     for k in keys:
         lab = (labels or {}).get(k)
         if lab is not None:

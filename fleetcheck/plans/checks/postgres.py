@@ -86,9 +86,8 @@ def p07(ctx):
 @check("P08", E, "connection_count", ["activity"])
 def p08(ctx):
     a = ctx.cur("activity").filter(F.col("backend_type") == "client backend")
-    return shapes.group_total_sets(a, ["instance_id", "state", "datname"], [F.count("*").alias("n_connections")],
-                                   labels={"state": "total", "datname": "all"}) \
-        .filter(F.col("instance_id").isNotNull())
+    return shapes.group_total_sets(a, ["state", "datname"], [F.count("*").alias("n_connections")],
+                                   labels={"state": "total", "datname": "all"}, outer=K)
 
 
 @check("P09", E, "slow_query", ["activity"], key=("pid",), metric="elapsed_s", threshold=300)
