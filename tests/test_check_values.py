@@ -118,3 +118,51 @@ def test_sqlserver_and_host_values(spark):
     assert sorted((x.name, x.value) for x in r) == [("kernel.shmmax", "4096"), ("vm.swappiness", "10")]
     r = run(spark, "host", "H08", {"os_text": [{"path": "p", "text": dump}]})
     assert [(x.section, x.n_hosts) for x in r] == [("diskusage", 2)]
+
+
+def test_more_listing_values(spark):
+    GB = 1024 ** 3
+    r = run(spark, "oracle", "O04", {"database": [{"name": "CDB1", "log_mode": "ARCHIVELOG"}],
+                                     "pdbs": [{"con_id": 2, "name": "PDB$SEED"}, {"con_id": 4, "name": "SALES"},
+                                              {"con_id": 3, "name": "HR"}]})
+    assert [(x.name, x.pdbs) for x in r] == [("CDB1", "HR,SALES")]
+    r = run(spark, "oracle", "O24", {"data_files": [{"bytes": 2 * GB}, {"bytes": GB}], "temp_files": [{"bytes": GB}],
+                                     "tablespaces": [{"used_bytes": GB // 2}]})
+    assert [(x.physical_gb, x.temp_gb, x.used_gb) for x in r] == [(3.0, 1.0, 0.5)]
+    r = run(spark, "oracle", "O43", {"users": [{"username": "APP", "oracle_maintained": "N"},
+                                               {"username": "NONE", "oracle_maintained": "N"},
+                                               {"username": "SYS", "oracle_maintained": "Y"}],
+                                     "objects": [{"owner": "APP", "object_name": "T", "object_type": "TABLE", "status": "VALID"},
+                                                 {"owner": "APP", "object_name": "V", "object_type": "VIEW", "status": "INVALID"},
+                                                 {"owner": "SYS", "object_name": "X", "object_type": "TABLE", "status": "VALID"}]})
+    assert sorted((x.owner, x.n_tables, x.n_views, x.n_invalid) for x in r) == [("APP", 1, 1, 1), ("NONE", 0, 0, 0)]
+    r = run(spark, "oracle", "O59", {"alert_log": [
+        {"originating_ts": T, "message_text": "ORA-00600", "problem_key": "ORA 600"},
+        {"originating_ts": T, "message_text": "ORA-00600", "problem_key": "ORA 600"},
+        {"originating_ts": T, "message_text": "Thread 1 advanced", "problem_key": None},
+        {"originating_ts": AS_OF - 91 * DAY, "message_text": "ORA-7445", "problem_key": "ORA 7445"}]})
+    assert [(x.problem_key, x.message_text) for x in r] == [("ORA 600", "ORA-00600")]
+    snaps = [{"instance_number": 1, "snap_id": s, "begin_ts": T, "end_ts": T, "startup_ts": T - DAY} for s in (1, 2)]
+    r = run(spark, "oracle", "O71", {"snapshots": snaps,
+                                     "sqlstat": [{"instance_number": 1, "snap_id": 2, "sql_id": q, "elapsed_delta": e,
+                                                  "exec_delta": 1} for q, e in (("a", 10), ("b", 20))],
+                                     "time_model": [],
+                                     "sqltext": [{"sql_id": "a", "sql_text": "select * from t"},
+                                                 {"sql_id": "b", "sql_text": "begin dbms_stats.gather; end;"}]})
+    assert [(x.sql_id, x.rn) for x in r] == [("a", 2)]
+    r = run(spark, "mysql", "M24", {"wait_summary": [
+        {"event_name": f"wait/io/file/{i}", "count_star": 1, "sum_timer_wait": Decimal(i)} for i in range(12)]
+        + [{"event_name": "idle", "count_star": 1, "sum_timer_wait": Decimal(999)}]})
+    assert sorted(x.rn for x in r) == list(range(1, 11)) and {x.event_name for x in r if x.rn == 1} == {"wait/io/file/11"}
+    r = run(spark, "host", "H12", {"log_lines": [{"source": "e", "line_no": i, "line": str(i)} for i in range(1, 61)]})
+    assert sorted(x.line_no for x in r) == list(range(11, 61))
+    dump = "\n".join(["mysql_config", "max_connections = 500", "innodb_buffer_pool_size=8G", ""])
+    r = run(spark, "host", "H14", {"os_text": [{"path": "p", "text": dump}]})
+    assert sorted((x.name, x.value) for x in r) == [("innodb_buffer_pool_size", "8G"), ("max_connections", "500")]
+    html = ('<table id="dbinfo"><tr><th>k</th><th>v</th></tr><tr><td>version</td><td>19c</td></tr></table>')
+    r = run(spark, "report", "R04", {"report_html": [{"path": "r.html", "html": html}]})
+    assert sorted((x.table_id, x.row_no, x.col_no, x.cell) for x in r) == [
+        ("dbinfo", 0, 1, "k"), ("dbinfo", 0, 2, "v"), ("dbinfo", 1, 1, "version"), ("dbinfo", 1, 2, "19c")]
+    r = run(spark, "sqlserver", "S01", {"facts": [st("ProductVersion", "16.0.4105.2"), st("StartTime", "2024-01-21 08:00:00"),
+                                                  st("CpuCount", 8)]})
+    assert [(x.version, x.cpus, x.uptime_days) for x in r] == [("16.0.4105.2", "8", 10)]
