@@ -29,22 +29,27 @@ def load_views(spark: SparkSession, root: str, engine: str, since: str | None =
 
 
 def fleet_findings(spark: SparkSession, views_by_engine: Mapping[str, Mapping[str, DataFrame]], as_of: Column,
-                   tier: str | None = None) -> DataFrame:
+                   tier: str | None = None, materialize: bool = False) -> DataFrame:
+    """Findings of every engine's applicable checks. ``materialize`` pins each
+    view's latest collection with a reliable checkpoint first (large fleets)."""
     frames = []
     for engine, views in views_by_engine.items():
-        f = base.run_findings(base.Ctx(spark, views, as_of), engine, tier=tier)
+        ctx = base.Ctx(spark, views, as_of)
+        if materialize:
+            ctx.materialize()
+        f = base.run_findings(ctx, engine, tier=tier)
         if f is not None:
             frames.append(f)
     return fnd.union_findings(frames)
 
 
 def fleet_summary(spark: SparkSession, views_by_engine, as_of: Column, tier: str | None = None,
-                  out_path: str | None = None):
+                  out_path: str | None = None, materialize: bool = False):
     """(findings, summary). With ``out_path`` (a shared folder) the findings
     are written there first, partitioned by engine and check, and the summary
     reads the written table: the lineage of ~190 check plans is cut and a lost
     executor only recomputes its own check."""
-    f = fleet_findings(spark, views_by_engine, as_of, tier)
+    f = fleet_findings(spark, views_by_engine, as_of, tier, materialize)
     if out_path is not None:
         f.write.mode("overwrite").partitionBy("engine", "check_id").parquet(out_path)
         f = spark.read.parquet(out_path)

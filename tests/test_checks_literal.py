@@ -390,3 +390,19 @@ def test_snapshot_store_roundtrip_with_partition_pruning(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(snapshot_date" in plan and "2024-01-01" in plan
     f, s = fleet.fleet_summary(spark, {e: views}, fleet.as_of_ts(AS_OF))
     assert [(r.check_id, r.n_normal, r.n_abnormal) for r in s.collect()] == [("O22", 1, 0)]
+
+
+def test_command_line_fleet_run(spark, tmp_path):
+    from fleetcheck.__main__ import main
+    from fleetcheck.sources import write_snapshots
+    root = str(tmp_path / "store")
+    write_snapshots(view(spark, "oracle", "tablespaces", [
+        {"instance_id": "a", "tablespace_name": "USERS", "contents": "PERMANENT", "total_bytes": 100, "used_bytes": 95}]),
+        f"{root}/oracle", "tablespaces")
+    write_snapshots(view(spark, "mysql", "variables", [
+        {"instance_id": "m", "name": "sync_binlog", "value": "0"}]), f"{root}/mysql", "variables")
+    out = str(tmp_path / "out")
+    res = main(["--root", root, "--as-of", AS_OF, "--out", out, "--engines", "oracle,mysql", "--materialize"])
+    assert res["engines"] == ["mysql", "oracle"] and res["checks_abnormal"] >= 2
+    pr = {(r.instance_id, r.priority): r.check_ids for r in spark.read.parquet(f"{out}/priorities").collect()}
+    assert pr[("a", "high")] == "O22" and "M12" in pr[("m", "medium")]
