@@ -126,13 +126,12 @@ def html_table_extract(reports: DataFrame, html: str, keep: Sequence[str]) -> Da
     rows = tables.select(*keep, F.col("_t.tid").alias("table_id"),
                          F.posexplode(F.regexp_extract_all(F.col("_t.body"), F.lit(ROW_RE), 1)).alias("_r", "_row"))
     is_header = F.col("_row").contains("<th")
-    hdr_before = F.lit(0)  # header counted separately below
     cells = rows.select(*keep, "table_id", "_r", is_header.alias("_hdr"),
                         F.posexplode(F.regexp_extract_all(F.col("_row"), F.lit(CELL_RE), 1)).alias("_c", "_cell"))
     from pyspark.sql import Window
     w = Window.partitionBy(*keep, "table_id")
     first_data = F.min(F.when(~F.col("_hdr"), F.col("_r"))).over(w)
-    return (cells.withColumn("row_no", F.when(F.col("_hdr"), F.lit(0)).otherwise(F.col("_r") - first_data + 1) + hdr_before)
+    return (cells.withColumn("row_no", F.when(F.col("_hdr"), F.lit(0)).otherwise(F.col("_r") - first_data + 1))
                  .withColumn("col_no", F.col("_c") + 1)
                  .withColumn("is_red", F.col("_cell").rlike(RED_RE))
                  .withColumn("cell", F.trim(F.regexp_replace(F.col("_cell"), "<[^>]+>", "")))

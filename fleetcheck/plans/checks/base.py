@@ -142,8 +142,3 @@ def run_findings(ctx: Ctx, engine: str | None = None, ids=None, tier: str | None
 def priorities_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c.check_id, c.priority, c.name) for c in REGISTRY.values()],
                                  "check_id string, priority string, advice string")
-
-
-def listing(df: DataFrame, cols, order=None) -> DataFrame:
-    out = df.select(*K, *cols)
-    return out

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import fround, pct, safe_div
+from ...functions import fround
 from ...operators import capacity as cap
 from ...operators import ranking, text, verdict
 from ...sources import parse_log_lines

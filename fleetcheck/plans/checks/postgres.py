@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import days_between, format_bytes, fround, lsn_to_number, pct, safe_div, seconds_between
+from ...functions import format_bytes, lsn_to_number, pct, seconds_between
 from ...operators import capacity as cap
 from ...operators import perf, ranking, relations, shapes, time, verdict
 from .base import K, check
