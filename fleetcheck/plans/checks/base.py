@@ -75,6 +75,14 @@ class Ctx:
                                  .drop("_last", "engine", "snapshot_ts"))
         return self._cur[name]
 
+    def memo(self, name: str, build):
+        """One DataFrame per derived frame per run (snapshot pair, wide
+        status, parsed OS sections): checks share a plan instead of rebuilding."""
+        key = "memo:" + name
+        if key not in self._cur:
+            self._cur[key] = build()
+        return self._cur[key]
+
     def materialize(self, names=None) -> None:
         """Pin the latest collections before running many checks: a reliable
         ``checkpoint()`` into the shared ``spark.checkpoint.dir`` (survives

@@ -33,7 +33,8 @@ LOG_CLASSES = [("error", r"\[ERROR\]|ORA-[0-9]+|ERROR:|FATAL:|PANIC:"), ("warnin
 
 
 def sections(ctx):
-    return text.os_section_parse(ctx.cur("os_text"), "text", [*K, "path"], sections=OS_SECTIONS)
+    return ctx.memo("os_sections", lambda: text.os_section_parse(ctx.cur("os_text"), "text", [*K, "path"],
+                                                                sections=OS_SECTIONS))
 
 
 def _value(ctx, name):

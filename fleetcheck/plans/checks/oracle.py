@@ -571,7 +571,8 @@ def o64(ctx):
 
 
 def _pair(ctx):
-    return perf.snapshot_pair(ctx.cur("snapshots"), [*K, "instance_number"], "snap_id", "startup_ts")
+    return ctx.memo("pair", lambda: perf.snapshot_pair(ctx.cur("snapshots"), [*K, "instance_number"], "snap_id",
+                                                       "startup_ts"))
 
 
 def _delta(ctx, view, names, value="value", key="stat_name"):
@@ -582,6 +583,10 @@ def _delta(ctx, view, names, value="value", key="stat_name"):
 
 
 def _pair_seconds(ctx):
+    return ctx.memo("pair_seconds", lambda: _pair_seconds_build(ctx))
+
+
+def _pair_seconds_build(ctx):
     sn = ctx.cur("snapshots").select(*K, "instance_number", "snap_id", "end_ts")
     p = _pair(ctx)
     b = sn.withColumnRenamed("snap_id", "begin_snap").withColumnRenamed("end_ts", "_b")
