@@ -44,12 +44,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting names a shared, fault-tolerant folder and is
-    used as is. Only when it is unset (local runs, tests) a scratch folder is
-    created so that ``DataFrame.checkpoint()`` works.
+    used as is (and must be set: a cluster run without it fails fast). Only
+    in local mode with the setting unset (local runs, tests) a scratch folder
+    is created so that ``DataFrame.checkpoint()`` works.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="fleetcheck-ckpt-")
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: a cluster run needs a shared, fault-tolerant "
+                               "folder for checkpoints (a machine-local folder would be lost with its executor)")
+        d = tempfile.mkdtemp(prefix="fleetcheck-ckpt-")  # local mode / tests only
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
