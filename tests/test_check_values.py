@@ -166,3 +166,60 @@ def test_more_listing_values(spark):
     r = run(spark, "sqlserver", "S01", {"facts": [st("ProductVersion", "16.0.4105.2"), st("StartTime", "2024-01-21 08:00:00"),
                                                   st("CpuCount", 8)]})
     assert [(x.version, x.cpus, x.uptime_days) for x in r] == [("16.0.4105.2", "8", 10)]
+
+
+def test_remaining_listing_values(spark):
+    r = run(spark, "oracle", "O05", {"osstat": [{"inst_id": 1, "stat_name": "NUM_CPUS", "value": Decimal(16)},
+                                                {"inst_id": 1, "stat_name": "PHYSICAL_MEMORY_BYTES", "value": Decimal(2 ** 36)}]})
+    assert [(x.cpus, x.cores, x.memory_bytes) for x in r] == [(16.0, None, float(2 ** 36))]
+    r = run(spark, "oracle", "O06", {"settings": [{"inst_id": 1, "name": "sga_target", "value": "8", "unit": "G"},
+                                                  {"inst_id": 1, "name": "open_cursors", "value": "300"}]})
+    assert [(x.name, x.display_value) for x in r] == [("sga_target", "8 G")]
+    r = run(spark, "oracle", "O07", {"snapshots": [
+        {"instance_number": 1, "snap_id": s, "startup_ts": T - (DAY if s < 3 else dt.timedelta(hours=1))}
+        for s in (1, 2, 3)]})
+    assert [(x.begin_snap, x.end_snap) for x in r] == [(1, 2)]   # 3 is alone after a restart
+    r = run(spark, "oracle", "O08", {"role_privs": [{"grantee": "X", "granted_role": "GGS_GGSUSER_ROLE"}],
+                                     "users": [{"username": "splex_admin"}, {"username": "APP"}]})
+    assert sorted((x.product, x.n_markers) for x in r) == [("goldengate", 1), ("shareplex", 1)]
+    r = run(spark, "oracle", "O11", {"database": [{"dbid": 7, "name": "PROD", "log_mode": "ARCHIVELOG"}],
+                                     "instance": [{"inst_id": 1, "version": "19.0"}, {"inst_id": 2, "version": "19.0"}]})
+    assert [(x.name, x.n_instances, x.version) for x in r] == [("PROD", 2, "19.0")]
+    r = run(spark, "oracle", "O48", {"scheduler_jobs": [{"owner": "A", "job_name": "J1"}, {"owner": "A", "job_name": "J2"}],
+                                     "scheduler_running": [{"owner": "A", "job_name": "J2", "session_id": 77}]})
+    assert sorted((x.job_name, x.session_id) for x in r) == [("J1", None), ("J2", 77)]
+    r = run(spark, "oracle", "O53", {"autotask_history": [{"client_name": "c", "window_start_ts": AS_OF - 6 * DAY},
+                                                          {"client_name": "old", "window_start_ts": AS_OF - 8 * DAY}]})
+    assert [x.client_name for x in r] == ["c"]
+    r = run(spark, "oracle", "O61", {"asm_diskgroups": [{"group_number": 1, "name": "DATA"}],
+                                     "asm_attributes": [{"group_number": 1, "name": "au_size", "value": "4M"},
+                                                        {"group_number": 1, "name": "template.x", "value": "y"}]})
+    assert [(x.diskgroup, x.name, x.value) for x in r] == [("DATA", "au_size", "4M")]
+    r = run(spark, "oracle", "O73", {"resource_limit_hist": [
+        {"instance_number": 1, "snap_id": 4, "resource_name": "processes", "current_utilization": 120},
+        {"instance_number": 1, "snap_id": 4, "resource_name": "sessions", "current_utilization": 150}]})
+    assert [(x.snap_id, x.processes, x.sessions) for x in r] == [(4, 120, 150)]
+    r = run(spark, "oracle", "O74", {"sysmetric": [
+        {"instance_number": 1, "snap_id": 4, "metric_name": "Logons Per Sec", "average": 2.0, "maxval": 9.0},
+        {"instance_number": 1, "snap_id": 4, "metric_name": "Logons Per Sec", "average": 4.0, "maxval": 5.0}]})
+    assert [(x.logons_max, x.logons_avg) for x in r] == [(9.0, 3.0)]
+    r = run(spark, "mysql", "M01", {"variables": [st("version", "8.0.36"), st("innodb_buffer_pool_size", 2 * 1024 * MB)],
+                                    "status": [st("Uptime", 172800)]})
+    assert [(x.version, x.buffer_pool_mb, x.uptime_days) for x in r] == [("8.0.36", 2048.0, 2.0)]
+    r = run(spark, "mysql", "M18", {"tables": [{"table_schema": "a", "table_name": "t", "storage_engine": "InnoDB",
+                                                "data_length": MB, "index_length": MB},
+                                               {"table_schema": "a", "table_name": "u", "storage_engine": "InnoDB",
+                                                "data_length": MB, "index_length": 0},
+                                               {"table_schema": "mysql", "table_name": "x", "storage_engine": "InnoDB"}]})
+    assert [(x.storage_engine, x.n_tables, x.total_mb) for x in r] == [("InnoDB", 2, 3.0)]
+    r = run(spark, "postgres", "P02", {"settings": [{"name": "shared_buffers", "setting": "16384", "unit": "8kB"},
+                                                    {"name": "search_path", "setting": "public"}]})
+    assert [(x.name, x.display_value) for x in r] == [("shared_buffers", "16384 8kB")]
+    r = run(spark, "sqlserver", "S03", {"sessions": [{"database_name": "d", "login_name": "l", "status": "sleeping"},
+                                                     {"database_name": "d", "login_name": "l", "status": "sleeping"},
+                                                     {"database_name": "d", "login_name": "l", "status": "running"}]})
+    assert sorted((x.status, x.n_sessions) for x in r) == [("running", 1), ("sleeping", 2)]
+    reg = run(spark, "report", "R02", {})
+    assert len(reg) == len(base.REGISTRY) and {x.priority for x in reg} == {"high", "medium", "low"}
+    tiers = {x.tier: x.n_checks for x in run(spark, "report", "R03", {})}
+    assert sum(tiers.values()) == len(base.REGISTRY) and set(tiers) == {"weekly", "monthly", "quarterly"}
