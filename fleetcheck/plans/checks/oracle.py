@@ -338,7 +338,14 @@ def o32(ctx):
     seg = ctx.cur("segments").filter(F.col("tablespace_name").isin("SYSTEM", "SYSAUX"))
     u = relations.tagged_union({"TABLE": seg.filter(F.col("segment_type").startswith("TABLE")),
                                 "INDEX": seg.filter(F.col("segment_type").startswith("INDEX"))}, tag="kind")
-    app_users = ctx.cur("users").filter(F.col("oracle_maintained") == "N").select(*K, F.col("username").alias("owner"))
+    users = ctx.cur("users")
+    version = ctx.params.get("version")
+    if version is not None and version <= 11:
+        # 11g/10g have no maintained flag: owners whose default tablespace is not SYSTEM/SYSAUX
+        app = users.filter(~F.col("default_tablespace").isin("SYSTEM", "SYSAUX"))
+    else:
+        app = users.filter(F.col("oracle_maintained") == "N")
+    app_users = app.select(*K, F.col("username").alias("owner"))
     return relations.member_of(u, app_users, [*K, "owner"]).withColumn("is_abnormal", F.lit(True))
 
 
@@ -742,6 +749,6 @@ def o76(ctx):
     return perf.time_share(top, p, "event_name", "time_us")
 
 
-@check("O77", E, "run_errors", ["check_errors"])
+@check("O77", E, "run_errors", ["check_errors"], min_version=11)
 def o77(ctx):
     return ctx.cur("check_errors").select(*K, "check_name", "error").withColumn("is_abnormal", F.lit(True))

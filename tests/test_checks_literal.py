@@ -406,3 +406,17 @@ def test_command_line_fleet_run(spark, tmp_path):
     assert res["engines"] == ["mysql", "oracle"] and res["checks_abnormal"] >= 2
     pr = {(r.instance_id, r.priority): r.check_ids for r in spark.read.parquet(f"{out}/priorities").collect()}
     assert pr[("a", "high")] == "O22" and "M12" in pr[("m", "medium")]
+
+
+def test_o32_version_variant(spark):
+    e = "oracle"
+    seg = view(spark, e, "segments", [{"instance_id": "a", "owner": "APP", "segment_name": "t", "segment_type": "TABLE",
+                                       "tablespace_name": "SYSTEM"},
+                                      {"instance_id": "a", "owner": "OUTLN", "segment_name": "o", "segment_type": "TABLE",
+                                       "tablespace_name": "SYSTEM"}])
+    users = view(spark, e, "users", [
+        {"instance_id": "a", "username": "APP", "default_tablespace": "USERS"},          # 11g: no maintained flag
+        {"instance_id": "a", "username": "OUTLN", "default_tablespace": "SYSTEM"}])
+    got = [r.segment_name for r in run(ctx(spark, e, {"segments": seg, "users": users}, version=11), "O32").collect()]
+    assert got == ["t"]
+    assert not base.applies(base.REGISTRY["O77"], 10) and base.applies(base.REGISTRY["O77"], 12)
