@@ -67,7 +67,9 @@ def o01(ctx):
 @check("O02", E, "recyclebin_by_owner", ["recyclebin"])
 def o02(ctx):
     rb = ctx.cur("recyclebin").withColumn("mb", F.col("space_blocks") * F.col("block_size") / MB)
-    return shapes.rollup_total(rb, [*K, "con_id"], "owner",
+    version = ctx.params.get("version")
+    outer = K if version is not None and version <= 11 else [*K, "con_id"]  # 11g/10g: no container key
+    return shapes.rollup_total(rb, outer, "owner",
                                [fround(F.sum("mb"), 2).alias("size_mb"), F.count("*").alias("n_objects")])
 
 
@@ -477,6 +479,14 @@ def o50(ctx):
 
 @check("O51", E, "autotask_clients", ["autotask_clients"], key=("client_name",))
 def o51(ctx):
+    version = ctx.params.get("version")
+    if version is not None and version <= 10 and "scheduler_jobs" in ctx.views:
+        # 10g: the same two maintenance tasks are scheduler jobs, judged by their enabled state
+        rules = [("GATHER_STATS_JOB", "ne", "TRUE", None, None, "enable optimizer statistics"),
+                 ("AUTO_SPACE_ADVISOR_JOB", "eq", "TRUE", None, None, "disable the space advisor")]
+        jobs = ctx.cur("scheduler_jobs").select(*K, F.col("job_name").alias("client_name"),
+                                                F.col("enabled").alias("status"))
+        return verdict.config_audit(jobs, rules, keys=K, name_col="client_name", value_col="status")
     rules = [("auto optimizer stats collection", "ne", "ENABLED", None, None, "enable optimizer statistics"),
              ("auto space advisor", "eq", "ENABLED", None, None, "disable the space advisor"),
              ("sql tuning advisor", "eq", "ENABLED", None, None, "disable the SQL tuning advisor")]
@@ -644,9 +654,13 @@ def o67(ctx):
 @check("O68", E, "top_wait_events", ["snapshots", "system_event", "time_model"], key=("event_name",),
        metric="avg_ms")
 def o68(ctx):
+    # 10g has no foreground counters: foreground = total - background (never below 0 background)
+    zero = F.lit(0).cast("decimal(38,0)")
     ev = ctx.cur("system_event").filter(F.col("wait_class") != "Idle").withColumn(
-        "fg_time", F.coalesce("time_waited_us_fg", F.col("time_waited_us"))).withColumn(
-        "fg_waits", F.coalesce("total_waits_fg", F.col("total_waits")))
+        "fg_time", F.coalesce("time_waited_us_fg",
+                              F.col("time_waited_us") - F.greatest(zero, F.coalesce("time_waited_us_bg", zero)))).withColumn(
+        "fg_waits", F.coalesce("total_waits_fg",
+                               F.col("total_waits") - F.greatest(zero, F.coalesce("total_waits_bg", zero))))
     p = [*K, "instance_number"]
     t = perf.snapshot_delta(ev, _pair(ctx), p, "snap_id", ["event_name", "wait_class"], "fg_time")
     n = perf.snapshot_delta(ev, _pair(ctx), p, "snap_id", ["event_name", "wait_class"], "fg_waits") \

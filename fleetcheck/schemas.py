@@ -91,7 +91,8 @@ VIEWS: dict[str, dict[str, str]] = {
         "sysstat": f"instance_number int, snap_id bigint, stat_name string, value {D38}",
         "time_model": f"instance_number int, snap_id bigint, stat_name string, value {D38}",
         "system_event": f"instance_number int, snap_id bigint, event_name string, wait_class string, "
-                        f"total_waits {D38}, total_waits_fg {D38}, time_waited_us {D38}, time_waited_us_fg {D38}",
+                        f"total_waits {D38}, total_waits_fg {D38}, time_waited_us {D38}, time_waited_us_fg {D38}, "
+                        f"total_waits_bg {D38}, time_waited_us_bg {D38}",
         "sqlstat": "instance_number int, snap_id bigint, sql_id string, module string, elapsed_delta bigint, "
                    "cpu_delta bigint, iowait_delta bigint, exec_delta bigint",
         "sqltext": "sql_id string, sql_text string",

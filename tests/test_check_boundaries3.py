@@ -142,3 +142,16 @@ def test_perf_history_verdicts(spark):
     o69 = {(r.instance_id, r.stat_name): r.is_abnormal for r in base.REGISTRY["O69"].fn(ctx).collect()
            if r.stat_name == "parse time elapsed"}
     assert o69 == {("i", "parse time elapsed"): False, ("j", "parse time elapsed"): True}
+
+
+def test_o68_10g_foreground_from_total_minus_background(spark):
+    views = _perf_views(spark, {"i": {"tm": {"DB time": 10 ** 9}}})
+    ev = []
+    for sid, m in ((2, 0), (3, 1)):
+        ev.append({"instance_number": 1, "snap_id": sid, "event_name": "log file sync", "wait_class": "Commit",
+                   "total_waits": Decimal(30 * m), "total_waits_bg": Decimal(10 * m),
+                   "time_waited_us": Decimal(3 * 10 ** 6 * m), "time_waited_us_bg": Decimal(10 ** 6 * m)})
+    views["system_event"] = _view(spark, "oracle", "system_event", ev)
+    ctx = base.Ctx(spark, views, F.lit(AS_OF).cast("timestamp"))
+    r = {x.event_name: (x.time_us, x.waits, x.avg_ms) for x in base.REGISTRY["O68"].fn(ctx).collect()}
+    assert r["log file sync"] == (Decimal(2 * 10 ** 6), Decimal(20), 100.0)

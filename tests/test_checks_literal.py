@@ -420,3 +420,18 @@ def test_o32_version_variant(spark):
     got = [r.segment_name for r in run(ctx(spark, e, {"segments": seg, "users": users}, version=11), "O32").collect()]
     assert got == ["t"]
     assert not base.applies(base.REGISTRY["O77"], 10) and base.applies(base.REGISTRY["O77"], 12)
+
+
+def test_oracle_10g_variants(spark):
+    e = "oracle"
+    rb = view(spark, e, "recyclebin", [{"instance_id": "a", "con_id": c, "owner": "A", "space_blocks": 128,
+                                        "block_size": 8192} for c in (3, 4)])
+    r11 = run(ctx(spark, e, {"recyclebin": rb}, version=11), "O02").collect()
+    assert sorted((x.owner, x.n_objects) for x in r11) == [("A", 2), ("SUM", 2)]
+    r12 = run(ctx(spark, e, {"recyclebin": rb}, version=12), "O02").collect()
+    assert len(r12) == 4   # per container: A + SUM
+    jobs = view(spark, e, "scheduler_jobs", [{"instance_id": "a", "job_name": "GATHER_STATS_JOB", "enabled": "FALSE"},
+                                             {"instance_id": "a", "job_name": "AUTO_SPACE_ADVISOR_JOB", "enabled": "FALSE"}])
+    c10 = ctx(spark, e, {"autotask_clients": view(spark, e, "autotask_clients", []), "scheduler_jobs": jobs}, version=10)
+    assert by(run(c10, "O51"), "client_name", "is_abnormal") == {("GATHER_STATS_JOB",): True,
+                                                                 ("AUTO_SPACE_ADVISOR_JOB",): False}
