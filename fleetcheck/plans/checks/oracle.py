@@ -390,11 +390,20 @@ def o38(ctx):
     return ctx.cur("database").select(*K, "log_mode", "flashback_on")
 
 
-@check("O39", E, "default_passwords", ["users", "default_pwd_users"], key=("username",), priority="high")
+@check("O39", E, "default_passwords", ["users"], key=("username",), priority="high")
 def o39(ctx):
-    u = ctx.cur("users").filter(F.col("account_status") == "OPEN").select(*K, "username", "account_status")
-    return relations.member_of(u, ctx.cur("default_pwd_users").select(*K, "username"), [*K, "username"]) \
-        .withColumn("is_abnormal", F.lit(True))
+    u = ctx.cur("users").filter(F.col("account_status") == "OPEN")
+    version = ctx.params.get("version")
+    if "default_pwd_hashes" in ctx.views and (version is not None and version <= 11 or
+                                              "default_pwd_users" not in ctx.views):
+        # 11g/10g: the password hash is in a reference table of known default hashes (supplied as data)
+        known = ctx.cur("default_pwd_hashes").select(*K, "username", "password_hash")
+        hit = relations.member_of(u.select(*K, "username", "account_status", "password_hash"), known,
+                                  [*K, "username", "password_hash"]).drop("password_hash")
+    else:
+        hit = relations.member_of(u.select(*K, "username", "account_status"),
+                                  ctx.cur("default_pwd_users").select(*K, "username"), [*K, "username"])
+    return hit.withColumn("is_abnormal", F.lit(True))
 
 
 @check("O40", E, "password_expiry", ["users"], key=("username",), metric="days_left", threshold=7)

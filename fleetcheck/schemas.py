@@ -59,8 +59,9 @@ VIEWS: dict[str, dict[str, str]] = {
         "sysaux_occupants": "occupant_name string, schema_name string, space_usage_kbytes bigint",
         "hwm_stats": "name string, highwater double, last_value double",
         "users": "username string, account_status string, expiry_ts timestamp, created_ts timestamp, "
-                 "default_tablespace string, profile string, oracle_maintained string",
+                 "default_tablespace string, profile string, oracle_maintained string, password_hash string",
         "default_pwd_users": "username string",
+        "default_pwd_hashes": "username string, password_hash string",
         "role_privs": "grantee string, granted_role string",
         "profiles": "profile string, resource_name string, resource_type string, limit_value string",
         "tab_statistics": "owner string, table_name string, num_rows bigint, stale_stats string, last_analyzed timestamp",

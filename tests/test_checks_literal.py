@@ -435,3 +435,15 @@ def test_oracle_10g_variants(spark):
     c10 = ctx(spark, e, {"autotask_clients": view(spark, e, "autotask_clients", []), "scheduler_jobs": jobs}, version=10)
     assert by(run(c10, "O51"), "client_name", "is_abnormal") == {("GATHER_STATS_JOB",): True,
                                                                  ("AUTO_SPACE_ADVISOR_JOB",): False}
+
+
+def test_o39_hash_variant(spark):
+    e = "oracle"
+    users = view(spark, e, "users", [{"instance_id": "a", "username": "SCOTT", "account_status": "OPEN",
+                                      "password_hash": "F894844C34402B67"},
+                                     {"instance_id": "a", "username": "HR", "account_status": "OPEN",
+                                      "password_hash": "changed"}])
+    known = view(spark, e, "default_pwd_hashes", [{"instance_id": "a", "username": "SCOTT", "password_hash": "F894844C34402B67"},
+                                                  {"instance_id": "a", "username": "HR", "password_hash": "4C6D73C3E8B0F0DA"}])
+    got = [r.username for r in run(ctx(spark, e, {"users": users, "default_pwd_hashes": known}, version=11), "O39").collect()]
+    assert got == ["SCOTT"]
