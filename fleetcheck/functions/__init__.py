@@ -71,6 +71,13 @@ def days_between(start, end) -> Column:
     return F.datediff(col(end).cast("date"), col(start).cast("date"))
 
 
+def interval_minutes(c) -> Column:
+    """DAY TO SECOND interval -> minutes as DOUBLE (EXTRACT of each field)."""
+    v = col(c)
+    return (F.extract(F.lit("DAY"), v).cast("double") * 1440 + F.extract(F.lit("HOUR"), v).cast("double") * 60
+            + F.extract(F.lit("MINUTE"), v).cast("double") + F.extract(F.lit("SECOND"), v).cast("double") / 60)
+
+
 def as_of_lit(ts: str) -> Column:
     return F.lit(ts).cast("timestamp_ntz")
 

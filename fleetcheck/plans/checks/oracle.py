@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import days_between, decode_date_bytes, fround, pct, safe_div, seconds_between
+from ...functions import days_between, decode_date_bytes, fround, interval_minutes, pct, safe_div, seconds_between
 from ...operators import capacity as cap
 from ...operators import perf, ranking, relations, shapes, time, verdict
 from .base import K, check
@@ -592,6 +592,9 @@ def o63(ctx):
 @check("O64", E, "snapshot_settings", ["wr_control"])
 def o64(ctx):
     w = ctx.cur("wr_control")
+    # collections carry either plain numbers or the DAY TO SECOND intervals themselves
+    w = (w.withColumn("snap_interval_min", F.coalesce("snap_interval_min", interval_minutes("snap_interval")))
+          .withColumn("retention_days", F.coalesce("retention_days", interval_minutes("retention") / 1440)))
     return w.withColumn("is_abnormal", F.coalesce((F.col("snap_interval_min") < 15) | (F.col("retention_days") > 60),
                                                   F.lit(False)))
 

@@ -88,7 +88,8 @@ VIEWS: dict[str, dict[str, str]] = {
         "asm_diskgroups": "group_number int, name string, state string, type string, total_mb bigint, free_mb bigint, "
                           "offline_disks int",
         "snapshots": "instance_number int, snap_id bigint, begin_ts timestamp, end_ts timestamp, startup_ts timestamp",
-        "wr_control": "snap_interval_min double, retention_days double",
+        "wr_control": "snap_interval_min double, retention_days double, snap_interval interval day to second, "
+                      "retention interval day to second",
         "sysstat": f"instance_number int, snap_id bigint, stat_name string, value {D38}",
         "time_model": f"instance_number int, snap_id bigint, stat_name string, value {D38}",
         "system_event": f"instance_number int, snap_id bigint, event_name string, wait_class string, "

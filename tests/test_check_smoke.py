@@ -8,8 +8,8 @@ from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, DecimalType, DoubleType, IntegerType, LongType,
-                               StringType, TimestampType)
+from pyspark.sql.types import (ArrayType, BinaryType, BooleanType, DayTimeIntervalType, DecimalType, DoubleType,
+                               IntegerType, LongType, StringType, TimestampType)
 
 from fleetcheck.plans.checks import base
 from fleetcheck.schemas import VIEWS, schema
@@ -57,6 +57,8 @@ def value_for(name: str, t, i: int):
         return bytearray([120, 124, (i % 12) + 1, 1, 1, 1, 1])
     if isinstance(t, ArrayType):
         return ["all", f"x{i}"]
+    if isinstance(t, DayTimeIntervalType):
+        return dt.timedelta(minutes=10 * (i + 1))
     raise TypeError(t)
 
 

@@ -447,3 +447,14 @@ def test_o39_hash_variant(spark):
                                                   {"instance_id": "a", "username": "HR", "password_hash": "4C6D73C3E8B0F0DA"}])
     got = [r.username for r in run(ctx(spark, e, {"users": users, "default_pwd_hashes": known}, version=11), "O39").collect()]
     assert got == ["SCOTT"]
+
+
+def test_o64_interval_columns(spark):
+    e = "oracle"
+    w = view(spark, e, "wr_control", [
+        {"instance_id": "a", "snap_interval": dt.timedelta(minutes=10), "retention": dt.timedelta(days=8)},
+        {"instance_id": "b", "snap_interval": dt.timedelta(hours=1), "retention": dt.timedelta(days=61)},
+        {"instance_id": "c", "snap_interval": dt.timedelta(minutes=15), "retention": dt.timedelta(days=60)}])
+    got = {r.instance_id: (r.snap_interval_min, r.retention_days, r.is_abnormal)
+           for r in run(ctx(spark, e, {"wr_control": w}), "O64").collect()}
+    assert got == {"a": (10.0, 8.0, True), "b": (60.0, 61.0, True), "c": (15.0, 60.0, False)}
