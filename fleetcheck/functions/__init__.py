@@ -22,6 +22,12 @@ def lit_or_col(v) -> Column:
     return F.lit(v)
 
 
+def nz(c) -> Column:
+    """NULLIF(c, 0): a divisor that makes a zero total NULL instead of an error."""
+    v = col(c)
+    return F.when(v != 0, v)
+
+
 def safe_div(num, den) -> Column:
     """num / den as DOUBLE; NULL when den is 0 or NULL (``NULLIF(den, 0)``)."""
     d = col(den).cast("double")

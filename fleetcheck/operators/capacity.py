@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import col, flag, pct, safe_div, fround
+from ..functions import col, flag, fround, nz, pct, safe_div
 from .ranking import topn
 
 
@@ -35,7 +35,7 @@ def bloat_estimate(tables: DataFrame, part: Sequence[str], rows: str, actual_pag
     expected = F.ceil(col(rows).cast("double") / per_page) + 1
     out = (tables.withColumn("expected_pages", expected.cast("bigint"))
                  .withColumn("bloat_pct", fround(F.lit(100.0) * (col(actual_pages) - F.col("expected_pages")).cast("double")
-                                                  / col(actual_pages).cast("double"), digits)))
+                                                  / nz(col(actual_pages).cast("double")), digits)))
     return out.filter(F.col("bloat_pct") > listed).withColumn("is_abnormal", F.col("bloat_pct") > red)
 
 

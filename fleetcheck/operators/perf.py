@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import col, flag, safe_div, fround
+from ..functions import col, flag, fround, nz, safe_div
 
 
 def snapshot_pair(snaps: DataFrame, part: Sequence[str], snap: str, startup: str) -> DataFrame:
@@ -79,7 +79,7 @@ def time_share(df: DataFrame, part: Sequence[str], key: str, value: str,
     keep = ~col(key).isin(list(exclude)) if exclude else F.lit(True)
     w = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
     tot = F.sum(F.when(keep, col(value))).over(w)
-    return df.withColumn(out, F.when(keep, fround(F.lit(100.0) * col(value).cast("double") / tot.cast("double"), digits)))
+    return df.withColumn(out, F.when(keep, fround(F.lit(100.0) * col(value).cast("double") / nz(tot.cast("double")), digits)))
 
 
 def sql_window_stats(stats: DataFrame, part: Sequence[str], stmt: Sequence[str], ts: str,
@@ -102,7 +102,7 @@ def counter_trend(counters: DataFrame, part: Sequence[str], key: Sequence[str],
     w = Window.partitionBy(*part, *key).orderBy(snap)
     prev = F.coalesce(F.lag(value).over(w), col(value))
     s = interval_s if isinstance(interval_s, Column) else F.lit(float(interval_s))
-    return counters.withColumn(out, fround((col(value) - prev).cast("double") / s, digits))
+    return counters.withColumn(out, fround((col(value) - prev).cast("double") / nz(s), digits))
 
 
 def sequence_gap(df: DataFrame, part: Sequence[str], seq: str, applied: Column,

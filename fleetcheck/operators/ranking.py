@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import col, fround
+from ..functions import col, fround, nz
 
 
 def _orders(order: Sequence) -> list[Column]:
@@ -82,8 +82,8 @@ def pareto(df: DataFrame, metric: str, key: str, part: Sequence[str] = (), n: in
     out = (df.withColumn("_total", F.sum(metric).over(w_all))
              .withColumn("_running", F.sum(metric).over(w_run))
              .withColumn("rn", F.row_number().over((Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(*order)))
-             .withColumn("pct", fround(F.lit(100.0) * F.col(metric).cast("double") / F.col("_total").cast("double"), digits))
-             .withColumn("running_pct", fround(F.lit(100.0) * F.col("_running").cast("double") / F.col("_total").cast("double"), digits))
+             .withColumn("pct", fround(F.lit(100.0) * F.col(metric).cast("double") / nz(F.col("_total").cast("double")), digits))
+             .withColumn("running_pct", fround(F.lit(100.0) * F.col("_running").cast("double") / nz(F.col("_total").cast("double")), digits))
              .drop("_total", "_running"))
     if n is not None:
         out = out.filter(F.col("rn") <= n)

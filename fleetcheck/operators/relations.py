@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import col, flag, longest_prefix, fround
+from ..functions import col, flag, fround, longest_prefix, nz
 
 
 def missing_related(entities: DataFrame, related: DataFrame, on, cond: Column | None = None) -> DataFrame:
@@ -221,7 +221,7 @@ def type_limit_usage(df: DataFrame, type_col, value_col, limits: Sequence[tuple]
     mx = F.when(unsigned, F.element_at(umax, pref)).otherwise(F.element_at(smax, pref)).cast("decimal(20,0)")
     out = (df.withColumn("type_prefix", pref)
              .withColumn("type_max", mx)
-             .withColumn("pct_of_max", fround(F.lit(100.0) * col(value_col).cast("double") / F.col("type_max").cast("double"), digits)))
+             .withColumn("pct_of_max", fround(F.lit(100.0) * col(value_col).cast("double") / nz(F.col("type_max").cast("double")), digits)))
     if red is not None:
         out = out.withColumn("is_abnormal", flag(F.col("pct_of_max") > red))
     return out

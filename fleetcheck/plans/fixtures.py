@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import as_of_lit, day_str, fround, safe_div
+from ..functions import as_of_lit, day_str, fround, nz, safe_div
 from ..operators import capacity as cap
 from ..operators import findings as fnd
 from ..operators import perf, ranking, relations, shapes, text, time, verdict
@@ -332,7 +332,7 @@ def q_sql_window_stats(spark, d):
     tot = g.groupBy("l_returnflag").agg(F.sum("elapsed").alias("_tot"))
     g = (g.join(tot, "l_returnflag")
           .withColumn("per_exec", fround(safe_div("elapsed", "execs"), 2))
-          .withColumn("pct_total", fround(F.lit(100.0) * F.col("elapsed").cast(DBL) / F.col("_tot").cast(DBL), 4))
+          .withColumn("pct_total", fround(F.lit(100.0) * F.col("elapsed").cast(DBL) / nz(F.col("_tot").cast(DBL)), 4))
           .join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
           .filter(~F.col("p_name").like("%bolt%")))
     out = ranking.topn(g, [F.col("elapsed").desc(), F.col("l_partkey").asc()], 10, ["l_returnflag"])
