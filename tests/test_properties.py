@@ -76,3 +76,73 @@ def test_summary_counts_equal_findings(spark, rows):
     s = {r.check_id: (r.n_normal, r.n_abnormal) for r in fnd.health_summary(f, pr).collect()}
     for c in {c for c, _ in rows}:
         assert s[c] == (sum(1 for x, ab in rows if x == c and not ab), sum(1 for x, ab in rows if x == c and ab))
+
+
+# ---- re-aimed operators against brute force --------------------------------
+lists_st = st.dictionaries(st.sampled_from(["i1", "i2", "i3", "i4", "i5", "i6"]),
+                           st.lists(st.sampled_from(["a", "b", "c"]), min_size=1, max_size=4), min_size=1, max_size=6)
+
+
+@SETTINGS
+@given(lists_st, st.sampled_from([None, 2]))
+def test_redundant_index_matches_brute_force(spark, idx, block):
+    rows = [("t", name, pos * 3 + 1, c) for name, cols in idx.items() for pos, c in enumerate(cols)]
+    df = spark.createDataFrame(rows, "tbl string, idx string, pos int, col string")
+    got = {(r.idx, r.width, r.n_covering, r.first_covering)
+           for r in relations.redundant_index(df, ["tbl"], "idx", "pos", "col", block=block).collect()}
+    want = set()
+    for a, ca in idx.items():
+        cov = sorted(b for b, cb in idx.items() if len(cb) > len(ca) and cb[:len(ca)] == ca)
+        if cov:
+            want.add((a, len(ca), len(cov), cov[0]))
+    assert got == want
+
+
+@SETTINGS
+@given(lists_st)
+def test_duplicate_index_matches_brute_force(spark, idx):
+    rows = [("t", name, pos + 1, c) for name, cols in idx.items() for pos, c in enumerate(cols)]
+    df = spark.createDataFrame(rows, "tbl string, idx string, pos int, col string")
+    got = {(r.idx, r.pos, r.col, r.n_sharing, r.first_index, r.last_index)
+           for r in relations.duplicate_index(df, ["tbl"], "idx", "pos", "col").collect()}
+    want = set()
+    slots = {}
+    for name, cols in idx.items():
+        for pos, c in enumerate(cols):
+            slots.setdefault((pos + 1, c), set()).add(name)
+    for (pos, c), members in slots.items():
+        if len(members) > 1:
+            for m in members:
+                want.add((m, pos, c, len(members), min(members), max(members)))
+    assert got == want
+
+
+locks_st = st.lists(st.tuples(st.integers(1, 6), st.booleans(), st.sampled_from(["x", "y", None])),
+                    min_size=1, max_size=12)
+
+
+@SETTINGS
+@given(locks_st)
+def test_blocking_pairs_matches_brute_force(spark, locks):
+    df = spark.createDataFrame(locks, "pid int, granted boolean, rel string")
+    got = {(r.waiter, r.rel, r.n_holders, r.first_holder)
+           for r in relations.blocking_pairs(df, ["rel"], "pid", F.col("granted")).collect()}
+    want = set()
+    for pid, granted, rel in locks:
+        if granted:
+            continue
+        holders = {p for p, g, r in locks if g and r == rel and p != pid}
+        if holders:
+            want.add((pid, rel, len(holders), min(holders)))
+    assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 23), st.integers(0, 59)), min_size=1, max_size=40))
+def test_hour_matrix_cells_sum_to_total(spark, evs):
+    import datetime as dt
+    from fleetcheck.operators import time as tops
+    df = spark.createDataFrame([(i % 2, dt.datetime(2024, 1, 1 + d, h, m)) for i, (d, h, m) in enumerate(evs)],
+                               "inst int, ts timestamp")
+    for r in tops.hour_matrix(df, "ts", ["inst"], 10, 100).collect():
+        assert sum(r[f"h{h:02d}"] for h in range(24)) == r.total
