@@ -77,6 +77,17 @@ def log_class_counts(lines: DataFrame, classes, delay: str = "1 hour", line: str
               .select(*part, "severity", F.col("w.start").alias("hour_start"), "n"))
 
 
+def hour_matrix_from_counts(counts: DataFrame, part: Sequence[str], cell_red: float, total_red: float) -> DataFrame:
+    """Batch view over the streamed (part, day, hour, n) rows: the same day x
+    hour matrix and verdicts as ``operators.time.hour_matrix`` (one
+    conditional aggregate per (part, day))."""
+    cells = [F.sum(F.when(F.col("hour") == h, F.col("n")).otherwise(0)).cast("bigint").alias(f"h{h:02d}")
+             for h in range(24)]
+    out = counts.groupBy(*part, "day").agg(*cells, F.sum("n").cast("bigint").alias("total"))
+    red_cells = sum((F.col(f"h{h:02d}") > cell_red).cast("int") for h in range(24))
+    return out.withColumn("red_cells", red_cells).withColumn("is_abnormal", F.col("total") > total_red)
+
+
 DELTA_SCHEMA = "snap long, startup long, value long, delta long"
 STATE_SCHEMA = "snap long, startup long, value long"
 

@@ -97,3 +97,17 @@ def test_read_text_files_recursive(spark, tmp_path):
     df = read_text_files(spark, str(tmp_path / "bundle"), glob="*.html")
     rows = df.collect()
     assert len(rows) == 1 and rows[0].path.endswith("host1/report.html") and "span" in rows[0].text
+
+
+def test_hour_matrix_from_streamed_counts_equals_batch(spark, tmp_path):
+    from fleetcheck.streaming import hour_matrix_from_counts
+    ev, d = _events_dir(spark, tmp_path)
+    src = read_stream(spark, d, ev.schema).withColumn("instance_id", F.col("user_id") % 3)
+    # a delay covering the whole range keeps every window open; update mode emits running counts
+    _run_to_memory(hour_counts(src, "ts", ["instance_id"], delay="400 days"), "hour_counts_u", mode="update")
+    counts = spark.sql("select instance_id, day, hour, max(n) as n from hour_counts_u group by 1, 2, 3")
+    got = hour_matrix_from_counts(counts, ["instance_id"], 10, 120)
+    want = tops.hour_matrix(ev.withColumn("instance_id", F.col("user_id") % 3), "ts", ["instance_id"], 10, 120)
+    cols = ["instance_id", "day", "total", "red_cells", "is_abnormal"] + [f"h{h:02d}" for h in range(24)]
+    assert sorted(tuple(r[c] for c in cols) for r in got.collect()) == \
+        sorted(tuple(r[c] for c in cols) for r in want.collect())
