@@ -111,3 +111,28 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     for f in frames:
         out = f if out is None else out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def jdbc_frames(spark: SparkSession, url: str, queries: dict, properties: dict | None = None,
+                partitioning: dict | None = None) -> dict:
+    """One DataFrame per catalog view, pulled live over JDBC. ``queries``
+    maps view -> SQL text run by the inspected database (supplied by the
+    caller); ``partitioning`` maps view -> (column, lower, upper, n) for
+    parallel range reads of the large views."""
+    out = {}
+    for view, sql in queries.items():
+        part = (partitioning or {}).get(view)
+        kw = dict(partition_column=part[0], lower=part[1], upper=part[2], num_partitions=part[3]) if part else {}
+        out[view] = read_jdbc(spark, url, f"({sql}) q", properties=properties, **kw)
+    return out
+
+
+def collect_views(frames: dict, root: str, engine: str, instance_id: str, snapshot_ts: str) -> list:
+    """Append one collection of an instance's views to the snapshot store
+    (``root/{engine}/{view}``, partitioned by snapshot_date), adding the
+    envelope. Returns the views written."""
+    written = []
+    for view, df in frames.items():
+        write_snapshots(with_envelope(df, instance_id, engine, snapshot_ts), f"{root}/{engine}", view)
+        written.append(view)
+    return written

@@ -458,3 +458,16 @@ def test_o64_interval_columns(spark):
     got = {r.instance_id: (r.snap_interval_min, r.retention_days, r.is_abnormal)
            for r in run(ctx(spark, e, {"wr_control": w}), "O64").collect()}
     assert got == {"a": (10.0, 8.0, True), "b": (60.0, 61.0, True), "c": (15.0, 60.0, False)}
+
+
+def test_collect_views_into_store_then_check(spark, tmp_path):
+    from fleetcheck.sources import collect_views
+    root = str(tmp_path / "store")
+    for inst, used in (("db1", 95), ("db2", 10)):
+        ts = spark.createDataFrame([("USERS", "PERMANENT", 100, used, 1)],
+                                   "tablespace_name string, contents string, total_bytes bigint, used_bytes bigint, "
+                                   "n_files int")
+        assert collect_views({"tablespaces": ts}, root, "oracle", inst, "2024-01-30 06:00:00") == ["tablespaces"]
+    views = fleet.load_views(spark, root, "oracle")
+    f, s = fleet.fleet_summary(spark, {"oracle": views}, fleet.as_of_ts(AS_OF))
+    assert {(r.instance_id, r.n_abnormal) for r in s.collect()} == {("db1", 1), ("db2", 0)}
