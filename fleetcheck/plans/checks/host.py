@@ -74,6 +74,14 @@ def h04(ctx):
         F.max(F.when(F.col("kind") == "Swap", F.col("used_kb"))).alias("swap_used_kb"))
     g = cap.os_usage(g, F.col("mem_used_kb"), F.col("mem_total_kb"), "mem_used_pct")
     g = cap.os_usage(g, F.col("swap_used_kb"), F.col("swap_total_kb"), "swap_used_pct")  # zero swap -> NULL
+    # collectors that print the percentages themselves (memusage / swapusage sections)
+    pre = (sections(ctx).filter(F.col("section").isin("memusage", "swapusage"))
+           .groupBy(*K).agg(F.max(F.when(F.col("section") == "memusage", F.trim("line").try_cast("double"))).alias("_m"),
+                            F.max(F.when(F.col("section") == "swapusage", F.trim("line").try_cast("double"))).alias("_s")))
+    spine = sections(ctx).select(*K).distinct()
+    g = (spine.join(g, K, "left").join(pre, K, "left")
+              .withColumn("mem_used_pct", F.coalesce("mem_used_pct", fround("_m", 2)))
+              .withColumn("swap_used_pct", F.coalesce("swap_used_pct", fround("_s", 2))).drop("_m", "_s"))
     return g.withColumn("mem_total_gb", fround(F.col("mem_total_kb") / 1024 / 1024, 2)) \
         .withColumn("is_abnormal", F.coalesce((F.col("mem_used_pct") > 90) | (F.col("swap_used_pct") > 50), F.lit(False)))
 
@@ -98,7 +106,11 @@ def h06(ctx):
     s = sections(ctx).filter(F.col("section").isin("meminfo", "thp", "limits", "hosts", "crontab", "loadaverage",
                                                    "upday"))
     thp_on = (F.col("section") == "thp") & F.col("line").contains("[always]")
-    return s.withColumn("is_abnormal", thp_on)
+    mi = r"^\s*([A-Za-z_()]+):\s*(\d+)"   # meminfo 'Name: value kB'
+    is_mi = F.col("section") == "meminfo"
+    return (s.withColumn("mi_name", F.when(is_mi, F.regexp_extract("line", mi, 1)))
+             .withColumn("mi_kb", F.when(is_mi, F.regexp_extract("line", mi, 2).try_cast("bigint")))
+             .withColumn("is_abnormal", thp_on))
 
 
 @check("H07", E, "kernel_parameters", ["os_text"])

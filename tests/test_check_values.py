@@ -223,3 +223,14 @@ def test_remaining_listing_values(spark):
     assert len(reg) == len(base.REGISTRY) and {x.priority for x in reg} == {"high", "medium", "low"}
     tiers = {x.tier: x.n_checks for x in run(spark, "report", "R03", {})}
     assert sum(tiers.values()) == len(base.REGISTRY) and set(tiers) == {"weekly", "monthly", "quarterly"}
+
+
+def test_host_memory_fallback_and_meminfo(spark):
+    dump = "\n".join(["memusage", "93.5", "", "swapusage", "0", "", "meminfo", "MemTotal:       16318412 kB",
+                      "HugePages_Total:       0", "", "thp", "always madvise [never]", ""])
+    r = run(spark, "host", "H04", {"os_text": [{"path": "p", "text": dump}]})
+    assert [(x.mem_used_pct, x.swap_used_pct, x.is_abnormal) for x in r] == [(93.5, 0.0, True)]
+    r = run(spark, "host", "H06", {"os_text": [{"path": "p", "text": dump}]})
+    assert sorted((x.mi_name, x.mi_kb) for x in r if x.section == "meminfo") == [("HugePages_Total", 0),
+                                                                               ("MemTotal", 16318412)]
+    assert not any(x.is_abnormal for x in r)
