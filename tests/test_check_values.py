@@ -234,3 +234,37 @@ def test_host_memory_fallback_and_meminfo(spark):
     assert sorted((x.mi_name, x.mi_kb) for x in r if x.section == "meminfo") == [("HugePages_Total", 0),
                                                                                ("MemTotal", 16318412)]
     assert not any(x.is_abnormal for x in r)
+
+
+PROJECTIONS = [
+    ("O01", "oracle", {"database": [{"dbid": 1, "name": "P", "database_role": "PRIMARY", "open_mode": "READ WRITE"}]},
+     "name", ["P"]),
+    ("O12", "oracle", {"version_banner": [{"banner": "Oracle Database 19c"}]}, "banner", ["Oracle Database 19c"]),
+    ("O14", "oracle", {"patches": [{"patch_id": 1, "action": "APPLY"}, {"patch_id": 2, "action": "ROLLBACK"}]},
+     "patch_id", [1, 2]),
+    ("O37", "oracle", {"settings": [{"inst_id": 1, "name": "db_recovery_file_dest_size", "value": "10", "unit": "G"},
+                                    {"inst_id": 1, "name": "processes", "value": "300"}]}, "display_value", ["10 G"]),
+    ("O38", "oracle", {"database": [{"log_mode": "ARCHIVELOG", "flashback_on": "NO"}]}, "flashback_on", ["NO"]),
+    ("O46", "oracle", {"directories": [{"owner": "SYS", "directory_name": "DP", "directory_path": "/u01/dp"}]},
+     "directory_path", ["/u01/dp"]),
+    ("O50", "oracle", {"db_links": [{"owner": "APP", "db_link": "REMOTE", "host": "h"}]}, "db_link", ["REMOTE"]),
+    ("O52", "oracle", {"autotask_windows": [{"window_name": "MON", "optimizer_stats": "ENABLED"},
+                                            {"window_name": "TUE", "optimizer_stats": "DISABLED"}]},
+     "window_name", ["MON"]),
+    ("O60", "oracle", {"asm_clients": [{"group_number": 1, "instance_name": "+ASM1", "db_name": "P", "status": "CONNECTED"}]},
+     "db_name", ["P"]),
+    ("M45", "mysql", {"binlog_events": [{"event_name": "Write_rows", "count_star": 3, "sum_number_of_bytes": 2 * MB}],
+                      "variables": [st("max_binlog_size", 1024)]}, "mb", [2.0]),
+    ("P07", "postgres", {"tablespaces": [{"spcname": "pg_default", "size_bytes": 2048}]}, "size", ["2048 bytes"]),
+    ("P18", "postgres", {"extensions": [{"extname": "pg_stat_statements", "extversion": "1.10"}]},
+     "extname", ["pg_stat_statements"]),
+    ("H01", "host", {"os_text": [{"path": "p", "text": "kernel\n5.14\n\nosversion\nRHEL 9\n"}]}, "line", ["5.14", "RHEL 9"]),
+    ("H09", "host", {"os_text": [{"path": "p", "text": "patches\n35643107;DB RU 19.21\n\nkernel\n5.14\n"}]},
+     "line", ["35643107;DB RU 19.21"]),
+]
+
+
+def test_projection_checks(spark):
+    for cid, engine, views, col, want in PROJECTIONS:
+        got = sorted(r[col] for r in run(spark, engine, cid, views))
+        assert got == sorted(want), cid
