@@ -87,6 +87,12 @@ def main():
                                                                      block=65536),
         "hour_matrix": lambda: tops.hour_matrix(data.withColumn("i", F.col("user_id") % 3), "ts", ["i"], 10, 120),
         "latest_per_key": lambda: ranking.latest_per_key(data, ["user_id"], ["ts", "event_id"], ["event_id", "value"]),
+        # hot lock key: the hot (day, user) gives ~400k holders and thousands of waiters per event type —
+        # a waiter x holder pair join would emit billions of rows; the per-key aggregation does not
+        "blocking_pairs": lambda: relations.blocking_pairs(
+            data.select("event_id", day_str("ts").alias("day"), "event_type",
+                        F.expr("nullif(user_id % 10, 0)").alias("lock_key"), (F.col("value") >= 1).alias("granted")),
+            ["day", "event_type", "lock_key"], "event_id", F.col("granted")),
     }
     result = {"rows": total, "hot_key_rows": hot, "queries": {}}
     for name, build in runs.items():
