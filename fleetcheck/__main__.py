@@ -2,7 +2,7 @@
 
     python -m fleetcheck --root /shared/snapshots --as-of "2024-01-31 00:00:00" \\
         --out /shared/health/2024-01-31 [--since 2024-01-01] [--engines oracle,mysql] [--tier monthly] \\
-        [--materialize]
+        [--materialize] [--shuffle-partitions 200000]
 
 Reads ``root/{engine}/{view}/snapshot_date=...``, runs every applicable
 check, writes ``out/findings`` (partitioned by engine, check_id),
@@ -29,10 +29,12 @@ def main(argv=None) -> dict:
     ap.add_argument("--since")
     ap.add_argument("--engines", default=",".join(ENGINES))
     ap.add_argument("--tier", choices=("weekly", "monthly", "quarterly"))
+    ap.add_argument("--shuffle-partitions", type=int,
+                    help="initial shuffle partitions (~ shuffle bytes / 128 MB on a cluster; AQE coalesces down)")
     ap.add_argument("--materialize", action="store_true",
                     help="checkpoint each latest collection before the checks (large fleets)")
     a = ap.parse_args(argv)
-    spark = build_session("fleetcheck")
+    spark = build_session("fleetcheck", shuffle_partitions=a.shuffle_partitions)
     as_of = fleet.as_of_ts(a.as_of)
     views = {e: fleet.load_views(spark, a.root, e, since=a.since) for e in a.engines.split(",")}
     views = {e: v for e, v in views.items() if v}
