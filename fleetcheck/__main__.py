@@ -31,6 +31,8 @@ def main(argv=None) -> dict:
     ap.add_argument("--tier", choices=("weekly", "monthly", "quarterly"))
     ap.add_argument("--shuffle-partitions", type=int,
                     help="initial shuffle partitions (~ shuffle bytes / 128 MB on a cluster; AQE coalesces down)")
+    ap.add_argument("--isolate", action="store_true",
+                    help="one job per check; failing checks are recorded in out/errors and the rest still run")
     ap.add_argument("--materialize", action="store_true",
                     help="checkpoint each latest collection before the checks (large fleets)")
     a = ap.parse_args(argv)
@@ -38,14 +40,23 @@ def main(argv=None) -> dict:
     as_of = fleet.as_of_ts(a.as_of)
     views = {e: fleet.load_views(spark, a.root, e, since=a.since) for e in a.engines.split(",")}
     views = {e: v for e, v in views.items() if v}
-    f, summary = fleet.fleet_summary(spark, views, as_of, a.tier, out_path=f"{a.out}/findings",
-                                     materialize=a.materialize)
+    if a.isolate:
+        errs = fleet.write_findings_isolated(spark, views, as_of, f"{a.out}/findings", a.tier)
+        errs.write.mode("overwrite").parquet(f"{a.out}/errors")
+        f = spark.read.parquet(f"{a.out}/findings")
+        from .plans.checks.report import health_summary_of
+        summary = health_summary_of(f, spark)
+    else:
+        f, summary = fleet.fleet_summary(spark, views, as_of, a.tier, out_path=f"{a.out}/findings",
+                                         materialize=a.materialize)
     summary.write.mode("overwrite").parquet(f"{a.out}/summary")
     summary = spark.read.parquet(f"{a.out}/summary")
     priority_rollup(summary).write.mode("overwrite").parquet(f"{a.out}/priorities")
     counts = {r["status"]: r["n"] for r in summary.groupBy("status").count().withColumnRenamed("count", "n").collect()}
     result = {"engines": sorted(views), "findings": f.count(), "checks_normal": counts.get("normal", 0),
               "checks_abnormal": counts.get("abnormal", 0)}
+    if a.isolate:
+        result["check_errors"] = spark.read.parquet(f"{a.out}/errors").count()
     print(json.dumps(result))
     return result
 

@@ -58,3 +58,28 @@ def fleet_summary(spark: SparkSession, views_by_engine, as_of: Column, tier: str
 
 def as_of_ts(ts: str) -> Column:
     return F.lit(ts).cast("timestamp")
+
+
+def write_findings_isolated(spark: SparkSession, views_by_engine, as_of: Column, out_path: str,
+                            tier: str | None = None) -> DataFrame:
+    """Per-check isolation (the reference's per-section TRY/CATCH): each
+    check's findings are written as their own job into ``out_path``
+    (partitioned by engine and check_id); a check that fails while building
+    or running is recorded and the others still run. Returns the errors as a
+    DataFrame (instance_id NULL, check_name, error) — the run-errors view."""
+    errors = []
+    for engine, views in views_by_engine.items():
+        ctx = base.Ctx(spark, views, as_of)
+        results, build_errors = base.run_checks(ctx, engine, tier=tier)
+        errors += [(cid, msg) for cid, msg in build_errors.items() if not msg.startswith("missing input")]
+        for cid, df in results.items():
+            f = base.run_findings(ctx, engine, ids=[cid], tier=tier) if "is_abnormal" in df.columns else None
+            if f is None:
+                continue
+            try:
+                (f.drop("engine", "check_id").write.mode("overwrite")
+                  .parquet(f"{out_path}/engine={engine}/check_id={cid}"))
+            except Exception as e:  # noqa: BLE001 - isolate one check's runtime failure
+                errors.append((cid, str(e).splitlines()[0][:500]))
+    return spark.createDataFrame([(None, c, m) for c, m in errors],
+                                 "instance_id string, check_name string, error string")

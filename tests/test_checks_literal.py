@@ -471,3 +471,23 @@ def test_collect_views_into_store_then_check(spark, tmp_path):
     views = fleet.load_views(spark, root, "oracle")
     f, s = fleet.fleet_summary(spark, {"oracle": views}, fleet.as_of_ts(AS_OF))
     assert {(r.instance_id, r.n_abnormal) for r in s.collect()} == {("db1", 1), ("db2", 0)}
+
+
+def test_isolated_run_records_failing_check(spark, tmp_path):
+    from pyspark.sql import functions as F2
+    e = "oracle"
+    ts = view(spark, e, "tablespaces", [{"instance_id": "a", "tablespace_name": "USERS", "contents": "PERMANENT",
+                                         "total_bytes": 100, "used_bytes": 95}])
+
+    @base.check("Z99", e, "always_fails_at_runtime", ["tablespaces"], key=("tablespace_name",))
+    def z99(ctx):
+        return ctx.cur("tablespaces").withColumn("is_abnormal", F2.raise_error(F2.lit("boom")).isNull())
+
+    try:
+        errs = fleet.write_findings_isolated(spark, {e: {"tablespaces": ts}}, fleet.as_of_ts(AS_OF), str(tmp_path / "f"))
+        got = {(r.check_name, "boom" in r.error) for r in errs.collect()}
+        assert got == {("Z99", True)}
+        f = spark.read.parquet(str(tmp_path / "f"))
+        assert {(r.check_id, r.is_abnormal) for r in f.collect()} == {("O22", True)}
+    finally:
+        base.REGISTRY.pop("Z99", None)
