@@ -74,7 +74,7 @@ def q_threshold_flag(spark, d):
 def q_utilization_pct(spark, d):
     p = Tables(spark, d).part.select(
         "p_partkey", F.col("p_size").alias("used"),
-        F.when(F.col("p_partkey") % 7 == 0, F.lit(None).cast("int")).otherwise(F.lit(50)).alias("limit_value"))
+        F.when(F.col("p_partkey") % 7 == 0, F.lit(None).cast(DBL)).otherwise(F.lit(50.0)).alias("limit_value"))
     return verdict.utilization_pct(p, "used", "limit_value", 2, red=90, op=">=")
 
 
@@ -130,7 +130,8 @@ def q_latest_per_key(spark, d):
     last = ranking.latest_per_key(t.orders, ["o_custkey"], ["o_orderdate", "o_orderkey"],
                                   ["o_orderkey", "o_orderdate", "o_totalprice"])
     out = t.customer.select("c_custkey").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return out.select("c_custkey", "o_orderkey", day_str("o_orderdate").alias("last_order_date"), "o_totalprice")
+    return out.select("c_custkey", F.col("o_orderkey").cast(DBL).alias("o_orderkey"),
+                      day_str("o_orderdate").alias("last_order_date"), "o_totalprice")
 
 
 def q_recent_failures(spark, d):
@@ -156,7 +157,7 @@ def q_age_flag(spark, d):
     c = t.customer.select("c_custkey").join(last, F.col("c_custkey") == F.col("o_custkey"), "left")
     out = time.age_flag(c, "last_ts", as_of_lit(ORD_AS_OF), 1000)
     return out.select("c_custkey", day_str("last_ts").alias("last_date"),
-                      F.col("age_days").cast(BIG).alias("age_days"), "is_abnormal")
+                      F.col("age_days").cast(DBL).alias("age_days"), "is_abnormal")
 
 
 def q_expiry_window(spark, d):
@@ -174,7 +175,8 @@ def q_blocking_pairs(spark, d):
         "event_id", day_str("ts").alias("day"), "event_type",
         F.expr("nullif(user_id % 10, 0)").alias("lock_key"), (F.col("value") >= 1).alias("granted"))
     out = relations.blocking_pairs(locks, ["day", "event_type", "lock_key"], "event_id", F.col("granted"))
-    return out.select("day", "event_type", "lock_key", "waiter", "n_holders", "first_holder")
+    return out.select("day", "event_type", F.col("lock_key").cast(DBL).alias("lock_key"), "waiter", "n_holders",
+                      "first_holder")
 
 
 def q_blocking_parent(spark, d):
@@ -182,7 +184,7 @@ def q_blocking_parent(spark, d):
     c = c.withColumn("_parent", F.struct("conv_id", (F.col("turn") - 1).alias("turn"))) \
          .withColumn("_id", F.struct("conv_id", "turn"))
     out = relations.blocking_parent(c, "_id", "_parent", ["turn", "role"])
-    return out.select("conv_id", "turn", "role", "blocker_turn", "blocker_role")
+    return out.select("conv_id", "turn", "role", F.col("blocker_turn").cast(DBL).alias("blocker_turn"), "blocker_role")
 
 
 def q_missing_related(spark, d):
@@ -204,7 +206,8 @@ def q_backup_freshness(spark, d):
     since = as_of_lit(ORD_AS_OF) - F.expr("INTERVAL 90 DAYS")
     out = relations.backup_freshness(t.customer, hist, "c_custkey", "o_orderdate", since,
                                      ["o_orderkey", "o_orderdate"])
-    return out.select("c_custkey", "o_orderkey", day_str("o_orderdate").alias("order_date"), "kind")
+    return out.select("c_custkey", F.col("o_orderkey").cast(DBL).alias("o_orderkey"),
+                      day_str("o_orderdate").alias("order_date"), "kind")
 
 
 def q_duplicate_index(spark, d):
@@ -356,7 +359,8 @@ def q_counter_trend(spark, d):
 
 def q_sequence_gap(spark, d):
     c = Tables(spark, d).conversations
-    return perf.sequence_gap(c, ["conv_id"], "turn", F.col("role") == "assistant", 0)
+    out = perf.sequence_gap(c, ["conv_id"], "turn", F.col("role") == "assistant", 0)
+    return out.withColumn("applied", F.col("applied").cast(DBL)).withColumn("gap", F.col("gap").cast(DBL))
 
 
 # -------------------------------------------------------- aggregation shapes
@@ -532,7 +536,7 @@ def q_host_port_split(spark, d):
     p = Tables(spark, d).pages.select("page_id", "url")
     p = p.withColumn("authority", F.regexp_extract("url", r"^[A-Za-z]+://([^/?#]*)", 1))
     out = verdict.host_port_split(p, "authority")
-    return out.select("page_id", "host", "port",
+    return out.select("page_id", "host", F.col("port").cast(DBL).alias("port"),
                       F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1).alias("path"),
                       F.col("url").contains("?").alias("has_query"))
 

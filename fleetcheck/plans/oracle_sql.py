@@ -75,7 +75,7 @@ SELECT s_suppkey, s_name, s_acctbal AS metric, COALESCE(s_acctbal < 0, false) AS
 FROM supplier"""
 
 SQL["utilization_pct"] = f"""
-WITH p AS (SELECT p_partkey, p_size AS used, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 50 END AS limit_value FROM part)
+WITH p AS (SELECT p_partkey, p_size AS used, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE 50.0::DOUBLE END AS limit_value FROM part)
 SELECT *, {R("100.0::DOUBLE * (CAST(used AS DOUBLE) / NULLIF(CAST(limit_value AS DOUBLE), 0))", 2)} AS pct,
        COALESCE({R("100.0::DOUBLE * (CAST(used AS DOUBLE) / NULLIF(CAST(limit_value AS DOUBLE), 0))", 2)} >= 90, false) AS is_abnormal
 FROM p"""
@@ -124,7 +124,7 @@ SELECT * FROM (
 
 SQL["latest_per_key"] = """
 WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders)
-SELECT c_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS last_order_date, o_totalprice
+SELECT c_custkey, CAST(o_orderkey AS DOUBLE) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS last_order_date, o_totalprice
 FROM customer LEFT JOIN o ON o.o_custkey = c_custkey AND o.rn = 1"""
 
 SQL["recent_failures"] = f"""
@@ -145,7 +145,7 @@ WHERE o_orderstatus = 'O' AND date_diff('second', o_orderdate, {ORD_AS_OF}) > 36
 SQL["age_flag"] = f"""
 WITH last AS (SELECT o_custkey, max(o_orderdate) AS last_ts FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
 SELECT c_custkey, strftime(last_ts, '%Y-%m-%d') AS last_date,
-       date_diff('day', CAST(last_ts AS DATE), CAST({ORD_AS_OF} AS DATE)) AS age_days,
+       CAST(date_diff('day', CAST(last_ts AS DATE), CAST({ORD_AS_OF} AS DATE)) AS DOUBLE) AS age_days,
        COALESCE(last_ts IS NULL OR date_diff('day', CAST(last_ts AS DATE), CAST({ORD_AS_OF} AS DATE)) > 1000, false) AS is_abnormal
 FROM customer LEFT JOIN last ON o_custkey = c_custkey"""
 
@@ -159,14 +159,14 @@ WHERE date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) BETW
 SQL["blocking_pairs"] = """
 WITH l AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, event_type, NULLIF(user_id % 10, 0) AS lock_key,
                   value >= 1 AS granted FROM events)
-SELECT w.day, w.event_type, w.lock_key, w.event_id AS waiter, count(*) AS n_holders, min(h.event_id) AS first_holder
+SELECT w.day, w.event_type, CAST(w.lock_key AS DOUBLE) AS lock_key, w.event_id AS waiter, count(*) AS n_holders, min(h.event_id) AS first_holder
 FROM l w JOIN l h ON w.day = h.day AND w.event_type = h.event_type AND w.lock_key IS NOT DISTINCT FROM h.lock_key
                  AND h.event_id <> w.event_id
 WHERE NOT w.granted AND h.granted
 GROUP BY ALL"""
 
 SQL["blocking_parent"] = """
-SELECT c.conv_id, c.turn, c.role, p.turn AS blocker_turn, p.role AS blocker_role
+SELECT c.conv_id, c.turn, c.role, CAST(p.turn AS DOUBLE) AS blocker_turn, p.role AS blocker_role
 FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1"""
 
 SQL["missing_related"] = """
@@ -177,10 +177,10 @@ SQL["member_of"] = """
 SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
 
 SQL["backup_freshness"] = f"""
-SELECT o_custkey AS c_custkey, o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_date, 'history' AS kind
+SELECT o_custkey AS c_custkey, CAST(o_orderkey AS DOUBLE) AS o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS order_date, 'history' AS kind
 FROM orders WHERE o_orderdate >= {ORD_AS_OF} - INTERVAL 90 DAY
 UNION ALL
-SELECT c_custkey, NULL, NULL, 'missing' FROM customer c
+SELECT c_custkey, NULL::DOUBLE, NULL, 'missing' FROM customer c
 WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderdate >= {ORD_AS_OF} - INTERVAL 90 DAY)"""
 
 SQL["duplicate_index"] = """
@@ -307,8 +307,8 @@ SELECT instance_id, stat, strftime(d, '%Y-%m-%d') AS day, value,
 FROM counters"""
 
 SQL["sequence_gap"] = """
-SELECT conv_id, max(turn) FILTER (WHERE role = 'assistant') AS applied, max(turn) AS current,
-       max(turn) - max(turn) FILTER (WHERE role = 'assistant') AS gap,
+SELECT conv_id, CAST(max(turn) FILTER (WHERE role = 'assistant') AS DOUBLE) AS applied, max(turn) AS current,
+       CAST(max(turn) - max(turn) FILTER (WHERE role = 'assistant') AS DOUBLE) AS gap,
        COALESCE(max(turn) - max(turn) FILTER (WHERE role = 'assistant') > 0, false) AS is_abnormal
 FROM conversations GROUP BY conv_id"""
 
@@ -450,7 +450,7 @@ FROM labels"""
 SQL["host_port_split"] = """
 WITH a AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1) AS authority FROM pages)
 SELECT page_id, split_part(authority, ':', 1) AS host,
-       CASE WHEN strpos(authority, ':') > 0 THEN TRY_CAST(split_part(authority, ':', -1) AS INTEGER) END AS port,
+       CAST(CASE WHEN strpos(authority, ':') > 0 THEN TRY_CAST(split_part(authority, ':', -1) AS INTEGER) END AS DOUBLE) AS port,
        regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, contains(url, '?') AS has_query
 FROM a"""
 
