@@ -4,7 +4,9 @@ Each query calls the same operator function a catalog check calls, with the
 fixture's column names playing the catalog's roles (SURVEY §7.3). Every
 query reads whole tables. Output hygiene for the DuckDB comparison: money is
 summed as DECIMAL (exact), ratios use ``fround`` (same IEEE steps in both
-engines), computed integers are BIGINT, dates are ``yyyy-MM-dd`` strings.
+engines), computed integers are BIGINT except integer columns that can hold
+NULLs, which are DOUBLE (pandas turns them into float64 + NaN in Spark but
+nullable Int64 in DuckDB), dates are ``yyyy-MM-dd`` strings.
 
 Roles on ``events``: instance = ``user_id % 3``, snapshot = day of ``ts``
 (snap_id = days since 2024-01-01, startup epoch = snap_id div 10), statistic
