@@ -35,3 +35,8 @@ def test_event_and_conversation_facts(spark, q):
     assert rf.select("user_id").distinct().count() == 141
     sg = q["sequence_gap"](spark, SF).agg(F.count_if(F.col("gap") == 1), F.count_if(F.col("applied").isNull())).collect()[0]
     assert list(sg) == [44, 2]
+
+
+def test_redundant_index_counts_the_survey_pairs(spark, q):
+    # the linear per-index output carries the pair count: sum(n_covering) = number of (A, B) prefix pairs
+    assert q["redundant_index"](spark, SF).agg(F.sum("n_covering")).collect()[0][0] == 24183
