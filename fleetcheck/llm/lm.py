@@ -35,7 +35,7 @@ CLASSES = 64  # coarse, predicted
 FINE = 256  # read; one more stands for the beginning of a text
 DIM = 16
 WIDTH, OVERLAP = 32, 8
-ROUNDS, EVERY = 3, 12
+ROUNDS, EVERY = 2, 12
 BATCH = 256  # windows at once
 RATE = 0.01
 FREQUENT = 200_000  # words, at most, whose counts are sent to all tasks; the others are joined
@@ -114,32 +114,35 @@ class Model:
         return out
 
 
-def class_rows(m, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(fine classes before each of a text's ids and the end, their coarse classes)."""
-    t = np.append(ids, END_ID)
-    return np.r_[FINE, m.fine[t[:-1]]], m.cls[t]
-
-
 def window_starts(n: int) -> np.ndarray:
     """First inputs of the windows over n inputs; each but the first scores from OVERLAP on."""
     return np.arange(0, max(n - OVERLAP, 1), WIDTH - OVERLAP)
 
 
-def windows(x: list[np.ndarray], y: list[np.ndarray], pick=None):
-    """(inputs, targets, scored, text) arrays of shape (windows, WIDTH) or (windows,) over texts, padded."""
-    starts = [window_starts(len(a)) for a in x]
+def windows(m, ids: list[np.ndarray], pick=None):
+    """(fine classes before, coarse classes, scored, text) of texts' windows, padded; text has one entry a window.
+
+    A text's inputs are its beginning and its ids, its targets the ids and the end.
+    """
+    size = np.array([len(i) for i in ids], dtype=np.int64) + 1
+    starts = [window_starts(n) for n in size.tolist()]
     if pick is not None:
         starts = [s[pick(i)::EVERY] for i, s in enumerate(starts)]
-    n = np.array([len(s) for s in starts])
-    text = np.repeat(np.arange(len(x)), n)
-    size = np.array([len(a) for a in x])
-    base = np.r_[0, np.cumsum(size)[:-1]]
-    first = np.concatenate(starts) if starts else np.zeros(0, dtype=np.int64)
+    text = np.repeat(np.arange(len(ids)), [len(s) for s in starts])
+    base = np.cumsum(size) - size
+    first = np.concatenate(starts)
     at = first[:, None] + np.arange(WIDTH)
     real = at < size[text][:, None]
     place = np.where(real, at + base[text][:, None], 0)
+    whole = np.empty(int(size.sum()) + 1, dtype=np.int64)  # each text's ids with END_ID before and behind
+    whole[0] = END_ID
+    for b, i in zip(base.tolist(), ids):
+        whole[b + 1:b + 1 + len(i)] = i
+        whole[b + 1 + len(i)] = END_ID
+    x = m.fine[whole[place]]
+    x[first == 0, 0] = FINE
     scored = real & ((np.arange(WIDTH) >= OVERLAP) | (first == 0)[:, None])
-    return np.concatenate(x)[place], np.concatenate(y)[place], scored, text
+    return x, m.cls[whole[place + 1]], scored, text
 
 
 _EARLIER = np.tril(np.ones((WIDTH, WIDTH), dtype=np.float32))
@@ -310,11 +313,10 @@ def fit(ids: DataFrame) -> Model:
             model.p = {k: v.copy() for k, v in model.p.items()}  # a worker's later tasks begin from the same weights
             adam, seen = Adam(model.p), 0
             for b in batches:
-                xy = [class_rows(model, i) for i in _ids(b)]
-                if not xy:
+                if not b.num_rows:
                     continue
                 # Texts begin at different windows, so short ones take part in some round.
-                x, y, scored, _ = windows(*map(list, zip(*xy)), pick=lambda i: (i + r * (EVERY // ROUNDS)) % EVERY)
+                x, y, scored, _ = windows(model, _ids(b), pick=lambda i: (i + r * (EVERY // ROUNDS)) % EVERY)
                 for a in range(0, len(x), BATCH):
                     if scored[a:a + BATCH].any():
                         g, _ = gradient(model, x[a:a + BATCH], y[a:a + BATCH], scored[a:a + BATCH])
@@ -334,10 +336,13 @@ def text_scores(m: Model, ids: list[np.ndarray]) -> np.ndarray:
     """log10 probability of each text: of its ids and the end."""
     if not ids:
         return np.zeros(0)
-    x, y = map(list, zip(*(class_rows(m, i) for i in ids)))
-    share = m.log_share(np.concatenate(x), np.concatenate([np.append(i, END_ID) for i in ids]))
-    out = np.add.reduceat(share, np.r_[0, np.cumsum([len(a) for a in x])[:-1]])
-    wx, wy, scored, text = windows(x, y)
+    size = np.array([len(i) + 1 for i in ids])
+    first = np.cumsum(size) - size
+    after = np.concatenate([np.append(i, END_ID) for i in ids])
+    before = m.fine[np.r_[END_ID, after[:-1]]]
+    before[first] = FINE
+    out = np.add.reduceat(m.log_share(before, after), first)
+    wx, wy, scored, text = windows(m, ids)
     lp = log_probs(m, wx, wy, scored)
     out += np.bincount(np.repeat(text, scored.sum(1)), weights=lp, minlength=len(ids))
     return out / np.log(10)
@@ -361,7 +366,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         for b in batches:
             for t in b.column(0).to_pylist():
                 c.update(_words(t))
-            if len(c) > 500_000:
+            if len(c) > 250_000:
                 yield out(c)
                 c = Counter()
         if c:
@@ -396,7 +401,7 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = _words(t)
                 c = Counter(w)
-                rare = c.keys() - known.keys()
+                rare = [x for x in c if x not in known]
                 near = [(known[x], k) for x, k in c.items() if x in known]
                 # The text's own row: a word that no other row has, so that it joins with nothing.
                 rid.append(i)

@@ -117,46 +117,37 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
                  text: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Encode whole texts (null: empty), each followed by end_id, and write blocks in ascending order of id.
 
-    Texts are encoded and packed where they lie; the packed documents are then dealt by ranges of ids and cut into
-    blocks. Rows with equal ids lie in order of their packed bytes; null ids come first and are written as -2**63.
+    The texts are dealt by ranges of ids, then encoded and cut into blocks. Ranges are found from the rows as they
+    are, so nothing is encoded for that. Rows with equal ids lie in order of their texts; null ids come first and
+    are written as -2**63.
     """
     spark = docs.sparkSession
     workers_ready(spark)
 
-    def pack(batches):
+    def blocks(batches):
         import pyarrow as pa
-
-        ids = word_ids(tokenizer)
-        end = np.array([end_id], dtype="<u4")
-        for b in batches:
-            n, packed = [], []
-            for t in b.column(1).to_pylist():
-                v = np.concatenate([ids.encode(t), end])
-                n.append(len(v))
-                packed.append(v.astype("<u2" if v.max() < 1 << 16 else "<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(packed, pa.binary())],
-                                             ["doc_id", "n", "packed"])
-
-    def blocks(frames):
         from pyspark import TaskContext
 
+        coder = word_ids(tokenizer)
         shard, block, done = TaskContext.get().partitionId(), 0, 0
         doc_ids, counts, parts, total = [], [], [], 0
+        end = np.array([end_id], dtype="<u4")
+        names = [c.split()[0] for c in _BLOCK.split(", ")]
 
         def close():
             words = encode(np.concatenate(parts))
             first = np.r_[0, np.cumsum(counts)[:-1]].astype("<i8")
-            return pd.DataFrame([(shard, block, done, len(counts), total, np.array(doc_ids, "<i8").tobytes(),
-                                  np.array(counts, "<i8").tobytes(), first.tobytes(), words.astype("<u8").tobytes())],
-                                columns=[c.split()[0] for c in _BLOCK.split(", ")])
+            row = (shard, block, done, len(counts), total, np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<i8").tobytes(),
+                   first.tobytes(), words.astype("<u8").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if isinstance(x, int) else pa.binary()) for x in row], names)
 
-        for f in frames:
-            for i, n, packed in zip(f["doc_id"], f["n"], f["packed"]):
-                v = np.frombuffer(packed, dtype="<u2" if len(packed) == 2 * n else "<u4")
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                v = coder.encode(t)
                 doc_ids.append(i)
-                counts.append(n)
-                parts.append(v.astype(np.uint32))
-                total += n
+                counts.append(len(v) + 1)
+                parts += [v, end]
+                total += len(v) + 1
                 if total >= block_ids:
                     yield close()
                     block, done = block + 1, done + total
@@ -166,9 +157,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, id
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc_id"),
                        F.col(text).cast("string").alias("text"))
-    packed = rows.mapInArrow(pack, "doc_id long, n long, packed binary")
-    ordered = packed.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "packed")
-    ordered.mapInPandas(blocks, _BLOCK).write.parquet(path)
+    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered.mapInArrow(blocks, _BLOCK).write.parquet(path)
 
 
 def read_blocks(spark, path: str) -> DataFrame:

@@ -201,20 +201,21 @@ def _spans_of_runs(runs: DataFrame, table: DataFrame, min_len: int) -> list[Data
     # An anchor's runs need no more than counts and extremes, summed before they are dealt.
     several = runs.groupBy("anchor").agg(F.count("*").alias("c"), F.min("digest").alias("d0"), F.max("digest").alias("d1")).where(
         "c > 1").select("anchor", (F.col("d0") != F.col("d1")).alias("mixed"))
-    hits = stored(runs.join(several, "anchor"), "hits")
+    # Sums are written before they are joined, so that Spark can split an anchor that very many runs have.
+    hits = stored(runs.join(stored(several, "several"), "anchor"), "hits")
     spans = [hits.where("not mixed").select("rid", "start", "n")]
     mixed = hits.where("mixed").drop("mixed")
     kinds = stored(mixed.groupBy("anchor", "digest").agg(F.count("*").alias("c"), F.min("rid").alias("first")), "kinds")
-    many = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"))
-    kinds = kinds.join(many, "anchor")
+    hot = stored(kinds.groupBy("anchor").agg(F.count("*").alias("n_kinds")).where(F.col("n_kinds") > HOT).select("anchor"), "hot")
+    kinds = kinds.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     known = stored(mixed.join(kinds, ["anchor", "digest"]).withColumn("single", F.col("c") == 1), "known")
     spans.append(known.where("not single").select("rid", "start", "n"))
     # Bytes of one run of each kind: the first one of its first text.
-    shared = known.where("not single and rid = first").groupBy("anchor", "digest", "rid", "n", "kinds", "single").agg(
+    shared = known.where("not single and rid = first").groupBy("anchor", "digest", "rid", "n", "hot", "single").agg(
         F.min("start").alias("start"))
     one = shared.unionByName(known.where("single").select(*shared.columns))
     wanted = one.groupBy("rid").agg(F.collect_list(F.struct(
-        "start", "n", "anchor", "single", (F.col("kinds") > HOT).alias("hot"))).alias("runs"))
+        "start", "n", "anchor", "single", "hot")).alias("runs"))
     total = one.agg(F.sum(F.col("n") + min_len)).first()[0] or 0
     if not total:
         return spans

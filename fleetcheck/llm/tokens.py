@@ -12,8 +12,8 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 400_000  # words held per worker process; further ones are encoded each time, with the same result
-CACHE_LEN = 64  # longer words are encoded each time
+CACHE_WORDS = 400_000  # words, and units of words, held per worker process; further ones are encoded each time
+CACHE_LEN = 64  # longer ones are encoded each time
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 #: Fixed by byte-level vocabularies: the character that stands for each byte
 _BYTES = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
@@ -33,29 +33,31 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.units: dict[bytes, bytes] = {}
         self.by_unit = self._whole("Don,t-") == self._unit("don") + self._unit(",") + self._unit("t") + self._unit("-")
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _unit(self, unit: str) -> bytes:
-        chars = unit.encode().decode("latin-1").translate(_CHAR)
+        chars = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_CHAR)
         return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
+    def _known_unit(self, unit: bytes) -> bytes:
+        ids = self.units.get(unit)
+        if ids is None:
+            ids = self._unit(unit.decode())
+            if len(self.units) < CACHE_WORDS and len(unit) <= CACHE_LEN:
+                self.units[unit] = ids
+        return ids
+
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text) if self.by_unit else None
-        if not plain:
-            ids = self._whole(text)
+        if self.by_unit and word.isalpha():  # of bytes: ASCII letters only
+            ids = self._known_unit(word.lower())
+        elif plain := self.by_unit and _PLAIN.fullmatch(word.decode()):
+            ids = b"".join(self._known_unit(u.lower().encode()) for u in plain.groups() if u)
         else:
-            unit = plain[1].lower()
-            key = unit.encode()
-            if plain[2]:
-                ids = self[key] + self[plain[2].encode()]
-            elif key != word:
-                ids = self[key]
-            else:
-                ids = self._unit(unit)
+            ids = self._whole(word.decode())
         if len(self) < CACHE_WORDS and len(word) <= CACHE_LEN:
             self[word] = ids
         return ids
@@ -79,7 +81,7 @@ class PieceCounts(dict):
 
     def __missing__(self, word: str) -> int:
         n = len(self.processor.encode(word))
-        if len(self) < CACHE_WORDS and len(word) <= CACHE_LEN:
+        if len(self) < CACHE_WORDS // 2 and len(word) <= CACHE_LEN:
             self[word] = n
         return n
 
