@@ -35,8 +35,9 @@ CLASSES = 64  # coarse, predicted
 FINE = 256  # read; one more stands for the beginning of a text
 DIM = 16
 WIDTH, OVERLAP = 32, 8
-ROUNDS, EVERY = 2, 12
+ROUNDS, EVERY = 2, 16
 BATCH = 256  # windows at once
+CHUNK_IDS = 50_000  # about so many ids are laid out in windows at once
 RATE = 0.01
 FREQUENT = 200_000  # words, at most, whose counts are sent to all tasks; the others are joined
 END_WORD = b" "  # no word holds a blank
@@ -154,10 +155,10 @@ def _attend(p: dict, x: np.ndarray):
     e = p["emb"][x] + p["pos"]
     q, k, v = e @ (p["q"] * np.float32(DIM ** -0.5)), e @ p["k"], e @ p["v"]
     s = q @ k.transpose(0, 2, 1)
-    np.clip(s, -CLIP, CLIP, out=s)
+    np.minimum(s, CLIP, out=s)
     np.exp(s, out=s)
     s *= _EARLIER
-    s /= (s @ np.ones((WIDTH, 1), dtype=np.float32))
+    s /= s @ _ONES[:WIDTH] + np.float32(1e-30)
     mixed = s @ v
     return e, q, k, v, s, mixed, mixed @ p["o"] + e
 
@@ -165,7 +166,7 @@ def _attend(p: dict, x: np.ndarray):
 def _exponents(m: Model, x: np.ndarray, h: np.ndarray):
     z = h @ m.p["out"]
     z += m.log_pair[x]
-    np.clip(z, -CLIP, CLIP, out=z)
+    np.minimum(z, CLIP, out=z)
     e = np.exp(z)
     return z, e, e @ _ONES
 
@@ -333,9 +334,20 @@ def fit(ids: DataFrame) -> Model:
 
 
 def text_scores(m: Model, ids: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each text: of its ids and the end."""
-    if not ids:
-        return np.zeros(0)
+    """log10 probability of each text: of its ids and the end. Some texts at a time, whole, to keep arrays small."""
+    out, part, total = [], [], 0
+    for i in ids:
+        part.append(i)
+        total += len(i)
+        if total > CHUNK_IDS:
+            out.append(_scores(m, part))
+            part, total = [], 0
+    if part:
+        out.append(_scores(m, part))
+    return np.concatenate(out) if out else np.zeros(0)
+
+
+def _scores(m: Model, ids: list[np.ndarray]) -> np.ndarray:
     size = np.array([len(i) + 1 for i in ids])
     first = np.cumsum(size) - size
     after = np.concatenate([np.append(i, END_ID) for i in ids])

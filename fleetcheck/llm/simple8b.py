@@ -23,6 +23,7 @@ from .tokens import word_ids
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = 60 // COUNTS
 ESCAPE = 15
+_WIDTH_16 = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)  # bits of each number
 BLOCK_IDS = 1 << 16  # a block is closed at the first document end beyond so many ids
 
 
@@ -32,33 +33,28 @@ def encode(ids: np.ndarray) -> np.ndarray:
     n = len(v)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    # The place of the highest bit, counted from one; halves keep the conversion to float exact.
-    high = np.frexp((v >> np.uint64(32)).astype(np.float64))[1]
-    width = np.where(high > 0, high + 32, np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.int8)
+    if int(v.max()) < 1 << 16:
+        width = _WIDTH_16[v]
+    else:  # the place of the highest bit, counted from one; halves keep the conversion to float exact
+        high = np.frexp((v >> np.uint64(32)).astype(np.float64))[1]
+        width = np.where(high > 0, high + 32, np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
     widest = int(width.max())
-    at = np.arange(n, dtype=np.int32)
-    left = n - at
     chosen = np.full(n, ESCAPE, dtype=np.int8)
     for s in range(len(COUNTS) - 1, -1, -1):  # later ones hold more ids
         if s and WIDTHS[s - 1] >= widest:
             continue  # the one before holds more and fits everything as well
-        if WIDTHS[s] >= widest:
-            chosen[:] = s
-            continue
-        wide = width > WIDTHS[s]
-        edge = np.flatnonzero(wide)
-        if len(edge) > n - n // 64 and COUNTS[s] > 1:
-            # Few ids are so narrow: look at the stretches between wide ids only.
-            begin, end = np.r_[0, edge + 1], np.r_[edge, n]
-            ok = (end - begin >= COUNTS[s]) | ((end == n) & (end > begin))
-            for b0, e0 in zip(begin[ok].tolist(), end[ok].tolist()):
-                chosen[b0:e0 if e0 == n else e0 - COUNTS[s] + 1] = s
-            continue
-        bound = np.where(wide, at, np.int32(n))
-        reach = np.minimum.accumulate(bound[::-1])[::-1] - at  # ids from here on that fit this width
-        chosen[(reach >= COUNTS[s]) | ((reach == left) & (reach > 0))] = s
+        # Whether this many ids from here on are narrow enough; behind the end everything is.
+        ok = np.concatenate([width <= WIDTHS[s], np.ones(COUNTS[s] - 1, dtype=bool)])
+        have = 1
+        while have * 2 <= COUNTS[s]:
+            ok = ok[:-have] & ok[have:]
+            have *= 2
+        if have < COUNTS[s]:
+            ok = ok[:n] & ok[COUNTS[s] - have:]
+        chosen[ok] = s
+    left = np.arange(n, 0, -1)
     step = np.minimum(np.r_[COUNTS, 0, 1][chosen], left)
-    jump = (at + step).tolist()
+    jump = (np.arange(n) + step).tolist()
     starts, i = [], 0
     while i < n:
         starts.append(i)

@@ -12,7 +12,8 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 400_000  # words, and units of words, held per worker process; further ones are encoded each time
+CACHE_WORDS = 300_000  # words held per worker process; further ones are put together each time
+CACHE_UNITS = 600_000  # units of words held as well; further ones are encoded each time
 CACHE_LEN = 64  # longer ones are encoded each time
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 #: Fixed by byte-level vocabularies: the character that stands for each byte
@@ -43,19 +44,28 @@ class WordIds(dict):
         chars = unit if unit.isascii() else unit.encode().decode("latin-1").translate(_CHAR)
         return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
-    def _known_unit(self, unit: bytes) -> bytes:
-        ids = self.units.get(unit)
-        if ids is None:
-            ids = self._unit(unit.decode())
-            if len(self.units) < CACHE_WORDS and len(unit) <= CACHE_LEN:
-                self.units[unit] = ids
+    def _new_unit(self, unit: bytes) -> bytes:
+        ids = self._unit(unit.decode())
+        if len(self.units) < CACHE_UNITS and len(unit) <= CACHE_LEN:
+            self.units[unit] = ids
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        if self.by_unit and word.isalpha():  # of bytes: ASCII letters only
-            ids = self._known_unit(word.lower())
-        elif plain := self.by_unit and _PLAIN.fullmatch(word.decode()):
-            ids = b"".join(self._known_unit(u.lower().encode()) for u in plain.groups() if u)
+        units = self.units
+        if not self.by_unit:
+            ids = self._whole(word.decode())
+        elif word.isalpha():  # of bytes: ASCII letters only
+            unit = word.lower()
+            ids = units.get(unit) or self._new_unit(unit)
+        elif word[-1] in b".," and (stem := word[:-1]).isalpha():
+            unit, mark = stem.lower(), word[-1:]
+            ids = (units.get(unit) or self._new_unit(unit)) + (units.get(mark) or self._new_unit(mark))
+        elif plain := _PLAIN.fullmatch(word.decode()):
+            ids = b""
+            for u in plain.groups():
+                if u:
+                    unit = u.lower().encode()
+                    ids += units.get(unit) or self._new_unit(unit)
         else:
             ids = self._whole(word.decode())
         if len(self) < CACHE_WORDS and len(word) <= CACHE_LEN:
@@ -81,7 +91,7 @@ class PieceCounts(dict):
 
     def __missing__(self, word: str) -> int:
         n = len(self.processor.encode(word))
-        if len(self) < CACHE_WORDS // 2 and len(word) <= CACHE_LEN:
+        if len(self) < CACHE_WORDS and len(word) <= CACHE_LEN:
             self[word] = n
         return n
 
