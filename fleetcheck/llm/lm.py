@@ -19,6 +19,7 @@ very long texts are many windows; an empty table gives an empty one; other colum
 from __future__ import annotations
 
 import copy
+import math
 from collections import Counter
 
 import numpy as np
@@ -34,7 +35,7 @@ SHARED = 16  # classes for ids without one of their own
 CLASSES = 64  # coarse, predicted
 FINE = 256  # read; one more stands for the beginning of a text
 DIM = 16
-WIDTH, OVERLAP = 32, 8
+WIDTH, OVERLAP = 24, 4
 ROUNDS, EVERY = 2, 16
 BATCH = 256  # windows at once
 CHUNK_IDS = 50_000  # about so many ids are laid out in windows at once
@@ -158,9 +159,9 @@ def _attend(p: dict, x: np.ndarray):
     np.minimum(s, CLIP, out=s)
     np.exp(s, out=s)
     s *= _EARLIER
-    s /= s @ _ONES[:WIDTH] + np.float32(1e-30)
-    mixed = s @ v
-    return e, q, k, v, s, mixed, mixed @ p["o"] + e
+    total = s @ _ONES[:WIDTH] + np.float32(1e-30)
+    mixed = (s @ v) / total
+    return e, q, k, v, s, total, mixed, mixed @ p["o"] + e
 
 
 def _exponents(m: Model, x: np.ndarray, h: np.ndarray):
@@ -186,7 +187,8 @@ def log_probs(m: Model, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.
 def gradient(m: Model, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[dict, float]:
     """Gradient of the mean loss over the scored targets, and that loss."""
     p = m.p
-    e, q, k, v, s, mixed, h = _attend(p, x)
+    e, q, k, v, s, total, mixed, h = _attend(p, x)
+    s /= total
     hs, t = h[scored], y[scored]
     z, ez, total = _exponents(m, x[scored], hs)
     loss = float((np.log(total[:, 0]) - z[np.arange(len(t)), t]).mean())
@@ -406,24 +408,22 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
     def run(batches):
         import pyarrow as pa
 
-        known = {w: np.log10(c + 1.0) for w, c in shared.value.items()}
+        known = {w: math.log10(c + 1) for w, c in shared.value.items()}
         for b in batches:
-            rid, word, times, value = [], [], [], []
-            n_tokens = []
+            rid, word, times, value, n_tokens = [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = _words(t)
-                c = Counter(w)
-                rare = [x for x in c if x not in known]
-                near = [(known[x], k) for x, k in c.items() if x in known]
+                logs = list(map(known.get, w))
+                rare = Counter(x for x, v in zip(w, logs) if v is None)
                 # The text's own row: a word that no other row has, so that it joins with nothing.
                 rid.append(i)
                 word.append(b"  %d" % i)
-                times.append(sum(k for _, k in near))
-                value.append(sum(v * k for v, k in near))
+                times.append(len(w) - sum(rare.values()))
+                value.append(float(sum(filter(None, logs))))
                 n_tokens.append(len(w))
                 rid += [i] * len(rare)
-                word += rare
-                times += [c[x] for x in rare]
+                word += rare.keys()
+                times += rare.values()
                 value += [0.0] * len(rare)
                 n_tokens += [0] * len(rare)
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(word, pa.binary()), pa.array(times, pa.int64()),

@@ -73,8 +73,14 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str | None) -> np.ndarray:
-        """ids of a whole text (null: none). bytes.split() parts at ASCII white space, which the tokenizer drops."""
-        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").encode().split())), dtype="<u4")
+        """ids of a whole text (null: none). bytes.split() parts at ASCII white space, which the tokenizer drops.
+
+        The tokenizer lowers its input, all but its special strings, so a text without them is lowered here first.
+        """
+        raw = (text or "").encode()
+        if b"<|" not in raw:
+            raw = raw.lower()
+        return np.frombuffer(b"".join(map(self.__getitem__, raw.split())), dtype="<u4")
 
 
 class PieceCounts(dict):
