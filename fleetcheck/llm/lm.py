@@ -12,7 +12,7 @@ Scoring: windows of ``WIDTH`` ids overlap by ``OVERLAP``, whose predictions coun
 id, and the end id, is scored once. Windows of many texts go through masked attention together.
 
 Defined results: null and empty texts have the end token only; without training texts all counts are zero and ids
-equally likely; a null id counts as "" for the split; rows are numbered, so repeated rows and ids are scored each;
+equally likely; a null id counts as "" for the split; repeated rows and ids are scored each;
 very long texts are many windows; an empty table gives an empty one; other columns are not read.
 """
 
@@ -32,7 +32,7 @@ from .tokens import word_ids
 END_ID = 49407
 IDS = 49408
 SHARED = 16  # classes for ids without one of their own
-CLASSES = 64  # coarse, predicted
+CLASSES = 40  # coarse, predicted
 FINE = 256  # read; one more stands for the beginning of a text
 DIM = 16
 WIDTH, OVERLAP = 24, 4
@@ -40,7 +40,7 @@ ROUNDS, EVERY = 2, 16
 BATCH = 256  # windows at once
 CHUNK_IDS = 50_000  # about so many ids are laid out in windows at once
 RATE = 0.01
-FREQUENT = 200_000  # words, at most, whose counts are sent to all tasks; the others are joined
+FREQUENT = 400_000  # words, at most, whose counts are sent to all tasks; the others are joined
 END_WORD = b" "  # no word holds a blank
 
 SHAPES = {"emb": (FINE + 1, DIM), "pos": (WIDTH, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM),
@@ -231,20 +231,24 @@ class Adam:
 
 
 def _prepared(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
-    """(rid, doc_id, held_out, ids) in the shared folder, ids as 16-bit numbers; and the same rows with texts."""
+    """(doc_id, h, held_out, ids) in the shared folder, ids as 16-bit numbers; and the same rows with texts.
+
+    h is a hash of the text: rows with equal id and h have equal scores, so the two are joined on these, and no number
+    of a row need stay the same when it is read again.
+    """
     import pyarrow as pa
 
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"),
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("h"),
                        held.alias("held_out"), F.col("text").cast("string").alias("text"))
 
     def run(batches):
         ids = word_ids(tokenizer)
         for b in batches:
             packed = pa.array([ids.encode(t).astype("<u2").tobytes() for t in b.column(3).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], ["rid", "doc_id", "held_out", "ids"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], packed], ["doc_id", "h", "held_out", "ids"])
 
-    return stored(rows.mapInArrow(run, "rid long, doc_id long, held_out boolean, ids binary"), "ids"), rows
+    return stored(rows.mapInArrow(run, "doc_id long, h long, held_out boolean, ids binary"), "ids"), rows
 
 
 def _sums(ids: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
@@ -390,7 +394,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
-    """((rid, n_tokens, n_known, base_score), N) of rows (rid, held_out, text)."""
+    """((doc_id, h, n_tokens, n_known, base_score), N) of rows (doc_id, h, held_out, text), one row for each id and h."""
     spark = rows.sparkSession
     counts = stored(word_counts(rows), "word_counts")
     by_size = counts.groupBy(F.length(F.bin("c")).alias("bits")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()
@@ -410,8 +414,8 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
 
         known = {w: math.log10(c + 1) for w, c in shared.value.items()}
         for b in batches:
-            rid, word, times, value, n_tokens = [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            rid, word, times, value, n_tokens, ids, hashes = [], [], [], [], [], [], []
+            for i, t, d, h in zip(*(c.to_pylist() for c in b.columns)):
                 w = _words(t)
                 logs = list(map(known.get, w))
                 rare = Counter(x for x, v in zip(w, logs) if v is None)
@@ -421,25 +425,32 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
                 times.append(len(w) - sum(rare.values()))
                 value.append(float(sum(filter(None, logs))))
                 n_tokens.append(len(w))
+                ids += [d] + [None] * len(rare)
+                hashes += [h] + [None] * len(rare)
                 rid += [i] * len(rare)
                 word += rare.keys()
                 times += rare.values()
                 value += [0.0] * len(rare)
                 n_tokens += [0] * len(rare)
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(word, pa.binary()), pa.array(times, pa.int64()),
-                                              pa.array(value, pa.float64()), pa.array(n_tokens, pa.int64())],
-                                             ["rid", "word", "times", "value", "n"])
+                                              pa.array(value, pa.float64()), pa.array(n_tokens, pa.int64()),
+                                              pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())],
+                                             ["rid", "word", "times", "value", "n", "doc_id", "h"])
 
-    parts = rows.select("rid", "text").mapInArrow(run, "rid long, word binary, times long, value double, n long")
+    # Rows are told apart by a number that lasts for this one pass.
+    numbered = rows.select(F.monotonically_increasing_id().alias("rid"), "text", "doc_id", "h")
+    parts = numbered.mapInArrow(run, "rid long, word binary, times long, value double, n long, doc_id long, h long")
     others = counts.where(F.length(F.bin("c")) < least)
-    joined = parts.join(others, "word", "left")
+    # Distinct words deal out evenly, so a task's share of them is small enough for a hash table; nothing is sorted.
+    joined = parts.join(others.hint("shuffle_hash"), "word", "left")
     own = F.col("n") > 0
     out = joined.groupBy("rid").agg(
+        F.max("doc_id").alias("doc_id"), F.max("h").alias("h"),
         F.sum("n").alias("n_tokens"),
         F.sum(F.when(own | F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.when(own, F.col("value")).when(F.col("c").isNotNull(), F.col("times") * F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("known"))
     score = F.col("known") - F.col("n_tokens") * float(np.log10(total + distinct + 1.0))
-    return out.select("rid", "n_tokens", "n_known", score.alias("base_score")), int(total)
+    return out.select("doc_id", "h", "n_tokens", "n_known", score.alias("base_score")).dropDuplicates(["doc_id", "h"]), int(total)
 
 
 def scores(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -455,8 +466,9 @@ def scores(docs: DataFrame, tokenizer: str) -> DataFrame:
 
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(text_scores(shared.value, _ids(b)), pa.float64())],
-                                             ["rid", "doc_id", "held_out", "score"])
+                                             ["doc_id", "h", "held_out", "score"])
 
-    scored = ids.mapInArrow(run, "rid long, doc_id long, held_out boolean, score double")
-    return scored.join(base, "rid").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+    scored = ids.mapInArrow(run, "doc_id long, h long, held_out boolean, score double")
+    base = base.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    return scored.join(base, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                                            "base_score", "score")

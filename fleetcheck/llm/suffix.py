@@ -179,7 +179,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     """docs with a row number and the text as compressed bytes, written to the shared folder."""
     import pyarrow as pa
 
-    others = [c for c in docs.columns if c not in ("text", "_rid", "_z")]
+    others = [c for c in docs.columns if c not in ("text", "_rid", "_z", "_of", "_spans")]
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.monotonically_increasing_id().alias("_rid"),
                        F.col("text").cast("string").alias("_z"))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_z", T.BinaryType())])
@@ -287,9 +287,9 @@ def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, as_text: bool = Fal
     every = spans[0]
     for s in spans[1:]:
         every = every.unionByName(s)
-    by_row = every.groupBy("rid").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    joined = table.join(by_row, F.col("_rid") == F.col("rid"), "left").drop("rid", "_rid")
-    others = [c for c in joined.columns if c not in ("_z", "spans")]
+    by_row = every.groupBy(F.col("rid").alias("_of")).agg(F.collect_list(F.struct("start", "n")).alias("_spans"))
+    joined = table.join(by_row, F.col("_rid") == F.col("_of"), "left").drop("_of", "_rid")
+    others = [c for c in joined.columns if c not in ("_z", "_spans")]
     shape = joined.select(*[F.col(f"`{c}`") for c in others], F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"),
                           F.lit(0).cast("long").alias("n_spans"), F.lit("" if as_text else b"").alias("kept")).schema
 
@@ -300,7 +300,7 @@ def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, as_text: bool = Fal
         expand = zstandard.ZstdDecompressor()
         for b in batches:
             sizes, gone, n_spans, kept = [], [], [], []
-            for z, spans_ in zip(b.column("_z").to_pylist(), b.column("spans").to_pylist()):
+            for z, spans_ in zip(b.column("_z").to_pylist(), b.column("_spans").to_pylist()):
                 data = expand.decompress(z)
                 out, at, lost, count, last = [], 0, 0, 0, -1
                 for a, e in sorted((s["start"], s["start"] + s["n"] + min_len - 1) for s in spans_ or ()):

@@ -1,0 +1,66 @@
+"""The corpus pipeline, stage by stage against brute-force versions, and on awkward rows."""
+
+import duckdb
+import pytest
+
+import corpus_pipeline as cp
+from fleetcheck.llm import quality
+
+from .test_operators import DOCS, ROWS, SF, brute_components, brute_matches, brute_print, check_packing
+
+COLUMNS = cp.COLUMNS
+
+
+def texts(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+
+
+def cut(data: bytes, whole: list[bytes], m=200) -> str:
+    import collections
+
+    n = collections.Counter(t[i:i + m] for t in whole for i in range(len(t) - m + 1))
+    gone = bytearray(len(data))
+    for i in range(len(data) - m + 1):
+        if n[data[i:i + m]] > 1:
+            gone[i:i + m] = b"\1" * m
+    parts, part = [], bytearray()
+    for c, g in zip(data, gone):
+        if g:
+            parts.append(bytes(part))
+            part = bytearray()
+        else:
+            part.append(c)
+    return "".join(p.decode(errors="ignore") for p in [*parts, bytes(part)])
+
+
+def test_pipeline_brute(spark):
+    raw = spark.read.parquet(f"{SF}/documents.parquet")
+    documents = raw.toPandas()  # noqa: F841  read by the SQL
+    kept = {r[0] for r in duckdb.sql(quality.SQL).fetchall() if r[-1]}
+    docs = {r["doc_id"]: r["text"] or "" for r in raw.collect() if r["doc_id"] in kept}
+    prints = sorted((i, brute_print(t)) for i, t in docs.items())
+    first = {c for c in brute_components(prints)}
+    docs = {i: t for i, t in docs.items() if i in first}
+    data = {i: t.encode() for i, t in docs.items()}
+    docs = {i: cut(d, list(data.values())) for i, d in data.items()}
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    bad = {i for i, _ in brute_matches(sorted(docs.items()), items)}
+    docs = {i: t for i, t in docs.items() if i not in bad}
+    n, least = check_packing(cp.run(spark, SF).collect(), sorted(docs.items()), 4096)
+    assert n <= least + 1
+
+
+def test_stages_return_the_columns_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == COLUMNS == docs.columns and out.dtypes == docs.dtypes, name
+
+
+@pytest.mark.parametrize("k", range(len(cp.STAGES)))
+def test_stages_on_awkward_and_empty_rows(spark, k):
+    rows = [(i, t, lang, s, len(t or ""), "clash", 7) for i, t, lang, s in ROWS] + [(None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert cp.STAGES[k][1](spark, df.limit(0), SF).count() == 0
+    got = cp.STAGES[k][1](spark, df, SF)
+    assert 0 < got.count() <= (len(rows) if k < 4 else 60)
