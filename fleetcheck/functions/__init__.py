@@ -35,14 +35,19 @@ def safe_div(num, den) -> Column:
 
 
 def fround(x, digits: int) -> Column:
-    """Half-up rounding of a DOUBLE as ``floor(x * 10^d + 0.5) / 10^d``.
+    """Rounding of a DOUBLE, halves away from zero, as ``floor(|x| * 10^d + 0.5) / 10^d`` with the sign of x.
 
-    Plain IEEE arithmetic, so every engine gives the same bits (the built-in
-    ``round`` re-parses the double's decimal text, which differs between
-    engines at exact halves), and it stays in codegen without BigDecimal.
+    Plain IEEE arithmetic (the built-in ``round`` re-parses the double's
+    decimal text, which differs between engines at exact halves), and it stays
+    in codegen without BigDecimal. From 2^52 on a scaled double has no
+    fraction left, so such values are returned as they are: ``floor`` goes
+    through BIGINT and would saturate.
     """
     m = float(10 ** digits)
-    return F.floor(col(x).cast("double") * m + 0.5) / m
+    v = col(x).cast("double")
+    size = F.abs(v)
+    rounded = F.when(size * m < float(1 << 52), F.floor(size * m + 0.5) / m).otherwise(size)
+    return F.when(v < 0, -rounded).otherwise(rounded)
 
 
 def pct(num, den, digits: int | None = 2) -> Column:

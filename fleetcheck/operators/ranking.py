@@ -29,6 +29,10 @@ def topn(df: DataFrame, order: Sequence, n: int, part: Sequence[str] = (),
     """
     part = list(part)
     if not part:
+        if fn != "row_number":
+            # Ties with the n-th row are kept. Spark limits a rank filter per task before the one window task.
+            w = Window.orderBy(*_orders(order))
+            return df.withColumn(rank_col, getattr(F, fn)().over(w)).filter(F.col(rank_col) <= n)
         top = df.orderBy(*_orders(order)).limit(n)
         w = Window.orderBy(*_orders(order))  # at most n rows reach this window
         return top.withColumn(rank_col, getattr(F, fn)().over(w))

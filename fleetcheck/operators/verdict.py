@@ -59,13 +59,13 @@ def status_decode(df: DataFrame, c, mapping: Sequence[tuple], bad: Sequence | No
 
 def fragmentation_class(df: DataFrame, pct_col, pages_col, rebuild: float = 30.0,
                         reorganize: float = 10.0, min_pages: float = 1000,
-                        out: str = "action") -> DataFrame:
-    """OK / REORGANIZE / REBUILD ladder (strict ``>`` on both bounds)."""
+                        out: str = "action", red: Sequence[str] = ("REBUILD", "REORGANIZE")) -> DataFrame:
+    """OK / REORGANIZE / REBUILD ladder (strict ``>`` on both bounds); ``red`` names the abnormal actions."""
     p, n = col(pct_col), col(pages_col)
     act = (F.when((p > rebuild) & (n > min_pages), F.lit("REBUILD"))
            .when((p > reorganize) & (n > min_pages), F.lit("REORGANIZE"))
            .otherwise(F.lit("OK")))
-    return df.withColumn(out, act).withColumn("is_abnormal", F.col(out) != "OK")
+    return df.withColumn(out, act).withColumn("is_abnormal", F.coalesce(F.col(out).isin(list(red)), F.lit(False)))
 
 
 def latency_per_op(df: DataFrame, stall, ops, out: str = "avg_latency", digits: int = 2,
@@ -163,7 +163,7 @@ def config_audit(settings: DataFrame, rules: DataFrame, keys: Sequence[str] = ()
         s = s.withColumn("_ref_value", F.lit(None).cast("string"))
     exp_num = F.col("expected").try_cast("double")
     threshold = F.when(F.col("ref_name").isNotNull(),
-                       F.col("_ref_value").cast("double") * F.coalesce(F.col("factor"), F.lit(1.0))
+                       F.col("_ref_value").try_cast("double") * F.coalesce(F.col("factor"), F.lit(1.0))
                        ).otherwise(exp_num * F.coalesce(F.col("factor"), F.lit(1.0)))
     s = s.withColumn("threshold", threshold)
     s = s.withColumn("is_abnormal", flag(_violates(F.col("kind"), col(value_col), F.col("threshold"), F.col("expected"))))

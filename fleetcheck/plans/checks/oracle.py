@@ -15,25 +15,30 @@ GB = MB * 1024
 
 # Parameter audit rules (name, kind, expected, ref, factor, advice).
 PARAMETER_RULES = [
-    ("processes", "lt", "500", None, None, "Processes is less than 500."),
-    ("sessions", "lt", "500", None, None, "Sessions is less than 500."),
-    ("db_files", "lt", "500", None, None, "Db_files is less than 500."),
-    ("spfile", "is_null", None, None, None, "Instance not started from SPFILE."),
-    ("optimizer_adaptive_features", "eq", "TRUE", None, None, "Adaptive optimizer enabled, plans may change."),
-    ("optimizer_adaptive_plans", "eq", "TRUE", None, None, "Adaptive plans enabled, plans may change."),
-    ("optimizer_adaptive_statistics", "eq", "TRUE", None, None, "Adaptive statistics enabled, plans may change."),
-    ("_optimizer_use_feedback", "eq", "TRUE", None, None, "Optimizer feedback enabled, plans may change."),
-    ("max_string_size", "eq", "STANDARD", None, None, "VARCHAR2 maximum does not support 32k."),
-    ("statistics_level", "ne", "TYPICAL", None, None, "Statistics level is not TYPICAL."),
-    ("control_file_record_keep_time", "lt", "10", None, None, "Control file records may be kept too short."),
-    ("_use_adaptive_log_file_sync", "ne", "FALSE", None, None, "OLTP should not use adaptive log file sync."),
-    ("fast_start_parallel_rollback", "eq", "HIGH", None, None, "Parallel rollback is HIGH."),
+    ("processes", "lt", "500", None, None, "Raise processes to 500 or more before connections are refused."),
+    ("sessions", "lt", "500", None, None, "Allow at least 500 sessions."),
+    ("db_files", "lt", "500", None, None, "Leave room for growth: allow 500 data files or more."),
+    ("spfile", "is_null", None, None, None, "Create a server parameter file and restart with it, so changes persist."),
+    ("optimizer_adaptive_features", "eq", "TRUE", None, None, "Switch adaptive optimisation off where steady execution plans matter."),
+    ("optimizer_adaptive_plans", "eq", "TRUE", None, None, "Fix plans at parse time: set adaptive plans to FALSE."),
+    ("optimizer_adaptive_statistics", "eq", "TRUE", None, None, "Set adaptive statistics to FALSE to keep estimates stable."),
+    ("_optimizer_use_feedback", "eq", "TRUE", None, None, "Set cardinality feedback to FALSE if a second execution must not differ."),
+    ("max_string_size", "eq", "STANDARD", None, None, "Use EXTENDED if columns over 4000 bytes are needed (one-way change)."),
+    ("statistics_level", "ne", "TYPICAL", None, None, "Set TYPICAL: less loses advisors, more costs time."),
+    ("control_file_record_keep_time", "lt", "10", None, None, "Keep records for 10 days or longer than the backup cycle."),
+    ("_use_adaptive_log_file_sync", "ne", "FALSE", None, None, "Set FALSE, so that commits always wait by post and not by polling."),
+    ("fast_start_parallel_rollback", "eq", "HIGH", None, None, "Choose LOW or FALSE, so that recovery leaves CPU to users."),
     ("_datafile_write_errors_crash_instance", "ne", "FALSE", None, None,
-     "Instance may crash when a datafile write fails."),
-    ("max_dump_file_size", "eq", "unlimited", None, None, "Trace file size is unlimited."),
-    ("parallel_max_servers", "gt", None, "cpu_count", 4.0, "Max parallel servers set too high."),
-    ("deferred_segment_creation", "eq", "TRUE", None, None, "Deferred segment creation enabled; export may fail."),
+     "Set FALSE, so that one failed write takes the file offline and not the database."),
+    ("max_dump_file_size", "eq", "unlimited", None, None, "Give trace files a size limit to protect the disk."),
+    ("parallel_max_servers", "gt", None, "cpu_count", 4.0, "Lower the parallel servers to four for each CPU."),
+    ("deferred_segment_creation", "eq", "TRUE", None, None, "Set FALSE, so that empty tables own a segment and old exports see them."),
 ]
+# Resources whose limits are checked.
+LIMITED = ["processes", "sessions", "transactions", "parallel_max_servers", "dml_locks", "max_rollback_segments",
+           "max_shared_servers"]
+# Tablespaces whose segments are not user data.
+SYSTEM_TABLESPACES = ["SYSTEM", "SYSAUX"]
 # Known-malicious object name patterns.
 RANSOM_PATTERNS = [("core", "DBMS_CORE_INTERNA%"), ("system", "DBMS_SYSTEM_INTERNA%"),
                    ("support", "DBMS_SUPPORT_INTERNA%")]
@@ -194,7 +199,7 @@ def o15(ctx):
 @check("O16", E, "resource_limit", ["resource_limit"], key=("inst_id", "resource_name"), metric="current_pct",
        priority="high")
 def o16(ctx):
-    r = ctx.cur("resource_limit").withColumn("limit_num", verdict.parse_limit("limit_value"))
+    r = ctx.cur("resource_limit").filter(F.col("resource_name").isin(LIMITED)).withColumn("limit_num", verdict.parse_limit("limit_value"))
     r = (r.withColumn("current_pct", pct("current_utilization", "limit_num"))
           .withColumn("max_pct", pct("max_utilization", "limit_num"))
           .withColumn("initial_num", F.trim("initial_allocation").try_cast("double")))
@@ -297,7 +302,8 @@ def o27(ctx):
 
 
 def _top_segments(ctx, kind):
-    s = ctx.cur("segments").filter(F.col("segment_type").startswith(kind)).withColumn("mb", F.col("bytes") / MB)
+    user_data = ~F.coalesce(F.col("tablespace_name").isin(SYSTEM_TABLESPACES), F.lit(False))
+    s = ctx.cur("segments").filter(F.col("segment_type").startswith(kind) & user_data).withColumn("mb", F.col("bytes") / MB)
     parted = s.groupBy(*K, "owner", "segment_name").agg(
         F.max(F.when(F.col("partition_name").isNotNull(), "YES").otherwise("NO")).alias("partitioned"))
     top = cap.large_segments(s, ["owner", "segment_name"], "mb", 10240, 10, 102400, part=K, out="size_mb")

@@ -124,7 +124,7 @@ def p13(ctx):
     cs = ctx.cur("column_stats").groupBy(*K, F.col("schemaname"), F.col("tablename").alias("relname")).agg(
         F.sum(F.col("avg_width") * (F.lit(1.0) - F.col("null_frac"))).alias("row_width"))
     t = ctx.cur("tables").filter((F.col("relkind") == "r") & (F.col("relpages") > 8)).join(
-        cs, [*K, "schemaname", "relname"])
+        cs, [*K, "schemaname", "relname"], "left").withColumn("row_width", F.coalesce("row_width", F.lit(0.0)))
     return cap.bloat_estimate(t, [*K, "schemaname", "relname"], "reltuples", "relpages", "row_width")
 
 
@@ -175,7 +175,7 @@ def p19(ctx):
 def p20(ctx):
     b = ctx.cur("bgwriter").withColumn("timed", F.coalesce("num_timed", "checkpoints_timed")) \
         .withColumn("requested", F.coalesce("num_requested", "checkpoints_req"))
-    bad = (F.col("requested") > F.col("timed")) | (F.col("maxwritten_clean") > 0)
+    bad = ((F.col("timed") > 0) & (F.col("requested") > F.col("timed"))) | (F.col("maxwritten_clean") > 0)
     return b.withColumn("is_abnormal", F.coalesce(bad, F.lit(False)))
 
 

@@ -493,7 +493,7 @@ def q_log_fingerprint(spark, d):
 
 
 def q_log_totals(spark, d):
-    return text.log_totals(_doc_lines(spark, d), "line", DOC_PATTERNS[:3], ["lang"])
+    return text.log_totals(_doc_lines(spark, d), "line", DOC_PATTERNS, ["lang"])
 
 
 # Order status codes and labels.

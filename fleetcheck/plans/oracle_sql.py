@@ -2,15 +2,14 @@
 
 Written independently as plain SQL — pairs, correlated subqueries and list
 slicing are fine here, this only has to be obviously right on sf0.01.
-Rounding mirrors ``fround``: ``floor(x * 10^d + 0.5) / 10^d``.
+Rounding is DuckDB's own ``round`` of a DOUBLE (halves away from zero).
 """
 
 from __future__ import annotations
 
 
 def R(expr: str, d: int) -> str:
-    m = 10 ** d
-    return f"(floor(({expr}) * {m}.0 + 0.5) / {m}.0)"
+    return f"round(CAST(({expr}) AS DOUBLE), {d})"
 
 
 EV_AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -413,7 +412,9 @@ SQL["log_totals"] = f"""
 SELECT lang, count(*) AS n_lines,
        count(*) FILTER (WHERE regexp_matches(line, '(?i)licen[cs]e')) AS n_license,
        count(*) FILTER (WHERE regexp_matches(line, '\\+1 \\(\\d{{3}}\\) \\d{{3}}-\\d{{4}}')) AS n_phone,
-       count(*) FILTER (WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]+')) AS n_email
+       count(*) FILTER (WHERE regexp_matches(line, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]+')) AS n_email,
+       count(*) FILTER (WHERE regexp_matches(line, '[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}\\.[0-9]{{1,3}}')) AS n_ip,
+       count(*) FILTER (WHERE regexp_matches(line, '(?i)(password|passwd|secret|api[_-]?key|token)')) AS n_secret
 FROM {LINES} GROUP BY lang"""
 
 SQL["status_decode"] = """

@@ -105,7 +105,7 @@ CASES = [
     ("S22", "sqlserver", {"error_log": [{"log_ts": T, "text": "Error: 18456, Severity: 14, State: 8."},
                                         {"log_ts": T - dt.timedelta(hours=1), "text": "Login succeeded"},
                                         {"log_ts": T - dt.timedelta(hours=2), "text": "x Severity: 21 y"}]},
-     "text300", {"Error: 18456, Severity: 14, State: 8.": True, "x Severity: 21 y": True}),
+     "text300", {"Error: 18456, Severity: 14, State: 8.": True, "Login succeeded": False, "x Severity: 21 y": True}),
 ]
 
 

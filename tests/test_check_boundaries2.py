@@ -193,8 +193,9 @@ CASES = [
     ("S08", "sqlserver", {"index_physical": [{"index_name": "rebuild", "frag_pct": 31.0, "page_count": 1001},
                                              {"index_name": "reorg", "frag_pct": 11.0, "page_count": 1001},
                                              {"index_name": "small", "frag_pct": 50.0, "page_count": 1000},
-                                             {"index_name": "fine", "frag_pct": 10.0, "page_count": 99999}]},
-     "index_name", {"rebuild": True, "reorg": True, "small": False}),
+                                             {"index_name": "fine", "frag_pct": 5.0, "page_count": 99999},
+                                             {"index_name": "tiny", "frag_pct": 99.0, "page_count": 100}]},
+     "index_name", {"rebuild": True, "reorg": False, "small": False, "fine": False}),
     ("S11", "sqlserver", {"configurations": [{"name": "xp_cmdshell", "value_in_use": "1"},
                                              {"name": "clr enabled", "value_in_use": "0"}],
                           "facts": [st("sa_enabled", 1), st("authentication_mode", "Windows Only")]},
