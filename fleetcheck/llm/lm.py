@@ -8,6 +8,12 @@ come from every training text. The attention's weights are fitted in rounds: eac
 takes steps on the round's windows of its training texts, and Spark averages the weights. A round takes each
 ``EVERY``-th window of each text (others each round); this alone is not summed over all windows.
 
+The model's distribution is the one that counts of contexts back off to. A context is the two ids before, as far as
+they belong to one unit (a word or a mark; the vocabulary tells its last id), or the last id of the unit before. Its
+counts come from every training text; the model holds the ``ENTRIES`` most frequent pairs of context and id (a size of
+the model, like its classes), and what a context's other ids weigh goes to the attention as well. Where a unit
+begins, the two are averaged.
+
 Scoring: windows of ``WIDTH`` ids overlap by ``OVERLAP``, whose predictions count in the window before only, so each
 id, and the end id, is scored once. Windows of many texts go through masked attention together.
 
@@ -40,8 +46,10 @@ ROUNDS, EVERY = 2, 16
 BATCH = 256  # windows at once
 CHUNK_IDS = 50_000  # about so many ids are laid out in windows at once
 RATE = 0.01
+ENTRIES = 1 << 20  # pairs of context and id, at most, that the model holds
 FREQUENT = 400_000  # words, at most, whose counts are sent to all tasks; the others are joined
 END_WORD = b" "  # no word holds a blank
+START, NONE = 65534, 65535  # before a text; no id in this place of a context
 
 SHAPES = {"emb": (FINE + 1, DIM), "pos": (WIDTH, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM),
           "out": (DIM, CLASSES)}
@@ -79,13 +87,98 @@ def classes(counts: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def unit_ends(tokenizer: str) -> np.ndarray:
+    """Whether an id ends a unit, by id; what stands before a text, and the end id, do."""
+    out = np.zeros(1 << 16, dtype=bool)
+    for token, i in word_ids(tokenizer).tokenizer.get_vocab().items():
+        out[i] = token.endswith("</w>")
+    out[[END_ID, START, NONE]] = True
+    return out
+
+
+def contexts(ids: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first entry of each text, ids with ends, ids before, contexts) of texts; a context is two ids of 16 bits."""
+    size = np.array([len(i) + 1 for i in ids], dtype=np.int64)
+    first = np.cumsum(size) - size
+    end = np.array([END_ID], dtype=np.int64)
+    after = np.concatenate([x for i in ids for x in (i, end)])
+    one = np.r_[START, after[:-1]]
+    one[first] = START
+    two = np.r_[NONE, one[:-1]]
+    two[ends[one] | ends[two]] = NONE  # a text's first id has START before it, which ends a unit
+    return first, after, one, two << 16 | one
+
+
+class Lookup:
+    """Values by key (not negative) in a hash table that is read with arrays of keys; other keys have the defaults."""
+
+    def __init__(self, key: np.ndarray, values: list[np.ndarray], defaults: list[float]):
+        bits = max(2 * len(key), 2).bit_length()
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key = np.full(1 << bits, -1, dtype=np.int64)
+        self.values = [np.full(1 << bits, d, dtype=np.float32) for d in defaults]
+        rest, slot = np.arange(len(key)), self._slot(key)
+        while len(rest):
+            free = self.key[slot] == -1
+            _, one = np.unique(slot[free], return_index=True)  # one key takes a free place
+            placed = np.flatnonzero(free)[one]
+            self.key[slot[placed]] = key[rest[placed]]
+            for table, v in zip(self.values, values):
+                table[slot[placed]] = v[rest[placed]]
+            left = np.ones(len(rest), dtype=bool)
+            left[placed] = False
+            rest, slot = rest[left], (slot[left] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> list[np.ndarray]:
+        slot = self._slot(key)
+        found = self.key[slot]
+        other = np.flatnonzero((found != key) & (found != -1))
+        while len(other):
+            slot[other] = (slot[other] + 1) & self.mask
+            found = self.key[slot[other]]
+            other = other[(found != key[other]) & (found != -1)]
+        return [table[slot] for table in self.values]
+
+
+class Contexts:
+    """What contexts give to an id, and what they leave to the attention.
+
+    key, n: pairs ``context << 16 | id`` and counts. context, total, kinds: of the contexts among them, the sum of all
+    their counts and the number of their pairs, those not in key included.
+    """
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, context: np.ndarray, total: np.ndarray, kinds: np.ndarray):
+        order = np.argsort(context)
+        context, total, kinds = context[order], total[order], kinds[order]
+        at = np.searchsorted(context, key >> 16)
+        held = np.bincount(at, weights=n, minlength=len(context))
+        weight = total + kinds
+        rest = (weight - held) / np.maximum(weight, 1)
+        self.pair = Lookup(key, [n / weight[at], rest[at]], [0, -1])
+        self.context = Lookup(context, [rest], [1])
+
+    def mix(self, context: np.ndarray, ids: np.ndarray, begins: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities of ids from those of the attention; at the beginning of a unit the mean of both."""
+        own, rest = self.pair((context << 16) | ids)
+        new = np.flatnonzero(rest < 0)
+        rest[new] = self.context(context[new])[0]
+        mixed = own + rest * p
+        return np.where(begins, (mixed + p) / 2, mixed)
+
+
 class Model:
-    """Classes, their frequencies and the attention's weights.
+    """Classes, their frequencies, the attention's weights and the contexts.
 
-    after: counts of (fine class, id) as a sorted array of ``fine * IDS + id`` and its values.
+    after: counts of (fine class, id) as a sorted array of ``fine * IDS + id`` and its values. held: Contexts, or None.
     """
 
-    def __init__(self, counts: np.ndarray, after: tuple[np.ndarray, np.ndarray] | None = None, weights: dict | None = None):
+    def __init__(self, counts: np.ndarray, after: tuple[np.ndarray, np.ndarray] | None = None, weights: dict | None = None,
+                 held: Contexts | None = None, ends: np.ndarray | None = None):
+        self.held = held
+        self.ends = np.ones(1 << 16, dtype=bool) if ends is None else ends
         self.cls, self.fine = classes(counts, CLASSES), classes(counts, FINE)
         weight = counts + 1.0
         of_class = np.bincount(self.cls, weights=weight, minlength=CLASSES)
@@ -174,13 +267,27 @@ def _exponents(m: Model, x: np.ndarray, h: np.ndarray):
 
 def log_probs(m: Model, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.ndarray:
     """Natural-log probabilities of the scored targets' classes, in order."""
-    out = []
+    out, p = [], m.p
+    # Products of weights are taken once: queries with keys, values with both outputs, embeddings with the last one.
+    qk, vo = p["q"] @ p["k"].T * np.float32(DIM ** -0.5), p["v"] @ p["o"] @ p["out"]
+    by_class, by_place = p["emb"] @ p["out"] + m.log_pair, p["pos"] @ p["out"]
     for a in range(0, len(x), BATCH):
-        s = scored[a:a + BATCH]
-        h = _attend(m.p, x[a:a + BATCH])[-1][s]
-        z, _, total = _exponents(m, x[a:a + BATCH][s], h)
-        t = y[a:a + BATCH][s]
-        out.append(z[np.arange(len(t)), t].astype(np.float64) - np.log(total[:, 0].astype(np.float64)))
+        xs, at = x[a:a + BATCH], np.flatnonzero(scored[a:a + BATCH])
+        e = p["emb"].take(xs, 0)
+        e += p["pos"]
+        s = (e @ qk) @ e.transpose(0, 2, 1)
+        np.minimum(s, CLIP, out=s)
+        np.exp(s, out=s)
+        s *= _EARLIER
+        mixed = (s @ e).reshape(-1, DIM).take(at, 0)
+        mixed /= (s @ _ONES[:WIDTH]).reshape(-1, 1).take(at, 0) + np.float32(1e-30)
+        z = mixed @ vo
+        z += by_class.take(xs.ravel().take(at), 0)
+        z += by_place.take(at % WIDTH, 0)
+        np.minimum(z, CLIP, out=z)
+        own = z[np.arange(len(at)), y[a:a + BATCH].ravel().take(at)].astype(np.float64)
+        np.exp(z, out=z)
+        out.append(own - np.log((z @ _ONES)[:, 0].astype(np.float64)))
     return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -280,8 +387,23 @@ def _ids(b):
     return [np.frombuffer(i, "<u2") for i in b.column(b.num_columns - 1).to_pylist()]
 
 
-def fit(ids: DataFrame) -> Model:
-    """The model of the training rows of ids (from _prepared)."""
+def _held(counted: DataFrame) -> Contexts:
+    """The contexts of the most frequent pairs among counted (key, n), by powers of two of the count."""
+    sized = counted.withColumn("bits", F.length(F.bin("n")))
+    least, room = 64, ENTRIES
+    for r in sized.groupBy("bits").agg(F.count("*").alias("v")).orderBy(F.desc("bits")).collect():
+        if r["v"] > room:
+            break
+        room -= r["v"]
+        least = r["bits"]
+    of = sized.groupBy(F.shiftright("key", 16).alias("context")).agg(
+        F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("bits").alias("most")).where(F.col("most") >= least)
+    pairs, of = sized.where(F.col("bits") >= least).select("key", "n").toArrow(), of.drop("most").toArrow()
+    return Contexts(*(t.column(c).to_numpy() for t in (pairs, of) for c in t.column_names))
+
+
+def fit(ids: DataFrame, ends: np.ndarray) -> Model:
+    """The model of the training rows of ids (from _prepared); ends is from unit_ends."""
     sc = ids.sparkSession.sparkContext
 
     def count_ids(batches):
@@ -298,17 +420,43 @@ def fit(ids: DataFrame) -> Model:
     counts = _summed(ids, count_ids, IDS)
     shared = sc.broadcast(classes(counts, FINE))
 
-    def count_after(batches):
-        total = Counter()
+    def count_pairs(batches):
+        """Sums are handed on when they fill a million rows, so a task's memory is bounded."""
+        import pyarrow as pa
+
+        def rows(key, n):
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         for b in batches:
-            keys = [np.append(i, END_ID) + np.r_[FINE, shared.value[i]] * IDS for i in _ids(b)]
-            if keys:
-                key, n = np.unique(np.concatenate(keys), return_counts=True)
-                total.update(dict(zip(key.tolist(), n.tolist())))
-        yield _rows(np.fromiter(total.keys(), np.int64, len(total)), np.fromiter(total.values(), np.float64, len(total)))
+            if not b.num_rows:
+                continue
+            _, after, _, context = contexts(_ids(b), ends)
+            key, n = np.unique(context << 16 | after, return_counts=True)
+            key, sums = np.concatenate([keys, key]), np.concatenate([sums, n])
+            order = np.argsort(key, kind="stable")  # two sorted runs
+            key, sums = key[order], sums[order]
+            fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            keys, sums = key[fresh], np.add.reduceat(sums, fresh)
+            if len(keys) > 1_000_000:
+                yield rows(keys, sums)
+                keys, sums = keys[:0], sums[:0]
+        if len(keys):
+            yield rows(keys, sums)
+
+    counted = stored(ids.where("not held_out").select("ids").mapInArrow(count_pairs, "key long, n long").groupBy("key").agg(
+        F.sum("n").alias("n")), "contexts")
+
+    def by_class(batches):
+        for b in batches:
+            key = b.column(0).to_numpy()
+            before = key >> 16 & 0xFFFF
+            yield _rows((np.where(before == START, FINE, shared.value[np.minimum(before, IDS - 1)]) * IDS + (key & 0xFFFF)),
+                        b.column(1).to_numpy().astype(np.float64))
 
     # At most (FINE + 1) * IDS keys, and far fewer that occur.
-    sums = _sums(ids, count_after)
+    t = counted.mapInArrow(by_class, "key long, value double").groupBy("key").agg(F.sum("value").alias("value")).toArrow()
+    sums = t.column("key").to_numpy(), t.column("value").to_numpy()
     order = np.argsort(sums[0])
     after = sums[0][order], sums[1][order]
     weights = start_weights()
@@ -336,7 +484,7 @@ def fit(ids: DataFrame) -> Model:
         total = _summed(ids, steps, size + 1)
         if total[-1]:
             weights = shaped(total[:-1] / total[-1])
-    return Model(counts, after, weights)
+    return Model(counts, after, weights, _held(counted), ends)
 
 
 def text_scores(m: Model, ids: list[np.ndarray]) -> np.ndarray:
@@ -354,16 +502,14 @@ def text_scores(m: Model, ids: list[np.ndarray]) -> np.ndarray:
 
 
 def _scores(m: Model, ids: list[np.ndarray]) -> np.ndarray:
-    size = np.array([len(i) + 1 for i in ids])
-    first = np.cumsum(size) - size
-    after = np.concatenate([np.append(i, END_ID) for i in ids])
-    before = m.fine[np.r_[END_ID, after[:-1]]]
-    before[first] = FINE
-    out = np.add.reduceat(m.log_share(before, after), first)
-    wx, wy, scored, text = windows(m, ids)
-    lp = log_probs(m, wx, wy, scored)
-    out += np.bincount(np.repeat(text, scored.sum(1)), weights=lp, minlength=len(ids))
-    return out / np.log(10)
+    first, after, before, context = contexts(ids, m.ends)
+    fine = m.fine[np.minimum(before, IDS - 1)]
+    fine[first] = FINE
+    x, y, scored, _ = windows(m, ids)
+    lp = m.log_share(fine, after) + log_probs(m, x, y, scored)  # both in the order of the ids
+    if m.held is not None:
+        lp = np.log(m.held.mix(context, after, m.ends[before], np.exp(lp)))
+    return np.add.reduceat(lp, first) / np.log(10)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -458,7 +604,7 @@ def scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     workers_ready(docs.sparkSession)
     ids, rows = _prepared(docs, tokenizer)
     base, total = base_scores(rows)
-    model = fit(ids)
+    model = fit(ids, unit_ends(tokenizer))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -466,6 +466,52 @@ def small_model():
     return m, ids
 
 
+def test_lm_lookup_is_a_dict():
+    rng = np.random.default_rng(3)
+    key = np.unique(rng.integers(0, 1 << 48, 5000))
+    value = rng.random(len(key)).astype(np.float32)
+    table = lm.Lookup(key, [value], [-1])
+    known = dict(zip(key.tolist(), value.tolist()))
+    asked = np.r_[key, rng.integers(0, 1 << 48, 3000), 0]
+    assert table(asked)[0].tolist() == [known.get(k, -1.0) for k in asked.tolist()]
+    assert lm.Lookup(key[:0], [value[:0]], [0.5])(asked).pop().tolist() == [0.5] * len(asked)
+
+
+def test_lm_contexts_brute():
+    ends = np.zeros(1 << 16, dtype=bool)
+    ends[[7, 8, lm.END_ID, lm.START, lm.NONE]] = True
+    texts = [np.array(t, dtype="<u2") for t in ([1, 2, 3, 7, 4, 8, 8, 5, 6], [], [7], [1, 2])]
+    first, after, before, context = lm.contexts(texts, ends)
+    want = []
+    for t in texts:
+        seq = [lm.START, *t.tolist()]
+        for i in range(len(seq)):
+            two = seq[i - 1] if i and not ends[seq[i]] and not ends[seq[i - 1]] else lm.NONE
+            want.append((seq[i], two << 16 | seq[i], [*t.tolist(), lm.END_ID][i]))
+    assert list(zip(before.tolist(), context.tolist(), after.tolist())) == want
+    assert first.tolist() == [0, 10, 11, 13]
+
+
+@pytest.mark.parametrize("entries", [1 << 20, 50])
+def test_lm_contexts_leave_a_distribution(spark, monkeypatch, entries):
+    monkeypatch.setattr(lm, "ENTRIES", entries)
+    rng = np.random.default_rng(5)
+    key = np.unique(rng.integers(0, 40, 400) << 16 | rng.integers(0, 30, 400))
+    n = rng.integers(1, 60, len(key))
+    held = lm._held(spark.createDataFrame(list(zip(key.tolist(), n.tolist())), "key long, n long"))
+    p = np.full(lm.IDS, 1 / lm.IDS)
+    for c in range(45):  # the last ones were never seen
+        for begins in (False, True):
+            q = held.mix(np.full(lm.IDS, c), np.arange(lm.IDS), np.full(lm.IDS, begins), p)
+            assert q.sum() == pytest.approx(1, abs=1e-5) and (q > 0).all()
+
+
+def test_lm_beats_the_word_base_on_held_out_texts(spark):
+    """At 25 MB. At 2.5 MB the word base is ahead, as most words of held-out texts' units are too rare to count."""
+    rows = queries.op9_lm_score(spark, "/root/testdata/sf0.1").where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
+    assert rows["sum(score)"] > rows["sum(base_score)"]
+
+
 def test_lm_probabilities_sum_to_one_and_are_causal():
     m, ids = small_model()
     ls = m.log_share(np.full(lm.IDS, 5), np.arange(lm.IDS))
