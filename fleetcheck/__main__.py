@@ -14,6 +14,8 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark.sql import functions as F
+
 from .plans import fleet
 from .plans.checks.report import priority_rollup
 from .session import build_session
@@ -38,23 +40,27 @@ def main(argv=None) -> dict:
     a = ap.parse_args(argv)
     spark = build_session("fleetcheck", shuffle_partitions=a.shuffle_partitions)
     as_of = fleet.as_of_ts(a.as_of)
-    views = {e: fleet.load_views(spark, a.root, e, since=a.since) for e in a.engines.split(",")}
+    unreadable: dict = {e: {} for e in a.engines.split(",")}
+    views = {e: fleet.load_views(spark, a.root, e, since=a.since, errors=unreadable[e]) for e in unreadable}
     views = {e: v for e, v in views.items() if v}
     if a.isolate:
         errs = fleet.write_findings_isolated(spark, views, as_of, f"{a.out}/findings", a.tier)
         errs.write.mode("overwrite").parquet(f"{a.out}/errors")
         f = spark.read.parquet(f"{a.out}/findings")
+        ran = fleet.checks_ran(spark, views, as_of, a.tier, unreadable)
+        failed = errs.select(F.col("check_name").alias("check_id"), F.col("error").alias("_error"))
+        ran = ran.join(failed, "check_id", "left").withColumn("error", F.coalesce("error", "_error")).drop("_error")
         from .plans.checks.report import health_summary_of
-        summary = health_summary_of(f, spark)
+        summary = health_summary_of(f, spark, ran)
     else:
         f, summary = fleet.fleet_summary(spark, views, as_of, a.tier, out_path=f"{a.out}/findings",
-                                         materialize=a.materialize)
+                                         materialize=a.materialize, unreadable=unreadable)
     summary.write.mode("overwrite").parquet(f"{a.out}/summary")
     summary = spark.read.parquet(f"{a.out}/summary")
     priority_rollup(summary).write.mode("overwrite").parquet(f"{a.out}/priorities")
     counts = {r["status"]: r["n"] for r in summary.groupBy("status").count().withColumnRenamed("count", "n").collect()}
     result = {"engines": sorted(views), "findings": f.count(), "checks_normal": counts.get("normal", 0),
-              "checks_abnormal": counts.get("abnormal", 0)}
+              "checks_abnormal": counts.get("abnormal", 0), "checks_failed": counts.get("error", 0)}
     if a.isolate:
         result["check_errors"] = spark.read.parquet(f"{a.out}/errors").count()
     print(json.dumps(result))

@@ -48,19 +48,25 @@ def union_findings(frames: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def health_summary(findings: DataFrame, priorities: DataFrame, by: Sequence[str] = ("check_id",)) -> DataFrame:
+def health_summary(findings: DataFrame, priorities: DataFrame, by: Sequence[str] = ("check_id",),
+                   ran: DataFrame | None = None) -> DataFrame:
     """Normal / abnormal counts per check with its priority (default medium).
 
     ``priorities`` (check_id, priority, advice) is the fixed priority map — a
     literal list of a few dozen rows, broadcast. Counts come from one partial
-    aggregation over the findings.
+    aggregation over the findings. ``ran`` (the columns ``by`` and ``error``): checks that were due; one
+    without findings has a line as well, ``normal``, or ``error`` with its message.
     """
     by = list(by)
     g = findings.groupBy(*by).agg(F.count_if(~F.col("is_abnormal")).alias("n_normal"),
                                   F.count_if(F.col("is_abnormal")).alias("n_abnormal"))
+    if ran is not None:
+        g = (ran.join(g, by, "full").withColumn("n_normal", F.coalesce("n_normal", F.lit(0)))
+                .withColumn("n_abnormal", F.coalesce("n_abnormal", F.lit(0))))
     p = F.broadcast(priorities.select("check_id", F.col("priority").alias("_p"), F.col("advice").alias("_a")))
     return (g.join(p, "check_id", "left")
              .withColumn("priority", F.coalesce(F.col("_p"), F.lit(DEFAULT_PRIORITY)))
              .withColumn("advice", F.when(F.col("n_abnormal") > 0, F.col("_a")))
-             .withColumn("status", F.when(F.col("n_abnormal") > 0, F.lit("abnormal")).otherwise(F.lit("normal")))
+             .withColumn("status", F.when(F.lit(False) if ran is None else F.col("error").isNotNull(), F.lit("error"))
+                         .when(F.col("n_abnormal") > 0, F.lit("abnormal")).otherwise(F.lit("normal")))
              .drop("_p", "_a"))

@@ -83,16 +83,22 @@ def time_share(df: DataFrame, part: Sequence[str], key: str, value: str,
 
 
 def sql_window_stats(stats: DataFrame, part: Sequence[str], stmt: Sequence[str], ts: str,
-                     begin: Column, end: Column, sums: dict, execs: str | None = None) -> DataFrame:
-    """Sum per-statement deltas for ``begin < ts <= end`` and add the share of
-    the in-window total per instance. ``sums`` maps output -> value column;
-    ``execs`` names the execution-count column (counted rows when None)."""
+                     begin: Column, end: Column, sums: dict, execs: str | None = None,
+                     share_of: str | None = None, share: str = "pct_total", digits: int = 4) -> DataFrame:
+    """Sum per-statement deltas for ``begin < ts <= end``. ``sums`` maps output -> value column;
+    ``execs`` names the execution-count column (counted rows when None). ``share_of`` names an
+    output whose percentage of the in-window total per instance is added as ``share``; totals are
+    summed from the statements' rows and joined back, so a hot instance is no window of one task."""
     part, stmt = list(part), list(stmt)
     w = stats.filter((col(ts) > begin) & (col(ts) <= end))
     aggs = [F.sum(v).alias(o) for o, v in sums.items()]
     aggs.append((F.sum(execs) if execs else F.count("*")).alias("execs"))
     g = w.groupBy(*part, *stmt).agg(*aggs)
-    return g
+    if share_of is None:
+        return g
+    total = g.groupBy(*part).agg(F.sum(share_of).alias("_total"))
+    return (g.join(total, part).withColumn(share, fround(
+        F.lit(100.0) * col(share_of).cast("double") / nz(F.col("_total").cast("double")), digits)).drop("_total"))
 
 
 def counter_trend(counters: DataFrame, part: Sequence[str], key: Sequence[str], snap: str,
@@ -106,9 +112,14 @@ def counter_trend(counters: DataFrame, part: Sequence[str], key: Sequence[str],
 
 
 def sequence_gap(df: DataFrame, part: Sequence[str], seq: str, applied: Column,
-                 red: float = 0) -> DataFrame:
-    """Max applied vs max current position per stream; gap = current - applied."""
-    g = df.groupBy(*part).agg(F.max(F.when(applied, col(seq))).alias("applied"),
-                              F.max(col(seq)).alias("current"))
+                 red: float = 0, current: DataFrame | None = None) -> DataFrame:
+    """Max applied vs max current position per stream; gap = current - applied. ``current`` is the
+    frame whose ``seq`` is the current position, if it is not ``df``: streams of both, as in an inner join."""
+    if current is not None:
+        a = df.filter(applied).groupBy(*part).agg(F.max(col(seq)).alias("applied"))
+        g = a.join(current.groupBy(*part).agg(F.max(col(seq)).alias("current")), list(part))
+    else:
+        g = df.groupBy(*part).agg(F.max(F.when(applied, col(seq))).alias("applied"),
+                                  F.max(col(seq)).alias("current"))
     return (g.withColumn("gap", F.col("current") - F.col("applied"))
              .withColumn("is_abnormal", flag(F.col("gap") > red)))

@@ -69,32 +69,44 @@ def os_section_parse(dump: DataFrame, text: str, keep: Sequence[str], sections:
     those names that is the dump's first line or follows a blank line (the
     collectors print ``name``, the body, then an empty line); otherwise a line
     matching ``section_re``. ``** host:`` switches the host inside a section.
-    Body lines inherit both through a running ``last(ignorenulls)`` window
-    ordered by line number *within one dump* (one file, bounded by the
-    collector).
+    All in the row: the lines between two headers are sliced out of the array
+    of lines, then those between two host marks; no shuffle, whatever a dump's size.
     """
-    from pyspark.sql import Window
-    lines = split_lines(dump, text, keep)
-    w_run = Window.partitionBy(*keep).orderBy("line_no")
-    w = w_run.rowsBetween(Window.unboundedPreceding, 0)
-    ln = F.trim(F.col("line"))
-    if sections is not None:
-        prev_blank = F.coalesce(F.trim(F.lag("line").over(w_run)) == "", F.lit(True))
-        sec = F.when(ln.isin(list(sections)) & prev_blank, ln)
-    else:
-        m = F.regexp_extract(F.col("line"), section_re, 1)
-        sec = F.when(m != "", m)
-    host = F.regexp_extract(F.col("line"), host_re, 1)
-    df = (lines.withColumn("_sec", sec)
-               .withColumn("_host", F.when(host != "", F.trim(host)))
-               .withColumn("section", F.last("_sec", ignorenulls=True).over(w))
-               .withColumn("_hs", F.last(F.when(F.col("_sec").isNotNull(), F.col("line_no")), ignorenulls=True).over(w))
-               .withColumn("_hl", F.last(F.when(F.col("_host").isNotNull(), F.col("line_no")), ignorenulls=True).over(w))
-               .withColumn("host", F.when(F.col("_hl") > F.coalesce(F.col("_hs"), F.lit(0)),
-                                          F.last("_host", ignorenulls=True).over(w))))
-    return (df.filter(F.col("_sec").isNull() & F.col("_host").isNull() & (F.trim("line") != "")
-                      & F.col("section").isNotNull())
-              .select(*keep, "host", "section", "line_no", "line"))
+    ln = lambda x: F.trim(x)
+
+    def header(x, i):
+        if sections is not None:
+            prev_blank = F.coalesce(F.trim(F.get("_l", i - 1)) == "", F.lit(True))
+            return F.when(ln(x).isin(list(sections)) & prev_blank, ln(x))
+        m = F.regexp_extract(x, section_re, 1)
+        return F.when(m != "", m)
+
+    def host(x, i):
+        m = F.regexp_extract(x, host_re, 1)
+        return F.when(m != "", F.trim(m))
+
+    def marks(lines, name):
+        """(at, name) of the marked lines, counted from one."""
+        return F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("at"), name(x, i).alias("name"))),
+                        lambda m: m["name"].isNotNull())
+
+    def between(at, lines):
+        """(at, name, next): each mark with the place of the next one."""
+        return F.transform(at, lambda m, k: F.struct(m["at"].alias("at"), m["name"].alias("name"), F.coalesce(
+            F.get(at, k + 1)["at"], F.size(lines) + 1).alias("next")))
+
+    keep = list(keep)
+    d = dump.select(*keep, F.split(col(text), "\r?\n").alias("_l"))
+    d = d.withColumn("_m", marks(F.col("_l"), header))
+    d = d.select(*keep, "_l", F.explode(between(F.col("_m"), F.col("_l"))).alias("_s"))
+    d = d.select(*keep, F.col("_s.name").alias("section"), F.col("_s.at").alias("_at"),
+                 F.slice("_l", F.col("_s.at") + 1, F.col("_s.next") - F.col("_s.at") - 1).alias("_b"))
+    start = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("name")))
+    d = d.withColumn("_m", F.concat(start, marks(F.col("_b"), host)))
+    d = d.select(*keep, "section", "_at", "_b", F.explode(between(F.col("_m"), F.col("_b"))).alias("_h"))
+    d = d.select(*keep, F.col("_h.name").alias("host"), "section", (F.col("_at") + F.col("_h.at") + 1).alias("_at"),
+                 F.posexplode(F.slice("_b", F.col("_h.at") + 1, F.col("_h.next") - F.col("_h.at") - 1)).alias("_pos", "line"))
+    return d.filter(F.trim("line") != "").select(*keep, "host", "section", (F.col("_at") + F.col("_pos")).alias("line_no"), "line")
 
 
 def html_list_extract(pages: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:
@@ -123,16 +135,14 @@ def html_table_extract(reports: DataFrame, html: str, keep: Sequence[str]) -> Da
     tables = reports.select(*keep, F.explode(F.arrays_zip(
         F.regexp_extract_all(col(html), F.lit(TABLE_RE), 1).alias("tid"),
         F.regexp_extract_all(col(html), F.lit(TABLE_RE), 2).alias("body"))).alias("_t"))
-    rows = tables.select(*keep, F.col("_t.tid").alias("table_id"),
-                         F.posexplode(F.regexp_extract_all(F.col("_t.body"), F.lit(ROW_RE), 1)).alias("_r", "_row"))
-    is_header = F.col("_row").contains("<th")
-    cells = rows.select(*keep, "table_id", "_r", is_header.alias("_hdr"),
+    # Data rows are numbered from the table's first one, inside the array of rows.
+    rows = tables.select(*keep, F.col("_t.tid").alias("table_id"), F.regexp_extract_all(F.col("_t.body"), F.lit(ROW_RE), 1).alias("_rows"))
+    first_data = F.array_position(F.transform("_rows", lambda x: x.contains("<td") & ~x.contains("<th")), True)
+    rows = rows.select(*keep, "table_id", first_data.alias("_first"), F.posexplode("_rows").alias("_r", "_row"))
+    row_no = F.when(F.col("_row").contains("<th"), F.lit(0)).otherwise((F.col("_r") - F.col("_first") + 2).cast("int"))
+    cells = rows.select(*keep, "table_id", row_no.alias("row_no"),
                         F.posexplode(F.regexp_extract_all(F.col("_row"), F.lit(CELL_RE), 1)).alias("_c", "_cell"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(*keep, "table_id")
-    first_data = F.min(F.when(~F.col("_hdr"), F.col("_r"))).over(w)
-    return (cells.withColumn("row_no", F.when(F.col("_hdr"), F.lit(0)).otherwise(F.col("_r") - first_data + 1))
-                 .withColumn("col_no", F.col("_c") + 1)
+    return (cells.withColumn("col_no", F.col("_c") + 1)
                  .withColumn("is_red", F.col("_cell").rlike(RED_RE))
                  .withColumn("cell", F.trim(F.regexp_replace(F.col("_cell"), "<[^>]+>", "")))
                  .select(*keep, "table_id", "row_no", "col_no", "cell", "is_red"))

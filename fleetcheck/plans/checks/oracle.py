@@ -39,6 +39,15 @@ LIMITED = ["processes", "sessions", "transactions", "parallel_max_servers", "dml
            "max_shared_servers"]
 # Tablespaces whose segments are not user data.
 SYSTEM_TABLESPACES = ["SYSTEM", "SYSAUX"]
+# Schemas that come with the DBMS, for versions whose views do not say so.
+SYSTEM_OWNERS = [
+    "ANONYMOUS", "APEX_030200", "APEX_040000", "APEX_040200", "APEX_PUBLIC_USER", "APPQOSSYS", "AUDSYS", "AURORA$JIS$UTILITY$",
+    "AURORA$ORB$UNAUTHENTICATED", "BI", "CTXSYS", "DBSFWUSER", "DBSNMP", "DIP", "DMSYS", "DVF", "DVSYS", "EXFSYS", "FLOWS_030000",
+    "FLOWS_FILES", "GGSYS", "GSMADMIN_INTERNAL", "GSMCATUSER", "GSMUSER", "HR", "IX", "LBACSYS", "MDDATA", "MDSYS", "MGMT_VIEW",
+    "OE", "OJVMSYS", "OLAPSYS", "ORACLE_OCM", "ORDDATA", "ORDPLUGINS", "ORDSYS", "OSE$HTTP$ADMIN", "OUTLN", "OWBSYS", "OWBSYS_AUDIT",
+    "PERFSTAT", "PM", "PUBLIC", "REMOTE_SCHEDULER_AGENT", "SCOTT", "SH", "SI_INFORMTN_SCHEMA", "SPATIAL_CSW_ADMIN_USR",
+    "SPATIAL_WFS_ADMIN_USR", "SYS", "SYS$UMF", "SYSBACKUP", "SYSDG", "SYSKM", "SYSMAN", "SYSRAC", "SYSTEM", "TRACESVR", "TSMSYS",
+    "WK_TEST", "WKPROXY", "WKSYS", "WMSYS", "XDB", "XS$NULL"]
 # Known-malicious object name patterns.
 RANSOM_PATTERNS = [("core", "DBMS_CORE_INTERNA%"), ("system", "DBMS_SYSTEM_INTERNA%"),
                    ("support", "DBMS_SUPPORT_INTERNA%")]
@@ -237,9 +246,15 @@ def o20(ctx):
                              out="archive_gb")
 
 
+def _user_owned(owner, flag="oracle_maintained"):
+    """Rows of users' schemas: by the views' own flag, or by name where a version has no flag."""
+    named = ~F.coalesce(F.col(owner).isin(SYSTEM_OWNERS), F.lit(False))
+    return named if flag is None else F.coalesce(F.col(flag) == "N", named)
+
+
 @check("O21", E, "invalid_objects", ["objects"], key=("owner", "object_type"), metric="n_invalid", threshold=50)
 def o21(ctx):
-    o = ctx.cur("objects").filter((F.col("status") == "INVALID") & (F.col("oracle_maintained") == "N"))
+    o = ctx.cur("objects").filter((F.col("status") == "INVALID") & _user_owned("owner"))
     g = o.groupBy(*K, "owner", "object_type").agg(F.count("*").alias("n_invalid"))
     return verdict.threshold_flag(g, "n_invalid", 50, ">")
 
@@ -303,7 +318,7 @@ def o27(ctx):
 
 def _top_segments(ctx, kind):
     user_data = ~F.coalesce(F.col("tablespace_name").isin(SYSTEM_TABLESPACES), F.lit(False))
-    s = ctx.cur("segments").filter(F.col("segment_type").startswith(kind) & user_data).withColumn("mb", F.col("bytes") / MB)
+    s = ctx.cur("segments").filter(F.col("segment_type").startswith(kind) & user_data & _user_owned("owner", None)).withColumn("mb", F.col("bytes") / MB)
     parted = s.groupBy(*K, "owner", "segment_name").agg(
         F.max(F.when(F.col("partition_name").isNotNull(), "YES").otherwise("NO")).alias("partitioned"))
     top = cap.large_segments(s, ["owner", "segment_name"], "mb", 10240, 10, 102400, part=K, out="size_mb")
@@ -428,7 +443,7 @@ def o41(ctx):
 
 @check("O42", E, "schema_list", ["users", "database"], key=("username",))
 def o42(ctx):
-    u = ctx.cur("users").filter((F.col("account_status") == "OPEN") & (F.col("oracle_maintained") == "N"))
+    u = ctx.cur("users").filter((F.col("account_status") == "OPEN") & _user_owned("username"))
     created = ctx.cur("database").select(*K, F.col("created_ts").alias("_db_created"))
     u = u.join(created, K, "left")
     late = F.col("created_ts") > F.col("_db_created") + F.expr("INTERVAL 1 DAY")
@@ -438,7 +453,7 @@ def o42(ctx):
 
 @check("O43", E, "schema_object_matrix", ["users", "objects"], min_version=11)
 def o43(ctx):
-    users = ctx.cur("users").filter(F.col("oracle_maintained") == "N").select(*K, F.col("username").alias("owner"))
+    users = ctx.cur("users").filter(_user_owned("username")).select(*K, F.col("username").alias("owner"))
     o = ctx.cur("objects")
     t = F.col("object_type")
     return shapes.object_matrix(users, [*K, "owner"], {
@@ -536,9 +551,10 @@ def o54(ctx):
     return u.withColumn("is_abnormal", F.coalesce(bad, F.lit(False)))
 
 
-@check("O55", E, "standby_apply", ["archived_log"], key=("thread",), metric="gap", threshold=5)
+@check("O55", E, "standby_apply", ["archived_log", "redo_logs"], key=("thread",), metric="gap", threshold=5)
 def o55(ctx):
-    return perf.sequence_gap(ctx.cur("archived_log"), [*K, "thread"], "sequence", F.col("applied") == "YES", 5)
+    return perf.sequence_gap(ctx.cur("archived_log"), [*K, "thread"], "sequence", F.col("applied") == "YES", 5,
+                             current=ctx.cur("redo_logs"))
 
 
 @check("O56", E, "standby_destination", ["archive_dest_status"], key=("dest_id",))

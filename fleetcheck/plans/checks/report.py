@@ -49,10 +49,10 @@ def priorities(spark):
     return spark.createDataFrame(PRIORITY_MAP, "check_id string, priority string, advice string")
 
 
-def health_summary_of(findings, spark):
+def health_summary_of(findings, spark, ran=None):
     """R01: per instance and check: normal/abnormal counts, priority (default
     medium), advice only when abnormal."""
-    return fnd.health_summary(findings, priorities(spark), by=["instance_id", "check_id"])
+    return fnd.health_summary(findings, priorities(spark), by=["instance_id", "check_id"], ran=ran)
 
 
 def priority_rollup(summary):

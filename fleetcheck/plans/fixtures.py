@@ -43,22 +43,20 @@ def _ev(t: Tables) -> DataFrame:
 def counters(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative per-(instance, stat) counters at each day end, zero-filled.
 
-    The day spine per instance is ``sequence(min_day, max_day)`` and the stat
-    list is a fixed literal, so zero-filling needs no cross join; the running
-    total is a window over one (instance, stat) series of days.
+    Events are read once: one row per instance and day counts every stat, the running
+    totals go over an instance's days, and a day holds until the next one with events.
     """
-    ev = _ev(Tables(spark, d)).select("instance_id", F.to_date("ts").alias("d"), F.col("event_type").alias("stat"))
-    daily = ev.groupBy("instance_id", "d", "stat").agg(F.count("*").alias("n"))
-    spine = (ev.groupBy("instance_id").agg(F.min("d").alias("d0"), F.max("d").alias("d1"))
-               .select("instance_id", F.explode(F.sequence("d0", "d1")).alias("d"))
-               .select("instance_id", "d", F.explode(F.array(*[F.lit(s) for s in STATS])).alias("stat")))
     from pyspark.sql import Window
-    w = Window.partitionBy("instance_id", "stat").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
-    return (spine.join(daily, ["instance_id", "d", "stat"], "left")
-                 .withColumn("value", F.sum(F.coalesce(F.col("n"), F.lit(0))).over(w).cast(BIG))
+    ev = _ev(Tables(spark, d)).select("instance_id", F.to_date("ts").alias("d"), "event_type").filter(F.col("d").isNotNull())
+    daily = ev.groupBy("instance_id", "d").agg(*[F.count_if(F.col("event_type") == s).alias(s) for s in STATS])
+    w = Window.partitionBy("instance_id").orderBy("d")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    until = F.coalesce(F.lead("d").over(w), F.date_add("d", 1))
+    totals = daily.select("instance_id", "d", until.alias("until"), *[F.sum(s).over(upto).cast(BIG).alias(s) for s in STATS])
+    return (totals.select("instance_id", F.explode(F.sequence("d", F.date_sub("until", 1))).alias("d"), *STATS)
+                 .select("instance_id", "d", F.inline(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("value")) for s in STATS])))
                  .withColumn("snap_id", F.datediff("d", F.lit(EPOCH_DAY).cast("date")).cast(BIG))
-                 .withColumn("startup", (F.col("snap_id") / 10).cast(BIG))
-                 .drop("n"))
+                 .withColumn("startup", (F.col("snap_id") / 10).cast(BIG)))
 
 
 # --------------------------------------------------------------- verdict core
@@ -334,11 +332,8 @@ def q_sql_window_stats(spark, d):
                            F.col("l_quantity").cast("decimal(18,2)").alias("q"),
                            F.col("l_extendedprice").cast("decimal(18,2)").alias("p"))
     g = perf.sql_window_stats(li, ["l_returnflag"], ["l_partkey"], "l_shipdate", as_of_lit(SQLWIN_BEGIN),
-                              as_of_lit(SQLWIN_END), {"qty": "q", "elapsed": "p"})
-    tot = g.groupBy("l_returnflag").agg(F.sum("elapsed").alias("_tot"))
-    g = (g.join(tot, "l_returnflag")
-          .withColumn("per_exec", fround(safe_div("elapsed", "execs"), 2))
-          .withColumn("pct_total", fround(F.lit(100.0) * F.col("elapsed").cast(DBL) / nz(F.col("_tot").cast(DBL)), 4))
+                              as_of_lit(SQLWIN_END), {"qty": "q", "elapsed": "p"}, share_of="elapsed")
+    g = (g.withColumn("per_exec", fround(safe_div("elapsed", "execs"), 2))
           .join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
           .filter(~F.col("p_name").like("%bolt%")))
     out = ranking.topn(g, [F.col("elapsed").desc(), F.col("l_partkey").asc()], 10, ["l_returnflag"])
@@ -544,6 +539,14 @@ def q_host_port_split(spark, d):
 
 
 def q_os_section_parse(spark, d):
+    """Each turn framed as a dump whose first line is a section header with the role."""
+    c = Tables(spark, d).conversations
+    dump = c.select("conv_id", "turn", F.concat(F.lit("## "), "role", F.lit("\n"), "text").alias("dump"))
+    return text.os_section_parse(dump, "dump", ["conv_id", "turn"]).select(
+        "conv_id", "turn", "section", F.col("line_no").cast(BIG).alias("line_no"), "line")
+
+
+def q_split_lines(spark, d):
     c = Tables(spark, d).conversations
     out = text.split_lines(c, "text", ["conv_id", "turn", "role"])
     return out.select("conv_id", "turn", F.col("role").alias("section"), F.col("line_no").cast(BIG).alias("line_no"),
@@ -561,6 +564,17 @@ def q_os_usage(spark, d):
 
 
 def q_html_table_extract(spark, d):
+    """Each supplier framed as a report table, negative balances in red."""
+    money = F.col("s_acctbal").cast("decimal(18,2)").cast("string")
+    balance = F.when(F.col("s_acctbal") < 0, F.concat(F.lit('<font color="red">'), money, F.lit("</font>"))).otherwise(money)
+    html = F.concat(F.lit('<table id="supplier" border="1"><tr><th>name</th><th>balance</th></tr><tr><td><b>'), "s_name",
+                    F.lit('</b></td><td align="right">'), balance, F.lit("</td></tr><tr><td>nation</td><td>"),
+                    F.col("s_nationkey").cast("string"), F.lit("</td></tr></table>"))
+    out = text.html_table_extract(Tables(spark, d).supplier.select("s_suppkey", html.alias("html")), "html", ["s_suppkey"])
+    return out.withColumn("row_no", F.col("row_no").cast(BIG)).withColumn("col_no", F.col("col_no").cast(BIG))
+
+
+def q_html_list_extract(spark, d):
     out = text.html_list_extract(Tables(spark, d).pages, "html", ["page_id"])
     return out.withColumn("item_no", F.col("item_no").cast(BIG))
 

@@ -5,26 +5,54 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import findings as fnd
 from ..schemas import VIEWS
-from ..sources import read_snapshots
+from ..sources import read_snapshots, union_all
 from .checks import base
 from .checks.report import health_summary_of
 
 
 def load_views(spark: SparkSession, root: str, engine: str, since: str | None = None,
-               until: str | None = None) -> dict[str, DataFrame]:
+               until: str | None = None, errors: dict | None = None) -> dict[str, DataFrame]:
     """Snapshot views of one engine stored under ``root/{engine}/{view}``
-    (partitioned by snapshot_date); absent views are skipped."""
+    (partitioned by snapshot_date); views without a folder were never collected and are skipped.
+    Any other error is raised, or recorded in ``errors`` by view where that is given."""
     out = {}
     for v in VIEWS[engine]:
         try:
             out[v] = read_snapshots(spark, f"{root}/{engine}", v, since, until)
-        except Exception:  # noqa: BLE001 - a view that was never collected
+        except Exception as e:  # noqa: BLE001 - sorted out below
+            if isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND":
+                continue
+            if errors is None:
+                raise
+            errors[v] = str(e).splitlines()[0][:500]
+    return out
+
+
+def checks_ran(spark: SparkSession, views_by_engine: Mapping[str, Mapping[str, DataFrame]], as_of: Column, tier: str | None = None,
+               unreadable: Mapping[str, Mapping[str, str]] | None = None) -> DataFrame:
+    """(instance_id, check_id, error): the checks with a verdict that were due, for each instance of their engine that
+    has a collection. error: why a check could not be built, or that a view it needs could not be read."""
+    out = spark.createDataFrame([], "instance_id string, check_id string, error string")
+    for engine in sorted({*views_by_engine, *(unreadable or {})}):
+        views, broken = views_by_engine.get(engine, {}), (unreadable or {}).get(engine, {})
+        results, failed = base.run_checks(base.Ctx(spark, views, as_of), engine, tier=tier)
+        due = {c: None for c, df in results.items() if "is_abnormal" in df.columns}
+        for c, message in failed.items():
+            lost = [f"{v}: {broken[v]}" for v in base.REGISTRY[c].inputs if v in broken]
+            if lost or not message.startswith("missing input"):
+                due[c] = "; ".join(lost) or message
+        if not due:
             continue
+        instances = union_all([v.filter(F.col("snapshot_ts") <= as_of).select("instance_id") for v in views.values()]
+                              or [spark.createDataFrame([(None,)], "instance_id string")]).distinct()
+        each = F.array(*[F.struct(F.lit(c).alias("check_id"), F.lit(e).cast("string").alias("error")) for c, e in sorted(due.items())])
+        out = out.unionByName(instances.select("instance_id", F.inline(each)))
     return out
 
 
@@ -44,16 +72,17 @@ def fleet_findings(spark: SparkSession, views_by_engine: Mapping[str, Mapping[st
 
 
 def fleet_summary(spark: SparkSession, views_by_engine, as_of: Column, tier: str | None = None,
-                  out_path: str | None = None, materialize: bool = False):
+                  out_path: str | None = None, materialize: bool = False, unreadable=None):
     """(findings, summary). With ``out_path`` (a shared folder) the findings
     are written there first, partitioned by engine and check, and the summary
     reads the written table: the lineage of ~190 check plans is cut and a lost
-    executor only recomputes its own check."""
+    executor only recomputes its own check. Every check that was due has a line in the summary, also without
+    findings; ``unreadable`` maps engine -> view -> error, as load_views records them."""
     f = fleet_findings(spark, views_by_engine, as_of, tier, materialize)
     if out_path is not None:
         f.write.mode("overwrite").partitionBy("engine", "check_id").parquet(out_path)
         f = spark.read.parquet(out_path)
-    return f, health_summary_of(f, spark)
+    return f, health_summary_of(f, spark, checks_ran(spark, views_by_engine, as_of, tier, unreadable))
 
 
 def as_of_ts(ts: str) -> Column:

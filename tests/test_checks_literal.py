@@ -287,14 +287,15 @@ def test_more_oracle_verdicts(spark):
                                                                          "FAILED", "FAILED"])]
     arch = [{"instance_id": "a", "thread": 1, "sequence": s, "applied": "YES" if s <= 10 else "NO"} for s in range(5, 17)]
     c = ctx(spark, e, {"tablespace_usage_hist": view(spark, e, "tablespace_usage_hist", hist), "instance": inst,
-                       "job_log": view(spark, e, "job_log", jl), "archived_log": view(spark, e, "archived_log", arch)})
+                       "job_log": view(spark, e, "job_log", jl), "archived_log": view(spark, e, "archived_log", arch),
+                       "redo_logs": view(spark, e, "redo_logs", [{"instance_id": "a", "thread": 1, "sequence": s} for s in (19, 20)])})
     g = {r.day: (r.total, r.growth, r.used_pct, r.is_abnormal) for r in run(c, "O25").collect()}
     assert g["2024-01-29"] == (96, 35, 96.0, True) and g["2024-01-28"] == (61, 10, 61.0, False)
     assert g["2024-01-27"][1] is None
     fails = sorted(r.log_id for r in run(c, "O49").collect())
     assert fails == [0, 2, 3]  # non-success within 7 days, newest three per job
     gap = run(c, "O55").collect()[0]
-    assert (gap.applied, gap.current, gap.gap, gap.is_abnormal) == (10, 16, 6, True)
+    assert (gap.applied, gap.current, gap.gap, gap.is_abnormal) == (10, 20, 10, True)  # the redo log is ahead of what is archived
 
 
 def test_oracle_top_sql(spark):

@@ -75,3 +75,49 @@ def test_oracle_segments(spark):
         {"instance_id": "o", "owner": "SYS", "segment_name": "AUD$", "segment_type": "TABLE", "tablespace_name": "SYSTEM", "bytes": 1 << 40},
         {"instance_id": "o", "owner": "APP", "segment_name": "T", "segment_type": "TABLE", "tablespace_name": "USERS", "bytes": 1 << 40}])})
     assert [r["segment_name"] for r in run(c, "O28").collect()] == ["T"]
+
+
+def test_oracle_owners_without_flag(spark):
+    """Versions whose views have no oracle_maintained: system schemas go by name."""
+    e = "oracle"
+    objects = [{"instance_id": "o", "owner": o, "object_type": "VIEW", "object_name": f"V{i}", "status": "INVALID"}
+               for o in ("APP", "SYS") for i in range(60)]
+    users = [{"instance_id": "o", "username": u, "account_status": "OPEN"} for u in ("APP", "SYS", "OUTLN")]
+    c = ctx(spark, e, {"objects": view(spark, e, "objects", objects), "users": view(spark, e, "users", users),
+                       "database": view(spark, e, "database", [{"instance_id": "o"}])})
+    assert [(r["owner"], r["n_invalid"], r["is_abnormal"]) for r in run(c, "O21").collect()] == [("APP", 60, True)]
+    assert [r["username"] for r in run(c, "O42").collect()] == ["APP"]
+    assert [(r["owner"], r["n_invalid"]) for r in run(c, "O43").collect()] == [("APP", 60)]
+
+
+def test_summary_has_a_line_for_every_check_that_was_due(spark, tmp_path):
+    from fleetcheck.plans import fleet
+    from fleetcheck.plans.checks import base
+    e = "oracle"
+    views = {"tablespaces": view(spark, e, "tablespaces", [
+                 {"instance_id": "a", "tablespace_name": "USERS", "contents": "PERMANENT", "total_bytes": 100, "used_bytes": 95}]),
+             "objects": view(spark, e, "objects", [{"instance_id": "a", "owner": "APP", "object_type": "VIEW", "status": "VALID"}])}
+
+    @base.check("Z98", e, "fails_when_built", ["tablespaces"])
+    def z98(ctx):
+        raise ValueError("boom")
+
+    try:
+        _, s = fleet.fleet_summary(spark, {e: views}, fleet.as_of_ts("2024-01-31 00:00:00"),
+                                   unreadable={e: {"users": "denied"}})
+        got = {r["check_id"]: (r["status"], r["n_abnormal"], r["error"]) for r in s.collect()}
+        assert got["O22"] == ("abnormal", 1, None) and got["O21"] == ("normal", 0, None)
+        assert got["Z98"] == ("error", 0, "boom") and got["O40"] == ("error", 0, "users: denied")
+    finally:
+        base.REGISTRY.pop("Z98", None)
+    (tmp_path / "oracle" / "tablespaces" / "snapshot_date=2024-01-30").mkdir(parents=True)
+    (tmp_path / "oracle" / "tablespaces" / "snapshot_date=2024-01-30" / "part-0.parquet").write_bytes(b"not a parquet file")
+    errors = {}
+    assert fleet.load_views(spark, str(tmp_path), e, errors=errors) == {} and list(errors) == ["tablespaces"]
+
+
+def test_text_parsers_do_not_shuffle(spark):
+    from fleetcheck.plans import fixtures
+    for key in ("os_section_parse", "html_table_extract"):
+        plan = fixtures.QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan
