@@ -155,29 +155,25 @@ def blocking_pairs(locks: DataFrame, key_cols: Sequence[str], pid: str, granted:
     """Waiters on a lock key that other sessions hold (null-safe key equality).
 
     One row per waiter: ``n_holders`` (holders with another pid) and
-    ``first_holder`` (smallest such pid). Holders are aggregated per key
-    first; NULL key parts group together exactly like ``IS NOT DISTINCT FROM``.
+    ``first_holder`` (smallest such pid). A key is one struct, whose NULL parts
+    are equal like ``IS NOT DISTINCT FROM``, so every step deals rows by the same
+    column. Per key the holders are counted and the two smallest kept (a group
+    limit before the shuffle); a waiter that holds the key too takes the second.
     """
+    from pyspark.sql import Window
     keys = list(key_cols)
-    holders = locks.filter(granted).select(*keys, col(pid).alias("_hp")).distinct()
-    h1 = holders.groupBy(*keys).agg(F.count("*").alias("_hn"), F.min("_hp").alias("_h1"))
-    h2 = (holders.alias("a").join(h1.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys])
-          .filter(F.col("a._hp") != F.col("b._h1"))
-          .groupBy(*[F.col(f"a.{k}").alias(k) for k in keys]).agg(F.min("a._hp").alias("_h2")))
-    waiters = locks.filter(~granted).select(*keys, col(pid).alias("waiter"), *extra)
-    w = waiters.alias("w")
-    j = w.join(h1.alias("h"), [F.col(f"w.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]) \
-         .select("w.*", "h._hn", "h._h1")
-    j = j.alias("w").join(h2.alias("h"), [F.col(f"w.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys], "left") \
-         .select("w.*", "h._h2")
-    self_held = holders.select(*keys, F.col("_hp").alias("_self"))
-    j = j.alias("w").join(self_held.alias("s"),
-                          [F.col(f"w.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys] + [F.col("w.waiter") == F.col("s._self")],
-                          "left").select("w.*", F.col("s._self").isNotNull().alias("_holds_too"))
-    return (j.withColumn("n_holders", F.col("_hn") - F.when(F.col("_holds_too"), 1).otherwise(0))
+    locks = locks.withColumn("_k", F.struct(*keys))
+    holders = locks.filter(granted).select("_k", col(pid).alias("_hp")).distinct()
+    rank = F.row_number().over(Window.partitionBy("_k").orderBy(F.col("_hp").asc_nulls_last()))
+    first = (holders.withColumn("_r", rank).filter(F.col("_r") <= 2).groupBy("_k")
+             .agg(F.min(F.when(F.col("_r") == 1, F.col("_hp"))).alias("_h1"), F.min(F.when(F.col("_r") == 2, F.col("_hp"))).alias("_h2")))
+    held = first.join(holders.groupBy("_k").agg(F.count("*").alias("_hn")), "_k")
+    j = locks.filter(~granted).select("_k", *keys, col(pid).alias("waiter"), *extra).join(held, "_k")
+    j = j.join(holders.withColumnRenamed("_hp", "waiter").withColumn("_too", F.lit(1)), ["_k", "waiter"], "left")
+    return (j.withColumn("n_holders", F.col("_hn") - F.coalesce("_too", F.lit(0)))
              .withColumn("first_holder", F.when(F.col("_h1") == F.col("waiter"), F.col("_h2")).otherwise(F.col("_h1")))
              .filter(F.col("n_holders") > 0)
-             .drop("_hn", "_h1", "_h2", "_holds_too"))
+             .select(*keys, "waiter", *extra, "n_holders", "first_holder"))
 
 
 def blocking_parent(requests: DataFrame, id_col: str, parent_col: str, cols: Sequence[str],
