@@ -10,9 +10,8 @@ takes steps on the round's windows of its training texts, and Spark averages the
 
 The model's distribution is the one that counts of contexts back off to. A context is the two ids before, as far as
 they belong to one unit (a word or a mark; the vocabulary tells its last id), or the last id of the unit before. Its
-counts come from every training text; the model holds the ``ENTRIES`` most frequent pairs of context and id (a size of
-the model, like its classes), and what a context's other ids weigh goes to the attention as well. Where a unit
-begins, the two are averaged.
+counts come from every training text and all of them count: the model sent to tasks holds the ``ENTRIES`` most frequent
+pairs of context and id, the others are joined to the ids that ask for them. Where a unit begins, the two are averaged.
 
 Scoring: windows of ``WIDTH`` ids overlap by ``OVERLAP``, whose predictions count in the window before only, so each
 id, and the end id, is scored once. Windows of many texts go through masked attention together.
@@ -46,7 +45,7 @@ ROUNDS, EVERY = 2, 16
 BATCH = 256  # windows at once
 CHUNK_IDS = 50_000  # about so many ids are laid out in windows at once
 RATE = 0.01
-ENTRIES = 1 << 20  # pairs of context and id, at most, that the model holds
+ENTRIES = 1 << 20  # pairs of context and id, at most, that are sent to all tasks; the others are joined
 FREQUENT = 400_000  # words, at most, whose counts are sent to all tasks; the others are joined
 END_WORD = b" "  # no word holds a blank
 START, NONE = 65534, 65535  # before a text; no id in this place of a context
@@ -147,16 +146,18 @@ class Contexts:
     """What contexts give to an id, and what they leave to the attention.
 
     key, n: pairs ``context << 16 | id`` and counts. context, total, kinds: of the contexts among them, the sum of all
-    their counts and the number of their pairs, those not in key included.
+    their counts and the number of their pairs, those not in key included. others: pairs not in key are looked up
+    apart; else what they weigh is left to the attention.
     """
 
-    def __init__(self, key: np.ndarray, n: np.ndarray, context: np.ndarray, total: np.ndarray, kinds: np.ndarray):
+    def __init__(self, key: np.ndarray, n: np.ndarray, context: np.ndarray, total: np.ndarray, kinds: np.ndarray,
+                 others: bool = False):
         order = np.argsort(context)
         context, total, kinds = context[order], total[order], kinds[order]
         at = np.searchsorted(context, key >> 16)
         held = np.bincount(at, weights=n, minlength=len(context))
         weight = total + kinds
-        rest = (weight - held) / np.maximum(weight, 1)
+        rest = (kinds if others else weight - held) / np.maximum(weight, 1)
         self.pair = Lookup(key, [n / weight[at], rest[at]], [0, -1])
         self.context = Lookup(context, [rest], [1])
 
@@ -168,6 +169,14 @@ class Contexts:
         mixed = own + rest * p
         return np.where(begins, (mixed + p) / 2, mixed)
 
+    def apart(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the pairs that are not in key, what their contexts leave); 1 for contexts not held either.
+
+        A context that is held leaves less than 1, as it was seen.
+        """
+        at = np.flatnonzero(self.pair((context << 16) | ids)[1] < 0)
+        return at, self.context(context[at])[0]
+
 
 class Model:
     """Classes, their frequencies, the attention's weights and the contexts.
@@ -387,23 +396,47 @@ def _ids(b):
     return [np.frombuffer(i, "<u2") for i in b.column(b.num_columns - 1).to_pylist()]
 
 
-def _held(counted: DataFrame) -> Contexts:
-    """The contexts of the most frequent pairs among counted (key, n), by powers of two of the count."""
-    sized = counted.withColumn("bits", F.length(F.bin("n")))
+def _least(sized: DataFrame) -> int:
+    """The least power of two of a count among the pairs that are held: all above it fit in ENTRIES."""
     least, room = 64, ENTRIES
     for r in sized.groupBy("bits").agg(F.count("*").alias("v")).orderBy(F.desc("bits")).collect():
         if r["v"] > room:
             break
         room -= r["v"]
         least = r["bits"]
-    of = sized.groupBy(F.shiftright("key", 16).alias("context")).agg(
-        F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("bits").alias("most")).where(F.col("most") >= least)
-    pairs, of = sized.where(F.col("bits") >= least).select("key", "n").toArrow(), of.drop("most").toArrow()
-    return Contexts(*(t.column(c).to_numpy() for t in (pairs, of) for c in t.column_names))
+    return least
+
+
+def _sized(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (key, n) with the length of the count, and their contexts (context, total, kinds, most)."""
+    sized = counted.withColumn("bits", F.length(F.bin("n"))).withColumn("context", F.shiftright("key", 16))
+    return sized, sized.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), F.max("bits").alias("most"))
 
 
-def fit(ids: DataFrame, ends: np.ndarray) -> Model:
-    """The model of the training rows of ids (from _prepared); ends is from unit_ends."""
+def _held(counted: DataFrame, others: bool = False) -> Contexts:
+    """The contexts of the most frequent pairs among counted (key, n), by powers of two of the count."""
+    sized, of = _sized(counted)
+    least = _least(sized)
+    pairs = sized.where(F.col("bits") >= least).select("key", "n").toArrow()
+    of = of.where(F.col("most") >= least).drop("most").toArrow()
+    return Contexts(*(t.column(c).to_numpy() for t in (pairs, of) for c in t.column_names), others=others)
+
+
+def _others(counted: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """What _held leaves out: pairs (key, own, rest) and contexts (context, left); None where it holds all."""
+    sized, of = _sized(counted)
+    least = _least(sized)
+    rare = sized.where(F.col("bits") < least)
+    if rare.isEmpty():
+        return None
+    single = lambda c: c.cast("float").cast("double")  # noqa: E731, as Lookup keeps it
+    left = single(F.col("kinds") / (F.col("total") + F.col("kinds")))
+    pairs = rare.join(of, "context").select("key", single(F.col("n") / (F.col("total") + F.col("kinds"))).alias("own"), left.alias("rest"))
+    return stored(pairs, "rare_pairs"), stored(of.where(F.col("most") < least).select("context", left.alias("left")), "rare_contexts")
+
+
+def fit(ids: DataFrame, ends: np.ndarray) -> tuple[Model, tuple[DataFrame, DataFrame] | None]:
+    """The model of the training rows of ids (from _prepared), and the counts it does not hold; ends is from unit_ends."""
     sc = ids.sparkSession.sparkContext
 
     def count_ids(batches):
@@ -484,31 +517,42 @@ def fit(ids: DataFrame, ends: np.ndarray) -> Model:
         total = _summed(ids, steps, size + 1)
         if total[-1]:
             weights = shaped(total[:-1] / total[-1])
-    return Model(counts, after, weights, _held(counted), ends)
+    others = _others(counted)
+    return Model(counts, after, weights, _held(counted, others is not None), ends), others
+
 
+def text_scores(m: Model, ids: list[np.ndarray], apart: list | None = None) -> np.ndarray:
+    """log10 probability of each text: of its ids and the end. Some texts at a time, whole, to keep arrays small.
 
-def text_scores(m: Model, ids: list[np.ndarray]) -> np.ndarray:
-    """log10 probability of each text: of its ids and the end. Some texts at a time, whole, to keep arrays small."""
-    out, part, total = [], [], 0
+    apart takes (texts, keys, what the contexts leave, begins, probabilities of the attention) of ids whose pair is not
+    held; these are left out of the sums.
+    """
+    out, part, total, done = [], [], 0, 0
     for i in ids:
         part.append(i)
         total += len(i)
         if total > CHUNK_IDS:
-            out.append(_scores(m, part))
+            out.append(_scores(m, part, apart, done))
+            done += len(part)
             part, total = [], 0
     if part:
-        out.append(_scores(m, part))
+        out.append(_scores(m, part, apart, done))
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def _scores(m: Model, ids: list[np.ndarray]) -> np.ndarray:
+def _scores(m: Model, ids: list[np.ndarray], apart: list | None = None, done: int = 0) -> np.ndarray:
     first, after, before, context = contexts(ids, m.ends)
     fine = m.fine[np.minimum(before, IDS - 1)]
     fine[first] = FINE
     x, y, scored, _ = windows(m, ids)
     lp = m.log_share(fine, after) + log_probs(m, x, y, scored)  # both in the order of the ids
     if m.held is not None:
-        lp = np.log(m.held.mix(context, after, m.ends[before], np.exp(lp)))
+        p, begins = np.exp(lp), m.ends[before]
+        lp = np.log(m.held.mix(context, after, begins, p))
+        if apart is not None:
+            at, left = m.held.apart(context, after)
+            apart.append((done + np.searchsorted(first, at, "right") - 1, context[at] << 16 | after[at], left.astype(np.float64), begins[at], p[at]))
+            lp[at] = 0
     return np.add.reduceat(lp, first) / np.log(10)
 
 
@@ -599,12 +643,45 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
     return out.select("doc_id", "h", "n_tokens", "n_known", score.alias("base_score")).dropDuplicates(["doc_id", "h"]), int(total)
 
 
+def _joined_scores(ids: DataFrame, shared, pairs: DataFrame, left: DataFrame) -> DataFrame:
+    """(doc_id, h, held_out, score) of rows of ids: the sums of what tasks know, and the ids whose counts are joined."""
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            apart: list = []
+            rid = b.column(0).to_numpy()
+            sums = text_scores(shared.value, _ids(b), apart)
+            text, key, rest, begins, p = (np.concatenate(x) for x in zip(*apart))
+            none = pa.nulls(len(text), pa.int64())
+            # The text's own row: keys that nothing else has, so that it joins with nothing.
+            own = [b.column(0), pa.array(-1 - rid), pa.array(-1 - rid), pa.array(sums), pa.nulls(len(rid), pa.float64()),
+                   pa.nulls(len(rid), pa.bool_()), pa.nulls(len(rid), pa.float64()), *b.columns[1:4]]
+            of = [pa.array(rid[text]), pa.array(key), pa.array(key >> 16), pa.nulls(len(text), pa.float64()), pa.array(rest),
+                  pa.array(begins), pa.array(p), none, none, pa.nulls(len(text), pa.bool_())]
+            names = ["rid", "key", "context", "sums", "known", "begins", "p", "doc_id", "h", "held_out"]
+            yield pa.RecordBatch.from_arrays(own, names)
+            yield pa.RecordBatch.from_arrays(of, names)
+
+    # Rows are told apart by a number that lasts for this one pass.
+    numbered = ids.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "h", "held_out", "ids")
+    parts = numbered.mapInArrow(run, "rid long, key long, context long, sums double, known double, begins boolean, p double, "
+                                     "doc_id long, h long, held_out boolean")
+    joined = parts.join(pairs.hint("shuffle_hash"), "key", "left").join(left.hint("shuffle_hash"), "context", "left")
+    p = F.col("p")
+    mixed = F.coalesce(F.col("own"), F.lit(0.0)) + F.coalesce(F.col("rest"), F.col("left"), F.col("known")) * p
+    each = F.coalesce(F.col("sums"), F.log10(F.when(F.col("begins"), (mixed + p) / 2).otherwise(mixed)))
+    return joined.groupBy("rid").agg(*(F.max(c).alias(c) for c in ("doc_id", "h", "held_out")), F.sum(each).alias("score")).drop("rid")
+
+
 def scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     workers_ready(docs.sparkSession)
     ids, rows = _prepared(docs, tokenizer)
     base, total = base_scores(rows)
-    model = fit(ids, unit_ends(tokenizer))
+    model, others = fit(ids, unit_ends(tokenizer))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -614,7 +691,10 @@ def scores(docs: DataFrame, tokenizer: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(text_scores(shared.value, _ids(b)), pa.float64())],
                                              ["doc_id", "h", "held_out", "score"])
 
-    scored = ids.mapInArrow(run, "doc_id long, h long, held_out boolean, score double")
+    if others is None:
+        scored = ids.mapInArrow(run, "doc_id long, h long, held_out boolean, score double")
+    else:
+        scored = _joined_scores(ids, shared, *others)
     base = base.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
     return scored.join(base, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h"))).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
                                            "base_score", "score")

@@ -506,6 +506,16 @@ def test_lm_contexts_leave_a_distribution(spark, monkeypatch, entries):
             assert q.sum() == pytest.approx(1, abs=1e-5) and (q > 0).all()
 
 
+def test_lm_entries_change_the_route_and_not_the_score(spark, docs, monkeypatch):
+    def scored():
+        return [r["score"] for r in lm.scores(docs, WORDS).orderBy("doc_id", "n_tokens", "score").collect()]
+
+    whole = scored()
+    for entries in (200, 0):
+        monkeypatch.setattr(lm, "ENTRIES", entries)
+        assert scored() == pytest.approx(whole, rel=1e-5)
+
+
 def test_lm_beats_the_word_base_on_held_out_texts(spark):
     """At 25 MB. At 2.5 MB the word base is ahead, as most words of held-out texts' units are too rare to count."""
     rows = queries.op9_lm_score(spark, "/root/testdata/sf0.1").where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
