@@ -5,8 +5,8 @@ have their own, the others share classes of about equal weight. The model gives
 of fine-class embeddings with positions by one masked attention layer, whose output is added to the log frequencies
 of the class after the last fine class; an id has its share of its class after that fine class. These frequencies
 come from every training text. The attention's weights are fitted in rounds: each task starts from the same weights,
-takes steps on the round's windows of its training texts, and Spark averages the weights. A round takes each
-``EVERY``-th window of each text (others each round); this alone is not summed over all windows.
+takes steps on the round's windows of its training texts, and Spark averages the weights. A hash of the text's id and
+the window's number says the round of a window, so that each window of each training text takes part in one round.
 
 The model's distribution is the one that counts of contexts back off to. A context is the two ids before, as far as
 they belong to one unit (a word or a mark; the vocabulary tells its last id), or the last id of the unit before. Its
@@ -37,11 +37,11 @@ from .tokens import word_ids
 END_ID = 49407
 IDS = 49408
 SHARED = 16  # classes for ids without one of their own
-CLASSES = 40  # coarse, predicted
+CLASSES = 64  # coarse, predicted
 FINE = 256  # read; one more stands for the beginning of a text
 DIM = 16
-WIDTH, OVERLAP = 24, 4
-ROUNDS, EVERY = 2, 16
+WIDTH, OVERLAP = 32, 8
+ROUNDS = 3
 BATCH = 256  # windows at once
 CHUNK_IDS = 50_000  # about so many ids are laid out in windows at once
 RATE = 0.01
@@ -226,12 +226,12 @@ def window_starts(n: int) -> np.ndarray:
 def windows(m, ids: list[np.ndarray], pick=None):
     """(fine classes before, coarse classes, scored, text) of texts' windows, padded; text has one entry a window.
 
-    A text's inputs are its beginning and its ids, its targets the ids and the end.
+    pick, from a text's place and its number of windows, says which ones are taken. A text's inputs are its beginning and its ids, its targets the ids and the end.
     """
     size = np.array([len(i) for i in ids], dtype=np.int64) + 1
     starts = [window_starts(n) for n in size.tolist()]
     if pick is not None:
-        starts = [s[pick(i)::EVERY] for i, s in enumerate(starts)]
+        starts = [s[pick(i, len(s))] for i, s in enumerate(starts)]
     text = np.repeat(np.arange(len(ids)), [len(s) for s in starts])
     base = np.cumsum(size) - size
     first = np.concatenate(starts)
@@ -346,6 +346,26 @@ class Adam:
             p[k] -= rate * (self.m[k] / (1 - 0.9 ** self.t)) / (np.sqrt(self.v[k] / (1 - 0.99 ** self.t)) + 1e-8)
 
 
+def rounds(key: int, n: int) -> np.ndarray:
+    """The training round of each of a text's n windows, by a hash of the text's key and the window's number."""
+    z = np.arange(n, dtype=np.uint64) + np.uint64(key & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return (z ^ (z >> np.uint64(31))) % np.uint64(ROUNDS)
+
+
+def train(m: Model, adam: Adam, ids: list[np.ndarray], keys: list[int], r: int) -> int:
+    """Steps of the model's weights on the windows of round r; gives the number of targets."""
+    seen = 0
+    for lo, hi in _slices(ids):
+        x, y, scored, _ = windows(m, ids[lo:hi], pick=lambda i, n: rounds(keys[lo + i], n) == r)
+        for a in range(0, len(x), BATCH):
+            g, _ = gradient(m, x[a:a + BATCH], y[a:a + BATCH], scored[a:a + BATCH])
+            adam.step(m.p, g, RATE / (1 + r) / np.sqrt(1 + adam.t / 50))
+            seen += int(scored[a:a + BATCH].sum())
+    return seen
+
+
 def _prepared(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, held_out, ids) in the shared folder, ids as 16-bit numbers; and the same rows with texts.
 
@@ -368,8 +388,11 @@ def _prepared(docs: DataFrame, tokenizer: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _sums(ids: DataFrame, run) -> tuple[np.ndarray, np.ndarray]:
-    """Sums by whole-number key of the rows (key, value) that run makes of training ids; keys are bounded in number."""
-    rows = ids.where("not held_out").select("ids").mapInArrow(run, "key long, value double")
+    """Sums by whole-number key of the rows (key, value) that run makes of training rows (hash of the text's id and h, ids).
+
+    Keys are bounded in number.
+    """
+    rows = ids.where("not held_out").select(F.xxhash64("doc_id", "h"), "ids").mapInArrow(run, "key long, value double")
     t = rows.groupBy("key").agg(F.sum("value").alias("value")).toArrow()
     return t.column("key").to_numpy(), t.column("value").to_numpy()
 
@@ -501,15 +524,7 @@ def fit(ids: DataFrame, ends: np.ndarray) -> tuple[Model, tuple[DataFrame, DataF
             model.p = {k: v.copy() for k, v in model.p.items()}  # a worker's later tasks begin from the same weights
             adam, seen = Adam(model.p), 0
             for b in batches:
-                if not b.num_rows:
-                    continue
-                # Texts begin at different windows, so short ones take part in some round.
-                x, y, scored, _ = windows(model, _ids(b), pick=lambda i: (i + r * (EVERY // ROUNDS)) % EVERY)
-                for a in range(0, len(x), BATCH):
-                    if scored[a:a + BATCH].any():
-                        g, _ = gradient(model, x[a:a + BATCH], y[a:a + BATCH], scored[a:a + BATCH])
-                        adam.step(model.p, g, RATE / (1 + r) / np.sqrt(1 + adam.t / 50))
-                        seen += int(scored[a:a + BATCH].sum())
+                seen += train(model, adam, _ids(b), b.column(0).to_pylist(), r)
             if seen:
                 yield _emit(np.r_[flat(model.p) * seen, seen])
 
@@ -521,22 +536,23 @@ def fit(ids: DataFrame, ends: np.ndarray) -> tuple[Model, tuple[DataFrame, DataF
     return Model(counts, after, weights, _held(counted, others is not None), ends), others
 
 
+def _slices(ids: list[np.ndarray]):
+    """Ranges of whole texts with about CHUNK_IDS ids."""
+    a = total = 0
+    for b, i in enumerate(ids, 1):
+        total += len(i)
+        if total > CHUNK_IDS or b == len(ids):
+            yield a, b
+            a, total = b, 0
+
+
 def text_scores(m: Model, ids: list[np.ndarray], apart: list | None = None) -> np.ndarray:
     """log10 probability of each text: of its ids and the end. Some texts at a time, whole, to keep arrays small.
 
     apart takes (texts, keys, what the contexts leave, begins, probabilities of the attention) of ids whose pair is not
     held; these are left out of the sums.
     """
-    out, part, total, done = [], [], 0, 0
-    for i in ids:
-        part.append(i)
-        total += len(i)
-        if total > CHUNK_IDS:
-            out.append(_scores(m, part, apart, done))
-            done += len(part)
-            part, total = [], 0
-    if part:
-        out.append(_scores(m, part, apart, done))
+    out = [_scores(m, ids[a:b], apart, a) for a, b in _slices(ids)]
     return np.concatenate(out) if out else np.zeros(0)
 
 

@@ -567,6 +567,24 @@ def test_lm_gradient_and_training():
     assert lm.gradient(m, x, y, scored)[1] < first - 0.05
 
 
+def test_lm_trains_on_each_window_once():
+    m, ids = small_model()
+    keys = list(range(len(ids)))
+    first = {k: v.copy() for k, v in m.p.items()}
+
+    def seen(ids, keys):
+        out = []
+        for r in range(lm.ROUNDS):
+            m.p = {k: v.copy() for k, v in first.items()}
+            out.append(lm.train(m, lm.Adam(m.p), ids, keys, r))
+        return out
+
+    whole = seen(ids, keys)
+    assert sum(whole) == sum(len(i) + 1 for i in ids) and min(whole) > 0
+    assert seen(ids[::-1], keys[::-1]) == whole  # the place among other texts does not matter
+    assert whole == np.sum([seen([i], [k]) for i, k in zip(ids, keys)], axis=0).tolist()
+
+
 # --- 10 token counts ------------------------------------------------------------------------------------------
 
 def test_token_counts_and_cache(spark, docs, empty):
