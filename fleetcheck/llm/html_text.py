@@ -46,21 +46,23 @@ _BAD_NAME = re.compile(
     r"header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|outbrain|pagination|pager|popup|promo\w*|related|"
     r"replies|responses|share|sharing|sidebar|side|social|sponsor\w*|subscribe|subscription|taboola|toolbar|topbar|widgets?|"
     r"login|signup|skip|recommend\w*)(?:$|[\s_-])", re.I)
+LISTS = frozenset(("li", "dt", "dd", "option"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 
 MAX_LINKS = 0.2  # share of characters in links beyond which a block is bad
 SHORT = 70  # characters; shorter blocks are left to the second pass
 LONG = 200
 STOP_LOW, STOP_HIGH = 0.15, 0.25
-LIST_LIKE = 0.5  # a long block of the marked article may have this share of links
+LIST_LIKE = 0.5  # a list of the marked article, or a block with no text but links, may have this share of links
 _SPACE = re.compile(r"\s+")
 
 
 class _Block:
-    __slots__ = ("parts", "linked", "bad", "article", "heading", "label")
+    __slots__ = ("parts", "linked", "bad", "article", "heading", "listed", "plain", "label")
 
-    def __init__(self, bad, article, heading):
-        self.parts, self.linked, self.bad, self.article, self.heading, self.label = [], 0, bad, article, heading, 0
+    def __init__(self, bad, article, heading, listed):
+        self.parts, self.linked, self.bad, self.article, self.heading, self.listed = [], 0, bad, article, heading, listed
+        self.plain, self.label = False, 0  # plain: some words are outside links
 
     @property
     def text(self) -> str:
@@ -144,15 +146,18 @@ class _Reader(HTMLParser):
         _, bad, article, skipped = self.stack[-1] if self.stack else ("", False, False, False)
         if skipped or not data:
             return
-        if self.block is None:
-            if not data.strip():
-                return
-            self.block = _Block(bad, article, any(x[0] in HEADINGS for x in self.stack[-3:]))
+        if self.block is None and not data.strip():
+            return
+        # A block that began with an inline advert or button begins anew at its first good text.
+        if self.block is None or self.block.bad and not bad and data.strip():
+            self.block = _Block(bad, article, any(x[0] in HEADINGS for x in self.stack[-3:]), any(x[0] in LISTS for x in self.stack))
         if bad and not self.block.bad:  # an inline advert or button in a good block
             return
         self.block.parts.append(data)
         if self.links:
             self.block.linked += len(data.strip())
+        elif any(map(str.isalnum, data)):
+            self.block.plain = True
 
 
 def blocks_of(html: str) -> list[_Block]:
@@ -166,7 +171,12 @@ def blocks_of(html: str) -> list[_Block]:
 def _first_pass(b: _Block, marked: bool) -> int:
     """1 good, -1 bad, 0 undecided."""
     text = b.text
-    if b.bad or b.linked > MAX_LINKS * len(text) and not (b.article and b.linked <= LIST_LIKE * len(text)):
+    if b.bad:
+        return -1
+    if b.article:
+        if b.linked > LIST_LIKE * len(text) and (b.listed or not b.plain):
+            return -1
+    elif b.linked > MAX_LINKS * len(text):
         return -1
     if marked and not b.article:
         return -1

@@ -152,6 +152,15 @@ def test_html_without_an_article_uses_density():
     assert html_text.main_text(page).split("\n\n") == ["Head", good.strip(), "Short one.", good.strip()]
 
 
+def test_html_keeps_good_text_after_an_inline_advert_and_linked_paragraphs():
+    for inline in ("<span class=ad>x</span>", "<label>x</label>", "<button>x</button>", "<a class=share href=/>x</a>"):
+        assert html_text.main_text(f"<article><p>{inline}Good text here.</p></article>") == "Good text here."
+        assert html_text.main_text(f"<article><p>Good {inline}text here.</p></article>") == "Good text here."
+    assert html_text.main_text("<article><p>One <a href=x>long and winding link text</a> here.</p><p>Two.</p></article>") == \
+        "One long and winding link text here.\n\nTwo."
+    assert html_text.main_text("<article><p>Two.</p><ul><li>A <a href=x>link of a list</a></li></ul><p><a href=x>one link</a> | <a href=y>another</a></p></article>") == "Two."
+
+
 def test_html_defined_cases(spark):
     assert [html_text.main_text(x) for x in (None, "", "<p>", "<!-- x -->", "<div></div>", "<script>a")] == [""] * 6
     assert html_text.main_text("<article><p>cut &am") == "cut &am"
