@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lm, packing, quality, simhash, simple8b, suffix, token_counts
+from . import chat, decontaminate, html_text, lm, packing, quality, resample, simhash, simple8b, suffix, token_counts
 from .common import documents, scratch_path
 from .tokens import tokenizer_path
 
@@ -61,9 +61,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), scratch_path(spark, "token_cache"))
 
 
+def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight and score towards the benchmark's texts; the quarter that is drawn has ranks."""
+    return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_quality_rules, op3_html_extract, op4_decontaminate, op5_token_files, op6_suffix_dedup, op7_simhash_dedup,
-    op8_best_fit_packing, op9_lm_score, op10_token_counts)}
+    op8_best_fit_packing, op9_lm_score, op10_token_counts, op12_importance_resample)}
 
 
-SQL = {"op2_quality_rules": quality.SQL}
+SQL = {"op2_quality_rules": quality.SQL, "op12_importance_resample": resample.SQL}
