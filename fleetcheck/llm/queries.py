@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lm, packing, quality, resample, simhash, simple8b, suffix, token_counts
+from . import chat, codes, decontaminate, html_text, lm, packing, quality, ranking, resample, simhash, simple8b, suffix, token_counts
 from .common import documents, scratch_path
 from .tokens import tokenizer_path
 
@@ -61,14 +61,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"), scratch_path(spark, "token_cache"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document by the labels' quality; three quarters of the ids are for training."""
+    return ranking.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight and score towards the benchmark's texts; the quarter that is drawn has ranks."""
     return resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_quality_rules, op3_html_extract, op4_decontaminate, op5_token_files, op6_suffix_dedup, op7_simhash_dedup,
-    op8_best_fit_packing, op9_lm_score, op10_token_counts, op12_importance_resample)}
+    op8_best_fit_packing, op9_lm_score, op10_token_counts, op11_quality_classifier, op12_importance_resample, op13_vector_codes)}
 
 
-SQL = {"op2_quality_rules": quality.SQL, "op12_importance_resample": resample.SQL}
+SQL = {"op2_quality_rules": quality.SQL, "op12_importance_resample": resample.SQL, "op13_vector_codes": codes.SQL}
