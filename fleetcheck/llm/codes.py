@@ -15,8 +15,8 @@ by entry, and the driver sees codebooks only (entries times components, whatever
 Defined results: rows whose vector is null or holds a null or non-finite component go; shorter vectors are filled with
 zeros up to the longest, and that to a multiple of ``parts``; the first codebook is taken from the rows in order of
 id (nulls last) and vector, fewer rows than ``entries`` give as many entries; ties go to the lower index; repeated
-rows count each; scaled components beyond 2**60 are held as 2**60 with their sign, and errors beyond the largest long
-as that; an empty table gives an empty one; other columns are not read.
+rows count each; scaled components beyond 2**60 are held as 2**60 with their sign, and squared distances and errors
+beyond the largest long as that, so that such distances tie; an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
