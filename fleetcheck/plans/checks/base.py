@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ...operators import findings as fnd
+from ...sources import union_all
+from ...sources.store import Views
 
 K = ["instance_id"]
 
@@ -64,17 +66,29 @@ class Ctx:
 
     def cur(self, name: str) -> DataFrame:
         """Latest collection of a view per instance at or before ``as_of``.
-        The per-instance max is one row per instance (a bounded side). The
-        envelope's engine/snapshot_ts are dropped so views join on K cleanly.
+        Views of the snapshot store know theirs (``sources.store``): one scan
+        pruned to the newest partitions. Other frames find the newest instant
+        from their rows, one row per instance (a bounded side). The envelope's
+        engine/snapshot_ts are dropped so views join on K cleanly.
         Memoised: every check of a run shares one plan per view."""
         if name not in self._cur:
-            df = self.views[name].filter(F.col("snapshot_ts") <= self.as_of)
-            last = df.groupBy("instance_id").agg(F.max("snapshot_ts").alias("_last"))
-            self._cur[name] = (df.join(last, "instance_id")
-                                 .filter(F.col("snapshot_ts") == F.col("_last"))
-                                 .drop("_last", "engine", "snapshot_ts"))
+            if isinstance(self.views, Views) and self.views.registered(name):
+                self._cur[name] = self.views.current(name).drop("engine", "snapshot_ts", "snapshot_date", "slice")
+            else:
+                df = self.views[name].filter(F.col("snapshot_ts") <= self.as_of)
+                last = df.groupBy("instance_id").agg(F.max("snapshot_ts").alias("_last"))
+                self._cur[name] = (df.join(last, "instance_id")
+                                     .filter(F.col("snapshot_ts") == F.col("_last"))
+                                     .drop("_last", "engine", "snapshot_ts"))
         return self._cur[name]
 
+    def instances(self) -> DataFrame:
+        """(instance_id) of every instance with a collection at or before ``as_of``."""
+        if isinstance(self.views, Views) and self.views.newest is not None:
+            return self.views.newest.select("instance_id").distinct()
+        held = [v.filter(F.col("snapshot_ts") <= self.as_of).select("instance_id") for v in self.views.values()]
+        return union_all(held or [self.spark.createDataFrame([(None,)], "instance_id string")]).distinct()
+
     def memo(self, name: str, build):
         """One DataFrame per derived frame per run (snapshot pair, wide
         status, parsed OS sections): checks share a plan instead of rebuilding."""
@@ -132,7 +146,11 @@ def run_checks(ctx: Ctx, engine: str | None = None, ids=None, tier: str | None =
 
 def run_findings(ctx: Ctx, engine: str | None = None, ids=None, tier: str | None = None) -> DataFrame:
     """Union of the findings of every check with a verdict column."""
-    results, _ = run_checks(ctx, engine, ids, tier)
+    return findings_of(ctx, run_checks(ctx, engine, ids, tier)[0])
+
+
+def findings_of(ctx: Ctx, results: Mapping[str, DataFrame]) -> DataFrame:
+    """Union of the findings of built checks, by id, that have a verdict column."""
     frames = []
     for cid, df in results.items():
         c = REGISTRY[cid]
@@ -143,8 +161,7 @@ def run_findings(ctx: Ctx, engine: str | None = None, ids=None, tier: str | None
         frames.append(fnd.to_findings(df, cid, key, metric, c.threshold,
                                       instance_id=F.col("instance_id") if "instance_id" in df.columns else None,
                                       engine=c.engine, snapshot_ts=ctx.as_of))
-    out = fnd.union_findings(frames)
-    return out
+    return fnd.union_findings(frames)
 
 
 def priorities_frame(spark: SparkSession) -> DataFrame:

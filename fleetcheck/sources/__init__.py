@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import align, write_snapshots
+
 FIXTURE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
                   "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -35,7 +37,8 @@ def read_snapshots(spark: SparkSession, root: str, view: str, since: str | None
                    schema=None) -> DataFrame:
     """A catalog view's snapshots, stored as parquet partitioned by
     ``snapshot_date`` (and carrying ``instance_id, engine, snapshot_ts``).
-    Date bounds become partition filters, so only those folders are listed."""
+    Date bounds become partition filters. ``schema``: the declared columns, so
+    that files of older collections give NULL for columns they lack."""
     r = spark.read
     if schema is not None:
         r = r.schema(schema)
@@ -49,12 +52,6 @@ def read_snapshots(spark: SparkSession, root: str, view: str, since: str | None
     return df
 
 
-def write_snapshots(df: DataFrame, root: str, view: str, mode: str = "append") -> None:
-    """Append one collection of a view, partitioned by snapshot date."""
-    (df.withColumn("snapshot_date", F.to_date("snapshot_ts"))
-       .write.mode(mode).partitionBy("snapshot_date").parquet(f"{root}/{view}"))
-
-
 def read_text_files(spark: SparkSession, path: str, whole: bool = True, recursive: bool = True,
                     glob: str | None = None) -> DataFrame:
     """Text files -> (path, text) with whole files (OS dumps, report HTML), or
@@ -128,11 +125,15 @@ def jdbc_frames(spark: SparkSession, url: str, queries: dict, properties: dict |
 
 
 def collect_views(frames: dict, root: str, engine: str, instance_id: str, snapshot_ts: str) -> list:
-    """Append one collection of an instance's views to the snapshot store
-    (``root/{engine}/{view}``, partitioned by snapshot_date), adding the
-    envelope. Returns the views written."""
+    """Write one collection of an instance's views to the snapshot store
+    (``root/{engine}/{view}``, partitioned by date and slice), adding the
+    envelope and the declared types. Collecting again replaces it; a view
+    without rows is known as empty. Returns the views written."""
     written = []
     for view, df in frames.items():
-        write_snapshots(with_envelope(df, instance_id, engine, snapshot_ts), f"{root}/{engine}", view)
+        spark = df.sparkSession
+        taken = with_envelope(spark.range(1), instance_id, engine, snapshot_ts).drop("id")
+        rows = align(with_envelope(df, instance_id, engine, snapshot_ts), engine, view)
+        write_snapshots(rows, f"{root}/{engine}", view, taken)
         written.append(view)
     return written
