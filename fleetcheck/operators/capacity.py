@@ -39,6 +39,40 @@ def bloat_estimate(tables: DataFrame, part: Sequence[str], rows: str, actual_pag
     return out.filter(F.col("bloat_pct") > listed).withColumn("is_abnormal", F.col("bloat_pct") > red)
 
 
+def tuple_layout(colstats: DataFrame, table: Sequence[str], null_frac: str, avg_width: str, align: int = 8) -> DataFrame:
+    """Bytes that a tuple's layout takes beside its line pointer, folded from a table's column statistics.
+
+    One aggregate: a table with a nullable column has a null header, of two bytes and the widest column over eight;
+    the header is then padded to the next multiple of ``align``. (table..., null_header, layout_bytes, n_columns)
+    """
+    fold = colstats.groupBy(*table).agg(F.max(F.coalesce(col(null_frac), F.lit(0.0))).alias("_nulls"),
+                                        F.max(F.coalesce(col(avg_width), F.lit(0))).cast("double").alias("_wide"), F.count("*").alias("n_columns"))
+    header = F.when(F.col("_nulls") > 0, (F.lit(2.0) + F.col("_wide")) / F.lit(8.0)).otherwise(F.lit(0.0))
+    fold = fold.withColumn("null_header", header).withColumn("_over", F.col("null_header") % F.lit(float(align)))
+    over = F.when(F.col("_over") == 0, F.lit(float(align))).otherwise(F.col("_over"))
+    return fold.select(*table, "null_header", (F.col("null_header") + F.lit(float(align)) - over).alias("layout_bytes"), "n_columns")
+
+
+def layout_bloat(tables: DataFrame, colstats: DataFrame, table: Sequence[str], rows: str, actual_pages: str, null_frac: str = "null_frac",
+                 avg_width: str = "avg_width", page_size: int = 8192, page_header: int = 23, pointer: int = 4, align: int = 8,
+                 min_pages: int = 8, listed: float = 10.0, red: float = 40.0, digits: int = 1) -> DataFrame:
+    """Expected pages from the layout of a table's tuples (null header, alignment padding) vs actual pages.
+
+    expected = ceil(rows / ((page - header) / (pointer + layout bytes))) + 1; tables of no rows, or of up to ``min_pages``
+    pages, are left out; tables without statistics have no null header. Listed above ``listed`` percent, red above ``red``.
+    The widths of the columns' values are no part of this estimate (``bloat_estimate`` takes them).
+    """
+    t = tables.filter((col(actual_pages) > min_pages) & (col(rows) > 0)).join(
+        tuple_layout(colstats, table, null_frac, avg_width, align), list(table), "left")
+    each = F.lit(float(pointer)) + F.coalesce("layout_bytes", F.lit(0.0))
+    expected = F.ceil(col(rows).cast("double") / (F.lit(float(page_size - page_header)) / each)) + 1
+    out = t.withColumn("expected_pages", expected.cast("bigint"))
+    spare = col(actual_pages) - F.col("expected_pages")
+    ratio = F.lit(100.0) * spare.cast("double") / col(actual_pages).cast("double")
+    out = out.withColumn("bloat_bytes", (F.greatest(spare, F.lit(0)) * page_size).cast("bigint")).filter(ratio > listed)
+    return out.withColumn("bloat_pct", fround(ratio, digits)).withColumn("is_abnormal", ratio > red)
+
+
 def capacity_autoextend(files: DataFrame, free: DataFrame, key: Sequence[str], bytes_col: str,
                         max_col: str, free_col: str, red: float = 90.0, digits: int = 2) -> DataFrame:
     """Used % of allocated size and of the auto-extend maximum per tablespace.

@@ -202,22 +202,71 @@ def name_ioc(df: DataFrame, name_col: str, patterns: Sequence[tuple[str, str]],
               .withColumn(out, F.explode("_hits")).drop("_hits"))
 
 
-def type_limit_usage(df: DataFrame, type_col, value_col, limits: Sequence[tuple],
+def apply_rows(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], cols: dict[str, str],
+               order: Sequence[Column] = (), n: int | None = None, outer: bool = False) -> DataFrame:
+    """``CROSS APPLY`` / ``OUTER APPLY``: the right rows that belong to each left row, as a lateral join.
+
+    on: (left column, right column) pairs of the correlation; cols: output name -> right column. With ``n`` only the
+    first ``n`` right rows of each left row in ``order`` (``SELECT TOP n ... ORDER BY``); add a unique tie-break.
+    Left rows without right rows go, or are kept with NULLs (``outer``). The correlated limit becomes a rank over the
+    correlation's columns with a group limit before its shuffle, so a left row with many right rows costs n of each task.
+    """
+    inner = right.alias("_r").where(F.lit(True))
+    for a, b in on:
+        inner = inner.where(F.col(f"_r.{b}") == F.col(f"_l.{a}").outer())
+    if n is not None:
+        inner = inner.orderBy(*order).limit(n)
+    return left.alias("_l").lateralJoin(inner.select(*[F.col(f"_r.{c}").alias(name) for name, c in cols.items()]),
+                                        how="left" if outer else "inner")
+
+
+def longest_prefix_join(df: DataFrame, text, limits: DataFrame, prefix: str, cols: Sequence[str]) -> DataFrame:
+    """Each row with the ``cols`` of the longest ``prefix`` in a table of limits that its text begins with; NULL without one.
+
+    An equi join on the beginnings of the lengths that occur in the table (``LIKE concat(prefix, '%')`` is no equality,
+    and would meet every limit). Every distinct text is looked up once, and one aggregate keeps its longest match, so
+    neither a frequent text nor a table of any size makes pairs. Of equal prefixes the smallest ``cols`` are taken.
+    """
+    cols = list(cols)
+    lengths = [r[0] for r in limits.select(F.length(prefix)).distinct().dropna().collect()]  # no more than the longest prefix is long
+    if not lengths:
+        kinds = dict(limits.dtypes)
+        return df.select("*", *[F.lit(None).cast(kinds[c]).alias(c) for c in (prefix, *cols)])
+    one = limits.filter(F.col(prefix).isNotNull()).groupBy(F.col(prefix).alias("_p")).agg(F.min(F.struct(*cols)).alias("_v"))
+    texts = df.select(col(text).alias("_t")).distinct()
+    begins = F.transform(F.filter(F.array(*[F.lit(k) for k in sorted(lengths)]), lambda k: k <= F.length("_t")),
+                         lambda k: F.substring("_t", F.lit(1), k))
+    found = (texts.select("_t", F.explode(begins).alias("_p")).join(one, "_p")
+             .groupBy("_t").agg(F.max_by(F.struct("_p", "_v"), F.length("_p")).alias("_m")))
+    out = df.withColumn("_text", col(text)).join(found, F.col("_text") == F.col("_t"), "left")
+    return out.select(*[F.col(c) for c in df.columns], F.col("_m._p").alias(prefix), *[F.col(f"_m._v.{c}").alias(c) for c in cols])
+
+
+def type_limit_usage(df: DataFrame, type_col, value_col, limits: Sequence[tuple] | DataFrame,
                      digits: int = 2, red: float | None = 80.0) -> DataFrame:
     """Percent of a type's maximum: longest matching type prefix wins; a type
     string containing ``unsigned`` uses the unsigned maximum.
 
     limits: (prefix, signed_max, unsigned_max) — a fixed, small type catalog,
-    so matching is a CASE chain (no join).
+    so matching is a CASE chain (no join) — or a table of these three columns,
+    joined by ``longest_prefix_join``.
     """
+    if isinstance(limits, DataFrame):
+        table = limits.select(F.lower("prefix").alias("type_prefix"), F.col("signed_max").cast("decimal(20,0)").alias("_s"),
+                              F.coalesce("unsigned_max", "signed_max").cast("decimal(20,0)").alias("_u"))
+        out = longest_prefix_join(df, F.lower(col(type_col)), table, "type_prefix", ["_s", "_u"])
+        out = out.withColumn("type_max", F.when(F.lower(col(type_col)).contains("unsigned"), F.col("_u")).otherwise(F.col("_s"))).drop("_s", "_u")
+        return _of_maximum(out, value_col, digits, red)
     pref = longest_prefix(F.lower(col(type_col)), [p.lower() for p, *_ in limits])
     smax = F.create_map(*[x for p, s, u in limits for x in (F.lit(p.lower()), F.lit(str(s)))])
     umax = F.create_map(*[x for p, s, u in limits for x in (F.lit(p.lower()), F.lit(str(u if u is not None else s)))])
     unsigned = F.lower(col(type_col)).contains("unsigned")
     mx = F.when(unsigned, F.element_at(umax, pref)).otherwise(F.element_at(smax, pref)).cast("decimal(20,0)")
-    out = (df.withColumn("type_prefix", pref)
-             .withColumn("type_max", mx)
-             .withColumn("pct_of_max", fround(F.lit(100.0) * col(value_col).cast("double") / nz(F.col("type_max").cast("double")), digits)))
+    return _of_maximum(df.withColumn("type_prefix", pref).withColumn("type_max", mx), value_col, digits, red)
+
+
+def _of_maximum(df: DataFrame, value_col, digits: int, red: float | None) -> DataFrame:
+    out = df.withColumn("pct_of_max", fround(F.lit(100.0) * col(value_col).cast("double") / nz(F.col("type_max").cast("double")), digits))
     if red is not None:
         out = out.withColumn("is_abnormal", flag(F.col("pct_of_max") > red))
     return out

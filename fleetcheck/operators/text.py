@@ -60,10 +60,9 @@ def log_totals(lines: DataFrame, line: str, classes: Sequence[tuple],
                                       for label, p, *g in classes])
 
 
-def os_section_parse(dump: DataFrame, text: str, keep: Sequence[str], sections: Sequence[str] | None = None,
-                     section_re: str = r"^#{2,}\s*(\S.*?)\s*#*$",
-                     host_re: str = r"^\*\*\s*([^:]+):") -> DataFrame:
-    """Section-structured text dump -> (keep..., host, section, line_no, line).
+def os_sections(dump: DataFrame, text: str, keep: Sequence[str], sections: Sequence[str] | None = None,
+                section_re: str = r"^#{2,}\s*(\S.*?)\s*#*$", host_re: str = r"^\*\*\s*([^:]+):") -> DataFrame:
+    """Section-structured text dump -> (keep..., host, section, at, lines): one row for each host's part of a section.
 
     A header opens a section: with ``sections`` given, a line equal to one of
     those names that is the dump's first line or follows a blank line (the
@@ -71,6 +70,7 @@ def os_section_parse(dump: DataFrame, text: str, keep: Sequence[str], sections:
     matching ``section_re``. ``** host:`` switches the host inside a section.
     All in the row: the lines between two headers are sliced out of the array
     of lines, then those between two host marks; no shuffle, whatever a dump's size.
+    ``at`` is the number of the line before the first of ``lines``.
     """
     ln = lambda x: F.trim(x)
 
@@ -104,9 +104,18 @@ def os_section_parse(dump: DataFrame, text: str, keep: Sequence[str], sections:
     start = F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("string").alias("name")))
     d = d.withColumn("_m", F.concat(start, marks(F.col("_b"), host)))
     d = d.select(*keep, "section", "_at", "_b", F.explode(between(F.col("_m"), F.col("_b"))).alias("_h"))
-    d = d.select(*keep, F.col("_h.name").alias("host"), "section", (F.col("_at") + F.col("_h.at") + 1).alias("_at"),
-                 F.posexplode(F.slice("_b", F.col("_h.at") + 1, F.col("_h.next") - F.col("_h.at") - 1)).alias("_pos", "line"))
-    return d.filter(F.trim("line") != "").select(*keep, "host", "section", (F.col("_at") + F.col("_pos")).alias("line_no"), "line")
+    return d.select(*keep, F.col("_h.name").alias("host"), "section", (F.col("_at") + F.col("_h.at")).alias("at"),
+                    F.slice("_b", F.col("_h.at") + 1, F.col("_h.next") - F.col("_h.at") - 1).alias("lines"))
+
+
+def os_section_parse(dump: DataFrame, text: str, keep: Sequence[str], sections: Sequence[str] | None = None,
+                     section_re: str = r"^#{2,}\s*(\S.*?)\s*#*$",
+                     host_re: str = r"^\*\*\s*([^:]+):") -> DataFrame:
+    """Section-structured text dump -> (keep..., host, section, line_no, line), blank lines left out; see ``os_sections``."""
+    keep = list(keep)
+    d = os_sections(dump, text, keep, sections, section_re, host_re)
+    d = d.select(*keep, "host", "section", "at", F.posexplode("lines").alias("_pos", "line"))
+    return d.filter(F.trim("line") != "").select(*keep, "host", "section", (F.col("at") + F.col("_pos") + 1).alias("line_no"), "line")
 
 
 def html_list_extract(pages: DataFrame, html: str, keep: Sequence[str]) -> DataFrame:

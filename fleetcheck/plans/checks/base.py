@@ -39,16 +39,17 @@ class Check:
     tier: str = "weekly"     # weekly / monthly / quarterly report depth
     min_version: int | None = None
     max_version: int | None = None
+    instead: tuple = ()      # other sets of inputs that will do: views that a collector has joined already
 
 
 REGISTRY: dict[str, Check] = {}
 
 
 def check(check_id: str, engine: str, name: str, inputs, key=(), metric=None, threshold=None,
-          priority="medium", tier="weekly", min_version=None, max_version=None):
+          priority="medium", tier="weekly", min_version=None, max_version=None, instead=()):
     def deco(fn):
         REGISTRY[check_id] = Check(check_id, engine, name, tuple(inputs), fn, tuple(key), metric, threshold,
-                                   priority, tier, min_version, max_version)
+                                   priority, tier, min_version, max_version, tuple(map(tuple, instead)))
         return fn
     return deco
 
@@ -64,6 +65,9 @@ class Ctx:
     def v(self, name: str) -> DataFrame:
         return self.views[name]
 
+    def has(self, *names: str) -> bool:
+        return all(n in self.views for n in names)
+
     def cur(self, name: str) -> DataFrame:
         """Latest collection of a view per instance at or before ``as_of``.
         Views of the snapshot store know theirs (``sources.store``): one scan
@@ -134,7 +138,7 @@ def run_checks(ctx: Ctx, engine: str | None = None, ids=None, tier: str | None =
             continue
         if not applies(c, ctx.params.get("version")):
             continue
-        if any(i not in ctx.views for i in c.inputs):
+        if not any(ctx.has(*views) for views in (c.inputs, *c.instead)):
             errors[c.check_id] = "missing input: " + ",".join(i for i in c.inputs if i not in ctx.views)
             continue
         try:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ...functions import fround
 from ...operators import capacity as cap
 from ...operators import ranking, text, verdict
+from ...operators.sections import section_pairs, section_table
 from ...sources import parse_log_lines
 from .base import K, check
 
@@ -37,6 +38,11 @@ def sections(ctx):
                                                                 sections=OS_SECTIONS))
 
 
+def bodies(ctx):
+    """The same sections, each as one row with the array of its lines."""
+    return ctx.memo("os_bodies", lambda: text.os_sections(ctx.cur("os_text"), "text", [*K, "path"], sections=OS_SECTIONS))
+
+
 def _value(ctx, name):
     s = sections(ctx).filter(F.col("section") == name)
     return s.groupBy(*K).agg(F.min_by(F.trim("line"), "line_no").alias(name))
@@ -62,11 +68,7 @@ def h03(ctx):
 
 @check("H04", E, "memory_swap", ["os_text"], metric="mem_used_pct", threshold=90)
 def h04(ctx):
-    s = sections(ctx).filter(F.col("section") == "freemem")
-    mem = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
-    rows = s.filter(F.col("line").rlike(r"^\s*(Mem|Swap):")).select(
-        *K, F.regexp_extract("line", r"^\s*(Mem|Swap):", 1).alias("kind"),
-        F.get(mem, 1).try_cast("double").alias("total_kb"), F.get(mem, 2).try_cast("double").alias("used_kb"))
+    rows = section_table(bodies(ctx), K, "freemem").withColumn("kind", F.regexp_replace("kind", ":$", ""))
     g = rows.groupBy(*K).agg(
         F.max(F.when(F.col("kind") == "Mem", F.col("total_kb"))).alias("mem_total_kb"),
         F.max(F.when(F.col("kind") == "Mem", F.col("used_kb"))).alias("mem_used_kb"),
@@ -87,11 +89,8 @@ def h04(ctx):
 
 
 def _df_rows(ctx, section):
-    s = sections(ctx).filter((F.col("section") == section) & ~F.col("line").startswith("Filesystem"))
-    parts = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
-    return s.select(*K, "host", F.get(parts, 0).alias("filesystem"), F.get(parts, 1).alias("fstype"),
-                    F.regexp_replace(F.get(parts, 5), "%", "").try_cast("double").alias("used_pct"),
-                    F.get(parts, 6).alias("mount")).filter(F.col("mount").isNotNull())
+    rows = section_table(bodies(ctx), K, section).filter(F.col("mount").isNotNull())
+    return rows.select(*K, "host", "filesystem", "fstype", "used_pct", "mount")
 
 
 @check("H05", E, "disk_inode_usage", ["os_text"], key=("host", "kind", "mount"), metric="used_pct", threshold=90)
@@ -103,14 +102,11 @@ def h05(ctx):
 
 @check("H06", E, "memory_detail", ["os_text"])
 def h06(ctx):
-    s = sections(ctx).filter(F.col("section").isin("meminfo", "thp", "limits", "hosts", "crontab", "loadaverage",
-                                                   "upday"))
+    s = sections(ctx).filter(F.col("section").isin("thp", "limits", "hosts", "crontab", "loadaverage", "upday"))
     thp_on = (F.col("section") == "thp") & F.col("line").contains("[always]")
-    mi = r"^\s*([A-Za-z_()]+):\s*(\d+)"   # meminfo 'Name: value kB'
-    is_mi = F.col("section") == "meminfo"
-    return (s.withColumn("mi_name", F.when(is_mi, F.regexp_extract("line", mi, 1)))
-             .withColumn("mi_kb", F.when(is_mi, F.regexp_extract("line", mi, 2).try_cast("bigint")))
-             .withColumn("is_abnormal", thp_on))
+    info = section_pairs(bodies(ctx), [*K, "path"], "meminfo").select(
+        *K, "path", "host", F.lit("meminfo").alias("section"), "line_no", "line", F.col("name").alias("mi_name"), F.col("value").alias("mi_kb"))
+    return s.unionByName(info, allowMissingColumns=True).withColumn("is_abnormal", thp_on)
 
 
 @check("H07", E, "kernel_parameters", ["os_text"])

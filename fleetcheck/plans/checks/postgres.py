@@ -121,6 +121,13 @@ def p12(ctx):
 @check("P13", E, "bloat_tables", ["tables", "column_stats"], key=("schemaname", "relname"), metric="bloat_pct",
        threshold=40)
 def p13(ctx):
+    """Pages that tables should need. ``bloat_model="layout"`` counts the tuples' layout only, as the reference does, and so
+    takes a table of wide rows for bloated; the default adds the mean widths of the columns' values."""
+    if ctx.p("bloat_model", "width") == "layout":
+        t = ctx.cur("tables").filter(F.col("relkind") == "r")
+        stats = ctx.cur("column_stats").withColumnRenamed("tablename", "relname")
+        out = cap.layout_bloat(t, stats, [*K, "schemaname", "relname"], "reltuples", "relpages")
+        return ranking.topn(out, [F.col("bloat_bytes").desc(), F.col("schemaname").asc(), F.col("relname").asc()], 50, K)
     cs = ctx.cur("column_stats").groupBy(*K, F.col("schemaname"), F.col("tablename").alias("relname")).agg(
         F.sum(F.col("avg_width") * (F.lit(1.0) - F.col("null_frac"))).alias("row_width"))
     t = ctx.cur("tables").filter((F.col("relkind") == "r") & (F.col("relpages") > 8)).join(

@@ -16,14 +16,18 @@ Roles on ``events``: instance = ``user_id % 3``, snapshot = day of ``ts``
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import as_of_lit, day_str, fround, nz, safe_div
 from ..operators import capacity as cap
 from ..operators import findings as fnd
-from ..operators import perf, ranking, relations, shapes, text, time, verdict
-from ..sources import Tables
+from ..operators import perf, ranking, relations, sections, shapes, text, time, verdict
+from ..session import ensure_checkpoint_dir
+from ..sources import Tables, read_snapshots, write_snapshots
+from ..sources.store import Views, collections, newest_collections
 
 # As-of instants of the fixture tables and the statistic names.
 EV_AS_OF = "2024-01-31 00:00:00"
@@ -606,4 +610,106 @@ def q_health_summary(spark, d):
     return fnd.health_summary(fixture_findings(spark, d), pr)
 
 
+# -------------------------------------------------------- store, APPLY, sections
+def q_newest_collection(spark, d):
+    """Events of each type and day written as collections of a snapshot store, the first half of them twice; then what is newest."""
+    root = f"{ensure_checkpoint_dir(spark)}/store-{uuid.uuid4().hex}"
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    ev = Tables(spark, d).events.select(F.col("event_type").alias("instance_id"), F.lit("events").alias("engine"), day.alias("snapshot_ts"),
+                                        "event_id", F.col("value").cast("decimal(18,2)").alias("value"))
+    # views stopped being collected in the middle of the period
+    ev = ev.filter((F.col("instance_id") != "view") | (F.dayofmonth("snapshot_ts") <= 15))
+    write_snapshots(ev, root, "events")
+    write_snapshots(ev.filter(F.dayofmonth("snapshot_ts") <= 15), root, "events")
+    newest = newest_collections(collections(spark, root), F.lit(EV_AS_OF).cast("timestamp")).checkpoint(eager=True)
+    cur = Views({"events": read_snapshots(spark, root, "events")}, newest).current("events")
+    out = cur.groupBy("instance_id", F.date_format("snapshot_date", "yyyy-MM-dd").alias("day")).agg(
+        F.count("*").alias("n_events"), F.sum("value").cast(DBL).alias("total"), F.min("event_id").alias("first_event"))
+    held = read_snapshots(spark, root, "events").groupBy("instance_id").agg(F.count("*").alias("n_held"))
+    return out.join(held, "instance_id")
+
+
+def q_apply_top(spark, d):
+    """Each customer with its two largest orders (OUTER APPLY)."""
+    t = Tables(spark, d)
+    out = relations.apply_rows(t.customer.select("c_custkey", "c_name"), t.orders, [("c_custkey", "o_custkey")],
+                               {"o_orderkey": "o_orderkey", "o_totalprice": "o_totalprice", "o_orderstatus": "o_orderstatus"},
+                               order=[F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey").asc()], n=2, outer=True)
+    return out.withColumn("o_orderkey", F.col("o_orderkey").cast(DBL))
+
+
+def q_apply_rows(spark, d):
+    """Each urgent order with its part lines (CROSS APPLY)."""
+    t = Tables(spark, d)
+    o = t.orders.filter(F.col("o_orderpriority") == "1-URGENT").select("o_orderkey", "o_orderstatus")
+    return relations.apply_rows(o, t.lineitem, [("o_orderkey", "l_orderkey")],
+                                {"l_linenumber": "l_linenumber", "l_partkey": "l_partkey", "l_quantity": "l_quantity"}) \
+        .withColumn("l_linenumber", F.col("l_linenumber").cast(BIG))
+
+
+def supplier_dumps(spark, d) -> DataFrame:
+    """Each supplier framed as an OS dump: a df section, aligned under its header for even keys and squeezed for odd ones,
+    a listing of free, and meminfo lines."""
+    s = Tables(spark, d).supplier
+    size, pct_ = F.floor(F.abs("s_acctbal")).cast("int"), (F.col("s_suppkey") % 101).cast("int")
+    name = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("/dev/vg "), F.col("s_suppkey").cast("string"))).otherwise(F.col("s_name"))
+    used = F.when(F.col("s_acctbal") < 0, F.lit("-")).otherwise(F.concat(F.col("s_nationkey").cast("string"), F.lit(".5K")))
+    cells = [name, F.lit("xfs"), F.concat(size.cast("string"), F.lit("M")), used, F.lit("0"), F.concat(pct_.cast("string"), F.lit("%")),
+             F.concat(F.lit("/data "), F.col("s_suppkey").cast("string"))]
+    wide = F.format_string("%-20s %-5s %8s %6s %5s %5s %s", *cells)
+    head = F.format_string("%-20s %-5s %8s %6s %5s %5s %s", *[F.lit(x) for x in ("Filesystem", "Type", "Size", "Used", "Avail", "Use%", "Mounted on")])
+    odd = F.col("s_suppkey") % 2 == 1
+    squeezed = F.concat_ws(" ", *cells)
+    free_head = F.lit("              total        used        free      shared  buff/cache   available")
+    free = F.format_string("Mem:    %11d %11d %11d", size, F.col("s_nationkey"), pct_)
+    lines = [F.lit("diskusage"), F.concat(F.lit("** n"), F.col("s_nationkey").cast("string"), F.lit(":")),
+             F.when(odd, F.lit("Filesystem Type Size Used Avail Use% Mounted on")).otherwise(head), F.when(odd, squeezed).otherwise(wide), F.lit(""),
+             F.lit("freemem"), free_head, free, F.lit(""), F.lit("meminfo"),
+             F.format_string("MemTotal:  %8d kB", size), F.format_string("HugePages_Total:   %d", F.col("s_nationkey")), F.lit("Cached: none")]
+    return s.select("s_suppkey", F.concat_ws("\n", *lines).alias("dump"))
+
+
+def _supplier_sections(spark, d):
+    return text.os_sections(supplier_dumps(spark, d), "dump", ["s_suppkey"], sections=["diskusage", "freemem", "meminfo"])
+
+
+def q_section_table(spark, d):
+    out = sections.section_table(_supplier_sections(spark, d), ["s_suppkey"], "diskusage")
+    return out.withColumn("line_no", F.col("line_no").cast(BIG)).withColumns({c: F.col(c).cast(DBL) for c in ("size_bytes", "used_bytes", "avail_bytes")})
+
+
+def q_section_pairs(spark, d):
+    """Names and values of meminfo, beside the first columns of free."""
+    s = _supplier_sections(spark, d)
+    pairs = sections.section_pairs(s, ["s_suppkey"], "meminfo").select("s_suppkey", "line_no", "name", "value", "unit")
+    free = sections.section_table(s, ["s_suppkey"], "freemem")
+    named = F.inline(F.array(*[F.struct(F.concat("kind", F.lit(n)).alias("name"), F.col(c).alias("value"), F.lit("kB").alias("unit"))
+                               for n, c in (("total", "total_kb"), ("used", "used_kb"), ("free", "free_kb"), ("shared", "shared_kb"))]))
+    out = pairs.unionByName(free.select("s_suppkey", "line_no", named))
+    return out.select("s_suppkey", F.col("line_no").cast(BIG).alias("line_no"), "name", F.col("value").cast(DBL).alias("value"), "unit")
+
+
+def q_layout_bloat(spark, d):
+    """Documents of a source and language as a table, pages of 20 ids; its columns' statistics from the documents."""
+    docs, key = Tables(spark, d).documents, ["source", "lang"]
+    tables = docs.groupBy(*key).agg(F.count("*").alias("n_rows"), F.countDistinct(F.floor(F.col("doc_id") / 20)).alias("actual_pages"))
+    short = F.when(F.col("n_chars") > 400, F.col("text"))  # a column that is null now and then
+    stats = docs.groupBy(*key).agg(
+        (F.count_if(short.isNull()).cast(DBL) / F.count("*")).alias("text_nulls"), F.floor(F.avg("n_chars") / 40).cast("int").alias("text_wide"))
+    stats = stats.select(*key, F.inline(F.array(
+        F.struct(F.lit("doc_id").alias("attname"), F.lit(0.0).alias("null_frac"), F.lit(8).alias("avg_width")),
+        F.struct(F.lit("text").alias("attname"), F.when(F.col("lang") == "en", F.col("text_nulls")).otherwise(0.0).alias("null_frac"),
+                 F.col("text_wide").alias("avg_width")))))
+    out = cap.layout_bloat(tables, stats, key, "n_rows", "actual_pages", page_size=128, min_pages=3)
+    return out.select(*key, "n_rows", "actual_pages", "expected_pages", "bloat_bytes", "bloat_pct", "is_abnormal")
+
+
+def q_type_limit_join(spark, d):
+    """``type_limit_usage`` with its limits in a table."""
+    p = Tables(spark, d).part.select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("type_name"), "p_retailprice")
+    limits = spark.createDataFrame([(a, b, c) for a, b, c in TYPE_LIMITS], "prefix string, signed_max bigint, unsigned_max bigint")
+    out = relations.type_limit_usage(p, "type_name", "p_retailprice", limits, red=80.0)
+    return out.select("p_partkey", "type_name", "type_prefix", F.col("type_max").cast(BIG).alias("type_max"), "pct_of_max", "is_abnormal")
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

@@ -516,3 +516,52 @@ SELECT g.check_id, n_normal, n_abnormal, COALESCE(pr.priority, 'medium') AS prio
        CASE WHEN n_abnormal > 0 THEN pr.advice END AS advice,
        CASE WHEN n_abnormal > 0 THEN 'abnormal' ELSE 'normal' END AS status
 FROM g LEFT JOIN pr USING (check_id)"""
+
+SQL["newest_collection"] = """
+WITH ev AS (SELECT event_type AS instance_id, CAST(ts AS DATE) AS d, event_id, CAST(value AS DECIMAL(18,2)) AS v
+            FROM events WHERE event_type <> 'view' OR day(ts) <= 15),
+m AS (SELECT instance_id, max(d) FILTER (WHERE d <= DATE '2024-01-31') AS d, count(*) AS n_held FROM ev GROUP BY 1)
+SELECT instance_id, strftime(d, '%Y-%m-%d') AS day, count(*) AS n_events, CAST(sum(v) AS DOUBLE) AS total, min(event_id) AS first_event, n_held
+FROM ev JOIN m USING (instance_id, d) GROUP BY instance_id, d, n_held"""
+
+SQL["apply_top"] = """
+SELECT c_custkey, c_name, CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_totalprice, o_orderstatus
+FROM customer LEFT JOIN LATERAL (SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_custkey = c_custkey
+                                 ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 2) ON true"""
+
+SQL["apply_rows"] = """
+SELECT o_orderkey, o_orderstatus, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey, l_quantity
+FROM orders, LATERAL (SELECT l_linenumber, l_partkey, l_quantity FROM lineitem WHERE l_orderkey = o_orderkey)
+WHERE o_orderpriority = '1-URGENT'"""
+
+SQL["section_table"] = """
+SELECT s_suppkey, 'n' || s_nationkey AS host, CAST(4 AS BIGINT) AS line_no,
+       CASE WHEN s_suppkey % 4 = 0 THEN '/dev/vg ' || s_suppkey ELSE s_name END AS filesystem, 'xfs' AS fstype,
+       floor(abs(s_acctbal)) * 1048576 AS size_bytes,
+       CASE WHEN s_acctbal < 0 THEN NULL ELSE (s_nationkey + 0.5::DOUBLE) * 1024 END AS used_bytes, 0.0::DOUBLE AS avail_bytes,
+       CAST(s_suppkey % 101 AS DOUBLE) AS used_pct, '/data ' || s_suppkey AS mount
+FROM supplier"""
+
+SQL["section_pairs"] = """
+SELECT s_suppkey, CAST(11 AS BIGINT) AS line_no, 'MemTotal' AS name, floor(abs(s_acctbal)) AS value, 'kB' AS unit FROM supplier
+UNION ALL SELECT s_suppkey, 12, 'HugePages_Total', CAST(s_nationkey AS DOUBLE), NULL FROM supplier
+UNION ALL SELECT s_suppkey, 13, 'Cached', NULL, NULL FROM supplier
+UNION ALL SELECT s_suppkey, 8, 'Mem:total', floor(abs(s_acctbal)), 'kB' FROM supplier
+UNION ALL SELECT s_suppkey, 8, 'Mem:used', CAST(s_nationkey AS DOUBLE), 'kB' FROM supplier
+UNION ALL SELECT s_suppkey, 8, 'Mem:free', CAST(s_suppkey % 101 AS DOUBLE), 'kB' FROM supplier
+UNION ALL SELECT s_suppkey, 8, 'Mem:shared', NULL, 'kB' FROM supplier"""
+
+SQL["layout_bloat"] = f"""
+WITH t AS (SELECT source, lang, count(*) AS n_rows, count(DISTINCT floor(doc_id / 20)) AS actual_pages,
+                  count(*) FILTER (WHERE lang = 'en' AND (n_chars <= 400 OR n_chars IS NULL OR text IS NULL)) AS n_null,
+                  greatest(8, CAST(floor(avg(n_chars) / 40) AS INTEGER)) AS wide
+           FROM documents GROUP BY ALL),
+h AS (SELECT *, CASE WHEN n_null > 0 THEN (2 + wide) / 8.0::DOUBLE ELSE 0::DOUBLE END AS nullhdr FROM t),
+p AS (SELECT *, CAST(ceil(n_rows / (105::DOUBLE / (4 + nullhdr + 8 - CASE WHEN nullhdr % 8 = 0 THEN 8 ELSE nullhdr % 8 END))) + 1 AS BIGINT) AS expected_pages
+      FROM h)
+SELECT source, lang, n_rows, actual_pages, expected_pages, CAST(128 * greatest(actual_pages - expected_pages, 0) AS BIGINT) AS bloat_bytes,
+       {R("100.0::DOUBLE * (actual_pages - expected_pages) / actual_pages", 1)} AS bloat_pct,
+       100.0::DOUBLE * (actual_pages - expected_pages) / actual_pages > 40 AS is_abnormal
+FROM p WHERE actual_pages > 3 AND 100.0::DOUBLE * (actual_pages - expected_pages) / actual_pages > 10"""
+
+SQL["type_limit_join"] = SQL["type_limit_usage"]

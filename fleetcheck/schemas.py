@@ -181,14 +181,21 @@ VIEWS: dict[str, dict[str, str]] = {
         "jobs": "job_id string, name string, enabled int",
         "job_history": "job_id string, step_id int, run_status int, run_date int, run_time int, run_duration int, "
                        "message string",
+        "job_schedules": "job_id string, schedule_id int",
+        "schedules": "schedule_id int, name string",
+        "availability_groups": "group_id string, ag_name string",
+        "availability_replicas": "group_id string, replica_id string, replica_server string",
+        "replica_states": "replica_id string, role_desc string, synchronization_health string",
+        "database_replica_states": "replica_id string, database_name string, synchronization_state string",
         "ag_replicas": "ag_name string, replica_server string, role_desc string, synchronization_state string, "
                        "synchronization_health string, database_name string",
+        "log_space_usage": "database_id int, total_bytes bigint, used_bytes bigint, used_pct double",
         "log_space": "database_name string, log_size_mb double, log_used_pct double, is_current boolean",
         "index_physical": "database_name string, schema_name string, table_name string, index_name string, "
                           "frag_pct double, page_count bigint",
         "wait_stats": "wait_type string, waiting_tasks bigint, wait_time_ms bigint, signal_wait_ms bigint",
         "databases": "database_name string, database_id int, recovery_model string, state string, "
-                     "create_ts timestamp, size_mb double",
+                     "create_ts timestamp, size_mb double, log_reuse_wait string",
         "backups": "database_name string, type string, start_ts timestamp, finish_ts timestamp, size_bytes bigint, "
                    "device string",
         "configurations": "name string, value_in_use string",
@@ -197,12 +204,14 @@ VIEWS: dict[str, dict[str, str]] = {
         "tempdb_space": "file_name string, total_pages bigint, unallocated_pages bigint",
         "objects": "database_name string, schema_name string, object_name string, type_desc string",
         "query_stats": "query_hash string, execution_count bigint, total_worker_time bigint, "
-                       "total_elapsed_time bigint, total_logical_reads bigint, sql_text string",
+                       "total_elapsed_time bigint, total_logical_reads bigint, sql_text string, sql_handle string",
+        "sql_texts": "sql_handle string, text string",
         "missing_indexes": "database_name string, table_name string, equality_columns string, "
                            "inequality_columns string, included_columns string, user_seeks bigint, "
                            "user_scans bigint, avg_total_user_cost double, avg_user_impact double",
         "tables": "database_name string, schema_name string, table_name string, has_pk boolean, row_count bigint, "
                   "data_kb bigint, index_kb bigint",
+        "key_constraints": "database_name string, schema_name string, table_name string, constraint_name string, type string",
         "error_log": "log_ts timestamp, process_info string, text string",
         "db_users": "database_name string, user_name string, type_desc string, role_name string",
     },
