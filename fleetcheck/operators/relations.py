@@ -29,6 +29,20 @@ def member_of(df: DataFrame, list_df: DataFrame, on) -> DataFrame:
     return df.join(list_df, on, "left_semi")
 
 
+def guaranteed_rows(spine: DataFrame, df: DataFrame, on: Sequence[str], defaults: dict | None = None,
+                    present: str | None = None) -> DataFrame:
+    """Every key of ``spine`` with its rows of ``df``, or one row of ``defaults`` where it has none (``(SELECT 1) LEFT JOIN``).
+
+    defaults: column -> value, in the column's type; NULLs in rows that are there are replaced as well (``IFNULL``). The
+    columns without a default are NULL. ``present`` names a column that tells rows from stand-ins. The spine is one row
+    per key after a partial aggregate; keys with many rows are on the other side alone.
+    """
+    on, kinds = list(on), dict(df.dtypes)
+    out = spine.select(*on).distinct().join(df.withColumn("_there", F.lit(True)), on, "left")
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(v).cast(kinds[c])) for c, v in (defaults or {}).items()})
+    return out.withColumn(present, F.coalesce("_there", F.lit(False))).drop("_there") if present else out.drop("_there")
+
+
 def backup_freshness(entities: DataFrame, history: DataFrame, key: str, ts: str,
                      since: Column, cols: Sequence[str], tag: str = "kind") -> DataFrame:
     """History rows since ``since`` plus one ``missing`` row per entity without any."""

@@ -8,8 +8,9 @@ Regexes run in the JVM (``rlike`` / ``regexp_replace`` / ``regexp_extract_all``)
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col, first_match, matches
@@ -23,13 +24,68 @@ def split_lines(df: DataFrame, text: str, keep: Sequence[str], line: str = "line
              .withColumn(line_no, F.col("_pos") + 1).drop("_pos")
 
 
+def record_lines(lines: DataFrame, file: Sequence[str], split: str, at: str, starts: Column, ts: Column) -> DataFrame:
+    """Lines with the record they belong to: ``record_no`` in the file (0 before the first one) and ``record_ts``.
+
+    A line for which ``starts`` holds begins a record; the others continue the last one before them, wherever the
+    file was split. ``split`` orders a file's pieces, ``at`` the lines of a piece. Records are counted within a piece;
+    one row for each piece carries their number and last timestamp to the next ones, so that no task holds a file.
+    """
+    file = list(file)
+    begun = F.coalesce(starts, F.lit(False))
+    d = lines.withColumn("_b", begun.cast("bigint")).withColumn("_t", F.when(begun, F.struct(ts.alias("ts"))))
+    upto = Window.partitionBy(*file, split).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    here = d.withColumn("_n", F.sum("_b").over(upto)).withColumn("_here", F.last("_t", ignorenulls=True).over(upto))
+    pieces = d.groupBy(*file, split).agg(F.sum("_b").alias("_k"), F.max_by("_t", F.when(F.col("_b") == 1, F.col(at))).alias("_last"))
+    before = Window.partitionBy(*file).orderBy(split).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*file, split])],
+                           F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_before"), F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate([*file, split])])
+    j = here.join(pieces, same)
+    return j.select(*[F.col(c) for c in lines.columns], (F.col("_before") + F.col("_n")).alias("record_no"),
+                    F.coalesce("_here", "_carry")["ts"].alias("record_ts"))
+
+
+def log_records(lines: DataFrame, file: Sequence[str], split: str, at: str, line: str, starts: Column, ts: Column,
+                max_lines: int = 10_000) -> DataFrame:
+    """(file..., record_no, part, record_ts, n_lines, text): the lines of each record joined by line ends, in order.
+
+    A record of over ``max_lines`` lines has a row for each run of as many lines of a piece at most, numbered by ``part``;
+    any other is one row, part 0. So no group that is collected is longer, and no line is lost.
+    """
+    file = list(file)
+    d = record_lines(lines, file, split, at, starts, ts)
+    d = d.withColumn("_run", F.floor((F.row_number().over(Window.partitionBy(*file, split).orderBy(at)) - 1) / max_lines))
+    long = d.groupBy(*file, "record_no").agg(F.count("*").alias("_n")).filter(F.col("_n") > max_lines)
+    keys = [F.col(c).alias(f"_{i}") for i, c in enumerate([*file, "record_no"])]
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate([*file, "record_no"])])
+    j = d.join(long.select(*keys, F.lit(True).alias("_long")), same, "left")
+    run = F.when(F.col("_long"), F.struct(F.col(split).alias("split"), F.col("_run").alias("run")))
+    g = j.groupBy(*file, "record_no", run.alias("_part")).agg(
+        F.first("record_ts").alias("record_ts"), F.count("*").alias("n_lines"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col(split).alias("s"), F.col(at).alias("a"), F.col(line).alias("l")))),
+                                 lambda x: F.coalesce(x["l"], F.lit(""))), "\n").alias("text"))
+    # parts are numbered over one row for each run of a long record
+    part = F.row_number().over(Window.partitionBy(*file, "record_no").orderBy("_part"))
+    whole = g.filter(F.col("_part").isNull()).withColumn("part", F.lit(0))
+    return whole.unionByName(g.filter(F.col("_part").isNotNull()).withColumn("part", part)).select(
+        *file, "record_no", "part", "record_ts", "n_lines", "text")
+
+
 def log_severity(lines: DataFrame, line: str, patterns: Sequence[tuple], keep: Sequence[str],
-                 distinct: bool = True, out: str = "severity") -> DataFrame:
+                 distinct: bool = True, out: str = "severity", ts: str | None = None, as_of: Column | None = None,
+                 days: int | None = None) -> DataFrame:
     """Classify lines by the first matching (label, regex[, guard literal]);
-    drop unmatched; optionally distinct (the reference prints DISTINCT messages)."""
+    drop unmatched; optionally distinct (the reference prints DISTINCT messages).
+
+    With ``ts`` (one of ``keep``) the most recent come first; with ``days`` only those of the ``days`` before
+    ``as_of`` are taken, and none after it."""
+    if days is not None:
+        lines = lines.filter((F.col(ts) > as_of - F.expr(f"INTERVAL {int(days)} DAYS")) & (F.col(ts) <= as_of))
     df = lines.withColumn(out, first_match(line, patterns)).filter(F.col(out).isNotNull())
     df = df.select(*keep, out, line)
-    return df.distinct() if distinct else df
+    df = df.distinct() if distinct else df
+    return df if ts is None else df.orderBy(F.col(ts).desc_nulls_last(), F.col(line).asc())
 
 
 # Fixed value: a leading timestamp / bracket / number prefix of a log line.

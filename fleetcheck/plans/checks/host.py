@@ -129,7 +129,10 @@ def h09(ctx):
 
 
 def _recent_log(ctx, days):
-    lines = parse_log_lines(ctx.cur("log_lines"))
+    """Lines of the last days; a line without a timestamp has that of its record."""
+    lines = parse_log_lines(ctx.cur("log_lines")).withColumn("_piece", F.floor(F.col("line_no") / 65536))
+    lines = text.record_lines(lines, [*K, "source"], "_piece", "line_no", F.col("ts").isNotNull(), F.col("ts"))
+    lines = lines.withColumn("ts", F.col("record_ts")).drop("record_ts", "record_no", "_piece")
     since = ctx.as_of - F.expr(f"INTERVAL {int(days)} DAYS")
     return lines.filter((F.col("ts") >= since) & (F.col("ts") <= ctx.as_of))
 
@@ -137,7 +140,7 @@ def _recent_log(ctx, days):
 @check("H10", E, "alert_log_recent", ["log_lines"])
 def h10(ctx):
     r = _recent_log(ctx, ctx.p("alert_days", 7))
-    return text.log_severity(r, "line", LOG_CLASSES, [*K, "source", "line_no", "ts"], distinct=False) \
+    return text.log_severity(r, "line", LOG_CLASSES, [*K, "source", "line_no", "ts"], distinct=False, ts="ts") \
         .withColumn("is_abnormal", F.col("severity") == "error")
 
 

@@ -712,4 +712,46 @@ def q_type_limit_join(spark, d):
     return out.select("p_partkey", "type_name", "type_prefix", F.col("type_max").cast(BIG).alias("type_max"), "pct_of_max", "is_abnormal")
 
 
+# --------------------------------------------- guaranteed rows, records, lists
+def q_guaranteed_rows(spark, d):
+    """Each nation with its overdrawn machinery customers, or a line of defaults."""
+    t = Tables(spark, d)
+    c = t.customer.filter((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_acctbal") < -900)).select(
+        F.col("c_nationkey").alias("n_nationkey"), "c_name", F.col("c_acctbal").alias("balance"))
+    return relations.guaranteed_rows(t.nation, c, ["n_nationkey"], {"c_name": "N/A", "balance": 0}, present="found")
+
+
+def _doc_pieces(spark, d):
+    """Lines of the documents, in pieces of three as a split file has them."""
+    return text.split_lines(Tables(spark, d).documents, "text", ["doc_id"]).withColumn("piece", F.floor((F.col("line_no") - 1) / 3))
+
+
+def q_log_records(spark, d):
+    """Lines of a document that begin with a capital begin a record; its timestamp is their number."""
+    out = text.log_records(_doc_pieces(spark, d), ["doc_id"], "piece", "line_no", "line", F.col("line").rlike("^[A-Z]"),
+                           F.col("line_no"), max_lines=100_000)
+    return out.select("doc_id", "record_no", F.col("record_ts").cast(DBL).alias("record_ts"), "n_lines", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def q_log_recent(spark, d):
+    """Events as log lines: errors and large purchases of the seven days before an instant, the most recent first."""
+    ev = Tables(spark, d).events.select("event_id", "user_id", "ts", F.concat_ws(" ", "event_type", F.col("value").cast("decimal(18,2)").cast("string")).alias("line"))
+    out = text.log_severity(ev, "line", [("error", "^error [1-9][0-9]"), ("large", r"^purchase [0-9]{2,}\.")], ["user_id", "ts"],
+                            ts="ts", as_of=as_of_lit("2024-01-20 00:00:00"), days=7)
+    return out.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+def q_abnormal_list(spark, d):
+    """The health summary with the three worst objects of each check; two checks that were due have no findings."""
+    pr = spark.createDataFrame(FIXTURE_PRIORITIES, "check_id string, priority string, advice string")
+    f = fixture_findings(spark, d)
+    due = Tables(spark, d).region.select(F.concat(F.lit("region_"), F.lower("r_name")).alias("check_id"),
+                                         F.when(F.col("r_regionkey") == 0, "not readable").alias("error")).filter(F.col("error").isNotNull() | (F.length("check_id") > 10))
+    ran = due.unionByName(f.select("check_id").distinct().withColumn("error", F.lit(None).cast("string")))
+    out = fnd.health_summary(f, pr, ran=ran, worst=3)
+    items = F.array_join(F.transform("abnormal_items", lambda x: x["object_key"]), ", ")
+    return out.select("check_id", "n_normal", "n_abnormal", "priority", "advice", "status", "error", items.alias("worst"),
+                      F.size("abnormal_items").cast(BIG).alias("n_worst"))
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

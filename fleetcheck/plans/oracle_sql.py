@@ -565,3 +565,47 @@ SELECT source, lang, n_rows, actual_pages, expected_pages, CAST(128 * greatest(a
 FROM p WHERE actual_pages > 3 AND 100.0::DOUBLE * (actual_pages - expected_pages) / actual_pages > 10"""
 
 SQL["type_limit_join"] = SQL["type_limit_usage"]
+
+SQL["guaranteed_rows"] = """
+SELECT n_nationkey, coalesce(c_name, 'N/A') AS c_name, coalesce(c_acctbal, 0) AS balance, c_custkey IS NOT NULL AS found
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'MACHINERY' AND c_acctbal < -900"""
+
+SQL["log_records"] = r"""
+WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS line_no FROM documents),
+n AS (SELECT *, count(*) FILTER (WHERE regexp_matches(line, '^[A-Z]')) OVER (PARTITION BY doc_id ORDER BY line_no) AS record_no FROM l)
+SELECT doc_id, record_no, CAST(CASE WHEN record_no > 0 THEN min(line_no) END AS DOUBLE) AS record_ts, count(*) AS n_lines,
+       md5(string_agg(line, chr(10) ORDER BY line_no)) AS text_md5
+FROM n GROUP BY doc_id, record_no"""
+
+SQL["log_recent"] = r"""
+WITH e AS (SELECT user_id, ts, event_type || ' ' || CAST(value AS DECIMAL(18,2)) AS line FROM events
+           WHERE ts > TIMESTAMP '2024-01-13' AND ts <= TIMESTAMP '2024-01-20'),
+c AS (SELECT *, CASE WHEN regexp_matches(line, '^error [1-9][0-9]') THEN 'error'
+                     WHEN regexp_matches(line, '^purchase [0-9]{2,}\.') THEN 'large' END AS severity FROM e)
+SELECT DISTINCT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, severity, line FROM c WHERE severity IS NOT NULL"""
+
+SQL["abnormal_list"] = f"""
+WITH f AS (
+  SELECT 'supplier_balance' AS check_id, CAST(s_suppkey AS VARCHAR) AS k, CAST(s_acctbal AS DOUBLE) AS m, 0.0::DOUBLE AS t, COALESCE(s_acctbal < 0, false) AS red FROM supplier
+  UNION ALL
+  SELECT 'part_size_pct', CAST(p_partkey AS VARCHAR), CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size * 2 AS DOUBLE) END, 90.0,
+         COALESCE(CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size * 2 END >= 90, false) FROM part
+  UNION ALL
+  SELECT 'event_hour_matrix', instance_id || '/' || day, total, 120.0, total > 120 FROM ({HOUR_ROWS})
+  UNION ALL
+  SELECT 'conversation_gap', CAST(conv_id AS VARCHAR), max(turn) - max(turn) FILTER (WHERE role = 'assistant'), 0.0,
+         COALESCE(max(turn) - max(turn) FILTER (WHERE role = 'assistant') > 0, false)
+  FROM conversations GROUP BY conv_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY abs(m - t) DESC NULLS LAST, k) AS rk FROM f WHERE red),
+w AS (SELECT check_id, string_agg(k, ', ' ORDER BY rk) AS worst, count(*) AS n_worst FROM r WHERE rk <= 3 GROUP BY 1),
+pr(check_id, priority, advice) AS (VALUES
+  ('supplier_balance', 'high', 'investigate negative supplier balances'),
+  ('part_size_pct', 'low', 'review part sizes near the limit'),
+  ('event_hour_matrix', 'medium', 'spread the busiest hours')),
+g AS (SELECT check_id, count(*) FILTER (WHERE NOT red) AS n_normal, count(*) FILTER (WHERE red) AS n_abnormal, NULL AS error FROM f GROUP BY 1
+      UNION ALL SELECT 'region_' || lower(r_name), 0, 0, CASE WHEN r_regionkey = 0 THEN 'not readable' END
+      FROM region WHERE r_regionkey = 0 OR length('region_' || r_name) > 10)
+SELECT check_id, n_normal, n_abnormal, COALESCE(priority, 'medium') AS priority, CASE WHEN n_abnormal > 0 THEN advice END AS advice,
+       CASE WHEN error IS NOT NULL THEN 'error' WHEN n_abnormal > 0 THEN 'abnormal' ELSE 'normal' END AS status, error,
+       COALESCE(worst, '') AS worst, COALESCE(n_worst, 0) AS n_worst
+FROM g LEFT JOIN pr USING (check_id) LEFT JOIN w USING (check_id)"""

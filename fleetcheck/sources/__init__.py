@@ -67,6 +67,16 @@ def read_text_files(spark: SparkSession, path: str, whole: bool = True, recursiv
     return r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("line"))
 
 
+def read_log_lines(spark: SparkSession, path: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """Lines of log files with their places: (path, split, at, line). Files are split; ``split`` is where a piece begins
+    in its file and ``at`` rises within it, so (split, at) is a file's order (``operators.text.record_lines``)."""
+    r = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"),
+                               F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+
+
 # Log timestamp shapes (ISO, and 'Mon dd hh:mm:ss yyyy' with
 # an optional leading weekday) accepted by ``parse_log_lines``.
 LOG_TS_ISO = r"^\s*\[?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})"
