@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import col, flag, fround, nz, pct, safe_div
+from ..functions import col, decode_date_bytes, flag, fround, nz, pct, safe_div
 from .ranking import topn
 
 
@@ -91,13 +91,24 @@ def capacity_autoextend(files: DataFrame, free: DataFrame, key: Sequence[str], b
              .withColumn("is_abnormal", flag(F.col("used_of_max_pct") >= red)))
 
 
-def partition_headroom(parts: DataFrame, table: Sequence[str], position: str, cols: Sequence[str]) -> DataFrame:
+def partition_headroom(parts: DataFrame, table: Sequence[str], position: str, cols: Sequence[str],
+                       bound_raw: str | None = None, as_of: Column | None = None, days: int | None = None) -> DataFrame:
     """The highest-but-one partition of each range-partitioned table (its upper
     bound is how far the table can still grow before the last partition is
-    used). One window over the table's partitions (bounded per table)."""
+    used). One window over the table's partitions (bounded per table).
+
+    ``bound_raw``: the bound as the catalog holds it, seven bytes of a date, is
+    decoded to ``upper_bound``; with ``as_of`` the ``days_left`` to it are
+    counted, red from ``days`` down."""
     w = Window.partitionBy(*table).orderBy(F.col(position).desc())
-    return (parts.withColumn("_rk", F.row_number().over(w))
-                 .filter(F.col("_rk") == 2).select(*table, position, *cols))
+    out = parts.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 2)
+    if bound_raw is None:
+        return out.select(*table, position, *cols)
+    out = out.select(*table, position, *cols, decode_date_bytes(bound_raw).alias("upper_bound"))
+    if as_of is None:
+        return out
+    out = out.withColumn("days_left", F.datediff(F.to_date("upper_bound"), as_of.cast("date")))
+    return out if days is None else out.withColumn("is_abnormal", flag(F.col("days_left") <= days))
 
 
 def file_summary(files: DataFrame, part: Sequence[str], id_col: str, size_col: str) -> DataFrame:

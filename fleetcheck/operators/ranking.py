@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col, fround, nz
+from ..session import ensure_checkpoint_dir
 
 
 def _orders(order: Sequence) -> list[Column]:
@@ -80,15 +81,45 @@ def pareto(df: DataFrame, metric: str, key: str, part: Sequence[str] = (), n: in
     """
     part = list(part)
     order = [F.col(metric).desc(), F.col(key).asc()]
-    w_all = Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))
-    w_run = (Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(*order) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = (df.withColumn("_total", F.sum(metric).over(w_all))
-             .withColumn("_running", F.sum(metric).over(w_run))
-             .withColumn("rn", F.row_number().over((Window.partitionBy(*part) if part else Window.partitionBy(F.lit(0))).orderBy(*order)))
-             .withColumn("pct", fround(F.lit(100.0) * F.col(metric).cast("double") / nz(F.col("_total").cast("double")), digits))
-             .withColumn("running_pct", fround(F.lit(100.0) * F.col("_running").cast("double") / nz(F.col("_total").cast("double")), digits))
-             .drop("_total", "_running"))
+    if part:
+        w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = (df.withColumn("_total", F.sum(metric).over(Window.partitionBy(*part)))
+                 .withColumn("_running", F.sum(metric).over(w)).withColumn("rn", F.row_number().over(w)))
+    elif n is not None:
+        # the running sums of the first n rows need no others; the total is a partial aggregate of its own
+        total = df.select(F.sum(metric)).scalar()
+        w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # n rows
+        out = topn(df, order, n).withColumn("_total", total).withColumn("_running", F.sum(metric).over(w))
+    else:
+        out = ordered_prefix(df, order, metric)
+    out = (out.withColumn("pct", fround(F.lit(100.0) * F.col(metric).cast("double") / nz(F.col("_total").cast("double")), digits))
+              .withColumn("running_pct", fround(F.lit(100.0) * F.col("_running").cast("double") / nz(F.col("_total").cast("double")), digits))
+              .drop("_total", "_running"))
     if n is not None:
         out = out.filter(F.col("rn") <= n)
     return out
+
+
+def ordered_prefix(df: DataFrame, order: Sequence[Column], metric: str, partitions: int | None = None) -> DataFrame:
+    """Each row's place ``rn``, the running sum ``_running`` of a metric along a total order, and its ``_total``, without one task for all.
+
+    Rows are dealt by ranges of the order and pinned by a reliable checkpoint (the bounds are drawn from a sample, so a
+    second reading must not deal them anew). One row for each range holds its size and sum; their prefixes are a window
+    over these few, and within a range both run over its rows alone.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    k = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartitionByRange(k, *order).withColumn("_range", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"), F.sum(metric).alias("_s"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # k rows at most
+    sizes = sizes.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"), F.sum("_s").over(before).alias("_sum"),
+                         F.sum("_s").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_total"))
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = dealt.withColumn("_here", F.sum(metric).over(w)).withColumn("_at", F.row_number().over(w))
+    out = here.join(F.broadcast(sizes), F.col("_range") == F.col("_of"))
+    kinds = dict(out.dtypes)
+    zero = F.lit(0).cast(kinds["_sum"])
+    # sums of nothing but NULLs are NULL, as a window's are
+    running = F.when(F.col("_sum").isNotNull() | F.col("_here").isNotNull(), F.coalesce("_sum", zero) + F.coalesce("_here", zero))
+    return out.withColumn("rn", (F.col("_rows") + F.col("_at")).cast("int")).withColumn("_running", running).drop("_range", "_of", "_rows", "_sum", "_here", "_at")

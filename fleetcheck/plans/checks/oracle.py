@@ -723,21 +723,27 @@ def o69(ctx):
     return out.withColumn("is_abnormal", F.coalesce(bad, F.lit(False)))
 
 
+# Statements that are no application's (LIKE patterns of their texts, and of their modules).
+SQL_NOT_LIKE = ["%td%", "call%", "begin%", "BEGIN%", "declare%", "DECLARE%"]
+MODULE_NOT_LIKE = "DBMS_SCHEDULER%"
+
+
 def _top_sql(ctx):
-    p = _pair(ctx)
-    s = ctx.cur("sqlstat").join(p, [*K, "instance_number"])
-    s = s.filter((F.col("snap_id") > F.col("begin_snap")) & (F.col("snap_id") <= F.col("end_snap")))
-    g = s.groupBy(*K, "instance_number", "sql_id").agg(
-        F.sum("elapsed_delta").alias("elapsed_us"), F.sum("cpu_delta").alias("cpu_us"),
-        F.sum("iowait_delta").alias("io_us"), F.sum("exec_delta").alias("execs"), F.max("module").alias("module"))
-    dbt = _delta(ctx, "time_model", ["DB time"]).select(*K, "instance_number", F.col("delta").alias("_dbt"))
-    g = (g.join(dbt, [*K, "instance_number"], "left")
-          .withColumn("elapsed_s", fround(F.col("elapsed_us") / 1e6, 2))
-          .withColumn("per_exec_s", fround(safe_div(F.col("elapsed_us") / 1e6, "execs"), 2))
-          .withColumn("pct_total", fround(F.lit(100.0) * safe_div("elapsed_us", "_dbt"), 2))
-          .withColumn("pct_cpu", fround(F.lit(100.0) * safe_div("cpu_us", "elapsed_us"), 2))
-          .withColumn("pct_io", fround(F.lit(100.0) * safe_div("io_us", "elapsed_us"), 2)))
-    return ranking.topn(g, [F.col("elapsed_us").desc(), F.col("sql_id").asc()], 10, [*K, "instance_number"])
+    p = [*K, "instance_number"]
+    dbt = _delta(ctx, "time_model", ["DB time"]).select(*p, F.col("delta").alias("_dbt"))
+    texts = ctx.cur("sqltext") if ctx.has("sqltext") else None
+    stats = ctx.cur("sqlstat").join(_pair(ctx), p)
+    if texts is not None:
+        stats = stats.filter(F.col("module").isNull() | ~F.col("module").like(MODULE_NOT_LIKE))
+    top = perf.statement_report(
+        stats, p, "sql_id", "snap_id", F.col("begin_snap"), F.col("end_snap"),
+        {"elapsed_us": "elapsed_delta", "cpu_us": "cpu_delta", "io_us": "iowait_delta"}, "elapsed_us", 10, execs="exec_delta",
+        shares={"pct_cpu": ("cpu_us", "elapsed_us"), "pct_io": ("io_us", "elapsed_us")}, totals=dbt, total="_dbt",
+        texts=texts, text="sql_text", not_like=SQL_NOT_LIKE, text_on=[*K, "sql_id"], most={"module": "module"}, per_exec="_us")
+    if texts is not None:
+        top = top.drop("sql_text")
+    return top.drop("_us").withColumn("elapsed_s", fround(F.col("elapsed_us") / 1e6, 2)) \
+        .withColumn("per_exec_s", fround(safe_div(F.col("elapsed_us") / 1e6, "execs"), 2))
 
 
 @check("O70", E, "top_sql_elapsed", ["snapshots", "sqlstat", "time_model"], key=("sql_id",), metric="per_exec_s",

@@ -337,9 +337,8 @@ def q_sql_window_stats(spark, d):
                            F.col("l_extendedprice").cast("decimal(18,2)").alias("p"))
     g = perf.sql_window_stats(li, ["l_returnflag"], ["l_partkey"], "l_shipdate", as_of_lit(SQLWIN_BEGIN),
                               as_of_lit(SQLWIN_END), {"qty": "q", "elapsed": "p"}, share_of="elapsed")
-    g = (g.withColumn("per_exec", fround(safe_div("elapsed", "execs"), 2))
-          .join(t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
-          .filter(~F.col("p_name").like("%bolt%")))
+    g = perf.with_texts(g.withColumn("per_exec", fround(safe_div("elapsed", "execs"), 2)),
+                        t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), ["l_partkey"], "p_name", ["%bolt%"])
     out = ranking.topn(g, [F.col("elapsed").desc(), F.col("l_partkey").asc()], 10, ["l_returnflag"])
     return out.select("l_returnflag", "l_partkey", "p_name", "execs", F.col("qty").cast(DBL).alias("qty"),
                       F.col("elapsed").cast(DBL).alias("elapsed"), "per_exec", "pct_total",
@@ -754,4 +753,48 @@ def q_abnormal_list(spark, d):
                       F.size("abnormal_items").cast(BIG).alias("n_worst"))
 
 
+# ------------------------------------------------------- reports without a group
+def q_statement_report(spark, d):
+    """Parts as statements between two instants: the five heaviest of each return flag whose names are no excluded ones."""
+    t = Tables(spark, d)
+    price = F.col("l_extendedprice").cast("decimal(18,2)")
+    li = t.lineitem.select("l_returnflag", "l_partkey", "l_shipdate", price.alias("p"),
+                           (price * F.col("l_discount").cast("decimal(4,2)")).cast("decimal(18,4)").alias("c"),
+                           F.col("l_quantity").cast("decimal(18,2)").alias("q"))
+    out = perf.statement_report(li, ["l_returnflag"], "l_partkey", "l_shipdate", as_of_lit(SQLWIN_BEGIN), as_of_lit(SQLWIN_END),
+                                {"elapsed": "p", "cpu": "c", "qty": "q"}, "elapsed", 5, shares={"pct_cpu": ("cpu", "elapsed"), "pct_qty": ("qty", "elapsed")},
+                                texts=t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name"), text="p_name", not_like=["%bolt%", "small%"])
+    return out.select("l_returnflag", "l_partkey", "p_name", "execs", F.col("elapsed").cast(DBL).alias("elapsed"), "per_exec", "pct_total",
+                      "pct_cpu", "pct_qty", F.col("rn").cast(BIG).alias("rn"))
+
+
+def q_partition_bound(spark, d):
+    """Months of an order priority as partitions whose upper bounds are seven bytes of a date."""
+    o = Tables(spark, d).orders
+    parts = o.groupBy("o_orderpriority", F.trunc("o_orderdate", "month").alias("_m")).agg(F.count("*").alias("n_rows"))
+    end = F.add_months("_m", 1)
+    byte = lambda x: F.lpad(F.hex(x.cast("long")), 2, "0")
+    raw = F.unhex(F.concat(byte(F.floor(F.year(end) / 100) + 100), byte(F.year(end) % 100 + 100), byte(F.month(end)), byte(F.dayofmonth(end)),
+                           F.lit("010101")))
+    parts = parts.select("o_orderpriority", "n_rows", F.date_format("_m", "yyyy-MM").alias("partition_name"), raw.alias("high_value_raw"),
+                         (F.year("_m") * 100 + F.month("_m")).cast(BIG).alias("position"))
+    out = cap.partition_headroom(parts, ["o_orderpriority"], "position", ["partition_name", "n_rows"], bound_raw="high_value_raw",
+                                 as_of=as_of_lit("2001-07-20 00:00:00"), days=14)
+    return out.select("o_orderpriority", "position", "partition_name", "n_rows", F.date_format("upper_bound", "yyyy-MM-dd HH:mm:ss").alias("upper_bound"),
+                      F.col("days_left").cast(BIG).alias("days_left"), "is_abnormal")
+
+
+def q_pareto_all(spark, d):
+    """Every customer's revenue with its running share of all revenue: one order over all rows, no group."""
+    o = Tables(spark, d).orders.groupBy("o_custkey").agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("revenue"))
+    out = ranking.pareto(o, "revenue", "o_custkey", digits=4)
+    return out.select("o_custkey", F.col("revenue").cast(DBL).alias("revenue"), "pct", "running_pct", F.col("rn").cast(BIG).alias("rn"))
+
+
+def q_time_share_all(spark, d):
+    """Each event type's share of all values but those of views."""
+    g = Tables(spark, d).events.groupBy("event_type").agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("total_value"))
+    return perf.time_share(g, [], "event_type", "total_value", exclude=["view"], digits=3).withColumn("total_value", F.col("total_value").cast(DBL))
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

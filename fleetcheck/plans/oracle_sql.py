@@ -609,3 +609,41 @@ SELECT check_id, n_normal, n_abnormal, COALESCE(priority, 'medium') AS priority,
        CASE WHEN error IS NOT NULL THEN 'error' WHEN n_abnormal > 0 THEN 'abnormal' ELSE 'normal' END AS status, error,
        COALESCE(worst, '') AS worst, COALESCE(n_worst, 0) AS n_worst
 FROM g LEFT JOIN pr USING (check_id) LEFT JOIN w USING (check_id)"""
+
+SQL["statement_report"] = f"""
+WITH g AS (SELECT l_returnflag, l_partkey, sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS elapsed, count(*) AS execs,
+                  sum(CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,4))) AS cpu,
+                  sum(CAST(l_quantity AS DECIMAL(18,2))) AS qty
+           FROM lineitem WHERE l_shipdate > TIMESTAMP '1996-01-01 00:00:00' AND l_shipdate <= TIMESTAMP '1997-12-31 00:00:00'
+           GROUP BY ALL),
+t AS (SELECT g.*, sum(elapsed) OVER (PARTITION BY l_returnflag) AS tot FROM g),
+k AS (SELECT t.*, p_name, row_number() OVER (PARTITION BY l_returnflag ORDER BY elapsed DESC, l_partkey) AS rn
+      FROM t JOIN part ON p_partkey = l_partkey WHERE p_name NOT LIKE '%bolt%' AND p_name NOT LIKE 'small%')
+SELECT l_returnflag, l_partkey, p_name, execs, CAST(elapsed AS DOUBLE) AS elapsed,
+       {R("CAST(elapsed AS DOUBLE) / CAST(execs AS DOUBLE)", 2)} AS per_exec,
+       {R("100.0::DOUBLE * CAST(elapsed AS DOUBLE) / CAST(tot AS DOUBLE)", 2)} AS pct_total,
+       {R("100.0::DOUBLE * (CAST(cpu AS DOUBLE) / CAST(elapsed AS DOUBLE))", 2)} AS pct_cpu,
+       {R("100.0::DOUBLE * (CAST(qty AS DOUBLE) / CAST(elapsed AS DOUBLE))", 2)} AS pct_qty, rn
+FROM k WHERE rn <= 5"""
+
+SQL["partition_bound"] = """
+WITH p AS (SELECT o_orderpriority, date_trunc('month', o_orderdate) AS m, count(*) AS n_rows FROM orders GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY m DESC) AS rk FROM p)
+SELECT o_orderpriority, CAST(year(m) * 100 + month(m) AS BIGINT) AS position, strftime(m, '%Y-%m') AS partition_name, n_rows,
+       strftime(m + INTERVAL 1 MONTH, '%Y-%m-%d %H:%M:%S') AS upper_bound,
+       date_diff('day', DATE '2001-07-20', CAST(m + INTERVAL 1 MONTH AS DATE)) AS days_left,
+       date_diff('day', DATE '2001-07-20', CAST(m + INTERVAL 1 MONTH AS DATE)) <= 14 AS is_abnormal
+FROM r WHERE rk = 2"""
+
+SQL["pareto_all"] = f"""
+WITH o AS (SELECT o_custkey, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS revenue FROM orders GROUP BY 1),
+w AS (SELECT *, sum(revenue) OVER () AS total, sum(revenue) OVER (ORDER BY revenue DESC, o_custkey ROWS UNBOUNDED PRECEDING) AS running,
+             row_number() OVER (ORDER BY revenue DESC, o_custkey) AS rn FROM o)
+SELECT o_custkey, CAST(revenue AS DOUBLE) AS revenue, {R("100.0::DOUBLE * CAST(revenue AS DOUBLE) / CAST(total AS DOUBLE)", 4)} AS pct,
+       {R("100.0::DOUBLE * CAST(running AS DOUBLE) / CAST(total AS DOUBLE)", 4)} AS running_pct, rn FROM w"""
+
+SQL["time_share_all"] = f"""
+WITH g AS (SELECT event_type, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events GROUP BY 1)
+SELECT event_type, CAST(v AS DOUBLE) AS total_value,
+       CASE WHEN event_type <> 'view' THEN {R("100.0::DOUBLE * CAST(v AS DOUBLE) / CAST((SELECT sum(v) FROM g WHERE event_type <> 'view') AS DOUBLE)", 3)} END AS pct
+FROM g"""

@@ -1,0 +1,105 @@
+"""Orders over all rows, statement reports and partition bounds on literal rows."""
+
+import datetime as dt
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+from test_checks_literal import ctx, run, view
+
+from fleetcheck.operators import capacity as cap
+from fleetcheck.operators import perf, ranking
+from fleetcheck.plans import fixtures
+
+
+@pytest.mark.parametrize("n", [None, 7])
+def test_pareto_without_a_group_equals_brute_force(spark, n):
+    g = random.Random(1)
+    data = [(f"k{i:04d}", g.choice([1, 5, 5, 5, g.randint(0, 10 ** 6)])) for i in range(3000)]
+    out = ranking.pareto(spark.createDataFrame(data, "k string, v bigint").repartition(6), "v", "k", n=n, digits=6)
+    total, running, want = sum(v for _, v in data), 0, []
+    for i, (k, v) in enumerate(sorted(data, key=lambda r: (-r[1], r[0]))):
+        running += v
+        want.append((i + 1, k, v, pytest.approx(100 * v / total, abs=1e-5), pytest.approx(100 * running / total, abs=1e-5)))
+    got = sorted(map(tuple, out.select("rn", "k", "v", "pct", "running_pct").collect()))
+    assert got == want[:n]
+
+
+def test_ordered_prefix_with_nulls_and_empty(spark):
+    data = [("a", None), ("b", 4), ("c", None), ("d", 2), ("e", -1)]
+    df = spark.createDataFrame(data, "k string, v bigint")
+    order = [F.col("v").desc_nulls_last(), F.col("k")]
+    got = sorted((r["rn"], r["k"], r["_running"], r["_total"]) for r in ranking.ordered_prefix(df, order, "v", partitions=3).collect())
+    assert got == [(1, "b", 4, 5), (2, "d", 6, 5), (3, "e", 5, 5), (4, "a", 5, 5), (5, "c", 5, 5)]
+    assert ranking.ordered_prefix(df.limit(0), order, "v").collect() == []
+    assert [r["_running"] for r in ranking.ordered_prefix(df.filter("v is null"), order, "v").collect()] == [None, None]
+
+
+def test_no_task_has_all_rows(spark, capsys):
+    fixtures.QUERIES["pareto_all"](spark, "/root/testdata/sf0.001").explain()
+    fixtures.QUERIES["time_share_all"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    whole = [p for p in plan.split("\n") if "Window [" in p and "[_range" not in p]
+    assert len(whole) <= 2 and all("_rows" in p or "_sum" in p or "_n" in p for p in whole)  # over one row for each range
+
+
+def test_time_share_without_a_group(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 3), ("idle", 96)], "k string, v bigint")
+    got = {r["k"]: r["pct"] for r in perf.time_share(df, [], "k", "v", exclude=["idle"]).collect()}
+    assert got == {"a": 25.0, "b": 75.0, "idle": None}
+
+
+def test_statement_report(spark):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [("i", "s1", at(1), 100, 50, 1), ("i", "s1", at(2), 100, 70, 3), ("i", "s2", at(2), 300, 0, 0), ("i", "s3", at(2), 900, 9, 9), ("i", "s4", at(2), 200, 1, 1),
+            ("i", None, at(2), 400, 1, 1), ("i", "s1", at(0), 999, 1, 1), ("i", "s1", at(4), 999, 1, 1), ("j", "s1", at(1), 0, 0, 0), ("j", "s2", at(3), 10, 5, 2)]
+    stats = spark.createDataFrame(rows, "inst string, stmt string, ts timestamp, e bigint, c bigint, x bigint")
+    texts = spark.createDataFrame([("s1", "select 1"), ("s2", "select 2"), ("s3", "begin x end"), ("s4", None), (None, "nothing")], "stmt string, t string")
+    out = perf.statement_report(stats, ["inst"], "stmt", "ts", F.lit(at(0)), F.lit(at(3)), {"elapsed": "e", "cpu": "c"}, "elapsed", 2, execs="x",
+                                shares={"pct_cpu": ("cpu", "elapsed")}, texts=texts, text="t", not_like=["begin%"])
+    cols = ("inst", "rn", "stmt", "elapsed", "execs", "per_exec", "pct_total", "pct_cpu")
+    assert sorted(tuple(r[c] for c in cols) for r in out.collect()) == [
+        ("i", 1, "s2", 300, 0, None, 15.0, 0.0), ("i", 2, "s1", 200, 4, 50.0, 10.0, 60.0), ("j", 1, "s2", 10, 2, 5.0, 100.0, 50.0), ("j", 2, "s1", 0, 0, None, 0.0, None)]
+    totals = spark.createDataFrame([("i", 4000)], "inst string, t bigint")
+    out = perf.statement_report(stats, ["inst"], "stmt", "ts", F.lit(at(0)), F.lit(at(3)), {"elapsed": "e"}, "elapsed", 1, totals=totals, total="t")
+    assert sorted((r["inst"], r["stmt"], r["pct_total"]) for r in out.collect()) == [("i", "s3", 22.5), ("j", "s2", None)]
+
+
+def test_top_sql_leaves_out_what_is_no_application(spark):
+    e, i = "oracle", {"instance_id": "a", "instance_number": 1}
+    at = lambda h: dt.datetime(2024, 1, 30, h)
+    snaps = [{**i, "snap_id": s, "begin_ts": at(s - 1), "end_ts": at(s), "startup_ts": at(0)} for s in (1, 2)]
+    model = [{**i, "snap_id": s, "stat_name": "DB time", "value": Decimal(v)} for s, v in ((1, 0), (2, 10 ** 9))]
+    stat = [{**i, "snap_id": 2, "sql_id": q, "module": m, "elapsed_delta": v, "cpu_delta": v // 2, "iowait_delta": v // 4, "exec_delta": 2}
+            for q, m, v in (("app", "web", 10 ** 8), ("job", "DBMS_SCHEDULER", 10 ** 9), ("block", None, 10 ** 9), ("none", None, 5), ("old", "m", 4 * 10 ** 8))]
+    stat.append({**i, "snap_id": 1, "sql_id": "app", "module": "web", "elapsed_delta": 7 * 10 ** 8, "exec_delta": 1})
+    text = [{"instance_id": "a", "sql_id": q, "sql_text": t} for q, t in (("app", "select x"), ("job", "select y"), ("block", "BEGIN z; END;"), ("old", "select w"))]
+    views = {"snapshots": view(spark, e, "snapshots", snaps), "time_model": view(spark, e, "time_model", model), "sqlstat": view(spark, e, "sqlstat", stat)}
+    cols = ("sql_id", "elapsed_s", "per_exec_s", "pct_total", "pct_cpu", "pct_io", "execs", "is_abnormal")
+    got = sorted(tuple(r[c] for c in cols) for r in run(ctx(spark, e, {**views, "sqltext": view(spark, e, "sqltext", text)}), "O70").collect())
+    assert got == [("app", 100.0, 50.0, 10.0, 50.0, 25.0, 2, False), ("old", 400.0, 200.0, 40.0, 50.0, 25.0, 2, True)]
+    assert len(run(ctx(spark, e, views), "O70").collect()) == 5
+
+
+def test_partition_bounds_are_decoded(spark):
+    raw = lambda y, m, d: bytearray([y // 100 + 100, y % 100 + 100, m, d, 1, 1, 1])
+    rows = [("t", i, f"p{i}", raw(2024, i, 1)) for i in range(1, 5)] + [("one", 1, "p", raw(2024, 1, 1)), ("bc", 1, "p1", raw(1999, 12, 31)), ("bc", 2, "p2", None)]
+    parts = spark.createDataFrame(rows, "t string, pos int, p string, hv binary")
+    out = cap.partition_headroom(parts, ["t"], "pos", ["p"], bound_raw="hv", as_of=F.lit("2024-02-20 10:00:00").cast("timestamp"), days=14)
+    got = sorted((r["t"], r["p"], str(r["upper_bound"]), r["days_left"], r["is_abnormal"]) for r in out.collect())
+    assert got == [("bc", "p1", "1999-12-31 00:00:00", -8817, True), ("t", "p3", "2024-03-01 00:00:00", 10, True)]
+
+
+def test_statements_are_shuffled_once(spark, capsys):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for key in ("sql_window_stats", "statement_report"):
+            fixtures.QUERIES[key](spark, "/root/testdata/sf0.001").explain()
+            plan = capsys.readouterr().out
+            assert plan.count("ReusedExchange") == 1 and plan.count("FileScan parquet") == 2  # the statements and the texts
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
