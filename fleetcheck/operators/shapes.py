@@ -62,6 +62,23 @@ def rollup_total(df: DataFrame, outer: Sequence[str], inner: str, aggs: Sequence
                .drop("_g"))
 
 
+def nested_rollup(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column], merge: dict | None = None) -> DataFrame:
+    """A line for each value of a nested key (instance, container, node) at every level: of an instance, of each of its
+    containers, of each of their nodes. (keys..., level, aggs...): inner keys of an outer line are NULL, ``level`` tells them
+    from NULL keys (the number of keys that hold).
+
+    aggs are sums and counts; ``merge`` names another function for those that are merged otherwise ("max", "min"). Rows
+    are first reduced to the innermost lines, so the expansion to levels is of these and not of the rows.
+    """
+    keys, merge = list(keys), merge or {}
+    inner = df.groupBy(*keys).agg(*[a.alias(n) for n, a in aggs.items()])
+    sets = [keys[:k] for k in range(len(keys), 0, -1)]
+    out = inner.groupingSets(sets, *keys).agg(*[getattr(F, merge.get(n, "sum"))(n).alias(n) for n in aggs],
+                                              *[F.grouping(k).cast("int").alias(f"_g_{k}") for k in keys])
+    level = sum((1 - F.col(f"_g_{k}") for k in keys), F.lit(0))
+    return out.withColumn("level", level).select(*keys, "level", *aggs)
+
+
 def ordered_concat(df: DataFrame, key: Sequence[str], val: str, order: str | None = None,
                    sep: str = ",", distinct: bool = False, out: str = "items") -> DataFrame:
     """Deterministic string aggregate (LISTAGG / GROUP_CONCAT / WM_CONCAT).

@@ -160,7 +160,9 @@ def findings_of(ctx: Ctx, results: Mapping[str, DataFrame]) -> DataFrame:
         c = REGISTRY[cid]
         if "is_abnormal" not in df.columns:
             continue
-        key = F.concat_ws("|", *[F.col(k).cast("string") for k in c.key]) if c.key else F.lit(c.name)
+        # objects outside containers (0) are named without one
+        parts = [F.when(F.col(k) > 0, F.col(k).cast("string")) if k == "con_id" else F.col(k).cast("string") for k in c.key]
+        key = F.concat_ws("|", *parts) if parts else F.lit(c.name)
         metric = F.col(c.metric) if c.metric else None
         frames.append(fnd.to_findings(df, cid, key, metric, c.threshold,
                                       instance_id=F.col("instance_id") if "instance_id" in df.columns else None,

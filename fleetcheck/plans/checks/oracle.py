@@ -69,6 +69,20 @@ LOAD_STATS = ["redo size", "session logical reads", "db block changes", "physica
 LOAD_RED = {"parse count (hard)": 50.0, "logons cumulative": 50.0}
 
 
+# The nested key of a container database's rows, and fixed values: the root and the seed, which are no one's containers.
+C = [*K, "con_id"]
+NO_CONTAINERS = [1, 2]
+
+
+def _containers(ctx, view):
+    """A view's rows in users' containers, ``con_id`` 0 where there are none (before 12c, or collected from one database)."""
+    def build():
+        df = ctx.cur(view)
+        con = F.coalesce(F.col("con_id"), F.lit(0)) if "con_id" in df.columns else F.lit(0)
+        return df.withColumn("con_id", con).filter(~F.col("con_id").isin(NO_CONTAINERS))
+    return ctx.memo(f"containers:{view}", build)
+
+
 def _since(ctx, days):
     return ctx.as_of - F.expr(f"INTERVAL {int(days)} DAYS")
 
@@ -160,15 +174,15 @@ def o12(ctx):
     return ctx.cur("version_banner").select(*K, "banner")
 
 
-@check("O13", E, "components", ["registry"], key=("comp_id",), priority="high")
+@check("O13", E, "components", ["registry"], key=("con_id", "comp_id"), priority="high")
 def o13(ctx):
-    return verdict.status_decode(ctx.cur("registry"), "status", [("VALID", "VALID")], good=["VALID"],
+    return verdict.status_decode(_containers(ctx, "registry"), "status", [("VALID", "VALID")], good=["VALID"],
                                  default="NOT VALID")
 
 
 @check("O14", E, "patch_history", ["patches"])
 def o14(ctx):
-    return ctx.cur("patches").select(*K, "action_ts", "action", "version", "patch_id", "comments")
+    return _containers(ctx, "patches").select(*C, "action_ts", "action", "version", "patch_id", "comments")
 
 
 # 10g-only rules — a cursor parameter x 0.8 below the largest
@@ -252,17 +266,17 @@ def _user_owned(owner, flag="oracle_maintained"):
     return named if flag is None else F.coalesce(F.col(flag) == "N", named)
 
 
-@check("O21", E, "invalid_objects", ["objects"], key=("owner", "object_type"), metric="n_invalid", threshold=50)
+@check("O21", E, "invalid_objects", ["objects"], key=("con_id", "owner", "object_type"), metric="n_invalid", threshold=50)
 def o21(ctx):
-    o = ctx.cur("objects").filter((F.col("status") == "INVALID") & _user_owned("owner"))
-    g = o.groupBy(*K, "owner", "object_type").agg(F.count("*").alias("n_invalid"))
+    o = _containers(ctx, "objects").filter((F.col("status") == "INVALID") & _user_owned("owner"))
+    g = o.groupBy(*C, "owner", "object_type").agg(F.count("*").alias("n_invalid"))
     return verdict.threshold_flag(g, "n_invalid", 50, ">")
 
 
-@check("O22", E, "tablespace_usage", ["tablespaces"], key=("tablespace_name",), metric="used_pct", threshold=90,
+@check("O22", E, "tablespace_usage", ["tablespaces"], key=("con_id", "tablespace_name",), metric="used_pct", threshold=90,
        priority="high")
 def o22(ctx):
-    t = ctx.cur("tablespaces").withColumn("used_pct", pct("used_bytes", "total_bytes"))
+    t = _containers(ctx, "tablespaces").withColumn("used_pct", pct("used_bytes", "total_bytes"))
     t = t.withColumn("total_gb", fround(F.col("total_bytes") / GB, 2)).withColumn(
         "used_gb", fround(F.col("used_bytes") / GB, 2)).withColumn(
         "free_gb", fround((F.col("total_bytes") - F.col("used_bytes")) / GB, 2))
@@ -279,31 +293,35 @@ def o23(ctx):
 
 @check("O24", E, "tablespace_total", ["data_files", "temp_files", "tablespaces"])
 def o24(ctx):
-    d = ctx.cur("data_files").groupBy(*K).agg(fround(F.sum("bytes") / GB, 2).alias("physical_gb"))
-    t = ctx.cur("temp_files").groupBy(*K).agg(fround(F.sum("bytes") / GB, 2).alias("temp_gb"))
-    u = ctx.cur("tablespaces").groupBy(*K).agg(fround(F.sum("used_bytes") / GB, 2).alias("used_gb"))
-    return d.join(t, K, "left").join(u, K, "left")
+    def by_level(view, size, name):
+        """Of the instance (con_id NULL), and of each of its containers."""
+        r = shapes.nested_rollup(_containers(ctx, view), [*K, "con_id"], {name: F.sum(size)})
+        r = r.filter((F.col("level") == 1) | ((F.col("level") == 2) & (F.col("con_id") > 0)))
+        return r.select(*K, F.coalesce("con_id", F.lit(0)).alias("con_id"), fround(F.col(name) / GB, 2).alias(name))
+    d = by_level("data_files", "bytes", "physical_gb")
+    return (d.join(by_level("temp_files", "bytes", "temp_gb"), C, "left").join(by_level("tablespaces", "used_bytes", "used_gb"), C, "left")
+             .withColumn("con_id", F.when(F.col("con_id") > 0, F.col("con_id"))))
 
 
-@check("O25", E, "tablespace_per_day", ["tablespace_usage_hist", "instance"], key=("day",), metric="used_pct",
+@check("O25", E, "tablespace_per_day", ["tablespace_usage_hist", "instance"], key=("con_id", "day",), metric="used_pct",
        threshold=90)
 def o25(ctx):
-    h = ctx.cur("tablespace_usage_hist").withColumn("ts", F.try_to_timestamp("rtime", F.lit("MM/dd/yyyy HH:mm:ss")))
+    h = _containers(ctx, "tablespace_usage_hist").withColumn("ts", F.try_to_timestamp("rtime", F.lit("MM/dd/yyyy HH:mm:ss")))
     start = ctx.cur("instance").groupBy(*K).agg(F.max("startup_ts").alias("_start"))
     h = h.join(start, K).filter((F.col("ts") >= F.col("_start")) & (F.col("ts") >= _since(ctx, 30)))
     h = (h.withColumn("size_b", F.col("tablespace_size") * F.col("block_size"))
           .withColumn("used_b", F.col("tablespace_usedsize") * F.col("block_size")))
-    used = time.daily_growth(h, ["tablespace_id"], "ts", "used_b", K, tie="snap_id", scale=0)
-    size = time.daily_growth(h, ["tablespace_id"], "ts", "size_b", K, tie="snap_id", scale=0) \
-        .select(*K, "day", F.col("total").alias("size_total"))
-    out = used.join(size, [*K, "day"]).withColumn("used_pct", pct("total", "size_total"))
+    used = time.daily_growth(h, ["tablespace_id"], "ts", "used_b", C, tie="snap_id", scale=0)
+    size = time.daily_growth(h, ["tablespace_id"], "ts", "size_b", C, tie="snap_id", scale=0) \
+        .select(*C, "day", F.col("total").alias("size_total"))
+    out = used.join(size, [*C, "day"]).withColumn("used_pct", pct("total", "size_total"))
     return verdict.threshold_flag(out, "used_pct", 90, ">=")
 
 
-@check("O26", E, "sequence_near_max", ["sequences"], key=("sequence_owner", "sequence_name"), metric="pct",
+@check("O26", E, "sequence_near_max", ["sequences"], key=("con_id", "sequence_owner", "sequence_name"), metric="pct",
        threshold=80)
 def o26(ctx):
-    s = ctx.cur("sequences").filter(F.col("cycle_flag") == "N")
+    s = _containers(ctx, "sequences").filter(F.col("cycle_flag") == "N")
     s = verdict.utilization_pct(s, "last_number", "max_value", red=80, op=">=")
     return s.filter(F.col("pct") >= 50)
 
@@ -318,30 +336,30 @@ def o27(ctx):
 
 def _top_segments(ctx, kind):
     user_data = ~F.coalesce(F.col("tablespace_name").isin(SYSTEM_TABLESPACES), F.lit(False))
-    s = ctx.cur("segments").filter(F.col("segment_type").startswith(kind) & user_data & _user_owned("owner", None)).withColumn("mb", F.col("bytes") / MB)
-    parted = s.groupBy(*K, "owner", "segment_name").agg(
+    s = _containers(ctx, "segments").filter(F.col("segment_type").startswith(kind) & user_data & _user_owned("owner", None)).withColumn("mb", F.col("bytes") / MB)
+    parted = s.groupBy(*C, "owner", "segment_name").agg(
         F.max(F.when(F.col("partition_name").isNotNull(), "YES").otherwise("NO")).alias("partitioned"))
-    top = cap.large_segments(s, ["owner", "segment_name"], "mb", 10240, 10, 102400, part=K, out="size_mb")
-    return top.join(parted, [*K, "owner", "segment_name"], "left")
+    top = cap.large_segments(s, ["con_id", "owner", "segment_name"], "mb", 10240, 10, 102400, part=K, out="size_mb")
+    return top.join(parted, [*C, "owner", "segment_name"], "left")
 
 
-@check("O28", E, "top_tables", ["segments"], key=("owner", "segment_name"), metric="size_mb", threshold=102400)
+@check("O28", E, "top_tables", ["segments"], key=("con_id", "owner", "segment_name"), metric="size_mb", threshold=102400)
 def o28(ctx):
     return _top_segments(ctx, "TABLE")
 
 
-@check("O29", E, "top_indexes", ["segments"], key=("owner", "segment_name"), metric="size_mb", threshold=102400)
+@check("O29", E, "top_indexes", ["segments"], key=("con_id", "owner", "segment_name"), metric="size_mb", threshold=102400)
 def o29(ctx):
     return _top_segments(ctx, "INDEX")
 
 
 @check("O30", E, "partition_headroom", ["partitions"])
 def o30(ctx):
-    p = ctx.cur("partitions").filter(F.col("interval").isNull() | (F.col("interval") == "NO"))
+    p = _containers(ctx, "partitions").filter(F.col("interval").isNull() | (F.col("interval") == "NO"))
     # base-table collections carry the bound as the 7-byte internal DATE
     p = p.withColumn("high_value", F.coalesce(
         F.date_format(decode_date_bytes("high_value_raw"), "yyyy-MM-dd HH:mm:ss"), F.col("high_value")))
-    return cap.partition_headroom(p, [*K, "table_owner", "table_name"], "partition_position",
+    return cap.partition_headroom(p, [*C, "table_owner", "table_name"], "partition_position",
                                   ["partition_name", "high_value", "composite"])
 
 
@@ -356,25 +374,25 @@ def o31(ctx):
         .withColumn("is_abnormal", F.lit(True))
 
 
-@check("O32", E, "user_objects_in_system", ["segments", "users"], key=("owner", "segment_name"))
+@check("O32", E, "user_objects_in_system", ["segments", "users"], key=("con_id", "owner", "segment_name"))
 def o32(ctx):
-    seg = ctx.cur("segments").filter(F.col("tablespace_name").isin("SYSTEM", "SYSAUX"))
+    seg = _containers(ctx, "segments").filter(F.col("tablespace_name").isin("SYSTEM", "SYSAUX"))
     u = relations.tagged_union({"TABLE": seg.filter(F.col("segment_type").startswith("TABLE")),
                                 "INDEX": seg.filter(F.col("segment_type").startswith("INDEX"))}, tag="kind")
-    users = ctx.cur("users")
+    users = _containers(ctx, "users")
     version = ctx.params.get("version")
     if version is not None and version <= 11:
         # 11g/10g have no maintained flag: owners whose default tablespace is not SYSTEM/SYSAUX
         app = users.filter(~F.col("default_tablespace").isin("SYSTEM", "SYSAUX"))
     else:
         app = users.filter(F.col("oracle_maintained") == "N")
-    app_users = app.select(*K, F.col("username").alias("owner"))
-    return relations.member_of(u, app_users, [*K, "owner"]).withColumn("is_abnormal", F.lit(True))
+    app_users = app.select(*C, F.col("username").alias("owner"))
+    return relations.member_of(u, app_users, [*C, "owner"]).withColumn("is_abnormal", F.lit(True))
 
 
-@check("O33", E, "ransomware_objects", ["objects"], key=("owner", "object_name"), priority="high")
+@check("O33", E, "ransomware_objects", ["objects"], key=("con_id", "owner", "object_name"), priority="high")
 def o33(ctx):
-    o = ctx.cur("objects").select(*K, "owner", "object_name", "object_type", "created_ts")
+    o = _containers(ctx, "objects").select(*C, "owner", "object_name", "object_type", "created_ts")
     return relations.name_ioc(o, "object_name", RANSOM_PATTERNS).withColumn("is_abnormal", F.lit(True))
 
 
@@ -427,23 +445,23 @@ def o39(ctx):
     return hit.withColumn("is_abnormal", F.lit(True))
 
 
-@check("O40", E, "password_expiry", ["users"], key=("username",), metric="days_left", threshold=7)
+@check("O40", E, "password_expiry", ["users"], key=("con_id", "username",), metric="days_left", threshold=7)
 def o40(ctx):
-    u = ctx.cur("users").filter(F.col("account_status") == "OPEN")
+    u = _containers(ctx, "users").filter(F.col("account_status") == "OPEN")
     return time.expiry_window(u, "expiry_ts", ctx.as_of, 30, 7, min_days=None)
 
 
-@check("O41", E, "system_roles", ["role_privs", "users"], key=("grantee", "granted_role"), priority="high")
+@check("O41", E, "system_roles", ["role_privs", "users"], key=("con_id", "grantee", "granted_role"), priority="high")
 def o41(ctx):
-    open_users = ctx.cur("users").filter(F.col("account_status") == "OPEN").select(*K, F.col("username").alias("grantee"))
-    r = relations.member_of(ctx.cur("role_privs").filter(F.col("granted_role").isin(SYSTEM_ROLES)), open_users,
-                            [*K, "grantee"])
+    open_users = _containers(ctx, "users").filter(F.col("account_status") == "OPEN").select(*C, F.col("username").alias("grantee"))
+    r = relations.member_of(_containers(ctx, "role_privs").filter(F.col("granted_role").isin(SYSTEM_ROLES)), open_users,
+                            [*C, "grantee"])
     return verdict.role_matrix(r, {}, unexpected=(F.col("granted_role") == "DBA") & ~F.col("grantee").isin(DBA_ALLOWED))
 
 
-@check("O42", E, "schema_list", ["users", "database"], key=("username",))
+@check("O42", E, "schema_list", ["users", "database"], key=("con_id", "username",))
 def o42(ctx):
-    u = ctx.cur("users").filter((F.col("account_status") == "OPEN") & _user_owned("username"))
+    u = _containers(ctx, "users").filter((F.col("account_status") == "OPEN") & _user_owned("username"))
     created = ctx.cur("database").select(*K, F.col("created_ts").alias("_db_created"))
     u = u.join(created, K, "left")
     late = F.col("created_ts") > F.col("_db_created") + F.expr("INTERVAL 1 DAY")
@@ -453,85 +471,93 @@ def o42(ctx):
 
 @check("O43", E, "schema_object_matrix", ["users", "objects"], min_version=11)
 def o43(ctx):
-    users = ctx.cur("users").filter(_user_owned("username")).select(*K, F.col("username").alias("owner"))
-    o = ctx.cur("objects")
+    users = _containers(ctx, "users").filter(_user_owned("username")).select(*C, F.col("username").alias("owner"))
+    o = _containers(ctx, "objects")
     t = F.col("object_type")
-    return shapes.object_matrix(users, [*K, "owner"], {
+    return shapes.object_matrix(users, [*C, "owner"], {
         "n_tables": (o, t == "TABLE"), "n_indexes": (o, t == "INDEX"),
         "n_temp_tables": (o, (t == "TABLE") & F.col("object_name").startswith("SYS_TEMP")),
         "n_views": (o, t == "VIEW"), "n_procedures": (o, t.isin("PROCEDURE", "FUNCTION", "PACKAGE")),
         "n_triggers": (o, t == "TRIGGER"), "n_invalid": (o, F.col("status") == "INVALID")})
 
 
-@check("O44", E, "stale_statistics", ["tab_statistics"], key=("owner", "table_name"), metric="num_rows",
+@check("O44", E, "stale_statistics", ["tab_statistics"], key=("con_id", "owner", "table_name"), metric="num_rows",
        min_version=12)
 def o44(ctx):
-    s = ctx.cur("tab_statistics").filter((F.col("stale_stats") == "YES") & (F.col("num_rows") > 10000))
-    return ranking.topn(s, [F.col("num_rows").desc(), F.col("owner").asc(), F.col("table_name").asc()], 20, K) \
+    s = _containers(ctx, "tab_statistics").filter((F.col("stale_stats") == "YES") & (F.col("num_rows") > 10000))
+    return ranking.topn(s, [F.col("num_rows").desc(), F.col("con_id").asc(), F.col("owner").asc(), F.col("table_name").asc()], 20, K) \
         .withColumn("is_abnormal", F.lit(True))
 
 
-@check("O45", E, "profiles", ["profiles", "users"], key=("profile", "resource_name"))
+@check("O45", E, "profiles", ["profiles", "users"], key=("con_id", "profile", "resource_name"))
 def o45(ctx):
-    used = ctx.cur("users").filter(F.col("account_status") == "OPEN").select(*K, "profile").distinct()
-    p = relations.member_of(ctx.cur("profiles"), used, [*K, "profile"])
+    used = _containers(ctx, "users").filter(F.col("account_status") == "OPEN").select(*C, "profile").distinct()
+    p = relations.member_of(_containers(ctx, "profiles"), used, [*C, "profile"])
     bad = ~F.col("resource_name").isin(PROFILE_EXEMPT) & ~F.col("limit_value").isin(PROFILE_OK_LIMITS)
     return p.withColumn("is_abnormal", F.coalesce(bad, F.lit(False)))
 
 
 @check("O46", E, "directories", ["directories"])
 def o46(ctx):
-    return ctx.cur("directories").select(*K, "owner", "directory_name", "directory_path")
+    return _containers(ctx, "directories").select(*C, "owner", "directory_name", "directory_path")
 
 
-@check("O47", E, "jobs", ["jobs"], key=("job",))
+@check("O47", E, "jobs", ["jobs"], key=("con_id", "job",))
 def o47(ctx):
-    return verdict.status_decode(ctx.cur("jobs"), "broken", [("Y", "BROKEN"), ("N", "OK")], bad=["Y"])
+    return verdict.status_decode(_containers(ctx, "jobs"), "broken", [("Y", "BROKEN"), ("N", "OK")], bad=["Y"])
 
 
 @check("O48", E, "scheduler_jobs", ["scheduler_jobs", "scheduler_running"])
 def o48(ctx):
-    run = ctx.cur("scheduler_running").select(*K, "owner", "job_name", "session_id")
-    return ctx.cur("scheduler_jobs").join(run, [*K, "owner", "job_name"], "left")
+    run = _containers(ctx, "scheduler_running").select(*C, "owner", "job_name", "session_id")
+    return _containers(ctx, "scheduler_jobs").join(run, [*C, "owner", "job_name"], "left")
+
+
+# Maintenance jobs whose failures are not listed (LIKE pattern).
+JOB_NOT_LIKE = "ORA$AT_OS_OPT_SY%"
 
 
-@check("O49", E, "job_errors", ["job_log"], key=("owner", "job_name", "log_id"))
+@check("O49", E, "job_errors", ["job_log"], key=("con_id", "owner", "job_name", "log_id"))
 def o49(ctx):
-    r = ranking.recent_failures(ctx.cur("job_log"), [*K, "owner", "job_name"], [F.col("log_ts").desc()], 3,
+    log = _containers(ctx, "job_log").filter(~F.coalesce(F.col("job_name").like(JOB_NOT_LIKE), F.lit(False)))
+    r = ranking.recent_failures(log, [*C, "owner", "job_name"], [F.col("log_ts").desc(), F.col("log_id").desc()], 3,
                                 failed=F.col("status") != "SUCCEEDED", since=_since(ctx, 7), ts="log_ts")
+    if ctx.has("job_run_details"):
+        details = ctx.cur("job_run_details").select(*K, "log_id", "actual_start_ts", "run_duration_s", "error", "additional_info")
+        r = r.drop("error").join(details, [*K, "log_id"], "left")
     return r.withColumn("is_abnormal", F.lit(True))
 
 
 @check("O50", E, "db_links", ["db_links"])
 def o50(ctx):
-    return ctx.cur("db_links").select(*K, "owner", "db_link", "username", "host", "created_ts")
+    return _containers(ctx, "db_links").select(*C, "owner", "db_link", "username", "host", "created_ts")
 
 
-@check("O51", E, "autotask_clients", ["autotask_clients"], key=("client_name",))
+@check("O51", E, "autotask_clients", ["autotask_clients"], key=("con_id", "client_name"))
 def o51(ctx):
     version = ctx.params.get("version")
     if version is not None and version <= 10 and "scheduler_jobs" in ctx.views:
         # 10g: the same two maintenance tasks are scheduler jobs, judged by their enabled state
         rules = [("GATHER_STATS_JOB", "ne", "TRUE", None, None, "enable optimizer statistics"),
                  ("AUTO_SPACE_ADVISOR_JOB", "eq", "TRUE", None, None, "disable the space advisor")]
-        jobs = ctx.cur("scheduler_jobs").select(*K, F.col("job_name").alias("client_name"),
+        jobs = _containers(ctx, "scheduler_jobs").select(*C, F.col("job_name").alias("client_name"),
                                                 F.col("enabled").alias("status"))
-        return verdict.config_audit(jobs, rules, keys=K, name_col="client_name", value_col="status")
+        return verdict.config_audit(jobs, rules, keys=C, name_col="client_name", value_col="status")
     rules = [("auto optimizer stats collection", "ne", "ENABLED", None, None, "enable optimizer statistics"),
              ("auto space advisor", "eq", "ENABLED", None, None, "disable the space advisor"),
              ("sql tuning advisor", "eq", "ENABLED", None, None, "disable the SQL tuning advisor")]
-    return verdict.config_audit(ctx.cur("autotask_clients"), rules, keys=K, name_col="client_name",
+    return verdict.config_audit(_containers(ctx, "autotask_clients"), rules, keys=C, name_col="client_name",
                                 value_col="status")
 
 
 @check("O52", E, "autotask_windows", ["autotask_windows"])
 def o52(ctx):
-    return ctx.cur("autotask_windows").filter(F.col("optimizer_stats") == "ENABLED")
+    return _containers(ctx, "autotask_windows").filter(F.col("optimizer_stats") == "ENABLED")
 
 
 @check("O53", E, "autotask_history", ["autotask_history"], min_version=11)
 def o53(ctx):
-    return ctx.cur("autotask_history").filter(F.col("window_start_ts") >= _since(ctx, 7))
+    return _containers(ctx, "autotask_history").filter(F.col("window_start_ts") >= _since(ctx, 7))
 
 
 @check("O54", E, "standby_parameters", ["settings"], key=("name",))
@@ -572,9 +598,11 @@ def o57(ctx):
                                  good=["COMPLETED", "RUNNING"], default="FAILED")
 
 
-@check("O58", E, "orphaned_export_jobs", ["datapump_jobs"], key=("owner_name", "job_name"))
+@check("O58", E, "orphaned_export_jobs", ["datapump_jobs"], key=("con_id", "owner_name", "job_name"))
 def o58(ctx):
-    return verdict.status_decode(ctx.cur("datapump_jobs"), "state", [("NOT RUNNING", "NOT RUNNING")],
+    # a job whose table was dropped bears the table's name in the recycle bin
+    jobs = _containers(ctx, "datapump_jobs").filter(~F.coalesce(F.col("job_name").startswith("BIN$"), F.lit(False)))
+    return verdict.status_decode(jobs, "state", [("NOT RUNNING", "NOT RUNNING")],
                                  good=["NOT RUNNING"], default="ORPHANED")
 
 
@@ -728,10 +756,11 @@ SQL_NOT_LIKE = ["%td%", "call%", "begin%", "BEGIN%", "declare%", "DECLARE%"]
 MODULE_NOT_LIKE = "DBMS_SCHEDULER%"
 
 
-def _top_sql(ctx):
+def _top_sql(ctx, tested=True):
+    """The heaviest statements; ``tested``: of those with a text that is an application's, where texts were collected."""
     p = [*K, "instance_number"]
     dbt = _delta(ctx, "time_model", ["DB time"]).select(*p, F.col("delta").alias("_dbt"))
-    texts = ctx.cur("sqltext") if ctx.has("sqltext") else None
+    texts = ctx.cur("sqltext") if tested and ctx.has("sqltext") else None
     stats = ctx.cur("sqlstat").join(_pair(ctx), p)
     if texts is not None:
         stats = stats.filter(F.col("module").isNull() | ~F.col("module").like(MODULE_NOT_LIKE))
@@ -755,7 +784,7 @@ def o70(ctx):
 
 @check("O71", E, "top_sql_text", ["snapshots", "sqlstat", "time_model", "sqltext"])
 def o71(ctx):
-    t = _top_sql(ctx).select(*K, "sql_id", "rn")
+    t = _top_sql(ctx, tested=False).select(*K, "sql_id", "rn")
     txt = ctx.cur("sqltext").select(*K, "sql_id", F.substring("sql_text", 1, 1000).alias("sql_text"))
     return t.join(txt, [*K, "sql_id"]).filter(~F.lower("sql_text").like("%dbms_%")).distinct()
 

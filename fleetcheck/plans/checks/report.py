@@ -52,7 +52,8 @@ def priorities(spark):
 def health_summary_of(findings, spark, ran=None):
     """R01: per instance and check: normal/abnormal counts, priority (default
     medium), advice and the worst objects only when abnormal."""
-    return fnd.health_summary(findings, priorities(spark), by=["instance_id", "check_id"], ran=ran, worst=fnd.WORST)
+    return fnd.health_summary(findings, priorities(spark), by=["instance_id", "check_id"], ran=ran,
+                              worst=fnd.WORST if "object_key" in findings.columns else None)
 
 
 def priority_rollup(summary):

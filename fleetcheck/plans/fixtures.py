@@ -797,4 +797,14 @@ def q_time_share_all(spark, d):
     return perf.time_share(g, [], "event_type", "total_value", exclude=["view"], digits=3).withColumn("total_value", F.col("total_value").cast(DBL))
 
 
+def q_nested_rollup(spark, d):
+    """Customers by nation, segment and sign of their balance: a line for each nation, segment of a nation, and sign in it."""
+    c = Tables(spark, d).customer.select("c_nationkey", "c_mktsegment", (F.col("c_acctbal") < 0).alias("overdrawn"),
+                                         F.col("c_acctbal").cast("decimal(18,2)").alias("balance"), "c_custkey")
+    out = shapes.nested_rollup(c, ["c_nationkey", "c_mktsegment", "overdrawn"],
+                               {"n_customers": F.count("*"), "balance": F.sum("balance"), "first_key": F.min("c_custkey")}, merge={"first_key": "min"})
+    return out.select("c_nationkey", "c_mktsegment", F.col("overdrawn").cast("string").alias("overdrawn"), F.col("level").cast(BIG).alias("level"),
+                      "n_customers", F.col("balance").cast(DBL).alias("balance"), "first_key")
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

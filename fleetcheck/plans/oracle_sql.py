@@ -647,3 +647,10 @@ WITH g AS (SELECT event_type, sum(CAST(value AS DECIMAL(18,2))) AS v FROM events
 SELECT event_type, CAST(v AS DOUBLE) AS total_value,
        CASE WHEN event_type <> 'view' THEN {R("100.0::DOUBLE * CAST(v AS DOUBLE) / CAST((SELECT sum(v) FROM g WHERE event_type <> 'view') AS DOUBLE)", 3)} END AS pct
 FROM g"""
+
+SQL["nested_rollup"] = """
+SELECT c_nationkey, c_mktsegment, CAST(c_acctbal < 0 AS VARCHAR) AS overdrawn,
+       CAST(3 - grouping(c_mktsegment) - grouping(c_acctbal < 0) AS BIGINT) AS level, count(*) AS n_customers,
+       CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance, min(c_custkey) AS first_key
+FROM customer
+GROUP BY GROUPING SETS ((c_nationkey, c_mktsegment, c_acctbal < 0), (c_nationkey, c_mktsegment), (c_nationkey))"""

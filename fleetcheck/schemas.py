@@ -72,6 +72,7 @@ VIEWS: dict[str, dict[str, str]] = {
                           "next_run_ts timestamp",
         "scheduler_running": "owner string, job_name string, session_id bigint",
         "job_log": "owner string, log_id bigint, job_name string, status string, log_ts timestamp, error bigint",
+        "job_run_details": "log_id bigint, actual_start_ts timestamp, run_duration_s bigint, error bigint, additional_info string",
         "autotask_clients": "client_name string, status string",
         "autotask_windows": "window_name string, window_next_time timestamp, window_active string, "
                             "optimizer_stats string, segment_advisor string, sql_tune_advisor string",
@@ -226,6 +227,13 @@ VIEWS: dict[str, dict[str, str]] = {
 }
 
 
+# Views of a container database: their rows carry the container beside the instance (NULL before there were any).
+for _v in ("registry", "patches", "tablespaces", "data_files", "temp_files", "tablespace_usage_hist", "sequences", "segments", "partitions",
+           "users", "default_pwd_users", "role_privs", "profiles", "tab_statistics", "directories", "db_links", "jobs", "scheduler_jobs",
+           "scheduler_running", "job_log", "autotask_clients", "autotask_windows", "autotask_history", "datapump_jobs"):
+    VIEWS["oracle"][_v] += ", con_id int"
+
+
 def schema(engine: str, view: str) -> StructType:
     return StructType.fromDDL(f"{ENVELOPE}, {VIEWS[engine][view]}")
 
