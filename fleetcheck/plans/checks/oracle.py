@@ -66,6 +66,8 @@ PROFILE_EXEMPT = ["FAILED_LOGIN_ATTEMPTS", "PASSWORD_GRACE_TIME", "PASSWORD_LOCK
 LOAD_STATS = ["redo size", "session logical reads", "db block changes", "physical reads", "physical writes",
               "user calls", "parse count (total)", "parse count (hard)", "sorts (memory)", "sorts (disk)",
               "logons cumulative", "execute count", "user commits", "user rollbacks", "bytes sent via SQL*Net to client"]
+# Lines of the load profile that are sums of two statistics.
+LOAD_SUMS = {"sorts": ["sorts (memory)", "sorts (disk)"], "transactions": ["user commits", "user rollbacks"]}
 LOAD_RED = {"parse count (hard)": 50.0, "logons cumulative": 50.0}
 
 
@@ -676,18 +678,35 @@ def _pair_seconds_build(ctx):
 
 @check("O65", E, "snapshot_info", ["snapshots", "time_model", "osstat"], metric="db_time_pct", threshold=80)
 def o65(ctx):
+    p = [*K, "instance_number"]
     d = _delta(ctx, "time_model", ["DB time"])
     cpus = verdict.status_wide(ctx.cur("osstat"), K, {"cpus": "NUM_CPUS"}, name_col="stat_name")
-    out = d.join(_pair_seconds(ctx), [*K, "instance_number"]).join(cpus, K, "left")
+    out = d.join(_pair_seconds(ctx), p).join(cpus, K, "left")
     out = out.withColumn("db_time_s", F.col("delta") / 1e6).withColumn(
         "db_time_pct", fround(F.lit(100.0) * safe_div(F.col("db_time_s"), F.col("cpus") * F.col("elapsed_s")), 2))
+    if ctx.has("sysstat"):
+        # sessions, and cursors per session, as they stood at both ends: one pass over the two snapshots
+        now = ctx.cur("sysstat").filter(F.col("stat_name").isin("logons current", "opened cursors current")).join(_pair(ctx), p)
+        at = lambda snap, stat: F.max(F.when((F.col("snap_id") == F.col(snap)) & (F.col("stat_name") == stat), F.col("value"))).cast("double")
+        ends = now.groupBy(*p).agg(*[at(f"{end}_snap", stat).alias(f"{end}_{name}") for end in ("begin", "end")
+                                     for name, stat in (("sessions", "logons current"), ("cursors", "opened cursors current"))])
+        ends = ends.select(*p, *[c for end in ("begin", "end") for c in (
+            F.col(f"{end}_sessions"), fround(safe_div(f"{end}_cursors", f"{end}_sessions"), 1).alias(f"{end}_cursors_per_session"))])
+        out = out.join(ends, p, "left")
     return verdict.threshold_flag(out, "db_time_pct", 80, ">")
 
 
 @check("O66", E, "load_profile", ["snapshots", "sysstat"], key=("instance_number", "stat_name"), metric="per_sec")
 def o66(ctx):
-    d = _delta(ctx, "sysstat", LOAD_STATS).join(_pair_seconds(ctx), [*K, "instance_number"])
-    r = perf.rate_per_second(d, "delta", F.col("elapsed_s").cast("double"), 2)
+    p = [*K, "instance_number"]
+    d = _delta(ctx, "sysstat", LOAD_STATS).select(*p, "stat_name", F.col("delta").cast("double").alias("delta"))
+    both = d.withColumn("stat_name", F.coalesce(*[F.when(F.col("stat_name").isin(parts), F.lit(name)) for name, parts in LOAD_SUMS.items()])).filter(F.col("stat_name").isNotNull())
+    both = both.groupBy(*p, "stat_name").agg(F.sum("delta").alias("delta"), F.count("delta").alias("_n")).filter(F.col("_n") == 2)  # a sum needs both
+    d = d.unionByName(both.drop("_n"))
+    if ctx.has("time_model"):  # microseconds
+        seconds = _delta(ctx, "time_model", ["DB time", "DB CPU"])
+        d = d.unionByName(seconds.select(*p, F.concat("stat_name", F.lit(" (s)")).alias("stat_name"), (F.col("delta") / 1e6).cast("double").alias("delta")))
+    r = perf.rate_per_second(d.join(_pair_seconds(ctx), p), "delta", F.col("elapsed_s").cast("double"), 2)
     red = None
     for name, lim in LOAD_RED.items():
         c = (F.col("stat_name") == name) & (F.col("per_sec") > lim)
@@ -695,22 +714,47 @@ def o66(ctx):
     return r.withColumn("is_abnormal", F.coalesce(red, F.lit(False)))
 
 
+def _counter_sums(ctx, view, key, counters):
+    """Sums over a view's keys of what each counter grew by between the two snapshots: a key needs both ends, as a statistic does."""
+    p = [*K, "instance_number"]
+    long = ctx.cur(view).select(*p, "snap_id", F.col(key).alias("_key"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("_counter"), F.col(c).alias("value")) for c in counters])))
+    d = perf.snapshot_delta(long, _pair(ctx), p, "snap_id", ["_key", "_counter"], "value")
+    return d.groupBy(*p).agg(*[F.sum(F.when(F.col("_counter") == c, F.col("delta"))).cast("double").alias(c) for c in counters])
+
+
 @check("O67", E, "instance_efficiency", ["snapshots", "sysstat"], key=("instance_number",), priority="high")
 def o67(ctx):
     names = {"pr": "physical reads", "prd": "physical reads direct", "prdl": "physical reads direct (lob)",
              "lr": "session logical reads", "pc": "parse count (total)", "ph": "parse count (hard)",
              "ex": "execute count", "sm": "sorts (memory)", "sd": "sorts (disk)", "scp": "session cursor cache hits",
-             "rsr": "redo synch writes", "rle": "redo log space requests", "re": "redo entries"}
+             "rsr": "redo synch writes", "rle": "redo log space requests", "re": "redo entries",
+             "ptc": "parse time cpu", "pte": "parse time elapsed"}
+    p = [*K, "instance_number"]
     d = _delta(ctx, "sysstat", list(names.values()))
-    w = shapes.conditional_pivot(d, [*K, "instance_number"], "stat_name", {k: v for k, v in names.items()}, "max",
+    w = shapes.conditional_pivot(d, p, "stat_name", {k: v for k, v in names.items()}, "max",
                                  "delta", cast="double")
+    for view, key, counters in (("waitstat", "class", ["wait_count"]), ("librarycache", "namespace", ["pins", "pinhits"]), ("latch", "latch_name", ["gets", "misses"])):
+        if ctx.has(view):
+            w = w.join(_counter_sums(ctx, view, key, counters), p, "left")
+        else:
+            w = w.withColumns({c: F.lit(None).cast("double") for c in counters})
+    cpu = F.lit(None).cast("double")
+    if ctx.has("time_model"):  # the statistic counts hundredths of a second, the model microseconds
+        w = w.join(_delta(ctx, "time_model", ["DB CPU"]).select(*p, (F.col("delta") / 10000).cast("double").alias("_cpu")), p, "left")
+        cpu = F.col("_cpu")
     return perf.ratio_kpi(w, {
+        "buffer_nowait_pct": perf.hit_ratio("wait_count", "lr"),
+        "redo_nowait_pct": perf.hit_ratio("rle", "re"),
         "buffer_hit_pct": perf.hit_ratio(F.col("pr") - F.coalesce("prd", F.lit(0.0)) - F.coalesce("prdl", F.lit(0.0)), "lr"),
-        "execute_to_parse_pct": perf.hit_ratio("pc", "ex"),
-        "soft_parse_pct": perf.hit_ratio("ph", "pc"),
         "in_memory_sort_pct": perf.hit_ratio("sd", F.col("sm") + F.col("sd")),
-        "redo_nowait_pct": perf.hit_ratio("rle", "re"),
-    }, red_below=90.0)
+        "library_hit_pct": fround(F.lit(100.0) * safe_div("pinhits", "pins"), 2),
+        "soft_parse_pct": perf.hit_ratio("ph", "pc"),
+        "execute_to_parse_pct": perf.hit_ratio("pc", "ex"),
+        "latch_hit_pct": perf.hit_ratio("misses", "gets"),
+        "parse_cpu_pct": fround(F.lit(100.0) * safe_div("ptc", "pte"), 2),
+        "non_parse_cpu_pct": perf.hit_ratio("ptc", cpu),
+    }, red_below=90.0).drop("_cpu")
 
 
 @check("O68", E, "top_wait_events", ["snapshots", "system_event", "time_model"], key=("event_name",),

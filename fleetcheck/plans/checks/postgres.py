@@ -98,7 +98,8 @@ def p09(ctx):
 
 @check("P10", E, "vacuum_status", ["tables"], key=("schemaname", "relname"), metric="n_dead_tup")
 def p10(ctx):
-    t = ctx.cur("tables").withColumn("last_vac", F.greatest("last_vacuum_ts", "last_autovacuum_ts"))
+    t = ctx.cur("tables").filter(F.col("n_dead_tup") > 0)
+    t = t.withColumn("last_vac", F.greatest("last_vacuum_ts", "last_autovacuum_ts"))
     t = time.age_flag(t, "last_vac", ctx.as_of, 7)
     t = t.withColumn("is_abnormal", (F.col("n_dead_tup") > 10000) & F.col("is_abnormal"))
     return ranking.topn(t, [F.col("n_dead_tup").desc(), F.col("schemaname").asc(), F.col("relname").asc()], 50, K)
@@ -174,8 +175,11 @@ def p18(ctx):
 
 @check("P19", E, "cache_hit_ratio", ["database_stats"], key=("datname",), metric="hit_pct", threshold=95)
 def p19(ctx):
-    d = ctx.cur("database_stats").withColumn("total", F.col("blks_read") + F.col("blks_hit"))
-    return perf.ratio_kpi(d, {"hit_pct": perf.hit_ratio("blks_read", "total")}, red_below=95)
+    # templates are no one's databases, nor are the statistics of shared objects; a database that read nothing misses nothing
+    d = ctx.cur("database_stats").filter(~F.col("datname").like("template%"))
+    d = d.withColumn("total", F.col("blks_read") + F.col("blks_hit"))
+    hit = F.when(F.col("total") == 0, F.lit(100.0)).otherwise(perf.hit_ratio("blks_read", "total"))
+    return perf.ratio_kpi(d, {"hit_pct": hit}, red_below=95)
 
 
 @check("P20", E, "bgwriter_stats", ["bgwriter"])

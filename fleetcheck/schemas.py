@@ -96,6 +96,9 @@ VIEWS: dict[str, dict[str, str]] = {
         "system_event": f"instance_number int, snap_id bigint, event_name string, wait_class string, "
                         f"total_waits {D38}, total_waits_fg {D38}, time_waited_us {D38}, time_waited_us_fg {D38}, "
                         f"total_waits_bg {D38}, time_waited_us_bg {D38}",
+        "waitstat": f"instance_number int, snap_id bigint, class string, wait_count {D38}",
+        "librarycache": f"instance_number int, snap_id bigint, namespace string, pins {D38}, pinhits {D38}",
+        "latch": f"instance_number int, snap_id bigint, latch_name string, gets {D38}, misses {D38}",
         "sqlstat": "instance_number int, snap_id bigint, sql_id string, module string, elapsed_delta bigint, "
                    "cpu_delta bigint, iowait_delta bigint, exec_delta bigint",
         "sqltext": "sql_id string, sql_text string",
@@ -119,7 +122,8 @@ VIEWS: dict[str, dict[str, str]] = {
         "processlist": "id bigint, user string, host string, db string, command string, time bigint, state string, "
                        "info string",
         "innodb_trx": "trx_id string, trx_state string, trx_started timestamp, trx_mysql_thread_id bigint, "
-                      "trx_query string",
+                      "trx_query string, trx_wait_started timestamp",
+        "data_lock_waits": "requesting_trx_id string, blocking_trx_id string",
         "lock_waits": "waiting_thread bigint, waiting_query string, blocking_thread bigint, blocking_query string, "
                       "wait_age_s bigint",
         "replica_status": "channel string, source_host string, io_running string, sql_running string, "

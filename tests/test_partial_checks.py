@@ -1,0 +1,90 @@
+"""Checks that were partial: values of the load profile, the efficiency ratios, snapshot ends, status pages, lock waits."""
+
+import datetime as dt
+from decimal import Decimal
+
+import pytest
+from test_checks_literal import ctx, run, view
+
+E = "oracle"
+at = lambda h, m=0: dt.datetime(2024, 1, 30, h, m)
+I1 = {"instance_id": "a", "instance_number": 1}
+
+
+def snaps(spark, view_name, key, begin, end, value="value"):
+    rows = [{**I1, "snap_id": s, key: k, value: Decimal(v)} for s, d in ((7, begin), (8, end)) for k, v in d.items()]
+    return view(spark, E, view_name, rows)
+
+
+@pytest.fixture(scope="module")
+def perf_views(spark):
+    begin = {"sorts (memory)": 100, "sorts (disk)": 10, "user commits": 50, "user rollbacks": 0, "parse count (hard)": 0, "logons cumulative": 1,
+             "logons current": 40, "opened cursors current": 400, "session logical reads": 1000, "physical reads": 100, "physical reads direct": 10,
+             "physical reads direct (lob)": 0, "redo log space requests": 0, "redo entries": 0, "parse count (total)": 0, "execute count": 0,
+             "parse time cpu": 0, "parse time elapsed": 0}
+    end = {"sorts (memory)": 3700, "sorts (disk)": 10, "user commits": 7250, "user rollbacks": 3600, "parse count (hard)": 183600, "logons cumulative": 3601,
+           "logons current": 50, "opened cursors current": 625, "session logical reads": 11000, "physical reads": 610, "physical reads direct": 20,
+           "physical reads direct (lob)": 0, "redo log space requests": 2, "redo entries": 1000, "parse count (total)": 400000, "execute count": 500000,
+           "parse time cpu": 36000, "parse time elapsed": 40000}
+    model = ({"DB time": 0, "DB CPU": 0}, {"DB time": 7200 * 10 ** 6, "DB CPU": 3600 * 10 ** 6})
+    lib = [{**I1, "snap_id": s, "namespace": n, "pins": Decimal(p), "pinhits": Decimal(h)} for s, n, p, h in
+           ((7, "SQL AREA", 100, 90), (8, "SQL AREA", 1100, 990), (7, "BODY", 0, 0), (8, "BODY", 1000, 980), (8, "NEW", 5000, 0))]
+    latch = [{**I1, "snap_id": s, "latch_name": n, "gets": Decimal(g), "misses": Decimal(m)} for s, n, g, m in ((7, "l", 10, 0), (8, "l", 1010, 5))]
+    waits = [{**I1, "snap_id": s, "class": c, "wait_count": Decimal(n)} for s, c, n in ((7, "data block", 1), (8, "data block", 61), (7, "undo", 0), (8, "undo", 40))]
+    return {"snapshots": view(spark, E, "snapshots", [{**I1, "snap_id": s, "begin_ts": at(s - 1), "end_ts": at(s), "startup_ts": at(0)} for s in (7, 8)]),
+            "sysstat": snaps(spark, "sysstat", "stat_name", begin, end), "time_model": snaps(spark, "time_model", "stat_name", *model),
+            "osstat": view(spark, E, "osstat", [{"instance_id": "a", "inst_id": 1, "stat_name": "NUM_CPUS", "value": Decimal(4)}]),
+            "librarycache": view(spark, E, "librarycache", lib), "latch": view(spark, E, "latch", latch), "waitstat": view(spark, E, "waitstat", waits)}
+
+
+def test_load_profile(spark, perf_views):
+    got = {r["stat_name"]: (r["per_sec"], r["is_abnormal"]) for r in run(ctx(spark, E, perf_views), "O66").collect()}
+    assert got["DB time (s)"] == (2.0, False) and got["DB CPU (s)"] == (1.0, False)
+    assert got["sorts"] == (1.0, False) and got["transactions"] == (3.0, False) and got["user commits"] == (2.0, False)
+    assert got["parse count (hard)"] == (51.0, True) and got["logons cumulative"] == (1.0, False)
+
+
+def test_ten_efficiency_ratios(spark, perf_views):
+    r = run(ctx(spark, E, perf_views), "O67").first()
+    # library: the namespace without a begin counts in neither, as a statistic doesn't; waits and latches sum over their keys
+    assert {k: r[k] for k in r.asDict() if k.endswith("_pct")} == {
+        "buffer_nowait_pct": 99.0, "redo_nowait_pct": 99.8, "buffer_hit_pct": 95.0, "in_memory_sort_pct": 100.0, "library_hit_pct": 94.0,
+        "soft_parse_pct": 54.1, "execute_to_parse_pct": 20.0, "latch_hit_pct": 99.5, "parse_cpu_pct": 90.0, "non_parse_cpu_pct": 90.0}
+    assert r["is_abnormal"] is True
+    few = run(ctx(spark, E, {k: v for k, v in perf_views.items() if k in ("snapshots", "sysstat")}), "O67").first()
+    assert (few["buffer_hit_pct"], few["library_hit_pct"], few["non_parse_cpu_pct"]) == (95.0, None, None)
+
+
+def test_sessions_at_both_ends(spark, perf_views):
+    r = run(ctx(spark, E, perf_views), "O65").first()
+    assert (r["db_time_pct"], r["begin_sessions"], r["end_sessions"], r["begin_cursors_per_session"], r["end_cursors_per_session"]) == (50.0, 40.0, 50.0, 10.0, 12.5)
+
+
+def test_status_page(spark):
+    status = {"Uptime": 100, "Open_files": 7, "Open_tables": 8, "Aborted_clients": 9, "Aborted_connects": 10, "Table_open_cache_hits": 75,
+              "Table_open_cache_misses": 25, "Threads_created": 4}
+    var = lambda d, i: [{"instance_id": i, "name": k, "value": str(v)} for k, v in d.items()]
+    v = {"status": view(spark, "mysql", "status", var(status, "a") + var({"Uptime": 1, "Table_open_cache_hits": 0, "Table_open_cache_misses": 0}, "b"))}
+    got = {r["instance_id"]: r for r in run(ctx(spark, "mysql", v), "M19").collect()}
+    assert [got["a"][c] for c in ("open_files", "open_tables", "aborted_clients", "aborted_connects", "table_cache_hit_pct", "threads_created")] == [7, 8, 9, 10, 75.0, 4]
+    assert got["b"]["table_cache_hit_pct"] is None
+
+
+def test_lock_waits_from_base_views(spark):
+    e = "mysql"
+    trx = [{"instance_id": i, "trx_id": str(t), "trx_mysql_thread_id": t, "trx_query": q, "trx_wait_started": w} for i, t, q, w in (
+        ("a", 1, None, None), ("a", 2, "update " + "x" * 100, dt.datetime(2024, 1, 30, 23, 59, 49)), ("a", 3, "u", dt.datetime(2024, 1, 30, 23, 59, 50)),
+        ("b", 1, "other", None), ("b", 2, "w", None))]
+    waits = [{"instance_id": i, "requesting_trx_id": a, "blocking_trx_id": b} for i, a, b in (("a", "2", "1"), ("a", "2", "1"), ("a", "3", "2"), ("b", "2", "1"), ("a", "9", "1"))]
+    got = run(ctx(spark, e, {"innodb_trx": view(spark, e, "innodb_trx", trx), "data_lock_waits": view(spark, e, "data_lock_waits", waits)}), "M27").collect()
+    assert sorted((r["instance_id"], r["waiting_thread"], r["blocking_thread"], r["blocking_query"][:6], len(r["waiting_query"]), r["wait_age_s"], r["is_abnormal"]) for r in got) == [
+        ("a", 2, 1, "N/A", 80, 11, True), ("a", 3, 2, "update", 1, 10, False), ("b", 2, 1, "other", 1, None, False)]
+
+
+def test_postgres_lists_leave_out_what_is_no_ones(spark):
+    e = "postgres"
+    stats = [{"instance_id": "p", "datname": d, "blks_read": r, "blks_hit": h} for d, r, h in (("app", 6, 94), ("idle", 0, 0), ("template0", 9, 1), (None, 9, 1))]
+    got = {r["datname"]: (r["hit_pct"], r["is_abnormal"]) for r in run(ctx(spark, e, {"database_stats": view(spark, e, "database_stats", stats)}), "P19").collect()}
+    assert got == {"app": (94.0, True), "idle": (100.0, False)}
+    tables = [{"instance_id": "p", "schemaname": "s", "relname": f"t{n}", "n_dead_tup": n} for n in (0, 1, 20000)]
+    assert sorted(r["relname"] for r in run(ctx(spark, e, {"tables": view(spark, e, "tables", tables)}), "P10").collect()) == ["t1", "t20000"]
