@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import col, flag, fround, nz, safe_div
+from ..functions import col, flag, fround, lsn_to_number, nz, safe_div
 from .ranking import topn
 
 
@@ -165,3 +165,9 @@ def sequence_gap(df: DataFrame, part: Sequence[str], seq: str, applied: Column,
                                   F.max(col(seq)).alias("current"))
     return (g.withColumn("gap", F.col("current") - F.col("applied"))
              .withColumn("is_abnormal", flag(F.col("gap") > red)))
+
+
+def position_lag(df: DataFrame, sent: str, replayed: str, red: float | None = None, out: str = "lag_bytes") -> DataFrame:
+    """Bytes between two log positions ``hi/lo`` (hex halves); NULL without either, red above ``red``."""
+    lag = df.withColumn(out, lsn_to_number(sent) - lsn_to_number(replayed))
+    return lag if red is None else lag.withColumn("is_abnormal", flag(F.col(out) > red))

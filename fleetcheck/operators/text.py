@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col, first_match, matches
+from ..sources import parse_log_lines
 from .ranking import topn
 
 
@@ -90,6 +91,8 @@ def log_severity(lines: DataFrame, line: str, patterns: Sequence[tuple], keep: S
 
 # Fixed value: a leading timestamp / bracket / number prefix of a log line.
 LEADING_NOISE = r"^[^A-Za-z]+"
+# Fixed value: the characters of a leading timestamp alone.
+LEADING_TIMESTAMP = r"^[0-9T:.+/ -]*"
 
 
 def fingerprint(line: Column, strip: str = LEADING_NOISE) -> Column:
@@ -98,10 +101,16 @@ def fingerprint(line: Column, strip: str = LEADING_NOISE) -> Column:
 
 
 def log_fingerprint(lines: DataFrame, line: str, n: int, part: Sequence[str] = (),
-                    strip: str = LEADING_NOISE, out: str = "message") -> DataFrame:
+                    strip: str = LEADING_NOISE, out: str = "message", as_of: Column | None = None, days: int | None = None) -> DataFrame:
     """Count lines per normalized message and keep the top ``n`` (ties by text).
     Counting is a partial aggregation, so a message repeated a billion times
-    is one row per map task before the shuffle."""
+    is one row per map task before the shuffle. With ``days`` the timestamp that
+    a line begins with is parsed: lines of the ``days`` before ``as_of`` count, as
+    do those without one, which continue others."""
+    if days is not None:
+        lines = parse_log_lines(lines, line)
+        ts = F.col("ts").cast("timestamp")
+        lines = lines.filter(ts.isNull() | ((ts >= as_of - F.expr(f"INTERVAL {int(days)} DAYS")) & (ts <= as_of)))
     g = (lines.select(*part, fingerprint(col(line), strip).alias(out))
               .filter(F.col(out) != "")
               .groupBy(*part, out).agg(F.count("*").alias("n_lines")))

@@ -148,7 +148,7 @@ def h10(ctx):
 def h11(ctx):
     r = _recent_log(ctx, 7)
     errs = r.filter(F.col("line").contains("[ERROR]"))
-    top = text.log_fingerprint(errs, "line", 10, part=K, strip=r"^[0-9T:.+/ -]*")
+    top = text.log_fingerprint(errs, "line", 10, part=K, strip=text.LEADING_TIMESTAMP)
     tot = text.log_totals(r, "line", [("errors", r"\[ERROR\]"), ("warnings", r"\[Warning\]")], part=K) \
         .withColumnRenamed("n_lines", "total_lines")
     return top.join(tot, K, "left").withColumn("is_abnormal", F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ...functions import format_bytes, lsn_to_number, pct, seconds_between
+from ...functions import format_bytes, pct, seconds_between
 from ...operators import capacity as cap
 from ...operators import perf, ranking, relations, shapes, time, verdict
 from .base import K, check
@@ -108,7 +108,7 @@ def p10(ctx):
 @check("P11", E, "replication", ["replication"], key=("client_addr", "application_name"), metric="lag_bytes",
        threshold=10 * MB)
 def p11(ctx):
-    r = ctx.cur("replication").withColumn("lag_bytes", (lsn_to_number("sent_lsn") - lsn_to_number("replay_lsn")))
+    r = perf.position_lag(ctx.cur("replication"), "sent_lsn", "replay_lsn")
     return verdict.threshold_flag(r.withColumn("lag_bytes", F.col("lag_bytes").cast("double")), "lag_bytes", 10 * MB, ">")
 
 

@@ -807,4 +807,38 @@ def q_nested_rollup(spark, d):
                       "n_customers", F.col("balance").cast(DBL).alias("balance"), "first_key")
 
 
+def q_log_fingerprint_recent(spark, d):
+    """Events as lines of a log with timestamps: the messages of seven days; those of users in ten have no time of their own."""
+    ev = Tables(spark, d).events
+    body = F.concat(F.lit("[ERROR] "), "event_type", F.lit(" by user "), (F.col("user_id") % 7).cast("string"))
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    line = F.when(F.col("user_id") % 10 == 0, F.concat(F.lit("  "), body)).otherwise(F.concat(stamp, F.lit("+00:00 "), body))
+    lines = ev.select("event_type", line.alias("line"))
+    out = text.log_fingerprint(lines, "line", 4, ["event_type"], strip=text.LEADING_TIMESTAMP, as_of=as_of_lit("2024-01-20 00:00:00").cast("timestamp"), days=7)
+    return out.withColumn("rn", F.col("rn").cast(BIG))
+
+
+def q_sequence_gap_current(spark, d):
+    """Turns that an assistant has answered against the last turn of each conversation, from two frames."""
+    c = Tables(spark, d).conversations
+    return perf.sequence_gap(c, ["conv_id"], "turn", F.col("role") == "assistant", 1, current=c.filter(F.col("role") != "system"))
+
+
+def q_position_lag(spark, d):
+    """Orders and lines of a customer as positions of a log, both as hex halves; what is sent and not replayed."""
+    t = Tables(spark, d)
+    o = t.orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("sent"), F.max(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("done"))
+    lsn = lambda x: F.concat(F.hex(F.floor(x / 64)), F.lit("/"), F.hex((x % 64) * 67108864))
+    out = perf.position_lag(o.select("o_custkey", lsn(F.col("sent")).alias("sent_lsn"), lsn(F.col("done")).alias("replay_lsn")), "sent_lsn", "replay_lsn", 10 ** 10)
+    return out.withColumn("lag_bytes", F.col("lag_bytes").cast(DBL))
+
+
+def q_html_span_extract(spark, d):
+    """Each supplier framed as the scalar facts of a report."""
+    s = Tables(spark, d).supplier
+    html = F.concat(F.lit('<h1>r</h1><span id="name">'), "s_name", F.lit('</span><span id="nation" class="x">'), F.col("s_nationkey").cast("string"),
+                    F.lit('</span> <span>none</span><span id="empty"></span>'))
+    return text.html_span_extract(s.select("s_suppkey", html.alias("html")), "html", ["s_suppkey"])
+
+
 QUERIES = {name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)}

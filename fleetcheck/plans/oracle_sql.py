@@ -654,3 +654,28 @@ SELECT c_nationkey, c_mktsegment, CAST(c_acctbal < 0 AS VARCHAR) AS overdrawn,
        CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance, min(c_custkey) AS first_key
 FROM customer
 GROUP BY GROUPING SETS ((c_nationkey, c_mktsegment, c_acctbal < 0), (c_nationkey, c_mktsegment), (c_nationkey))"""
+
+SQL["log_fingerprint_recent"] = """
+WITH l AS (SELECT event_type, '[ERROR] ' || event_type || ' by user ' || (user_id % 7) AS message FROM events
+           WHERE user_id % 10 = 0 OR (date_trunc('second', ts) >= TIMESTAMP '2024-01-13' AND date_trunc('second', ts) <= TIMESTAMP '2024-01-20')),
+g AS (SELECT event_type, message, count(*) AS n_lines FROM l GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY n_lines DESC, message) AS rn FROM g)
+SELECT * FROM k WHERE rn <= 4"""
+
+SQL["sequence_gap_current"] = """
+SELECT conv_id, max(turn) FILTER (WHERE role = 'assistant') AS applied, max(turn) FILTER (WHERE role <> 'system') AS current,
+       max(turn) FILTER (WHERE role <> 'system') - max(turn) FILTER (WHERE role = 'assistant') AS gap,
+       max(turn) FILTER (WHERE role <> 'system') - max(turn) FILTER (WHERE role = 'assistant') > 1 AS is_abnormal
+FROM conversations GROUP BY conv_id HAVING count(*) FILTER (WHERE role = 'assistant') > 0"""
+
+SQL["position_lag"] = """
+WITH o AS (SELECT o_custkey, max(o_orderkey) AS sent, max(o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1),
+p AS (SELECT *, CAST(sent // 64 AS HUGEINT) * 4294967296 + (sent % 64) * 67108864 AS a, CAST(done // 64 AS HUGEINT) * 4294967296 + (done % 64) * 67108864 AS b FROM o)
+SELECT o_custkey, upper(hex(sent // 64)) || '/' || upper(hex((sent % 64) * 67108864)) AS sent_lsn,
+       upper(hex(done // 64)) || '/' || upper(hex((done % 64) * 67108864)) AS replay_lsn, CAST(a - b AS DOUBLE) AS lag_bytes,
+       COALESCE(a - b > 10000000000, false) AS is_abnormal FROM p"""
+
+SQL["html_span_extract"] = """
+SELECT s_suppkey, 'name' AS span_id, s_name AS value FROM supplier
+UNION ALL SELECT s_suppkey, 'nation', CAST(s_nationkey AS VARCHAR) FROM supplier
+UNION ALL SELECT s_suppkey, 'empty', '' FROM supplier"""

@@ -138,3 +138,11 @@ def test_summary_carries_the_worst_and_the_checks_that_ran(spark):
            fnd.health_summary(f, pr, ran=ran, worst=2).collect()}
     assert got == {"A": (8, 12, "abnormal", ["o19", "o18"]), "B": (1, 0, "normal", []), "C": (0, 0, "normal", []), "D": (0, 0, "error", [])}
 
+
+
+def test_fingerprints_of_recent_lines(spark):
+    lines = spark.createDataFrame([(x,) for x in ("2024-01-29T01:00:00.5+00:00 [ERROR] disk", "2024-01-29 02:00:00 [ERROR] disk", "2024-01-01 02:00:00 [ERROR] disk",
+                                                  "  [ERROR] disk", "2024-01-30 12:00:01 [ERROR] later", None, "2024-01-30 12:00:00")], "line string")
+    got = text.log_fingerprint(lines, "line", 5, strip=text.LEADING_TIMESTAMP, as_of=F.lit("2024-01-30 12:00:00").cast("timestamp"), days=7)
+    # what is left of a zone belongs to the message, as the strip takes only the characters of a timestamp
+    assert sorted((r["message"], r["n_lines"]) for r in got.collect()) == [("[ERROR] disk", 3)]
