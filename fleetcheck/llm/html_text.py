@@ -15,6 +15,7 @@ goes; a very long page is read whole; ids and urls may be null or repeat, each r
 from __future__ import annotations
 
 import re
+from html import unescape
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -70,27 +71,53 @@ class _Block:
 
 
 class _Reader(HTMLParser):
-    """Cuts a page into blocks. Open elements are a stack; an end tag closes back to its start tag, if there is one."""
+    """Cuts a page into blocks. Open elements are a stack; an end tag closes back to its start tag, if there is one.
+
+    Where each tag is open is kept beside the stack, so that no step looks through it, however deep it is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[_Block] = []
         self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, bad, article, skipped
-        self.links = 0
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.block_tags: list[int] = []  # places of block-level elements
+        self.links = self.lists = 0
         self.block = None
 
+    def parse_marked_section(self, i, report=1):
+        """``<![`` is a comment up to the next ``>`` (``]]>`` for character data), whatever its keyword."""
+        end = "]]>" if self.rawdata.startswith("<![CDATA[", i) else ">"
+        j = self.rawdata.find(end, i + 3)
+        return j + len(end) if j >= 0 else -1
+
     def _close(self):
         if self.block is not None and self.block.parts:
             self.blocks.append(self.block)
         self.block = None
 
+    def _push(self, tag, bad, article, skipped):
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.block_tags.append(len(self.stack))
+        self.lists += tag in LISTS
+        self.links += tag == "a"
+        self.stack.append((tag, bad, article, skipped))
+
+    def _pop(self, i):
+        while len(self.stack) > i:
+            tag = self.stack.pop()[0]
+            self.open[tag].pop()
+            if tag in BLOCKS:
+                self.block_tags.pop()
+            self.lists -= tag in LISTS
+            self.links -= tag == "a"
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self._close()
-            if tag not in ("head", "title"):  # a head that was left open ends at the first block
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] == "head":
-                        self._pop(i)
+            if tag not in ("head", "title") and self.open.get("head"):  # a head that was left open ends at the first block
+                self._pop(self.open["head"][0])
         if tag in ("br", "hr") and self.block is not None:
             self.block.parts.append(" ")
         if tag in VOID:
@@ -108,9 +135,7 @@ class _Reader(HTMLParser):
                 article = True
             if tag == "article" and self._in_comments(names):
                 bad = True
-        self.stack.append((tag, bad, article, skipped))
-        if tag == "a":
-            self.links += 1
+        self._push(tag, bad, article, skipped)
 
     @staticmethod
     def _in_comments(names: str) -> bool:
@@ -118,17 +143,8 @@ class _Reader(HTMLParser):
 
     def _implied_end(self, tag):
         """A paragraph ends where the next begins, even if an inline element in it was left open."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name == tag:
-                self._pop(i)
-                return
-            if name in BLOCKS:
-                return
-
-    def _pop(self, i):
-        self.links -= sum(x[0] == "a" for x in self.stack[i:])
-        del self.stack[i:]
+        if self.block_tags and self.stack[self.block_tags[-1]][0] == tag:
+            self._pop(self.block_tags[-1])
 
     def handle_startendtag(self, tag, attrs):
         """A slash makes no element empty in HTML, so <p/> opens a paragraph."""
@@ -137,10 +153,8 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCKS:
             self._close()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop(i)
-                return
+        if self.open.get(tag):
+            self._pop(self.open[tag][-1])
 
     def handle_data(self, data):
         _, bad, article, skipped = self.stack[-1] if self.stack else ("", False, False, False)
@@ -150,7 +164,7 @@ class _Reader(HTMLParser):
             return
         # A block that began with an inline advert or button begins anew at its first good text.
         if self.block is None or self.block.bad and not bad and data.strip():
-            self.block = _Block(bad, article, any(x[0] in HEADINGS for x in self.stack[-3:]), any(x[0] in LISTS for x in self.stack))
+            self.block = _Block(bad, article, any(x[0] in HEADINGS for x in self.stack[-3:]), self.lists > 0)
         if bad and not self.block.bad:  # an inline advert or button in a good block
             return
         self.block.parts.append(data)
@@ -162,8 +176,11 @@ class _Reader(HTMLParser):
 
 def blocks_of(html: str) -> list[_Block]:
     reader = _Reader()
-    reader.feed(html)
+    whole = html.rfind(">") + 1  # no tag ends behind it, so what is there is text, read at once
+    reader.feed(html[:whole])
     reader.close()
+    if whole < len(html) and not reader.cdata_elem:
+        reader.handle_data(unescape(html[whole:]))
     reader._close()
     return [b for b in reader.blocks if b.text]
 
@@ -176,8 +193,8 @@ def _first_pass(b: _Block, marked: bool) -> int:
     if b.article:
         if b.linked > LIST_LIKE * len(text) and (b.listed or not b.plain):
             return -1
-    elif b.linked > MAX_LINKS * len(text):
-        return -1
+    elif b.linked > (LIST_LIKE if b.plain and not b.listed and len(text) >= SHORT else MAX_LINKS) * len(text):
+        return -1  # a paragraph may have more of its words in links than a list or a short line
     if marked and not b.article:
         return -1
     if b.heading or len(text) < SHORT:
