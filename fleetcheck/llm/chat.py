@@ -2,11 +2,13 @@
 
 A turn is written ``<s>[role] text</s>``. Inside roles and texts the characters that begin a mark are escaped:
 ``~`` as ``~0``, ``<`` as ``~1``, ``[`` as ``~2``, ``]`` as ``~3``; undoing them in the order 3, 2, 1, 0 gives the
-text back. Prefix sums of the turns' tokens choose the windows: turn i, before which lie s tokens, is new in window
-``s div span``; a window also repeats the turns that start at most ``history`` tokens before its first token, and
-the system turn (a first turn with that role). span is the budget less the system turn, the history and the largest
-turn, so a window never exceeds the budget unless the system turn and one other do (the history goes before that). The
-loss mask covers the texts of new assistant turns; repeated targets are masked out.
+text back. Windows are spans of whole turns that fill the budget: with prefix sums of the turns' tokens, a window takes
+turns as long as its tokens, those of the system turn (a first turn with that role, repeated in every window) and
+those of its history stay within the budget. Its history are the turns that begin at most ``history`` tokens before its
+first new turn; the prefix sums give it for every turn, before any window is chosen. A turn that does not fit beside its
+history is a window without one, and one that is over the budget alone is a window of its own, over the budget; the
+turns after it fill their windows again. The loss mask covers the texts of new assistant turns; repeated targets are
+masked out.
 
 Tokens are words and single other characters, counted without Python; any expression of text can take their place.
 
@@ -53,30 +55,57 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, toke
     t = t.withColumn("n", tokens(F.col("text")).cast("long"))
     t = t.withColumn("at", F.row_number().over(every.orderBy("turn", "role", "text")))
     t = t.withColumn("system", (F.col("at") == 1) & (F.col("role") == "system"))
-    t = t.withColumn("own", F.when(F.col("system"), 0).otherwise(F.col("n")).cast("long"))
-    t = t.withColumn("before", F.sum("own").over(every.orderBy("at")) - F.col("own"))
-    room = budget - F.coalesce(F.max(F.when(F.col("system"), F.col("n"))).over(every), F.lit(0)) - F.max("own").over(every)
-    t = t.withColumn("room", room)
-    t = t.withColumn("back", F.when(F.col("room") > 2 * history, history).otherwise(0).cast("long"))
-    t = t.withColumn("span", F.greatest(F.col("room") - F.col("back"), F.lit(1)).cast("long"))
-    t = t.withColumn("step", F.expr("before div span"))
-    by_step = every.orderBy("step")
-    t = t.withColumn("home", F.dense_rank().over(by_step)).withColumn("followed", F.count("*").over(by_step.rangeBetween(1, 1)) > 0)
-    t = t.withColumn("last", F.max("home").over(every))
-    again = F.col("followed") & (F.col("back") > 0) & (F.col("before") >= (F.col("step") + 1) * F.col("span") - F.col("back"))
-    homes = F.when(F.col("system"), F.sequence(F.lit(1), F.col("last"))).when(
-        again, F.array(F.col("home"), F.col("home") + 1)).otherwise(F.array("home"))
-    one = t.select("conv_id", "at", "role", "n", "home", escape(F.col("text")).alias("body"),
-                   F.concat(F.lit("<s>["), escape(F.col("role")), F.lit("] ")).alias("head"), F.explode(homes).alias("window"))
-    size = F.length("head") + F.length("body") + 4
-    one = one.withColumn("start", F.sum(size).over(Window.partitionBy("conv_id", "window").orderBy("at")) - size + F.length("head"))
-    one = one.withColumn("new", F.col("window") == F.col("home"))
-    on = F.struct(F.col("start").cast("long").alias("start"), F.length("body").cast("long").alias("length"))
-    rows = one.groupBy("conv_id", "window").agg(
-        F.sort_array(F.collect_list(F.struct("at", F.concat("head", "body", F.lit("</s>")).alias("turn")))).alias("x"),
-        F.sort_array(F.collect_list(F.when(F.col("new") & (F.col("role") == "assistant"), on))).alias("mask"),
-        F.count_if(~F.col("new")).alias("n_repeated"), F.count_if("new").alias("n_new"), F.sum("n").alias("n_tokens"))
-    return rows.select("conv_id", "window", "n_repeated", "n_new", "n_tokens", F.array_join(F.col("x")["turn"], "").alias("formatted"), "mask")
+    head, body = F.concat(F.lit("<s>["), escape(F.col("role")), F.lit("] ")), escape(F.col("text"))
+    t = t.select("conv_id", "at", "role", "system", "n", F.length(head).alias("skip"), F.length(body).alias("chars"),
+                 F.concat(head, body, F.lit("</s>")).alias("piece"))
+    # Prefix sums of tokens and of code points over the turns that aren't the system's.
+    own = lambda c: F.when(F.col("system"), 0).otherwise(F.col(c)).cast("long")
+    t = t.withColumn("own", own("n")).withColumn("size", F.length("piece")).withColumn("size", own("size"))
+    upto = every.orderBy("at")
+    t = t.withColumn("before", F.sum("own").over(upto) - F.col("own")).withColumn("place", F.sum("size").over(upto) - F.col("size"))
+    # The history that a window would have if it began at this turn: where it begins, and its tokens.
+    near = every.orderBy("before").rangeBetween(-history, 0)
+    t = t.withColumn("since", F.min(F.when(~F.col("system"), F.col("at"))).over(near) if history > 0 else F.col("at"))
+    t = t.withColumn("held", F.col("before") - F.min(F.when(~F.col("system"), F.col("before"))).over(near) if history > 0 else F.lit(0).cast("long"))
+    one = F.struct("at", "role", "n", "before", "place", "since", "held", "skip", "chars", "piece")
+    c = t.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(~F.col("system"), one))).alias("t"),
+        F.max(F.when(F.col("system"), F.struct("piece", "n"))).alias("s"))
+    c = c.select("conv_id", "t", F.coalesce("s.piece", F.lit("")).alias("first"), F.coalesce("s.n", F.lit(0)).cast("long").alias("sys_n"),
+                 F.col("s").isNotNull().cast("int").alias("sys"))
+    room = budget - F.col("sys_n")
+
+    def step(acc, x):
+        """One turn: it goes on with the window that begins at ``base``, or begins one itself."""
+        fits = x["n"] + x["held"] <= room
+        begins = (F.size(acc["starts"]) == 0) | (x["before"] + x["n"] - acc["base"] + acc["held"] > room)
+        start = F.struct(x["at"].alias("at"), F.when(fits, x["since"]).otherwise(x["at"]).alias("since"))
+        return F.struct(F.when(begins, F.concat(acc["starts"], F.array(start))).otherwise(acc["starts"]).alias("starts"),
+                        F.when(begins, x["before"]).otherwise(acc["base"]).alias("base"),
+                        F.when(begins, F.when(fits, x["held"]).otherwise(F.lit(0).cast("long"))).otherwise(acc["held"]).alias("held"))
+
+    none = F.struct(F.array().cast("array<struct<at:int,since:int>>").alias("starts"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("held"))
+    c = c.withColumn("starts", F.aggregate("t", none, step)["starts"])
+    # A conversation of the system turn alone is one window as well.
+    alone = F.array(F.struct((F.col("sys") + 1).alias("at"), (F.col("sys") + 1).alias("since")))
+    c = c.withColumn("starts", F.when(F.size("starts") == 0, alone).otherwise(F.col("starts")))
+
+    def window(s, k):
+        end = F.coalesce(F.get("starts", k + 1)["at"], F.size("t") + F.col("sys") + 1)
+        return F.struct((k + 1).alias("window"), s["at"].alias("at"), F.slice("t", s["since"] - F.col("sys"), end - s["since"]).alias("t"))
+
+    w = c.select("conv_id", "first", "sys_n", "sys", F.inline(F.transform("starts", window)))
+    begin = F.get("t", 0)
+    fresh = F.size(F.filter("t", lambda x: x["at"] >= F.col("at")))
+    target = F.filter("t", lambda x: (x["at"] >= F.col("at")) & (x["role"] == "assistant"))
+    mask = F.transform(target, lambda x: F.struct((F.length("first") + x["place"] - begin["place"] + x["skip"]).cast("long").alias("start"),
+                                                  x["chars"].cast("long").alias("length")))
+    last = F.get("t", F.size("t") - 1)
+    opening = F.when(F.col("window") == 1, F.col("sys")).otherwise(0)  # the system turn is new in the first window
+    return w.select("conv_id", "window", (F.size("t") - fresh + F.col("sys") - opening).cast("long").alias("n_repeated"),
+                    (fresh + opening).cast("long").alias("n_new"),
+                    (F.col("sys_n") + F.coalesce(last["before"] + last["n"] - begin["before"], F.lit(0))).alias("n_tokens"),
+                    F.concat("first", F.array_join(F.col("t")["piece"], "")).alias("formatted"), mask.alias("mask"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:

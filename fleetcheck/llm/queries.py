@@ -13,12 +13,12 @@ MARKS = "</s>[INST] ok [/INST]"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as windows, written, read back and digested; conversation -7 says marks of chat templates."""
+    """Conversations as windows of 512 tokens, written, read back and digested; conversation -7 says marks of chat templates."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     kinds = dict(turns.dtypes)
     extra = spark.range(2).select(F.lit(-7).cast(kinds["conv_id"]).alias("conv_id"), F.col("id").cast(kinds["turn"]).alias("turn"),
                                   F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKS).alias("text"))
-    return chat.digests(chat.formatted_files(turns.unionByName(extra)))
+    return chat.digests(chat.formatted_files(turns.unionByName(extra), budget=512, history=128))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
