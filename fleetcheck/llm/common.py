@@ -67,5 +67,22 @@ def text_or_empty(df: DataFrame, column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(columns, name: str) -> str:
+    """A column name that is none of columns."""
+    while name in columns:
+        name += "_"
+    return name
+
+
+def apart(df: DataFrame, columns: list[str]) -> DataFrame:
+    """columns of df under names c0, c1..., which no column of an operator has; ``together`` gives the names back."""
+    return df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+
+
+def together(columns: list[str]):
+    """The columns that ``apart`` renamed, under their own names."""
+    return [F.col(f"c{i}").alias(c) for i, c in enumerate(columns)]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_ready
+from .common import apart, stored, together, workers_ready
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -210,8 +210,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
 def clean(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without those that match an item. Documents are told by a running row number, so ids may be null or repeat."""
-    from .common import stored
-
-    rows = stored(docs.withColumn("_rid", F.monotonically_increasing_id()), "rows")
-    bad = contaminated(rows, items, similarity, id_col="_rid").select(F.col("doc_id").alias("_bad")).distinct()
-    return rows.join(bad, F.col("_rid") == F.col("_bad"), "left_anti").drop("_rid")
+    names = docs.columns
+    rows = stored(apart(docs, names).withColumn("rid", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("rid", F.col(f"c{names.index('text')}").alias("text"))
+    bad = contaminated(texts, items, similarity, id_col="rid").select(F.col("doc_id").alias("rid")).distinct()
+    return rows.join(bad, "rid", "left_anti").select(*together(names))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import apart, free_name, stored, together
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -37,8 +37,8 @@ METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the columns of METRICS (long) and base_failed."""
     keep = [c for c in docs.columns if c not in METRICS and c not in ("base_failed", "kept")]
-    t = F.coalesce(F.col(text), F.lit(""))
-    d = docs.select(*[F.col(f"`{c}`") for c in keep], t.alias("_t"))
+    d = apart(docs, [*keep, text])
+    d = d.withColumnRenamed(f"c{len(keep)}", "_t").withColumn("_t", F.coalesce("_t", F.lit("")))
     d = d.withColumn("_w", F.split(F.btrim("_t", F.lit(BLANKS)), r"[\x20\x09-\x0D]+"))
     d = d.withColumn("_w", F.when(F.translate("_t", BLANKS, "") == "", F.array().cast("array<string>")).otherwise(F.col("_w")))
     d = d.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: F.translate(x, BLANKS, "") != ""))
@@ -55,7 +55,7 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     cover = F.aggregate(F.transform("_r", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_r", i + 1) - p, F.lit(3)))),
                         F.lit(0), lambda a, x: a + x)
     d = d.select(
-        *[F.col(f"`{c}`") for c in keep],
+        *[f"c{i}" for i in range(len(keep))],
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.translate("_t", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -64,7 +64,7 @@ def metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         F.size("_l").cast("long").alias("n_lines"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return d.withColumn("base_failed", failed)
+    return d.withColumn("base_failed", failed).select(*together(keep), *METRICS, "base_failed")
 
 
 def _value(rule: str) -> Column:
@@ -122,16 +122,18 @@ def apply_rules(docs: DataFrame, with_text: bool = True) -> DataFrame:
         measured = measured.drop("text")
     measured = stored(measured, "quality")
     fences = thresholds(sketches(measured)).groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("fence"))).alias(f"_{r}") for r in RULES])
-    fences = stored(fences.withColumnsRenamed({"lang": "_lang", "source": "_source"}), "fences")
+        F.struct(*[F.max(F.when(F.col("rule") == r, F.col("fence"))).alias(r) for r in RULES]).alias("rules"))
+    name = free_name(measured.columns, "fence")  # a row's thresholds are one column, of a name that the documents don't have
+    fences = stored(fences.select(F.struct("lang", "source", "rules").alias(name)), "fences")
     if fences.count() <= MAX_BROADCAST:
         fences = F.broadcast(fences)
     inside = F.lit(True)
     for r, (_, _, _, _, side) in RULES.items():
-        ok = _value(r) >= F.col(f"_{r}") if side == "low" else _value(r) <= F.col(f"_{r}")
+        fence = F.col(f"{name}.rules.{r}")
+        ok = _value(r) >= fence if side == "low" else _value(r) <= fence
         inside = inside & F.coalesce(ok, F.lit(True))
-    out = measured.join(fences, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    return out.withColumn("kept", ~F.col("base_failed") & inside).drop("_lang", "_source", *[f"_{r}" for r in RULES])
+    out = measured.join(fences, F.col("lang").eqNullSafe(F.col(f"{name}.lang")) & F.col("source").eqNullSafe(F.col(f"{name}.source")), "left")
+    return out.withColumn("kept", ~F.col("base_failed") & inside).drop(name)
 
 
 _SQL_RULES = " union all ".join(

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, stored, workers_ready
+from .common import free_name, partitions, stored, workers_ready
 from .components import components
 
 BITS = 64
@@ -204,6 +204,7 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3) -> Da
 def keep_first(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """docs with one document of each component: the one with the least id, and one row of it."""
     comp = simhash_components(docs, words, distance)
-    kept = comp.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    name = free_name(docs.columns, "keep")
+    kept = comp.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    out = docs.join(kept, docs["doc_id"] == kept[name], "left_semi").dropDuplicates(["doc_id"])
     return out.unionByName(docs.where("doc_id is null"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import partitions, stored, workers_ready
+from .common import apart, partitions, stored, together, workers_ready
 
 MIN_LEN = 200
 K = 64  # bytes of an anchor string
@@ -268,7 +268,9 @@ def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, as_text: bool = Fal
     as_text: kept is a string; where a passage begins or ends inside a character, the rest of that character goes.
     """
     workers_ready(docs.sparkSession)
-    table = _numbered(docs.select(*[c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]))
+    names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept")]
+    held = apart(docs, [*names, "text"]).withColumnRenamed(f"c{len(names)}", "text")
+    table = _numbered(held)
 
     def find(batches):
         import pyarrow as pa
@@ -322,4 +324,4 @@ def without_repeats(docs: DataFrame, min_len: int = MIN_LEN, as_text: bool = Fal
             cols.append(pa.array(kept, pa.string() if as_text else pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, [*others, "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.mapInArrow(remove, shape)
+    return joined.mapInArrow(remove, shape).select(*together(names), "n_bytes", "n_removed", "n_spans", "kept")
