@@ -50,8 +50,9 @@ FREQUENT = 400_000  # words, at most, whose counts are sent to all tasks; the ot
 END_WORD = b" "  # no word holds a blank
 START, NONE = 65534, 65535  # before a text; no id in this place of a context
 
-SHAPES = {"emb": (FINE + 1, DIM), "pos": (WIDTH, DIM), "q": (DIM, DIM), "k": (DIM, DIM), "v": (DIM, DIM), "o": (DIM, DIM),
-          "out": (DIM, CLASSES)}
+#: "qk" is the product of the weights of queries and keys, "vo" that of values and their output: with one head as wide as
+#: the embeddings each pair of matrices only ever acts as its product, which may be any matrix of this shape.
+SHAPES = {"emb": (FINE + 1, DIM), "pos": (WIDTH, DIM), "qk": (DIM, DIM), "vo": (DIM, DIM), "out": (DIM, CLASSES)}
 
 
 def flat(p: dict) -> np.ndarray:
@@ -250,86 +251,101 @@ def windows(m, ids: list[np.ndarray], pick=None):
 
 
 _EARLIER = np.tril(np.ones((WIDTH, WIDTH), dtype=np.float32))
-_ONES = np.ones((CLASSES, 1), dtype=np.float32)
 CLIP = np.float32(30)  # exponents are clipped here, which stands in for subtracting a maximum
+PART = 32  # windows at once whose arrays stay in a core's cache
 
 
-def _attend(p: dict, x: np.ndarray):
-    e = p["emb"][x] + p["pos"]
-    q, k, v = e @ (p["q"] * np.float32(DIM ** -0.5)), e @ p["k"], e @ p["v"]
-    s = q @ k.transpose(0, 2, 1)
-    np.minimum(s, CLIP, out=s)
-    np.exp(s, out=s)
-    s *= _EARLIER
-    total = s @ _ONES[:WIDTH] + np.float32(1e-30)
-    mixed = (s @ v) / total
-    return e, q, k, v, s, total, mixed, mixed @ p["o"] + e
+def _parts(scored: np.ndarray):
+    """(rows, first place that is asked for) of some windows: those that begin a text are asked from the beginning, the others from OVERLAP on."""
+    late = ~scored[:, 0]
+    for rows, lo in ((np.flatnonzero(late), OVERLAP), (np.flatnonzero(~late), 0)):
+        for a in range(0, len(rows), PART):
+            yield rows[a:a + PART], lo
 
 
-def _exponents(m: Model, x: np.ndarray, h: np.ndarray):
-    z = h @ m.p["out"]
-    z += m.log_pair[x]
-    np.minimum(z, CLIP, out=z)
-    e = np.exp(z)
-    return z, e, e @ _ONES
+def _attend(p: dict, xs: np.ndarray, lo: int):
+    """(embeddings, what asks, its products with "qk", embeddings by place, attention, mixed embeddings) of windows' inputs."""
+    e = p["emb"].take(xs, 0)
+    e += p["pos"]
+    asking = np.ascontiguousarray(e[:, lo:])
+    f = asking @ p["qk"]
+    across = np.ascontiguousarray(e.transpose(0, 2, 1))
+    s = f @ across
+    np.minimum(s, CLIP, out=s)
+    np.exp(s, out=s)
+    s *= _EARLIER[lo:]
+    s /= s.sum(-1, keepdims=True) + np.float32(1e-30)
+    return e, asking, f, across, s, s @ e
 
 
 def log_probs(m: Model, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.ndarray:
     """Natural-log probabilities of the scored targets' classes, in order."""
-    out, p = [], m.p
-    # Products of weights are taken once: queries with keys, values with both outputs, embeddings with the last one.
-    qk, vo = p["q"] @ p["k"].T * np.float32(DIM ** -0.5), p["v"] @ p["o"] @ p["out"]
+    p = m.p
+    vo = p["vo"] @ p["out"]  # taken once
     by_class, by_place = p["emb"] @ p["out"] + m.log_pair, p["pos"] @ p["out"]
-    for a in range(0, len(x), BATCH):
-        xs, at = x[a:a + BATCH], np.flatnonzero(scored[a:a + BATCH])
-        e = p["emb"].take(xs, 0)
-        e += p["pos"]
-        s = (e @ qk) @ e.transpose(0, 2, 1)
-        np.minimum(s, CLIP, out=s)
-        np.exp(s, out=s)
-        s *= _EARLIER
-        mixed = (s @ e).reshape(-1, DIM).take(at, 0)
-        mixed /= (s @ _ONES[:WIDTH]).reshape(-1, 1).take(at, 0) + np.float32(1e-30)
+    count = scored.sum(1)
+    first = np.cumsum(count) - count
+    out = np.empty(int(count.sum()))
+    for rows, lo in _parts(scored):
+        xs, wide = x[rows], WIDTH - lo
+        at = np.flatnonzero(scored[rows, lo:])
+        mixed = _attend(p, xs, lo)[-1].reshape(-1, DIM).take(at, 0)
         z = mixed @ vo
-        z += by_class.take(xs.ravel().take(at), 0)
-        z += by_place.take(at % WIDTH, 0)
+        z += by_class.take(xs[:, lo:].ravel().take(at), 0)
+        z += by_place.take(at % wide + lo, 0)
         np.minimum(z, CLIP, out=z)
-        own = z[np.arange(len(at)), y[a:a + BATCH].ravel().take(at)].astype(np.float64)
+        own = z[np.arange(len(at)), y[rows, lo:].ravel().take(at)].astype(np.float64)
         np.exp(z, out=z)
-        out.append(own - np.log((z @ _ONES)[:, 0].astype(np.float64)))
-    return np.concatenate(out) if out else np.zeros(0)
+        out[first[rows].take(at // wide) + at % wide] = own - np.log(z.sum(1).astype(np.float64))  # a window's targets lie together
+    return out
 
 
 def gradient(m: Model, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[dict, float]:
     """Gradient of the mean loss over the scored targets, and that loss."""
-    p = m.p
-    e, q, k, v, s, total, mixed, h = _attend(p, x)
-    s /= total
-    hs, t = h[scored], y[scored]
-    z, ez, total = _exponents(m, x[scored], hs)
-    loss = float((np.log(total[:, 0]) - z[np.arange(len(t)), t]).mean())
-    dz = ez / total
-    dz[np.arange(len(t)), t] -= 1
-    dz /= len(t)
-    g = {"out": hs.T @ dz}
-    dh = np.zeros_like(h)
-    dh[scored] = dz @ p["out"].T
+    p, n, loss = m.p, int(scored.sum()), 0.0
+    g = {k: np.zeros_like(v) for k, v in p.items()}
     two = lambda a: a.reshape(-1, a.shape[-1])
-    g["o"] = two(mixed).T @ two(dh)
-    dm = dh @ p["o"].T
-    ds = dm @ v.transpose(0, 2, 1)
-    dv = s.transpose(0, 2, 1) @ dm
-    ds = s * (ds - (ds * s).sum(-1, keepdims=True))
-    dq, dk = ds @ k * np.float32(DIM ** -0.5), ds.transpose(0, 2, 1) @ q
-    g["q"], g["k"], g["v"] = (two(e).T @ two(d) for d in (dq, dk, dv))
-    de = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-    g["pos"] = de.sum(0)
-    hot = np.zeros((FINE + 1, DIM), dtype=np.float32)
-    flat_x, flat_d = x.ravel(), two(de)
-    for j in range(DIM):
-        hot[:, j] = np.bincount(flat_x, weights=flat_d[:, j], minlength=FINE + 1)
-    g["emb"] = hot
-    return g, loss
+    qk, vo, out = (np.ascontiguousarray(p[k].T) for k in ("qk", "vo", "out"))
+    for rows, lo in _parts(scored):
+        xs, at = x[rows], np.flatnonzero(scored[rows, lo:])
+        e, asking, f, across, s, mixed = _attend(p, xs, lo)
+        ms = two(mixed).take(at, 0)
+        hs = ms @ p["vo"]
+        hs += two(asking).take(at, 0)
+        z = hs @ p["out"]
+        z += m.log_pair.take(xs[:, lo:].ravel().take(at), 0)
+        np.minimum(z, CLIP, out=z)
+        own = np.arange(len(at)), y[rows, lo:].ravel().take(at)
+        of_own = z[own].astype(np.float64)
+        np.exp(z, out=z)
+        total = z.sum(1, keepdims=True)
+        loss += float((np.log(total[:, 0].astype(np.float64)) - of_own).sum())
+        z /= total
+        z[own] -= 1
+        g["out"] += hs.T @ z
+        dh = z @ out
+        g["vo"] += ms.T @ dh
+        dm = np.zeros((len(rows) * (WIDTH - lo), DIM), dtype=np.float32)
+        dm[at] = dh @ vo
+        dm = dm.reshape(len(rows), WIDTH - lo, DIM)
+        ds = dm @ across
+        ds -= np.einsum("bid,bid->bi", dm, mixed)[..., None]  # the sum of ds * s over a row
+        ds *= s
+        df = ds @ e
+        de = s.transpose(0, 2, 1) @ dm
+        de += ds.transpose(0, 2, 1) @ f
+        da = two(df) @ qk
+        da[at] += dh
+        de[:, lo:] += da.reshape(len(rows), WIDTH - lo, DIM)
+        g["qk"] += two(asking).T @ two(df)
+        g["pos"] += de.sum(0)
+        order = np.argsort(xs.ravel().astype(np.int16), kind="stable")
+        cls = xs.ravel()[order]
+        start = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
+        g["emb"][cls[start]] += np.add.reduceat(two(de)[order], start, axis=0)
+    for k in g:
+        g[k] /= np.float32(max(n, 1))
+    return g, loss / max(n, 1)
 
 
 class Adam:
