@@ -12,8 +12,8 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 300_000  # words held per worker process; further ones are put together each time
-CACHE_UNITS = 600_000  # units of words held as well; further ones are encoded each time
+CACHE_WORDS = 100_000  # words held per worker process; further ones are put together each time
+CACHE_UNITS = 200_000  # units of words held as well; further ones are encoded each time
 CACHE_PIECES = 100_000  # words whose sentencepiece counts are held
 CACHE_LEN = 64  # longer ones are encoded each time
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
