@@ -32,7 +32,7 @@ from .common import apart, partitions, stored, together, workers_ready
 MIN_LEN = 200
 K = 64  # bytes of an anchor string
 HOT = 2_000  # different strings of one anchor beyond which its windows are counted by digest
-TASK_BYTES = 2 << 20  # bytes of strings for one task, about
+TASK_BYTES = 1 << 20  # bytes of strings for one task, about
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = "rid long, start long, n long"
 
