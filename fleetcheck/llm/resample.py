@@ -159,7 +159,8 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 25, min_words: i
     return placed.unionByName(short).select("doc_id", "n_features", "weight", "score", "rank")
 
 
-#: The query of resample() with its defaults; the first rows build the checksum's table by its rule.
+#: The query of resample() with its defaults; the first rows build the checksum's table by its rule. A column of whole
+#: numbers that may be null is a DOUBLE here, as a data frame of such a column is in either engine.
 SQL = r"""WITH crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
     lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
@@ -186,5 +187,5 @@ scored AS (SELECT doc_id, row, len(w) AS n_words, coalesce(n_features, 0) AS n_f
   FROM worded LEFT JOIN weights USING (row) WHERE NOT aim),
 ranked AS (SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST, row) END AS place FROM scored)
 SELECT doc_id, n_features, weight, score,
-  CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM scored WHERE n_words >= 20) THEN place END AS rank FROM ranked
+  CASE WHEN place <= (SELECT 25 * count(*) // 100 FROM scored WHERE n_words >= 20) THEN place END::DOUBLE AS rank FROM ranked
 """
