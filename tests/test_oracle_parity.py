@@ -18,8 +18,8 @@ def _norm(v):
         return ("null",)
     if isinstance(v, bool):
         return ("bool", v)
-    if isinstance(v, (int, float)):
-        return ("num", repr(v))
+    if isinstance(v, (int, float)):  # by value: a nullable long here is a DOUBLE there, so that data frames agree too
+        return ("num", repr(int(v) if v == int(v) else v) if abs(v) < 2 ** 53 else repr(v))
     return (type(v).__name__, str(v))
 
 
