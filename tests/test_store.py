@@ -54,7 +54,7 @@ def test_many_instances_in_one_write_replace_only_themselves(spark, tmp_path):
     at = [dt.datetime(2024, 1, 28, 1), dt.datetime(2024, 1, 30, 1)]
 
     def batch(used, instances):
-        return spark.createDataFrame([(f"i{i}", E, t, f"T{k}", "PERMANENT", 100, used, 1) for i in instances for t in at for k in range(i)], sch)
+        return spark.createDataFrame([(f"i{i}", E, t, f"T{k}", "PERMANENT", 100, used, 1, None) for i in instances for t in at for k in range(i)], sch)
 
     write_snapshots(batch(1, range(1, 7)), f"{tmp_path}/{E}", "tablespaces")
     write_snapshots(batch(2, [3, 5]), f"{tmp_path}/{E}", "tablespaces")
