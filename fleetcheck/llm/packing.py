@@ -25,6 +25,7 @@ from .tokens import word_ids
 
 SIZE = 4096
 GROUP = 20_000
+CACHE_WORDS, CACHE_UNITS = 100_000, 200_000  # fewer than elsewhere: in the pipeline workers stay beside the stages that follow
 FULL = 0.995  # a sequence filled so far is not unpacked again
 NO_ID = -(1 << 63)
 MERGE = 16  # groups merged into one for the next round
@@ -39,7 +40,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end_id: int = 1) -
     def run(batches):
         import pyarrow as pa
 
-        ids = word_ids(tokenizer)
+        ids = word_ids(tokenizer, CACHE_WORDS, CACHE_UNITS)
         end = np.array([end_id], dtype="<u4")
         for b in batches:
             rows = []

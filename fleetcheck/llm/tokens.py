@@ -12,8 +12,8 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 100_000  # words held per worker process; further ones are put together each time
-CACHE_UNITS = 200_000  # units of words held as well; further ones are encoded each time
+CACHE_WORDS = 300_000  # words held per worker process, unless fewer are asked for; further ones are put together each time
+CACHE_UNITS = 600_000  # units of words held as well; further ones are encoded each time
 CACHE_PIECES = 100_000  # words whose sentencepiece counts are held
 CACHE_LEN = 64  # longer ones are encoded each time
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
@@ -29,10 +29,11 @@ class WordIds(dict):
     and the punctuation go to its model apart; every other word goes to the library as it is.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, words: int = CACHE_WORDS, units: int = CACHE_UNITS):
         super().__init__()
         from tokenizers import Tokenizer
 
+        self.most_words, self.most_units = words, units
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.units: dict[bytes, bytes] = {}
@@ -47,7 +48,7 @@ class WordIds(dict):
 
     def _new_unit(self, unit: bytes) -> bytes:
         ids = self._unit(unit.decode())
-        if len(self.units) < CACHE_UNITS and len(unit) <= CACHE_LEN:
+        if len(self.units) < self.most_units and len(unit) <= CACHE_LEN:
             self.units[unit] = ids
         return ids
 
@@ -69,7 +70,7 @@ class WordIds(dict):
                     ids += units.get(unit) or self._new_unit(unit)
         else:
             ids = self._whole(word.decode())
-        if len(self) < CACHE_WORDS and len(word) <= CACHE_LEN:
+        if len(self) < self.most_words and len(word) <= CACHE_LEN:
             self[word] = ids
         return ids
 
@@ -112,8 +113,8 @@ class PieceCounts(dict):
 
 
 @functools.lru_cache(maxsize=4)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, words: int = CACHE_WORDS, units: int = CACHE_UNITS) -> WordIds:
+    return WordIds(path, words, units)
 
 
 @functools.lru_cache(maxsize=4)
