@@ -87,7 +87,9 @@ def section_table(sections: DataFrame, keep: Sequence[str], section: str, cells:
     d = d.withColumn("_header", F.regexp_replace(F.get("lines", F.col("_h") - 1), "\t", " "))
     # places once for a section; the place of a cell in its words is the number of columns the header has before it
     d = d.withColumn("_at", _places(F.col("_header"), cells))
-    d = d.select(*keep, "host", "at", "_h", "_at", F.posexplode(F.slice("lines", F.col("_h") + 1, F.size("lines"))).alias("_p", "_line"))
+    before = lambda i: F.size(F.filter(F.slice("_at", F.lit(1), i), lambda p: p > 0))
+    d = d.withColumn("_nth", F.transform("_at", lambda p, i: F.when(p > 0, before(i))))
+    d = d.select(*keep, "host", "at", "_h", "_at", "_nth", F.posexplode(F.slice("lines", F.col("_h") + 1, F.size("lines"))).alias("_p", "_line"))
     d = d.withColumn("_line", F.rtrim(F.regexp_replace("_line", "\t", " "))).filter(F.col("_line") != "")
     size = F.length("_line")
     d = d.withColumn("_cells", F.transform("_at", lambda p, i: F.struct(
@@ -104,11 +106,12 @@ def section_table(sections: DataFrame, keep: Sequence[str], section: str, cells:
         F.get("_cells", 0)["begin"] == size - F.length(F.ltrim("_line")) + 1) & (F.get("_cells", 0)["i"] == 0) & (F.get("_cells", 1)["i"] == 1)
     # the words in order: what the last column takes to the end of the line is cut off first
     words = F.split(F.trim("_line"), r"\s+", len(cells) if cells[last].kind == "rest" else -1)
-    before = lambda i: F.size(F.filter(F.slice("_at", F.lit(1), i), lambda p: p > 0))
-    ordered = F.transform("_at", lambda p, i: F.when(p > 0, F.get(words, before(i))))
+    ordered = F.get(F.transform(F.array(words), lambda w: F.transform("_nth", lambda n: F.get(w, n))), 0)  # split once
     d = d.withColumn("_aligned", F.coalesce(aligned, F.lit(False)))
     placed = F.transform("_at", lambda p, i: F.get(F.filter("_cells", lambda c: c["i"] == i), 0)["text"])
-    d = d.withColumn("_text", F.when(F.col("_aligned"), placed).otherwise(ordered))
+    # a row of a generator: filters on cells, here or a caller's, would otherwise be pushed below the steps above with
+    # every step written out at each of its uses, and cost many times the cells themselves
+    d = d.select(*keep, "host", "at", "_h", "_p", F.explode(F.array(F.when(F.col("_aligned"), placed).otherwise(ordered))).alias("_text"))
     out = d.select(*keep, "host", (F.col("at") + F.col("_h") + F.col("_p") + 1).alias("line_no"),
                    *[typed(F.coalesce(F.get("_text", i), F.lit("")), c.kind).alias(c.name) for i, c in enumerate(cells)])
     return out.filter(F.col(cells[0].name).isNotNull() & F.col(cells[1].name).isNotNull())

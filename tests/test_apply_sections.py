@@ -106,6 +106,15 @@ def test_sections_are_read_within_the_row(spark):
         assert "Exchange" not in plan and "Window" not in plan and "Python" not in plan
 
 
+def test_filters_on_cells_stay_above_the_steps_that_make_them(spark):
+    """A filter pushed below them holds every step once for each of its uses, and is most of the run."""
+    for key in ("section_table", "section_pairs"):
+        out = fixtures.QUERIES[key](spark, "/root/testdata/sf0.001")
+        for d in (out, out.filter(F.col(out.columns[-1]).isNotNull())):
+            plan = d._jdf.queryExecution().optimizedPlan().toString()
+            assert not [x for x in plan.split("\n") if "Filter (" in x and "regexp_extract(substring(" in x]
+
+
 def test_random_tables_read_back(spark):
     g = random.Random(4)
     data, want = [], []
