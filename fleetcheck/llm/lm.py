@@ -110,20 +110,25 @@ def contexts(ids: list[np.ndarray], ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Lookup:
-    """Values by key (not negative) in a hash table that is read with arrays of keys; other keys have the defaults."""
+    """One or two values by key (not negative) in a hash table that is read with arrays of keys; other keys have the defaults.
+
+    A place holds its key and, beside it, the values, so that one read brings all.
+    """
 
     def __init__(self, key: np.ndarray, values: list[np.ndarray], defaults: list[float]):
         bits = max(2 * len(key), 2).bit_length()
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.key = np.full(1 << bits, -1, dtype=np.int64)
-        self.values = [np.full(1 << bits, d, dtype=np.float32) for d in defaults]
+        self.shift, self.mask, self.n = np.uint64(64 - bits), (1 << bits) - 1, len(values)
+        self.rows = np.full((1 << bits, 2), -1, dtype=np.int64)
+        tables = [self.rows.view(np.float32)[:, 2 + i] for i in range(self.n)]
+        for table, d in zip(tables, defaults):
+            table[:] = d
         rest, slot = np.arange(len(key)), self._slot(key)
         while len(rest):
-            free = self.key[slot] == -1
+            free = self.rows[slot, 0] == -1
             _, one = np.unique(slot[free], return_index=True)  # one key takes a free place
             placed = np.flatnonzero(free)[one]
-            self.key[slot[placed]] = key[rest[placed]]
-            for table, v in zip(self.values, values):
+            self.rows[slot[placed], 0] = key[rest[placed]]
+            for table, v in zip(tables, values):
                 table[slot[placed]] = v[rest[placed]]
             left = np.ones(len(rest), dtype=bool)
             left[placed] = False
@@ -134,13 +139,14 @@ class Lookup:
 
     def __call__(self, key: np.ndarray) -> list[np.ndarray]:
         slot = self._slot(key)
-        found = self.key[slot]
-        other = np.flatnonzero((found != key) & (found != -1))
+        got = self.rows.take(slot, 0)
+        other = np.flatnonzero((got[:, 0] != key) & (got[:, 0] != -1))
         while len(other):
             slot[other] = (slot[other] + 1) & self.mask
-            found = self.key[slot[other]]
-            other = other[(found != key[other]) & (found != -1)]
-        return [table[slot] for table in self.values]
+            next_ = self.rows.take(slot[other], 0)
+            got[other] = next_
+            other = other[(next_[:, 0] != key[other]) & (next_[:, 0] != -1)]
+        return [got.view(np.float32)[:, 2 + i].copy() for i in range(self.n)]
 
 
 class Contexts:
@@ -164,19 +170,20 @@ class Contexts:
 
     def mix(self, context: np.ndarray, ids: np.ndarray, begins: np.ndarray, p: np.ndarray) -> np.ndarray:
         """Probabilities of ids from those of the attention; at the beginning of a unit the mean of both."""
-        own, rest = self.pair((context << 16) | ids)
-        new = np.flatnonzero(rest < 0)
-        rest[new] = self.context(context[new])[0]
-        mixed = own + rest * p
-        return np.where(begins, (mixed + p) / 2, mixed)
+        return self.mix_apart(context, ids, begins, p)[0]
 
-    def apart(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places of the pairs that are not in key, what their contexts leave); 1 for contexts not held either.
+    def mix_apart(self, context: np.ndarray, ids: np.ndarray, begins: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(probabilities, places of the pairs that are not in key, what their contexts leave) of ids.
 
-        A context that is held leaves less than 1, as it was seen.
+        A context that is held leaves less than 1, as it
+        was seen; the others leave 1.
         """
-        at = np.flatnonzero(self.pair((context << 16) | ids)[1] < 0)
-        return at, self.context(context[at])[0]
+        own, rest = self.pair((context << 16) | ids)
+        new = np.flatnonzero(rest < 0)
+        left = self.context(context[new])[0]
+        rest[new] = left
+        mixed = own + rest * p
+        return np.where(begins, (mixed + p) / 2, mixed), new, left
 
 
 class Model:
@@ -250,9 +257,11 @@ def windows(m, ids: list[np.ndarray], pick=None):
     return x, m.cls[whole[place + 1]], scored, text
 
 
-_EARLIER = np.tril(np.ones((WIDTH, WIDTH), dtype=np.float32))
 CLIP = np.float32(30)  # exponents are clipped here, which stands in for subtracting a maximum
+_BOUND = np.where(np.tri(WIDTH, dtype=bool), CLIP, np.float32(-np.inf))  # of exponents by place: none for what is later
+_ONES = np.ones(max(WIDTH, CLASSES), dtype=np.float32)  # a product with ones sums faster than sum() over short rows
 PART = 32  # windows at once whose arrays stay in a core's cache
+_ROWS = np.arange(0, PART * WIDTH * CLASSES, CLASSES)  # where the exponents of a place begin
 
 
 def _parts(scored: np.ndarray):
@@ -264,40 +273,51 @@ def _parts(scored: np.ndarray):
 
 
 def _attend(p: dict, xs: np.ndarray, lo: int):
-    """(embeddings, what asks, its products with "qk", embeddings by place, attention, mixed embeddings) of windows' inputs."""
+    """(embeddings, what asks, its products with "qk", embeddings by place, weights of the attention, their sums, mixed embeddings) of windows' inputs.
+
+    Neither the weights nor the mixed embeddings are divided by the sums.
+    """
     e = p["emb"].take(xs, 0)
     e += p["pos"]
     asking = np.ascontiguousarray(e[:, lo:])
-    f = asking @ p["qk"]
+    f = (asking.reshape(-1, DIM) @ p["qk"]).reshape(asking.shape)
     across = np.ascontiguousarray(e.transpose(0, 2, 1))
     s = f @ across
-    np.minimum(s, CLIP, out=s)
+    np.minimum(s, _BOUND[lo:], out=s)
     np.exp(s, out=s)
-    s *= _EARLIER[lo:]
-    s /= s.sum(-1, keepdims=True) + np.float32(1e-30)
-    return e, asking, f, across, s, s @ e
+    total = s @ _ONES[:WIDTH]
+    total += np.float32(1e-30)
+    return e, asking, f, across, s, total, s @ e
+
+
+def _exp_clipped(z: np.ndarray):
+    """z becomes its exponential; the pass that clips is for arrays that need it."""
+    if not z.max() <= CLIP:
+        np.minimum(z, CLIP, out=z)
+    np.exp(z, out=z)
+
+
+def _logits(p: dict, log_pair: np.ndarray, ms: np.ndarray, asking: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(output of the layer, exponents of the classes) of places with their mixed embeddings."""
+    hs = ms @ p["vo"]
+    hs += asking
+    z = hs @ p["out"]
+    z += log_pair.take(x, 0)
+    return hs, z
 
 
 def log_probs(m: Model, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.ndarray:
     """Natural-log probabilities of the scored targets' classes, in order."""
-    p = m.p
-    vo = p["vo"] @ p["out"]  # taken once
-    by_class, by_place = p["emb"] @ p["out"] + m.log_pair, p["pos"] @ p["out"]
-    count = scored.sum(1)
-    first = np.cumsum(count) - count
-    out = np.empty(int(count.sum()))
+    own, total = (np.ones((len(x), WIDTH), dtype=np.float32) for _ in range(2))
     for rows, lo in _parts(scored):
-        xs, wide = x[rows], WIDTH - lo
-        at = np.flatnonzero(scored[rows, lo:])
-        mixed = _attend(p, xs, lo)[-1].reshape(-1, DIM).take(at, 0)
-        z = mixed @ vo
-        z += by_class.take(xs[:, lo:].ravel().take(at), 0)
-        z += by_place.take(at % wide + lo, 0)
-        np.minimum(z, CLIP, out=z)
-        own = z[np.arange(len(at)), y[rows, lo:].ravel().take(at)].astype(np.float64)
-        np.exp(z, out=z)
-        out[first[rows].take(at // wide) + at % wide] = own - np.log(z.sum(1).astype(np.float64))  # a window's targets lie together
-    return out
+        xs = x[rows]
+        _, asking, *_, sums, mixed = _attend(m.p, xs, lo)
+        mixed /= sums[..., None]
+        _, z = _logits(m.p, m.log_pair, mixed.reshape(-1, DIM), asking.reshape(-1, DIM), xs[:, lo:].ravel())
+        own[rows, lo:] = z.ravel().take(_ROWS[:len(z)] + y[rows, lo:].ravel()).reshape(len(rows), -1)
+        _exp_clipped(z)
+        total[rows, lo:] = (z @ _ONES[:CLASSES]).reshape(len(rows), -1)
+    return np.minimum(own[scored], CLIP).astype(np.float64) - np.log(total[scored].astype(np.float64))
 
 
 def gradient(m: Model, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[dict, float]:
@@ -306,43 +326,48 @@ def gradient(m: Model, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tupl
     g = {k: np.zeros_like(v) for k, v in p.items()}
     two = lambda a: a.reshape(-1, a.shape[-1])
     qk, vo, out = (np.ascontiguousarray(p[k].T) for k in ("qk", "vo", "out"))
+    by_input, inputs, done = np.empty((len(x), WIDTH, DIM), dtype=np.float32), np.empty((len(x), WIDTH), dtype=np.int16), 0
     for rows, lo in _parts(scored):
-        xs, at = x[rows], np.flatnonzero(scored[rows, lo:])
-        e, asking, f, across, s, mixed = _attend(p, xs, lo)
-        ms = two(mixed).take(at, 0)
-        hs = ms @ p["vo"]
-        hs += two(asking).take(at, 0)
-        z = hs @ p["out"]
-        z += m.log_pair.take(xs[:, lo:].ravel().take(at), 0)
-        np.minimum(z, CLIP, out=z)
-        own = np.arange(len(at)), y[rows, lo:].ravel().take(at)
-        of_own = z[own].astype(np.float64)
-        np.exp(z, out=z)
-        total = z.sum(1, keepdims=True)
-        loss += float((np.log(total[:, 0].astype(np.float64)) - of_own).sum())
-        z /= total
-        z[own] -= 1
-        g["out"] += hs.T @ z
+        xs, asked = x[rows], scored[rows, lo:].ravel()
+        e, asking, f, across, s, sums, mixed = _attend(p, xs, lo)
+        wide_of = lambda v: np.repeat(v, DIM).reshape(-1, DIM)  # noqa: E731, a product of equal shapes is faster than one of columns
+        ms, share = two(mixed), wide_of(1 / sums)
+        ms *= share
+        hs, z = _logits(p, m.log_pair, ms, two(asking), xs[:, lo:].ravel())
+        own = _ROWS[:len(z)] + y[rows, lo:].ravel()
+        of_own = np.minimum(z.ravel().take(own), CLIP).astype(np.float64)
+        _exp_clipped(z)
+        total = z @ _ONES[:CLASSES]
+        loss += float(((np.log(total.astype(np.float64)) - of_own) * asked).sum())
+        z.ravel()[own] -= total
+        part = wide_of(asked / total)  # what is not scored has no part
         dh = z @ out
+        dh *= part
+        hs *= part
+        g["out"] += hs.T @ z
         g["vo"] += ms.T @ dh
-        dm = np.zeros((len(rows) * (WIDTH - lo), DIM), dtype=np.float32)
-        dm[at] = dh @ vo
-        dm = dm.reshape(len(rows), WIDTH - lo, DIM)
+        dm = dh @ vo
+        dm *= share
+        dm = dm.reshape(mixed.shape)
         ds = dm @ across
-        ds -= np.einsum("bid,bid->bi", dm, mixed)[..., None]  # the sum of ds * s over a row
+        ds -= np.einsum("bid,bid->bi", dm, mixed)[..., None]  # the sum of ds * s over a row, where s is divided by its sum
         ds *= s
-        df = ds @ e
-        de = s.transpose(0, 2, 1) @ dm
+        df = two(ds @ e)
+        de = by_input[done:done + len(rows)]
+        np.matmul(s.transpose(0, 2, 1), dm, out=de)
         de += ds.transpose(0, 2, 1) @ f
-        da = two(df) @ qk
-        da[at] += dh
-        de[:, lo:] += da.reshape(len(rows), WIDTH - lo, DIM)
-        g["qk"] += two(asking).T @ two(df)
+        da = df @ qk
+        da += dh
+        de[:, lo:] += da.reshape(asking.shape)
+        g["qk"] += two(asking).T @ df
         g["pos"] += de.sum(0)
-        order = np.argsort(xs.ravel().astype(np.int16), kind="stable")
-        cls = xs.ravel()[order]
-        start = np.flatnonzero(np.r_[True, cls[1:] != cls[:-1]])
-        g["emb"][cls[start]] += np.add.reduceat(two(de)[order], start, axis=0)
+        inputs[done:done + len(rows)] = xs
+        done += len(rows)
+    if done:
+        order = np.argsort(inputs.ravel(), kind="stable")
+        cls = inputs.ravel()[order]
+        start = np.flatnonzero(np.diff(cls, prepend=-1))
+        g["emb"][cls[start]] += np.add.reduceat(two(by_input)[order], start, axis=0)
     for k in g:
         g[k] /= np.float32(max(n, 1))
     return g, loss / max(n, 1)
@@ -580,9 +605,9 @@ def _scores(m: Model, ids: list[np.ndarray], apart: list | None = None, done: in
     lp = m.log_share(fine, after) + log_probs(m, x, y, scored)  # both in the order of the ids
     if m.held is not None:
         p, begins = np.exp(lp), m.ends[before]
-        lp = np.log(m.held.mix(context, after, begins, p))
+        mixed, at, left = m.held.mix_apart(context, after, begins, p)
+        lp = np.log(mixed)
         if apart is not None:
-            at, left = m.held.apart(context, after)
             apart.append((done + np.searchsorted(first, at, "right") - 1, context[at] << 16 | after[at], left.astype(np.float64), begins[at], p[at]))
             lp[at] = 0
     return np.add.reduceat(lp, first) / np.log(10)
@@ -628,19 +653,19 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
             break
         room -= r["v"]
         least = r["bits"]
-    common = {bytes(r[0]): r[1] for r in counts.where(F.length(F.bin("c")) >= least).toLocalIterator()}
+    common = {bytes(r[0]): math.log10(r[1] + 1) for r in counts.where(F.length(F.bin("c")) >= least).toLocalIterator()}
     shared = spark.sparkContext.broadcast(common)
 
     def run(batches):
         import pyarrow as pa
 
-        known = {w: math.log10(c + 1) for w, c in shared.value.items()}
+        known = shared.value
         for b in batches:
             rid, word, times, value, n_tokens, ids, hashes = [], [], [], [], [], [], []
             for i, t, d, h in zip(*(c.to_pylist() for c in b.columns)):
                 w = _words(t)
                 logs = list(map(known.get, w))
-                rare = Counter(x for x, v in zip(w, logs) if v is None)
+                rare = Counter([x for x, v in zip(w, logs) if v is None] if None in logs else ())
                 # The text's own row: a word that no other row has, so that it joins with nothing.
                 rid.append(i)
                 word.append(b"  %d" % i)

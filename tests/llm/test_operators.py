@@ -546,6 +546,30 @@ def test_lm_probabilities_sum_to_one_and_are_causal():
     assert lm.log_probs(m, x1, y1, s1)[:400] == pytest.approx(lm.log_probs(m, x2, y2, s2)[:400]) and a < 0
 
 
+def test_lm_pairs_are_read_once(monkeypatch):
+    m, ids = small_model()
+    ends = np.zeros(1 << 16, dtype=bool)
+    ends[[7, lm.END_ID, lm.START, lm.NONE]] = True
+    _, after, _, context = lm.contexts(ids, ends)
+    key, n = np.unique(context << 16 | after, return_counts=True)
+    of, at = np.unique(key >> 16, return_inverse=True)
+    total, kinds = np.bincount(at, weights=n), np.bincount(at)
+    some = n > 1
+    has = np.isin(of, key[some] >> 16)
+    m.ends, m.held = ends, lm.Contexts(key[some], n[some], of[has], total[has], kinds[has], others=True)
+    asked, call = [], lm.Lookup.__call__
+    monkeypatch.setattr(lm.Lookup, "__call__", lambda self, key: asked.append((self is m.held.pair, len(key))) or call(self, key))
+    apart: list = []
+    lm._scores(m, ids, apart)
+    left = dict(zip(of.tolist(), (kinds / (total + kinds)).tolist()))
+    texts, keys, rest, begins, p = apart[0]
+    rare = ~np.isin(context << 16 | after, key[some])
+    assert sum(k for pair, k in asked if pair) == len(after) and sum(k for pair, k in asked if not pair) == rare.sum() == len(keys)
+    assert keys.tolist() == (context << 16 | after)[rare].tolist()
+    seen = set(of[has].tolist())
+    assert rest == pytest.approx([left[c] if c in seen else 1 for c in (keys >> 16).tolist()])
+
+
 def test_lm_scores_each_token_once():
     m, ids = small_model()
     for n in list(range(0, 60)) + [500]:
