@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, workers_ready
-from .tokens import word_ids
+from .tokens import forget, word_ids
 
 END_ID = 49407
 IDS = 49408
@@ -44,6 +44,8 @@ WIDTH, OVERLAP = 32, 8
 ROUNDS = 3
 BATCH = 256  # windows at once
 CHUNK_IDS = 50_000  # about so many ids are laid out in windows at once
+PAIR_IDS = 500_000  # about so many ids are laid out in contexts at once
+PAIR_ROWS = 1_000_000  # a task hands its counts of pairs on when there are more
 RATE = 0.01
 ENTRIES = 1 << 20  # pairs of context and id, at most, that are sent to all tasks; the others are joined
 FREQUENT = 400_000  # words, at most, whose counts are sent to all tasks; the others are joined
@@ -460,6 +462,45 @@ def _ids(b):
     return [np.frombuffer(i, "<u2") for i in b.column(b.num_columns - 1).to_pylist()]
 
 
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their sums, of sorted runs of keys and counts."""
+    key = np.concatenate([k for k, _ in runs])
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[fresh], np.add.reduceat(np.concatenate([n for _, n in runs])[order], fresh)
+
+
+def pair_counts(batches, ends: np.ndarray):
+    """Batches (key, n) of the pairs ``context << 16 | id`` of batches of ids.
+
+    Ids are laid out in parts, and sums are handed on when they fill PAIR_ROWS, in small batches, so a task's memory is
+    bounded by neither its rows nor the batches that come in.
+    """
+    import pyarrow as pa
+
+    def rows(key, n):
+        for a in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(key[a:a + (1 << 16)]), pa.array(n[a:a + (1 << 16)])], ["key", "n"])
+
+    forget()
+    runs, size = [], 0
+    for b in batches:
+        ids = _ids(b)
+        for lo, hi in _slices(ids, PAIR_IDS):
+            _, after, _, context = contexts(ids[lo:hi], ends)
+            runs.append(np.unique(context << 16 | after, return_counts=True))
+            size += len(runs[-1][0])
+            if size > PAIR_ROWS + PAIR_IDS:
+                runs = [_merged(runs)]
+                size = len(runs[0][0])
+                if size > PAIR_ROWS:
+                    yield from rows(*runs[0])
+                    runs, size = [], 0
+    if runs:
+        yield from rows(*_merged(runs))
+
+
 def _least(sized: DataFrame) -> int:
     """The least power of two of a count among the pairs that are held: all above it fit in ENTRIES."""
     least, room = 64, ENTRIES
@@ -504,6 +545,7 @@ def fit(ids: DataFrame, ends: np.ndarray) -> tuple[Model, tuple[DataFrame, DataF
     sc = ids.sparkSession.sparkContext
 
     def count_ids(batches):
+        forget()
         total = np.zeros(IDS)
         for b in batches:
             for i in _ids(b):
@@ -518,28 +560,7 @@ def fit(ids: DataFrame, ends: np.ndarray) -> tuple[Model, tuple[DataFrame, DataF
     shared = sc.broadcast(classes(counts, FINE))
 
     def count_pairs(batches):
-        """Sums are handed on when they fill a million rows, so a task's memory is bounded."""
-        import pyarrow as pa
-
-        def rows(key, n):
-            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
-
-        keys, sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            _, after, _, context = contexts(_ids(b), ends)
-            key, n = np.unique(context << 16 | after, return_counts=True)
-            key, sums = np.concatenate([keys, key]), np.concatenate([sums, n])
-            order = np.argsort(key, kind="stable")  # two sorted runs
-            key, sums = key[order], sums[order]
-            fresh = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            keys, sums = key[fresh], np.add.reduceat(sums, fresh)
-            if len(keys) > 1_000_000:
-                yield rows(keys, sums)
-                keys, sums = keys[:0], sums[:0]
-        if len(keys):
-            yield rows(keys, sums)
+        return pair_counts(batches, ends)
 
     counted = stored(ids.where("not held_out").select("ids").mapInArrow(count_pairs, "key long, n long").groupBy("key").agg(
         F.sum("n").alias("n")), "contexts")
@@ -571,18 +592,19 @@ def fit(ids: DataFrame, ends: np.ndarray) -> tuple[Model, tuple[DataFrame, DataF
 
         size = len(flat(weights))
         total = _summed(ids, steps, size + 1)
+        begun.destroy()  # executors need no more than one round's model
         if total[-1]:
             weights = shaped(total[:-1] / total[-1])
     others = _others(counted)
     return Model(counts, after, weights, _held(counted, others is not None), ends), others
 
 
-def _slices(ids: list[np.ndarray]):
-    """Ranges of whole texts with about CHUNK_IDS ids."""
+def _slices(ids: list[np.ndarray], most: int = CHUNK_IDS):
+    """Ranges of whole texts with about so many ids."""
     a = total = 0
     for b, i in enumerate(ids, 1):
         total += len(i)
-        if total > CHUNK_IDS or b == len(ids):
+        if total > most or b == len(ids):
             yield a, b
             a, total = b, 0
 
@@ -627,6 +649,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
         def out(c):
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
 
+        forget()
         c: Counter = Counter()
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -659,6 +682,7 @@ def base_scores(rows: DataFrame) -> tuple[DataFrame, int]:
     def run(batches):
         import pyarrow as pa
 
+        forget()
         known = shared.value
         for b in batches:
             rid, word, times, value, n_tokens, ids, hashes = [], [], [], [], [], [], []

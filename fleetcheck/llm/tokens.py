@@ -122,6 +122,12 @@ def piece_counts(path: str) -> PieceCounts:
     return PieceCounts(path)
 
 
+def forget() -> None:
+    """Drop this process's tokenizers and caches: a worker stays between stages, and a later one may not encode at all."""
+    word_ids.cache_clear()
+    piece_counts.cache_clear()
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -525,6 +527,41 @@ def test_lm_entries_change_the_route_and_not_the_score(spark, docs, monkeypatch)
         assert scored() == pytest.approx(whole, rel=1e-5)
 
 
+def test_lm_workers_keep_no_words_of_the_encoding(spark, docs):
+    """Workers stay between stages; one that kept its words while it counted pairs went over an executor's memory."""
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens.word_ids.cache_info().currsize] * b.num_rows, pa.int64())], ["n"])
+
+    ids, _ = lm._prepared(docs.repartition(8), WORDS)
+    seen = lambda: {r[0] for r in spark.range(0, 800, 1, 8).mapInArrow(held, "n long").collect()}
+    assert max(seen()) > 0
+    lm.fit(ids.repartition(64), lm.unit_ends(WORDS))
+    assert seen() == {0}
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 3000])
+def test_lm_pair_counts_in_bounded_memory(monkeypatch, rows):
+    monkeypatch.setattr(lm, "PAIR_ROWS", rows)
+    monkeypatch.setattr(lm, "PAIR_IDS", min(rows, 100_000))
+    rng = np.random.default_rng(3)
+    texts = [rng.zipf(1.5, 1000).clip(1, 3000).astype("<u2") for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array([t.tobytes() for t in texts], pa.binary())], ["ids"])
+    ends = np.zeros(1 << 16, dtype=bool)
+    ends[[7, lm.END_ID, lm.START, lm.NONE]] = True
+    got = collections.Counter()
+    tracemalloc.start()
+    for out in lm.pair_counts([batch, batch.slice(0, 0), batch.slice(0, 10)], ends):
+        assert out.num_rows <= 1 << 16
+        for k, n in zip(out.column(0).to_pylist(), out.column(1).to_pylist()):
+            got[k] += n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    _, after, _, context = lm.contexts([*texts, *texts[:10]], ends)
+    assert got == collections.Counter((context << 16 | after).tolist())
+    assert rows < 1_000_000 or peak < 40 << 20, peak  # laid out whole, the 1.5 million ids took more
+
+
 def test_lm_beats_the_word_base_on_held_out_texts(spark):
     """At 25 MB. At 2.5 MB the word base is ahead, as most words of held-out texts' units are too rare to count."""
     rows = queries.op9_lm_score(spark, "/root/testdata/sf0.1").where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
