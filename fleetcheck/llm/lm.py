@@ -544,27 +544,18 @@ def fit(ids: DataFrame, ends: np.ndarray) -> tuple[Model, tuple[DataFrame, DataF
     """The model of the training rows of ids (from _prepared), and the counts it does not hold; ends is from unit_ends."""
     sc = ids.sparkSession.sparkContext
 
-    def count_ids(batches):
-        forget()
-        total = np.zeros(IDS)
-        for b in batches:
-            for i in _ids(b):
-                total += np.bincount(i, minlength=IDS) if len(i) > IDS // 8 else 0
-            small = [i for i in _ids(b) if len(i) <= IDS // 8]
-            if small:
-                total += np.bincount(np.concatenate(small), minlength=IDS)
-            total[END_ID] += b.num_rows
-        yield _emit(total)
-
-    counts = _summed(ids, count_ids, IDS)
-    shared = sc.broadcast(classes(counts, FINE))
-
     def count_pairs(batches):
         return pair_counts(batches, ends)
 
     counted = stored(ids.where("not held_out").select("ids").mapInArrow(count_pairs, "key long, n long").groupBy("key").agg(
         F.sum("n").alias("n")), "contexts")
 
+    # An id, the end as well, is counted as often as it follows something.
+    t = counted.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("id")).agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(IDS)
+    counts[t.column("id").to_numpy()] = t.column("n").to_numpy()
+    shared = sc.broadcast(classes(counts, FINE))
+
     def by_class(batches):
         for b in batches:
             key = b.column(0).to_numpy()
